@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from synframe.llm import url_filter
+from synframe.llm.language_id import op4_language_id
+from synframe.llm.mixing import op5_mix_sources
+from synframe.llm.quality_classifier import op3_quality_classifier
 from synframe.llm.quality_rules import op9_quality_rules
 from synframe.llm.simhash import op8_simhash_neardup
 from synframe.llm.suffix_dedup import op1_suffix_dedup
@@ -9,9 +13,13 @@ from synframe.llm.topk import op10_topk
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_language_id": op4_language_id,
+    "op5_mix_sources": op5_mix_sources,
+    "op6_url_filter": url_filter.op6_url_filter,
     "op8_simhash_neardup": op8_simhash_neardup,
     "op9_quality_rules": op9_quality_rules,
     "op10_topk": op10_topk,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_url_filter": url_filter.ORACLE_SQL}
