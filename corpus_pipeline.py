@@ -1,15 +1,70 @@
-"""A corpus pipeline over ``documents``; filled in as its stages are built."""
+"""A corpus pipeline over ``documents``: language ID, line dedup, near-dedup, mixing, packing.
+
+Each stage works on all that its predecessor kept and returns the columns of ``documents`` (the last one
+returns the packed pieces). The driver writes every stage as Parquet and rereads it; ``run`` chains them and
+writes each stage to the shared folder itself.
+
+SQL can express neither the language model nor the tokeniser, so ``ORACLE_SQL`` is None; the tests hold every
+stage against a brute-force version.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from synframe.llm import language_id, line_dedup, mixing, packing, simhash
+from synframe.runtime import Written
+
+#: A text whose best language has less than this share of all languages' corrected hits is rejected.
+MIN_LANGUAGE_SCORE = 0.3
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognisable language go; a missing lang is filled in."""
+    model = language_id.train(docs)
+    known = language_id.predict(docs, model, docs.columns).filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE))
+    return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated blocks of lines go from all but the first document; a document left without a word goes too."""
+    cut = line_dedup.drop_repeated_lines(docs)
+    left = cut.filter((F.col("deleted_lines") == 0) | F.col("text").rlike(r"\S"))
+    n = F.when(F.col("deleted_lines") > 0, F.length("text")).otherwise(F.col("n_chars"))
+    return left.withColumn("n_chars", n.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component stays."""
+    return simhash.drop_near_duplicates(docs).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents sampled to the target weights of sources, languages and topics."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1024 tokens with their place in a sequence."""
+    return packing.pack(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("simhash_neardup", dedup_near),
+    ("mix_sources", mix_sources),
+    ("pack", pack_sequences),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over ``documents``; every stage but the last is written to the shared folder."""
+    docs, kept = spark.read.parquet(f"{sf_dir}/documents.parquet"), Written(spark, "pipeline")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = kept.cut(docs)
     return docs

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from synframe.llm import url_filter
 from synframe.llm.language_id import op4_language_id
+from synframe.llm.line_dedup import op7_line_dedup
 from synframe.llm.mixing import op5_mix_sources
+from synframe.llm.packing import op2_pack
 from synframe.llm.quality_classifier import op3_quality_classifier
 from synframe.llm.quality_rules import op9_quality_rules
 from synframe.llm.simhash import op8_simhash_neardup
@@ -13,10 +15,12 @@ from synframe.llm.topk import op10_topk
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_pack": op2_pack,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_language_id": op4_language_id,
     "op5_mix_sources": op5_mix_sources,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op7_line_dedup": op7_line_dedup,
     "op8_simhash_neardup": op8_simhash_neardup,
     "op9_quality_rules": op9_quality_rules,
     "op10_topk": op10_topk,
