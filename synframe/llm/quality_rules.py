@@ -60,23 +60,26 @@ def statistics(docs: DataFrame) -> DataFrame:
     d = d.withColumn("_words", F.filter(F.split("_text", SPACE + "+"), lambda w: w != ""))
     d = d.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda l: l.rlike(WORD)))
     n = F.size("_words")
-    # window hashes; equal neighbours after a sort are windows found twice or more
-    d = d.withColumn("_hashes", F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.struct(F.xxhash64(F.slice(F.col("_words"), i, WINDOW)).alias("h"), F.hash(F.slice(F.col("_words"), i, WINDOW)).alias("g"), i.alias("i")))))
-    plain = F.transform("_hashes", lambda x: x["h"])
-    repeats = F.coalesce(F.size(F.array_distinct(plain)) < F.size("_hashes"), F.lit(False))
-    d = d.withColumn("_sorted", F.when(repeats, F.array_sort("_hashes")))
+    # window hashes over word hashes; equal neighbours after a sort are windows found twice or more
+    d = d.withColumn("_codes", F.transform("_words", lambda w: F.xxhash64(w)))
+    c = F.size("_codes")  # several references keep the optimizer from computing _codes anew inside the lambda
+    d = d.withColumn("_hashes", F.when(c >= WINDOW, F.transform(F.sequence(F.lit(1), c - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(F.col("_codes"), i, WINDOW)))))
+    repeats = F.size(F.array_distinct("_hashes")) < F.size("_hashes")
+    d = d.withColumn("_sorted", F.when(repeats, F.array_sort(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     m = F.size("_sorted")
-    same = lambda a, b: (a["h"] == b["h"]) & (a["g"] == b["g"])
     pairs = F.arrays_zip(F.slice("_sorted", F.lit(1), m - 1).alias("a"), F.slice("_sorted", F.lit(2), m - 1).alias("b"))
-    hits = F.flatten(F.transform(F.filter(pairs, lambda p: same(p["a"], p["b"])), lambda p: F.array(p["a"]["i"], p["b"]["i"])))
+    hits = F.flatten(F.transform(F.filter(pairs, lambda p: p["a"]["h"] == p["b"]["h"]), lambda p: F.array(p["a"]["i"], p["b"]["i"])))
     d = d.withColumn("_hits", F.when(F.col("_sorted").isNotNull(), F.sort_array(F.array_distinct(hits))))
     k = F.size("_hits")
     gaps = F.zip_with(F.slice("_hits", F.lit(2), k - 1), F.slice("_hits", F.lit(1), k - 1), lambda b, a: F.least(b - a, F.lit(WINDOW)))
     covered = F.when(k > 0, F.aggregate(gaps, F.lit(WINDOW), lambda acc, x: acc + x)).otherwise(0)
     stops = F.array(*[F.lit(w) for w in STOP_WORDS])
+    # an expression that is not deterministic keeps filters on the result from being pushed below, where every
+    # reference would be expanded into the whole chain above
+    fence = F.when(F.monotonically_increasing_id() < 0, F.lit(1)).otherwise(0)
     return d.select(
         "doc_id",
-        n.cast("long").alias("n_words"),
+        (n + fence).cast("long").alias("n_words"),
         F.length(F.regexp_replace("_text", SPACE + "+", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("_text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
@@ -84,8 +87,8 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.size("_lines").cast("long").alias("n_lines"),
         _count(F.col("_lines"), lambda l: l.rlike(r"^\s*(?:[-*]|•)")).alias("n_bullet_lines"),
         _count(F.col("_lines"), lambda l: l.rlike(r"(?:\.\.\.|…)\s*$")).alias("n_ellipsis_lines"),
-        _count(F.col("_words"), lambda w: w.rlike(r"\p{L}")).alias("n_alpha_words"),
-        F.size(F.array_intersect(F.transform("_words", lambda w: F.lower(F.regexp_replace(w, r"[.,;:!?]+$", ""))), stops)).cast("long").alias("n_stop_words"),
+        F.regexp_count("_text", F.lit(r"[^\x20\x09-\x0D\p{L}]*+\p{L}[^\x20\x09-\x0D]*+")).cast("long").alias("n_alpha_words"),
+        F.size(F.array_intersect(F.col("_words"), stops)).cast("long").alias("n_stop_words"),
     )
 
 
