@@ -8,8 +8,8 @@ whatever the corpus. A text's hits per language are popcounts of these masks, co
 false-positive rate; the language with most corrected hits is the prediction.
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0; rows with a null lang are predicted but
-never learned from; a null ``doc_id`` counts as the empty text in the fold. Words longer than 40 letters count
-whole, like others. Repeated rows are judged one by one. With no training row at all every text is ``und``.
+never learned from; a null ``doc_id`` counts as the empty text in the fold. Long words count
+whole. Repeated rows are judged one by one. With no training row at all every text is ``und``.
 Empty table: no rows. Extra columns are ignored.
 """
 
@@ -21,14 +21,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NGRAMS = (3, 4)
 SLOTS = 1 << 20
 HASHES = 3
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = re.compile(r"[^\W\d_]+")  # words of the training counts
 
 
 def fold(doc_id: str = "doc_id", folds: int = 4) -> Column:
@@ -40,11 +39,38 @@ def grams(word: str) -> list[str]:
     return [w[i : i + n] for n in NGRAMS for i in range(len(w) - n + 1)]
 
 
+_PRIMES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
+_M64 = (1 << 64) - 1
+_LETTER: list[np.ndarray] = []
+
+
+def _letters() -> np.ndarray:
+    """For every code point: is it a letter?"""
+    if not _LETTER:
+        _LETTER.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
+    return _LETTER[0]
+
+
+def gram_hashes(codes: list[np.ndarray]) -> np.ndarray:
+    """64-bit hashes of n-grams given as n arrays of code points (0: word edge)."""
+    h = np.full(len(codes[0]), len(codes) * 0x632BE59BD9B4E019 & _M64, np.uint64)
+    for c, p in zip(codes, _PRIMES, strict=False):
+        h += c.astype(np.uint64) * np.uint64(p)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def hash_slots(h: np.ndarray) -> list[np.ndarray]:
+    """Slots of every hash by double hashing."""
+    a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
+    return [((a + np.uint64(i) * b) % np.uint64(SLOTS)).astype(np.int64) for i in range(HASHES)]
+
+
 def slots(gram: str) -> list[int]:
-    """Slots of an n-gram by double hashing."""
-    h = xxhash.xxh64_intdigest(gram.encode("utf-8", "surrogatepass"))
-    a, b = h & 0xFFFFFFFF, (h >> 32) | 1
-    return [(a + i * b) % SLOTS for i in range(HASHES)]
+    """Slots of one n-gram."""
+    return [int(s[0]) for s in hash_slots(gram_hashes([np.array([0 if c == "_" else ord(c)]) for c in gram]))]
 
 
 @dataclass
@@ -55,46 +81,48 @@ class Model:
     table: np.ndarray
     rate: np.ndarray
 
-    def hits(self, word: str) -> np.ndarray:
-        """Number of the word's n-grams found in each language's filter, and their number."""
-        g = grams(word)
-        at = np.array([slots(x) for x in g])
-        mask = np.bitwise_and.reduce(self.table[at], axis=1)
-        bits = np.unpackbits(mask.view(np.uint8), axis=1, bitorder="little")[:, : len(self.langs)]
-        return np.append(bits.sum(0), len(g))
+    def hits(self, text: str) -> np.ndarray:
+        """Number of the text's n-grams found in each language's filter, and (last) the number of its n-grams; all 0 without letters."""
+        codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = _letters()[codes]
+        out = np.zeros(len(self.langs) + 1, np.int64)
+        if not letter.any():
+            return out
+        # words with one edge (0) between them
+        keep = letter.copy()
+        keep[1:] |= letter[:-1]
+        c = np.concatenate(([0], np.where(letter, codes, 0)[keep], [0]))
+        for n in NGRAMS:
+            m = len(c) - n + 1
+            if m < 1:
+                continue
+            whole = c[1 : m + 1] != 0
+            for i in range(2, n - 1):
+                whole &= c[i : m + i] != 0
+            at = np.flatnonzero(whole)
+            s = hash_slots(gram_hashes([c[at + i] for i in range(n)]))
+            out[-1] += len(at)
+            for w in range(self.table.shape[1]):
+                col = self.table[:, w]
+                mask = col[s[0]]
+                for x in s[1:]:
+                    mask = mask & col[x]
+                for i in range(64 * w, min(64 * w + 64, len(self.langs))):
+                    out[i] += np.count_nonzero(mask & np.uint64(1 << (i % 64)))
+        return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        known: dict[str, int] = {}
-        rows: list[np.ndarray] = []
         out, scores = [], []
         for t in texts:
-            words = LETTERS.findall(t.lower()) if t else []
-            if not words or not self.langs:
+            total = self.hits(t) if t and self.langs else None
+            if total is None or not total[-1]:
                 out.append("und")
                 scores.append(0.0)
                 continue
-            total = np.zeros(len(self.langs) + 1)
-            idx = []
-            for w in words:
-                i = known.get(w)
-                if i is None:
-                    h = self.hits(w)
-                    if len(w) > 40:
-                        total += h
-                        continue
-                    i = known[w] = len(rows)
-                    rows.append(h)
-                idx.append(i)
-            if idx:
-                seen, times = np.unique(np.array(idx), return_counts=True)
-                total += times @ np.stack([rows[i] for i in seen.tolist()])
-            n = total[-1]
-            own = np.maximum(0.0, (total[:-1] - self.rate * n) / (1 - self.rate))
+            own = np.maximum(0.0, (total[:-1] - self.rate * total[-1]) / (1 - self.rate))
             best = int(own.argmax())
             out.append(self.langs[best])
             scores.append(float(own[best] / own.sum()) if own.sum() else 0.0)
-            if len(rows) > 100_000:
-                known, rows = {}, []
         return out, scores
 
 
