@@ -71,6 +71,7 @@ def _refit(contigs: DataFrame, frags: DataFrame) -> DataFrame:
 def scaffold_stage(blocks: DataFrame, target: str, drafts: list[str], tree: Tree, n_genomes: int, stage: Stage) -> tuple[DataFrame, DataFrame]:
     """Chains of one stage and its breakpoint graph."""
     kept = Written(blocks.sparkSession, "stage")
+    blocks = kept.cut(blocks)
     if stage.repeats:
         r = fl.repeat_blocks(blocks)
         blocks = rp.resolve_repeats(blocks, rp.match_profiles(ad.repeat_contexts(blocks, r), r, tree, target), target)
@@ -124,12 +125,13 @@ def run_scaffolding(
         out = sc.merge_scaffolds(old, new)
         if stage.rearrange:
             # accepted k-breaks change the joins of the old scaffolds; chains are built anew from them
-            joins = sc.project_rearrangements(old, new)
+            joins = kept.cut(sc.project_rearrangements(old, new))
             ends = old.select("chr").distinct().withColumn("n", F.abs(F.xxhash64("chr")))
             ends = kept.cut(ends.select("chr", F.col("n").alias("left_end"), (-F.col("n")).alias("right_end")))
             side = lambda c, s: F.when(F.col(s) == "L", F.col(c)).otherwise(-F.col(c))
             e2 = ends.select(F.col("chr").alias("chr2"), F.col("left_end").alias("n2"))
             j = joins.join(ends.select("chr", F.col("left_end").alias("n1")), "chr").join(e2, "chr2").select(side("n1", "side").alias("u"), side("n2", "side2").alias("v"), "gap")
+            j = kept.cut(j)
             empty = F.array().cast("array<struct<genome:string,chr:string>>")
             a = j.select(F.col("u").alias("node"), F.col("v").alias("block"), F.col("gap").alias("distance"), empty.alias("supporting"), F.lit(False).alias("infinity"))
             a = a.unionByName(j.select(F.col("v").alias("node"), F.col("u").alias("block"), F.col("gap").alias("distance"), empty.alias("supporting"), F.lit(False).alias("infinity")))

@@ -53,3 +53,18 @@ class Written:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Bytes of one Arrow batch that carries whole texts to Python.
+TEXT_BYTES = 4 << 20
+
+
+def bound_text_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of whole texts small: the buffers of both sides live outside the heap and do not shrink.
+
+    Lowers the session's byte limit of a batch; a lower limit stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    digits = "".join(c for c in str(spark.conf.get(key, "")) if c.isdigit() or c == "-")
+    if not digits or not 0 < int(digits) <= TEXT_BYTES:
+        spark.conf.set(key, str(TEXT_BYTES))
