@@ -65,6 +65,6 @@ def bound_text_batches(spark: SparkSession) -> None:
     Lowers the session's byte limit of a batch; a lower limit stays.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    digits = "".join(c for c in str(spark.conf.get(key, "")) if c.isdigit() or c == "-")
-    if not digits or not 0 < int(digits) <= TEXT_BYTES:
+    digits = "".join(c for c in spark.conf.get(key, "1b") if c.isdigit() or c == "-")
+    if not 1 < int(digits) <= TEXT_BYTES:
         spark.conf.set(key, str(TEXT_BYTES))
