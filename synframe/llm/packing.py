@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from synframe.runtime import Written, shuffle_partitions
+from synframe.runtime import Written, bound_text_batches, shuffle_partitions
 
 CAPACITY = 1024
 END_ID = 2
@@ -76,6 +76,7 @@ def encoder(path: str):
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)`` of every piece, with ``ids`` if asked for."""
+    bound_text_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
 
