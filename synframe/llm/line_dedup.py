@@ -21,12 +21,12 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from synframe.runtime import Written
+from synframe.runtime import Written, bound_text_batches
 
 MIN_WORDS = 10
 
@@ -149,23 +149,24 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFram
     d = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_d"), F.crc32(text.cast("binary")).alias("_t"))
     j = d.join(gone, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_tk")), "left").select("_row", "_gone")
 
-    # a set look-up for each line: linear in the lines, whatever the number deleted
-    @F.pandas_udf("string")
-    def cut(text, gone):
-        out = []
-        for t, g in zip(text, gone, strict=True):
-            if g is None or t is None or isinstance(g, float):
-                out.append(t)
-            else:
-                g = set(np.asarray(g).tolist())
-                out.append("\n".join(l for i, l in enumerate(t.split("\n")) if i not in g))
-        import pandas as pd
-
-        return pd.Series(out, dtype=object)
-
-    new = F.when(F.col("_gone").isNull(), F.col("_row")["text"]).otherwise(cut(F.col("_row")["text"].cast("string"), F.col("_gone")))
-    cols = [new.alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns if c != "deleted_lines"]
-    return j.select(*cols, F.coalesce(F.size("_gone"), F.lit(0)).alias("deleted_lines"))
+    bound_text_batches(docs.sparkSession)
+    cols = [c for c in docs.columns if c != "deleted_lines"]
+
+    def run(batches):
+        # small batches: whole texts pass through, and a set look-up for each line is linear in the lines
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                gone = part.column(1).to_pylist()
+                text = pa.array([t.as_py() if not g else "\n".join(l for i, l in enumerate(t.as_py().split("\n")) if i not in g) for t, g in zip(part.column(0).field("text"), [g and set(g) for g in gone], strict=True)], pa.string())
+                row = part.column(0)
+                names = [f.name for f in row.type]
+                new = pa.StructArray.from_arrays([text if n == "text" else row.field(n) for n in names], fields=[pa.field(n, pa.string() if n == "text" else row.type.field(n).type) for n in names])
+                yield pa.RecordBatch.from_arrays([new, pa.array([len(g or ()) for g in gone], pa.int32())], names=["row", "n"])
+
+    kind = StructType([f if f.name != "text" else StructField("text", StringType()) for f in docs.schema.fields])
+    out = j.withColumn("_row", F.col("_row").cast(kind)).mapInArrow(run, StructType().add("row", kind).add("n", IntegerType()))
+    return out.select(*[F.col("row")[c].alias(c) for c in cols], F.col("n").alias("deleted_lines"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
