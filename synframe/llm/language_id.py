@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from synframe.runtime import bound_text_batches
+
 NGRAMS = (3, 4)
 SLOTS = 1 << 20
 HASHES = 3
@@ -155,6 +157,7 @@ def gram_counts(train: DataFrame) -> DataFrame:
                     words, size = {}, 0
         yield from flush()
 
+    bound_text_batches(train.sparkSession)
     rows = train.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, "lang string, gram string, n long")
     return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 

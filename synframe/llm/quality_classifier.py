@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from synframe.runtime import Written
+from synframe.runtime import Written, bound_text_batches
 
 UPPER = bytes(range(65, 91))
 DIGIT = bytes(range(48, 58))
@@ -98,7 +98,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(dens[1] - dens[0], -500, 500)))
 
 
-def fit(sums: dict[int, tuple[float, np.ndarray, np.ndarray]], pool: float = 0.1, diagonal: float = 0.05, floor: float = 1e-3) -> Model:
+def fit(sums: dict[int, tuple[float, np.ndarray, np.ndarray]], pool: float = 0.3, diagonal: float = 0.02, floor: float = 1e-3) -> Model:
     """From (count, sum, sum of products) of each class. pool: weight of the pooled covariance; diagonal: of the own diagonal."""
     if len(sums) < 2:
         return Model(*[np.zeros(0)] * 4, fixed=float(next(iter(sums))) if sums else 0.5)
@@ -149,6 +149,7 @@ def held_out() -> Column:
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document; one scan of the texts."""
+    bound_text_batches(docs.sparkSession)
     spark = docs.sparkSession
     x = Written(spark, "quality").cut(features(docs))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).filter("y in (0, 1) and doc_id is not null")
