@@ -16,14 +16,10 @@ from pyspark.sql import functions as F
 from synframe.llm import language_id, line_dedup, mixing, packing, simhash
 from synframe.runtime import Written
 
-#: A text whose best language has less than this share of all languages' corrected hits is rejected.
-MIN_LANGUAGE_SCORE = 0.3
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go; a missing lang is filled in."""
+    """Documents without a letter, or without an n-gram of any language, go; a missing lang is filled in."""
     model = language_id.train(docs)
-    known = language_id.predict(docs, model, docs.columns).filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE))
+    known = language_id.predict(docs, model, docs.columns).filter((F.col("lang_pred") != "und") & (F.col("score") > 0))
     return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 

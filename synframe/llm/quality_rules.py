@@ -41,7 +41,7 @@ RULES = (
     Rule("n_words", low=20, high=1_000_000),
     Rule("word_chars / n_words", low=2.0, high=12.0),
     Rule("n_symbols / n_words", high=0.1),
-    Rule("n_dup_lines / greatest(n_lines, 1)", high=0.3),
+    Rule("n_dup_lines / greatest(n_lines, 10)", high=0.3),  # one repeated line of a few is no ground
     Rule("n_repeat_words / n_words", high=0.3),
     Rule("n_bullet_lines / greatest(n_lines, 1)", high=0.9),
     Rule("n_ellipsis_lines / greatest(n_lines, 1)", high=0.3),

@@ -18,7 +18,7 @@ def test_stages_against_brute_force(spark):
     model = language_id.train(docs)
     rows = docs.collect()
     pred, score = model.predict([r.text for r in rows])
-    want = {r.doc_id for r, p, s in zip(rows, pred, score) if p != "und" and s >= cp.MIN_LANGUAGE_SCORE}
+    want = {r.doc_id for r, p, s in zip(rows, pred, score) if p != "und" and s > 0}
     kept = one.collect()
     assert {r.doc_id for r in kept} == want
 
