@@ -639,3 +639,86 @@ def _(s, d):
 @query("simulate_inversions")
 def _(s, d):
     return ve.simulate_inversions(contigs(s, d).select("scf", "idx", F.col("chr").alias("contig"), "sign"), 0.2)
+
+
+# ---- adjacencies and chains over the parts that SQL can express; report texts -----------------------------------------
+
+
+PAIRS = """
+deg as (select n, count(*) as k from (select a as n from trim_ union all select b from trim_) group by n),
+m as (select a, b from trim_ join deg x on a = x.n join deg y on b = y.n where x.k = 1 and y.k = 1 union select a, b from graph where genome = 'g0'),
+r(genome, k) as (values ('g0', 0), ('g1', 1), ('g4', 2), ('g2', 3), ('g3', 4)),
+dd as (select a, b, arg_min(gap_end - gap_start, k) as d from graph join r using (genome) where not infinity group by a, b),
+su as (select a, b, bool_or(infinity) as inf, string_agg(distinct genome || ':' || chr, ',' order by genome || ':' || chr) as sup from graph group by a, b),
+one as (select m.a, m.b, case when inf then 0 else coalesce(d, 0) end as distance, case when inf then '' else sup end as supporting, inf as infinity from m join su using (a, b) left join dd using (a, b)),
+adj as (select a as node, b as block, distance, supporting, infinity from one union all select b, a, distance, supporting, infinity from one)
+"""
+WALK = """
+ce as (select chr, 'L' as side, first_ as node from ends where genome = 'g0' union all select chr, 'R', -last_ from ends where genome = 'g0'),
+ln as (select x.chr, x.side, y.chr as chr2, y.side as side2, distance as gap, infinity as inf from ce x join adj on x.node = adj.node join ce y on adj.block = y.node),
+rw as (select chr as start, chr, 1 as sign, 0 as n, cast(0 as bigint) as gap from (select distinct chr from ln) q
+       union all
+       select rw.start, chr2, case when side2 = 'L' then 1 else -1 end, n + 1, ln.gap from rw join ln on ln.chr = rw.chr and ln.side = (case when sign > 0 then 'R' else 'L' end) and not inf where chr2 <> rw.start and n < 500),
+lw as (select chr as start, chr, 1 as sign, 0 as n, cast(0 as bigint) as gap from (select distinct chr from ln) q
+       union all
+       select lw.start, chr2, case when side2 = 'R' then 1 else -1 end, n - 1, ln.gap from lw join ln on ln.chr = lw.chr and ln.side = (case when sign > 0 then 'L' else 'R' end) and not inf where chr2 <> lw.start and n > -500),
+al as (select start, chr, sign, n, gap from rw union all select start, chr, sign, n, gap from lw where n < 0 and not exists (select 1 from rw where rw.start = lw.start and rw.chr = lw.chr)),
+st as (select start from al group by start having min(chr) = start and (count(*) > 1 or exists (select 1 from ln where ln.chr = al.start and chr2 = al.start and side = 'R' and inf)))
+"""
+
+
+@query("pair_inferred_adjacencies", sql(B, clean(False), EDGES, TRIM, PAIRS, select="select * from adj"))
+def _(s, d):
+    g = Written(s, "graph").cut(graph(s, d))
+    m = ad.pair_adjacencies(ad.trimmed_graph(g, TARGET)).unionByName(g.filter("genome = 'g0'").select("a", "b")).distinct()
+    a = inf.infer_adjacencies(g, m, ph.rank_table(s, TREE, TARGET))
+    return a.withColumn("supporting", F.array_join(F.transform("supporting", lambda x: F.concat_ws(":", x["genome"], x["chr"])), ","))
+
+
+# a right link is stored on its own row; a left link on the contig that it leads to
+@query("pair_chains", sql(B, clean(False), EDGES, TRIM, PAIRS, WALK, "x as (select al.start, chr, sign, n, row_number() over (partition by al.start order by n) - 1 as idx, case when n < 0 then gap else coalesce(lead(gap) over (partition by al.start order by n), 0) end as gap from al join st using (start))", select="select 'scf_' || start as scf, idx, chr, sign, cast(gap as bigint) as gap from x", recursive=True))
+def _(s, d):
+    g = Written(s, "graph").cut(graph(s, d))
+    m = ad.pair_adjacencies(ad.trimmed_graph(g, TARGET)).unionByName(g.filter("genome = 'g0'").select("a", "b")).distinct()
+    a = inf.infer_adjacencies(g, m, ph.rank_table(s, TREE, TARGET))
+    return sc.build_chains(ad.contig_ends(cleaned(s, d), TARGET), a).drop("supporting")
+
+
+@query("links_report", sql(B, SEQS, CONTIGS, POS, "t as (select *, case when sign > 0 then '+' else '-' end || chr as name from pos)", "w as (select scf, greatest(8, max(length(name))) as w0, greatest(5, max(length(cast(start as varchar)))) as w1, greatest(6, max(length(cast(length as varchar)))) as w2, greatest(3, max(length(cast(gap as varchar)))) as w3 from t group by scf)", select="select scf as part, cast(idx + 2 as int) as ord, rpad(name, w0::int, ' ') || '  ' || rpad(cast(start as varchar), w1::int, ' ') || '  ' || rpad(cast(length as varchar), w2::int, ' ') || '  ' || rpad(cast(gap as varchar), w3::int, ' ') || '  ' as line from t join w using (scf) union all select scf, 0, scf || e'\\n' || rpad('sequence', w0::int, ' ') || '  ' || rpad('start', w1::int, ' ') || '  ' || rpad('length', w2::int, ' ') || '  ' || rpad('gap', w3::int, ' ') || '  support' from w"))
+def _(s, d):
+    return rep.links_lines(contigs(s, d))
+
+
+@query("agp_report", sql(B, SEQS, CONTIGS, POS, select="select scf as part, cast(2 * i + 1 as int) as ord, concat_ws(e'\\t', scf, start + 1, start + length, 2 * i + 1, 'W', chr, '1', length, case when sign > 0 then '+' else '-' end) as line from pos union all select scf, cast(2 * i + 2 as int), concat_ws(e'\\t', scf, start + length + 1, start + length + gap, 2 * i + 2, 'N', gap, 'scaffold', 'yes', 'align_genus') from pos where gap > 0"))
+def _(s, d):
+    return rep.agp_lines(contigs(s, d))
+
+
+@query("coords_report", sql(B, SEQS, "q as (select *, row_number() over (order by genome, chr) as id from seqs)", "l as (select block_id, id, bstart, concat_ws(e'\\t', id, case when sign > 0 then '+' else '-' end, case when sign > 0 then bstart else bend end, case when sign > 0 then bend else bstart end, bend - bstart) as t from blocks join q using (genome, chr))", select="select '' as part, 0 as ord, e'Seq_id\\tSize\\tDescription' as line union all select '', cast(id as int), concat_ws(e'\\t', id, seq_len, genome || '.' || chr) from q union all select '~', cast(block_id as int), repeat('-', 80) || e'\\nBlock #' || block_id || e'\\nSeq_id\\tStrand\\tStart\\tEnd\\tLength\\n' || string_agg(t, e'\\n' order by id, bstart, t) from l group by block_id"))
+def _(s, d):
+    b = blocks(s, d)
+    return rep.coords_lines(b, sequences(b))
+
+
+@query("overlap_dot", sql(PARTS, OVERLAPS, select="select 'b' as part, 0 as ord, format('\"{}\" -> \"{}\" [label=\"{}\"];', src, dst, size) as line from o union all select 'a', 0, 'digraph {' union all select 'c', 0, '}'"))
+def _(s, d):
+    return rep.dot_lines(ov.overlaps(with_complements(parts(s, d)), 6, 12))
+
+
+@query("scaffold_breakpoints", sql(B, clean(False), EDGES, select="select count(*) as breakpoints from (select a, b from graph where genome = 'g0' and not infinity) o where (a, b) in (select (a, b) from graph group by a, b having not bool_or(genome <> 'g0'))"))
+def _(s, d):
+    g = graph(s, d)
+    return ad.scaffold_breakpoints(g.filter("genome = 'g0' and not infinity").select("u", "v"), g, TARGET)
+
+
+@query("fasta_report", sql(PARTS, select="select name as part, 0 as ord, '>' || name || e'\\n' || rtrim(regexp_replace(seq, '(.{12})', '\\1' || chr(10), 'g'), chr(10)) as line from fasta"))
+def _(s, d):
+    return rep.fasta_lines(parts(s, d), 12)
+
+
+@query("renamed_sequences", sql(B, "own as (select distinct genome, chr from blocks where genome in ('g0', 'g1'))", select="select b.chr, block_id, own.genome from blocks b join own on b.chr = own.chr where b.genome in ('g0', 'g1')"))
+def _(s, d):
+    from synframe.sources.text_formats import rename_sequences
+
+    b = blocks(s, d).filter("genome in ('g0', 'g1')")
+    return rename_sequences(b.select("chr", "block_id"), b.select("genome", "chr").distinct())
