@@ -23,11 +23,53 @@ def _small_star(e: DataFrame) -> DataFrame:
     return out.unionByName(low.select("u", F.col("m").alias("v")))
 
 
+#: Nodes that one task holds before it sends its forest on.
+HELD = 1_000_000
+
+
+def _forests(batches):
+    """Edges of one task -> (node, smallest node of its tree): what is connected within a task needs no round."""
+    import pyarrow as pa
+
+    parent: dict[int, int] = {}
+
+    def find(x):
+        while (p := parent[x]) != x:
+            parent[x] = x = parent[p]
+        return x
+
+    def out():
+        rows = [(x, find(x)) for x in parent]
+        rows = [r for r in rows if r[0] != r[1]]
+        for k in range(0, len(rows), 50_000):
+            u, v = zip(*rows[k : k + 50_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            a, c = find(_put(parent, u)), find(_put(parent, v))
+            if a != c:
+                parent[max(a, c)] = min(a, c)
+        if len(parent) > HELD:
+            yield from out()
+            parent.clear()
+    yield from out()
+
+
+def _put(parent: dict[int, int], x: int) -> int:
+    parent.setdefault(x, x)
+    return x
+
+
+def _mark(e: DataFrame):
+    return e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.xxhash64("v", "u").bitwiseAND(0xFFFFFFFF))).first()
+
+
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of ``edges``; component = smallest node reachable.
 
     Nulls in an end drop the edge; self loops give single-node components; an empty table gives none.
-    State is one row per edge; each round is two aggregations and two equi-joins, and its result is
+    Each task first contracts its own edges. State is then at most one row per edge; each round is two aggregations and two equi-joins, and its result is
     written to the shared folder, so that lineage stays short and lost executors cost one round.
     """
     spark = edges.sparkSession
@@ -35,18 +77,20 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     base = edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).filter("u is not null and v is not null")
     base, base_path = kept.put(base.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     loops = base.filter("u = v").select("u")
-    cur, old, seen = base.filter("u <> v"), None, None
-    for _ in range(max_rounds):
+    cur, old = kept.put(base.filter("u <> v").mapInArrow(_forests, "u long, v long").distinct())
+    seen = _mark(cur)
+    for _ in range(max_rounds if seen[0] else 0):
         step = _small_star(_large_star(cur).filter("u <> v").distinct()).filter("u <> v").distinct()
         nxt, path = kept.put(step)
-        mark = nxt.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.xxhash64("v", "u").bitwiseAND(0xFFFFFFFF))).first()
         kept.drop(old)
         cur, old = nxt, path
-        if mark == seen or not mark[0]:
+        mark = _mark(cur)
+        if mark == seen:
             break
         seen = mark
     else:
-        raise RuntimeError("components did not settle")
+        if seen[0]:
+            raise RuntimeError("components did not settle")
     out = cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
     out = out.unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("component")))
     out = out.unionByName(loops.select(F.col("u").alias("node"), F.col("u").alias("component")))
