@@ -73,7 +73,10 @@ def read_maf(spark: SparkSession, path: str, min_len: int) -> DataFrame:
     r = s.select("aln", "n", F.regexp_replace(p[1], r"^gi\|", "gi|").alias("name"), p[2].cast("long").alias("start"), p[3].cast("long").alias("size"), p[4].alias("strand"), p[5].cast("long").alias("seq_len"), p[6].alias("text"))
     r = r.filter((F.col("size") >= min_len) & (gap_rate(F.col("text")) < MAX_GAP_RATE))
     ok = r.groupBy("aln").agg(F.countDistinct("name").alias("k")).filter("k > 1")
-    ids = ok.select("aln", F.row_number().over(Window.orderBy("aln")).cast("long").alias("block_id"))
+    # dense ids from counts per input partition (the upper bits of aln): no window over all alignments
+    ok = ok.withColumn("p", F.shiftright("aln", 33))
+    base = ok.groupBy("p").agg(F.count("*").alias("c")).withColumn("b", F.coalesce(F.sum("c").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ids = ok.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("aln"))).join(base.select("p", "b"), "p").select("aln", (F.col("r") + F.col("b")).cast("long").alias("block_id"))
     b = maf_start(F.col("strand"), F.col("start"), F.col("size"), F.col("seq_len"))
     return r.join(ids, "aln").select(F.substring_index("name", ".", 1).alias("genome"), F.regexp_extract("name", r"^[^.]*\.(.*)$", 1).alias("chr"), "seq_len", "block_id", F.when(F.col("strand") == "-", -1).otherwise(1).alias("sign"), b.alias("bstart"), (b + F.col("size")).alias("bend"))
 
