@@ -13,6 +13,8 @@ Every byte covered by a ``min_len``-byte string that starts at two or more place
 3. *The rest*, the edges of passages and of edits, is sorted: suffixes that start at the windows, in their class
    (context, anchor distance), by a bottom-up merge sort whose comparisons find the common extension by binary
    search over prefix polynomial hashes. Neighbours that agree on ``min_len`` bytes are verified byte by byte.
+   A context with more than ``CROWD`` open parts (a passage that very many documents quote, each in its own
+   surroundings) is not gathered: its windows are spread by two hashes of their own ``min_len`` bytes.
 
 Prefix hashes are polynomial sums modulo 2**64 (``numpy`` wraps), made position-free by the inverse powers of the
 odd base.
@@ -38,6 +40,8 @@ POS_BITS = 24
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 ROWS_HELD = 300_000
 BYTES_HELD = 1 << 21
+#: A context with more open parts than this is not compared in one task: its windows are grouped by their own hashes.
+CROWD = 1000
 
 
 class _Powers:
@@ -379,14 +383,33 @@ def _compare(min_len: int):
                 t = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(t[0], pa.int64()), pa.array(t[1], pa.int32()), pa.array(t[2], pa.int64()), pa.array(t[3], pa.int32())], names=["doc_id", "tk", "start", "count"])
 
+        last = None  # the window row before, of a crowded context
+
+        def spans(rows):
+            if rows:
+                t = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(t[2], pa.int64()), pa.array(t[3], pa.int32()), pa.array(t[4], pa.int64()), pa.array(t[5], pa.int32())], names=["doc_id", "tk", "start", "count"])
+
         for b in batches:
             cols = [b.column(i).to_pylist() for i in range(8)]
+            told = []
             for r in zip(*cols, strict=True):
+                if r[6] < 0:
+                    if r[6] == -2:
+                        told.append(r)
+                    elif last and last[0] == r[0] and last[7] == r[7]:
+                        # equal windows stand together: each is told once, nothing is held
+                        told += [x for x in (last, r) if not x[1]]
+                        last = (r[0], True, *r[2:])
+                    else:
+                        last = r
+                    continue
                 if size >= BYTES_HELD and r[0] != held[-1][0]:
                     yield from settle(held)
                     held, size = [], 0
                 held.append(r)
                 size += len(r[7])
+            yield from spans(told)
         if held:
             yield from settle(held)
 
@@ -394,23 +417,57 @@ def _compare(min_len: int):
 
 
 def _fetch(min_len: int):
-    """Documents with their open parts -> one row per part with its bytes."""
+    """Documents with their open parts -> one row per part with its bytes.
+
+    A part of a crowded context gives a row per window instead: ctx and seg are then two hashes of the window, dist is -1. Windows
+    that one task holds twice are settled here (dist -2) and only one of them goes on.
+    """
     names = ["ctx", "known", "doc_id", "tk", "start", "count", "dist", "seg"]
 
+    def windows(held):
+        h0, h1, known, own, null, tk, start = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((h1, h0))
+        h0, h1, known, own, null, tk, start = (c[order] for c in (h0, h1, known, own, null, tk, start))
+        same = _same(h0, h1)
+        after, before = np.append(same, False), np.insert(same, 0, False)
+        settled = (after | before) & ~known
+        seg = h1.astype("<u8").tobytes()
+        for k in range(0, len(h0), 50_000):
+            e = min(len(h0), k + 50_000)
+            go = np.flatnonzero(~before[k:e]) + k  # to the other tasks: one of each, known here if it repeats here
+            yield pa.RecordBatch.from_arrays([pa.array(h0[go].view(np.int64)), pa.array(known[go] | after[go]), pa.array(own[go], mask=null[go]), pa.array(tk[go]), pa.array(start[go]), pa.array(np.ones(len(go), np.int32)), pa.array(np.full(len(go), -1, np.int32)), pa.array([seg[8 * i : 8 * i + 8] for i in go.tolist()], pa.binary())], names=names)
+            at = np.flatnonzero(settled[k:e]) + k
+            if len(at):
+                away = _mix(own[at].view(np.uint64) + start[at].astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+                yield pa.RecordBatch.from_arrays([pa.array(away.view(np.int64)), pa.array(np.zeros(len(at), bool)), pa.array(own[at], mask=null[at]), pa.array(tk[at]), pa.array(start[at]), pa.array(np.ones(len(at), np.int32)), pa.array(np.full(len(at), -2, np.int32)), pa.array([b""] * len(at), pa.binary())], names=names)
+
     def run(batches):
+        crowd, n = [], 0
         for b in batches:
             out: list[tuple] = []
             held = 0
             for own, text, todo in zip(b.column(0), b.column(1).cast(pa.binary()), b.column(2), strict=True):
-                own, text = own.as_py(), text.as_py()
+                own, text, hashes = own.as_py(), text.as_py(), None
                 for x in todo.as_py():
+                    if x["crowded"]:
+                        hashes = hashes or [PrefixHash(np.frombuffer(text, np.uint8), i) for i in (0, 1)]
+                        p = np.arange(x["start"], x["start"] + x["count"])
+                        m = len(p)
+                        crowd.append((_mix(hashes[0].of(p, min_len)), _mix(hashes[1].of(p, min_len)), np.full(m, x["kind"] == 2), np.full(m, own or 0, np.int64), np.full(m, own is None), np.full(m, x["tk"], np.int32), p))
+                        n += m
+                        continue
                     out.append((x["ctx"], x["kind"] == 2, own, x["tk"], x["start"], x["count"], x["dist"], text[x["start"] : x["start"] + x["count"] + min_len - 1]))
                     held += len(out[-1][7])
                 if held > 1 << 23:
                     yield _batch(out, names)
                     out, held = [], 0
+                if n > ROWS_HELD:
+                    yield from windows(crowd)
+                    crowd, n = [], 0
             if out:
                 yield _batch(out, names)
+        if crowd:
+            yield from windows(crowd)
 
     return run
 
@@ -429,10 +486,13 @@ def repeated_windows(docs: DataFrame, min_len: int = 400) -> DataFrame:
     rows = rows.repartition(n, "ctx").sortWithinPartitions("ctx", "s0", "s1")
     told = kept.cut(rows.mapInArrow(_settle_parts, SPAN_SCHEMA))
     sure = told.filter("kind = 0").select("doc_id", "tk", "start", "count")
-    todo = told.filter("kind > 0").groupBy("doc_id", "tk").agg(F.collect_list(F.struct("kind", "ctx", "tk", "start", "count", "dist")).alias("todo"))
+    todo = told.filter("kind > 0")
+    crowded = kept.cut(todo.groupBy("ctx").count().filter(F.col("count") > CROWD).select(F.col("ctx").alias("_c")))
+    todo = todo.join(crowded, F.col("ctx") == F.col("_c"), "left").withColumn("crowded", F.col("_c").isNotNull())
+    todo = todo.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("kind", "ctx", "tk", "start", "count", "dist", "crowded")).alias("todo"))
     j = docs.join(todo.withColumnsRenamed({"doc_id": "_id", "tk": "_tk"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk")))
     segs = j.select("doc_id", "text", "todo").mapInArrow(_fetch(min_len), "ctx long, known boolean, doc_id long, tk int, start long, count int, dist int, seg binary")
-    found = segs.repartition(n, "ctx").sortWithinPartitions("ctx").mapInArrow(_compare(min_len), "doc_id long, tk int, start long, count int")
+    found = segs.repartition(n, "ctx").sortWithinPartitions("ctx", "seg").mapInArrow(_compare(min_len), "doc_id long, tk int, start long, count int")
     return sure.unionByName(found)
 
 

@@ -56,3 +56,15 @@ def test_query_against_brute_force(spark):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op1_suffix_dedup(spark, DATA).collect()}
     assert got == want
     assert any(v[1] for v in want.values())
+
+
+def test_crowded_contexts(spark, monkeypatch):
+    from synframe.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "CROWD", 3)
+    rnd = random.Random(7)
+    word = lambda n: "".join(rnd.choice("abc ") for _ in range(n))
+    quote, tail = word(300), word(150)
+    texts = [word(rnd.randrange(150, 500)) + quote + word(rnd.randrange(150, 500)) for _ in range(25)]
+    texts += [word(200) + quote + tail + word(100) for _ in range(6)] + [word(90) + quote + tail[:110] for _ in range(4)]
+    check(spark, texts + [None, texts[0]])
