@@ -123,6 +123,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     key = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("tk").alias("t"))
     rows = table.select(key.alias("k"), F.explode(F.array_distinct("hash")).alias("h"))
     first = rows.groupBy("h").agg(F.min("k").alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first")
+    first = kept.cut(first)  # both sides of the join are then exchanges, whose hot keys can be split
     links = rows.join(first, "h").filter("k <> first").select("k", "first").distinct()
     arrays = table.select(key.alias("k"), "at", "hash", "words")
     late = links.join(arrays, "k")
