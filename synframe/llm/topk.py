@@ -8,9 +8,8 @@ reaches the query's kth exact score. Each block pair sends on at most k rows for
 ranking merges them. Bounds are integers, so ties are exact: at equal scores the smaller vec_id wins.
 
 Vectors that are null or hold a null or non-finite component take no part, neither do rows with a null
-vec_id. A shorter vector counts as padded with zeros. Repeated vec_ids are separate candidates (equal
-(score, vec_id) rows keep their order of id only); a query never meets rows of its own vec_id. Empty table:
-no rows. Extra columns are ignored.
+vec_id. A shorter vector counts as padded with zeros. Repeated vec_ids are separate rows: each is a query of its
+own and a candidate of the other. Empty table: no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 from synframe.runtime import Written
 
 SCALE = 64
-SCHEMA = "query_id long, vec_id long, score long"
+SCHEMA = "q_row long, query_id long, vec_id long, score long"
 
 
 def integer_vectors(emb: DataFrame) -> DataFrame:
@@ -34,14 +33,14 @@ def integer_vectors(emb: DataFrame) -> DataFrame:
     return ok.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda a: F.floor(a * SCALE)).alias("v"))
 
 
-def va_topk(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, width: int = 2, slice_: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def va_topk(q_rows: np.ndarray, q: np.ndarray, rows_: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, width: int = 2, slice_: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Top-k rows (query row, candidate row, score) of one block pair, by the cells first and exact vectors only while needed."""
     low = np.floor_divide(v, width).astype(np.float64) * width  # what the approximation file holds: the cell's lower corner
     pos, neg = np.maximum(q, 0).astype(np.float64), np.minimum(q, 0).astype(np.float64)
     base = q.astype(np.float64) @ low.T
     upper = base + (width - 1) * pos.sum(1)[:, None]
     lower = base + (width - 1) * neg.sum(1)[:, None]
-    own = q_ids[:, None] == ids[None, :]
+    own = q_rows[:, None] == rows_[None, :]
     upper[own], lower[own] = -np.inf, -np.inf
     m = len(ids)
     rows, cols, scores = [], [], []
@@ -67,33 +66,35 @@ def va_topk(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k:
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(scores)
 
 
-def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 4096, query_block: int = 512) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: the k highest integer inner products of every query row of ``queries``."""
+def exact_topk(vectors: DataFrame, queries: str, k: int = 20, block: int = 4096, query_block: int = 512) -> DataFrame:
+    """``(query_id, rank, vec_id, score)``: the k highest integer inner products of every row of ``vectors`` for which the SQL condition
+    ``queries`` holds, with all rows but itself."""
     spark = vectors.sparkSession
-    kept = Written(spark, "topk")
-    v, q = kept.cut(vectors), kept.cut(queries)
+    v = Written(spark, "topk").cut(vectors.withColumn("row", F.monotonically_increasing_id()))  # written, so the numbers stay
+    q = v.filter(queries)
     nv, nq = v.count(), q.count()
     cells, qcells = max(1, -(-nv // block)), max(1, -(-nq // query_block))
     # blocks by a hash: even for any id, bounded whatever the input's size
-    vb = v.withColumn("b", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(cells)).cast("int")).groupBy("b").agg(F.collect_list(F.struct("vec_id", "v")).alias("vs"))
-    qb = q.withColumn("c", F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(qcells)).cast("int")).groupBy("c").agg(F.collect_list(F.struct("vec_id", "v")).alias("qs"))
+    item = F.collect_list(F.struct("row", "vec_id", "v"))
+    vb = v.withColumn("b", F.pmod(F.xxhash64("row", F.lit(7)), F.lit(cells)).cast("int")).groupBy("b").agg(item.alias("vs"))
+    qb = q.withColumn("c", F.pmod(F.xxhash64("row", F.lit(11)), F.lit(qcells)).cast("int")).groupBy("c").agg(item.alias("qs"))
     grid = qb.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
 
     def run(frames):
         for f in frames:
             for vs, qs in zip(f["vs"], f["qs"], strict=True):
-                ids, qid = (np.array([x["vec_id"] for x in y], np.int64) for y in (vs, qs))
+                (rows, ids), (q_rows, q_ids) = ((np.array([x["row"] for x in y], np.int64), np.array([x["vec_id"] for x in y], np.int64)) for y in (vs, qs))
                 dims = max(max((len(x["v"]) for x in vs), default=0), max((len(x["v"]) for x in qs), default=0))
                 mat = [np.array([np.pad(np.asarray(x["v"], np.int64), (0, dims - len(x["v"]))) for x in y], np.int64).reshape(len(y), dims) for y in (vs, qs)]
-                r, c, s = va_topk(qid, mat[1], ids, mat[0], k)
-                yield pd.DataFrame({"query_id": qid[r], "vec_id": ids[c], "score": s})
+                r, c, s = va_topk(q_rows, mat[1], rows, ids, mat[0], k)
+                yield pd.DataFrame({"q_row": q_rows[r], "query_id": q_ids[r], "vec_id": ids[c], "score": s})
 
     found = grid.join(vb, "b").select("vs", "qs").mapInPandas(run, SCHEMA)
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    w = Window.partitionBy("q_row").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Production parameters: k = 20; queries are the rows whose vec_id is divisible by 20, candidates all rows."""
     v = integer_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
-    return exact_topk(v, v.filter(F.col("vec_id") % 20 == 0))
+    return exact_topk(v, "vec_id % 20 = 0")

@@ -32,20 +32,25 @@ def test_ties_nulls_and_small_blocks(spark):
     rows += [(200, None), (220, [0.1, None, 0.0, 0.0, 0.0]), (240, [float("nan")] * 5), (260, [float("inf")] * 5), (None, [1.0] * 5), (280, [0.0] * 5)]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, score string")
     v = integer_vectors(df)
-    got = rows_of(exact_topk(v, v.filter("vec_id % 20 = 0"), k=7, block=16, query_block=3))
+    got = rows_of(exact_topk(v, "vec_id % 20 = 0", k=7, block=16, query_block=3))
     assert got == brute(rows, 7)
 
 
 def test_few_and_no_rows(spark):
     v = integer_vectors(spark.createDataFrame([(0, [1.0]), (1, [2.0]), (20, [-1.0])], "vec_id long, embedding array<float>"))
-    assert rows_of(exact_topk(v, v.filter("vec_id % 20 = 0"))) == [(0, 1, 1, 8192), (0, 2, 20, -4096), (20, 1, 0, -4096), (20, 2, 1, -8192)]
-    assert exact_topk(v.limit(0), v.limit(0)).count() == 0
+    assert rows_of(exact_topk(v, "vec_id % 20 = 0")) == [(0, 1, 1, 8192), (0, 2, 20, -4096), (20, 1, 0, -4096), (20, 2, 1, -8192)]
+    assert exact_topk(v.limit(0), "vec_id % 20 = 0").count() == 0
 
 
 def test_bounds_skip_exact_reads():
     rnd = np.random.default_rng(2)
     v = np.floor(64 * rnd.normal(size=(3000, 16))).astype(np.int64)
-    r, c, s = va_topk(np.arange(5), v[:5], np.arange(3000), v, 20, width=8)
+    r, c, s = va_topk(np.arange(5), v[:5], np.arange(3000), np.arange(3000), v, 20, width=8)
     for i in range(5):
         want = sorted((-int(v[i] @ v[j]), j) for j in range(3000) if j != i)[:20]
         assert [(-s[x], c[x]) for x in np.flatnonzero(r == i)] == want
+
+
+def test_repeated_rows(spark):
+    v = integer_vectors(spark.createDataFrame([(20, [1.0]), (20, [1.0]), (3, [0.5])], "vec_id long, embedding array<float>"))
+    assert rows_of(exact_topk(v, "vec_id % 20 = 0")) == [(20, 1, 20, 4096)] * 2 + [(20, 2, 3, 2048)] * 2
