@@ -13,6 +13,7 @@ from synframe.operators import filters, intervals, verify
 from synframe.operators.overlap import overlap_graph, overlap_rate
 from synframe.operators.simplify import multi_scale
 from synframe.plans.scaffolding import run_scaffolding, write_outputs
+from synframe.runtime import clean
 from synframe.sinks import reports
 from synframe.sources import recipe as rc
 from synframe.sources import text_formats as tf
@@ -119,6 +120,8 @@ def main(argv: list[str] | None = None) -> int:
     except (rc.RecipeError, tf.FormatError, OSError) as e:
         log.error("%s", e)
         return 1
+    finally:
+        clean(spark)
     return 0
 
 

@@ -27,6 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_ROOTS: list[str] = []
+
+
 class Written:
     """Tables written to the shared folder to cut lineage; ``drop`` removes one that nothing reads any more."""
 
@@ -34,6 +37,7 @@ class Written:
         self.spark, self.tag = spark, tag
         self.root = f"{shared_dir(spark)}/synframe-{tag}-{uuid.uuid4().hex}"
         self.n = 0
+        _ROOTS.append(self.root)
 
     def put(self, df: DataFrame) -> tuple[DataFrame, str]:
         self.n += 1
@@ -68,3 +72,11 @@ def bound_text_batches(spark: SparkSession) -> None:
     digits = "".join(c for c in spark.conf.get(key, "1b") if c.isdigit() or c == "-")
     if not 1 < int(digits) <= TEXT_BYTES:
         spark.conf.set(key, str(TEXT_BYTES))
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete the tables that operators of this process have written to the shared folder. Results that still read them must be
+    written before."""
+    kept = Written(spark, "clean")
+    while _ROOTS:
+        kept.drop(_ROOTS.pop())
