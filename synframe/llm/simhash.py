@@ -152,7 +152,7 @@ def near_components(docs: DataFrame, bits: int = 4, shingle: int = 4) -> DataFra
 
 
 def drop_near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 4) -> DataFrame:
-    """One document of each component stays (its smallest doc_id); rows without an id stay; columns as given."""
+    """One document of each component stays (its smallest doc_id); rows without an id and repeated rows of the kept id stay; columns as given."""
     comp = near_components(docs, bits, shingle).filter("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     key = docs["doc_id"].cast("long")
     return docs.join(comp, key == comp["_gone"], "left_anti")

@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from synframe.runtime import Written
+
 
 def host_of(url: Column) -> Column:
     """Lower-case host without user, port and a final dot; empty if there is none."""
@@ -44,6 +46,9 @@ def temporal_list_join(captures: DataFrame, entries: DataFrame, url: str = "url"
     up = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     per = hosts.select("_host", F.explode(up).alias("pattern")).join(spans, "pattern")
     per = per.groupBy("_host").agg(F.collect_list(F.struct("pattern", "list_name", "entry_from", "entry_to")).alias("_spans"))
+    # written, so that its size is known before the join: small ones are broadcast and captures do not move, for others both sides
+    # are exchanges whose hot keys can be split
+    per = Written(captures.sparkSession, "urls").cut(per)
     j = c.join(per.withColumnRenamed("_host", "_key"), F.col("_host") == F.col("_key"), "left")
     on = F.filter("_spans", lambda s: (s["entry_from"] <= F.col("_at")) & (s["entry_to"].isNull() | (F.col("_at") < s["entry_to"])))
     names = F.array_sort(F.transform(on, lambda s: F.concat_ws(":", s["list_name"], s["pattern"])))
