@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from synframe.runtime import Written
+from synframe.runtime import Written, lean
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -65,11 +65,11 @@ def _mark(e: DataFrame):
     return e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.xxhash64("v", "u").bitwiseAND(0xFFFFFFFF))).first()
 
 
-def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60, contract: bool = True) -> DataFrame:
     """``(node, component)`` for every node of ``edges``; component = smallest node reachable.
 
     Nulls in an end drop the edge; self loops give single-node components; an empty table gives none.
-    Each task first contracts its own edges. State is then at most one row per edge; each round is two aggregations and two equi-joins, and its result is
+    With ``contract`` each task first contracts its own edges (in Python). State is then at most one row per edge; each round is two aggregations and two equi-joins, and its result is
     written to the shared folder, so that lineage stays short and lost executors cost one round.
     """
     spark = edges.sparkSession
@@ -77,7 +77,9 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     base = edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).filter("u is not null and v is not null")
     base, base_path = kept.put(base.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     loops = base.filter("u = v").select("u")
-    cur, old = kept.put(base.filter("u <> v").mapInArrow(_forests, "u long, v long").distinct())
+    cur, old = base.filter("u <> v"), None
+    if contract:
+        cur, old = kept.put(cur.mapInArrow(lean(_forests), "u long, v long").distinct())
     seen = _mark(cur)
     for _ in range(max_rounds if seen[0] else 0):
         step = _small_star(_large_star(cur).filter("u <> v").distinct()).filter("u <> v").distinct()

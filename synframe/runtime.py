@@ -74,6 +74,29 @@ def bound_text_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(TEXT_BYTES))
 
 
+def lean(run):
+    """Give memory back when a task of ``run`` (a function of batches) ends: Python workers stay for the next task and several of
+    them share an executor."""
+
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not glibc
+                pass
+
+    return inner
+
+
 def clean(spark: SparkSession) -> None:
     """Delete the tables that operators of this process have written to the shared folder. Results that still read them must be
     written before."""
