@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from synframe.operators.components import connected_components
-from synframe.runtime import Written, bound_text_batches, shuffle_partitions
+from synframe.runtime import Written, bound_text_batches, lean, shuffle_partitions
 
 SEED = 42
 
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
             fp = np.array([fingerprint(t, shingle) for t in text], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def _forest(f: np.ndarray, bits: int) -> list[tuple[int, int]]:
@@ -132,7 +132,7 @@ def links(distinct: DataFrame, bits: int = 4) -> DataFrame:
             if len(a):
                 yield out(a, b)
 
-    return index.mapInArrow(run, "a long, b long").distinct()
+    return index.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def near_components(docs: DataFrame, bits: int = 4, shingle: int = 4) -> DataFrame:
@@ -143,7 +143,7 @@ def near_components(docs: DataFrame, bits: int = 4, shingle: int = 4) -> DataFra
     fps = kept.cut(fingerprints(docs, shingle))
     distinct = kept.cut(fps.groupBy("fp").agg(F.min("doc_id").alias("root")))
     pairs = links(distinct, bits)
-    label = connected_components(pairs, "a", "b").select(F.col("node").alias("fp"), F.col("component").alias("label"))
+    label = connected_components(pairs, "a", "b", contract=False).select(F.col("node").alias("fp"), F.col("component").alias("label"))
     named = distinct.join(label, "fp", "left").select("fp", "root", F.coalesce("label", "fp").alias("label"))
     named = kept.cut(named)
     names = named.groupBy("label").agg(F.min("root").alias("component_id"))
