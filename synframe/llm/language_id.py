@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from synframe.runtime import bound_text_batches
+from synframe.runtime import bound_text_batches, lean
 
 NGRAMS = (3, 4)
 SLOTS = 1 << 20
@@ -158,7 +158,7 @@ def gram_counts(train: DataFrame) -> DataFrame:
         yield from flush()
 
     bound_text_batches(train.sparkSession)
-    rows = train.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, "lang string, gram string, n long")
+    rows = train.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "lang string, gram string, n long")
     return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -189,7 +189,7 @@ def train(docs: DataFrame, share: float = 0.4, least: int = 3) -> Model:
                 v = np.array(bit, np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(word, pa.int32()), pa.array(v)], names=["slot", "word", "bits"])
 
-        bits = per.select("gram", F.transform("ls", lambda x: x["l"]).alias("ls")).mapInArrow(place_bits, "slot int, word int, bits long")
+        bits = per.select("gram", F.transform("ls", lambda x: x["l"]).alias("ls")).mapInArrow(lean(place_bits), "slot int, word int, bits long")
         found = bits.groupBy("slot", "word").agg(F.expr("bit_or(bits)").alias("bits")).toPandas()  # at most SLOTS rows for each 64 languages
     finally:
         counts.unpersist()
@@ -215,7 +215,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
     from pyspark.sql.types import DoubleType, StringType, StructType
 
     schema = StructType().add("row", inner.schema["row"].dataType).add("lang_pred", StringType()).add("score", DoubleType())
-    return inner.mapInArrow(run, schema).select(*[F.col("row")[c].alias(c) for c in kept], "lang_pred", "score")
+    return inner.mapInArrow(lean(run), schema).select(*[F.col("row")[c].alias(c) for c in kept], "lang_pred", "score")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

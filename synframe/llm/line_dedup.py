@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from synframe.runtime import Written, bound_text_batches
+from synframe.runtime import Written, bound_text_batches, lean
 
 MIN_WORDS = 10
 
@@ -138,7 +138,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 gone.append([a[j] for j in common_blocks(early[i].as_py(), h[i].as_py(), w[i].as_py(), min_words)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(gone, pa.list_(pa.int32()))], names=["k", "gone"])
 
-    found = both.select("k", "at", "hash", "words", "early").mapInArrow(run, "k struct<n:boolean,d:long,t:long>, gone array<int>")
+    found = both.select("k", "at", "hash", "words", "early").mapInArrow(lean(run), "k struct<n:boolean,d:long,t:long>, gone array<int>")
     found = found.filter(F.size("gone") > 0).groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
     return found.select(F.when(~F.col("k.n"), F.col("k.d")).alias("doc_id"), F.col("k.t").alias("tk"), "gone")
 
@@ -166,7 +166,7 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFram
                 yield pa.RecordBatch.from_arrays([new, pa.array([len(g or ()) for g in gone], pa.int32())], names=["row", "n"])
 
     kind = StructType([f if f.name != "text" else StructField("text", StringType()) for f in docs.schema.fields])
-    out = j.withColumn("_row", F.col("_row").cast(kind)).mapInArrow(run, StructType().add("row", kind).add("n", IntegerType()))
+    out = j.withColumn("_row", F.col("_row").cast(kind)).mapInArrow(lean(run), StructType().add("row", kind).add("n", IntegerType()))
     return out.select(*[F.col("row")[c].alias(c) for c in cols], F.col("n").alias("deleted_lines"))
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from synframe.runtime import Written, bound_text_batches, shuffle_partitions
+from synframe.runtime import Written, bound_text_batches, lean, shuffle_partitions
 
 CAPACITY = 1024
 END_ID = 2
@@ -97,7 +97,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
                 cols = list(zip(*out, strict=True)) or [()] * (5 + with_ids)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=False)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(cols)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), schema)
 
 
 def linear_groups(counts: dict[int, int], groups: int) -> list[list[tuple[int, int]]]:
@@ -284,7 +284,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(seq), pa.array(off)], names=[*names, "sequence_id", "offset"])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "") + ", sequence_id long, offset long"
-    return ranked.select(*names, F.col("_rank").cast("long").alias("_rank")).mapInArrow(run, schema)
+    return ranked.select(*names, F.col("_rank").cast("long").alias("_rank")).mapInArrow(lean(run), schema)
 
 
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from synframe.runtime import Written, bound_text_batches
+from synframe.runtime import Written, bound_text_batches, lean
 
 UPPER = bytes(range(65, 91))
 DIGIT = bytes(range(48, 58))
@@ -78,7 +78,7 @@ def features(docs: DataFrame) -> DataFrame:
             x = [statistics(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, x array<double>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, x array<double>")
 
 
 @dataclass
@@ -131,7 +131,7 @@ def class_sums(labelled: DataFrame) -> dict[int, tuple[float, np.ndarray, np.nda
         if acc:
             yield pa.RecordBatch.from_arrays([pa.array(list(acc), pa.int32()), pa.array([v.tolist() for v in acc.values()], pa.list_(pa.float64()))], names=["y", "v"])
 
-    part = labelled.select("x", F.col("y").cast("int").alias("y")).mapInArrow(run, "y int, v array<double>")
+    part = labelled.select("x", F.col("y").cast("int").alias("y")).mapInArrow(lean(run), "y int, v array<double>")
     rows = part.select("y", F.posexplode("v").alias("i", "v")).groupBy("y", "i").agg(F.sum("v").alias("v")).collect()  # 2 * (1 + d + d * d) rows
     out = {}
     for k in {r["y"] for r in rows}:
@@ -161,7 +161,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
             v = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, len(NAMES))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.score(v))], names=["doc_id", "score"])
 
-    out = x.mapInArrow(run, "doc_id long, score double")
+    out = x.mapInArrow(lean(run), "doc_id long, score double")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

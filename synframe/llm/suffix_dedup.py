@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from synframe.runtime import Written, bound_text_batches, shuffle_partitions
+from synframe.runtime import Written, bound_text_batches, lean, shuffle_partitions
 
 GRAM = 64
 POS_BITS = 24
@@ -482,17 +482,17 @@ def repeated_windows(docs: DataFrame, min_len: int = 400) -> DataFrame:
     bound_text_batches(docs.sparkSession)
     spark = docs.sparkSession
     kept, n = Written(spark, "suffix"), shuffle_partitions(spark)
-    rows = docs.select("doc_id", "text").mapInArrow(_part_rows(min_len), PART_SCHEMA)
+    rows = docs.select("doc_id", "text").mapInArrow(lean(_part_rows(min_len)), PART_SCHEMA)
     rows = rows.repartition(n, "ctx").sortWithinPartitions("ctx", "s0", "s1")
-    told = kept.cut(rows.mapInArrow(_settle_parts, SPAN_SCHEMA))
+    told = kept.cut(rows.mapInArrow(lean(_settle_parts), SPAN_SCHEMA))
     sure = told.filter("kind = 0").select("doc_id", "tk", "start", "count")
     todo = told.filter("kind > 0")
     crowded = kept.cut(todo.groupBy("ctx").count().filter(F.col("count") > CROWD).select(F.col("ctx").alias("_c")))
     todo = todo.join(crowded, F.col("ctx") == F.col("_c"), "left").withColumn("crowded", F.col("_c").isNotNull())
     todo = todo.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("kind", "ctx", "tk", "start", "count", "dist", "crowded")).alias("todo"))
     j = docs.join(todo.withColumnsRenamed({"doc_id": "_id", "tk": "_tk"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk")))
-    segs = j.select("doc_id", "text", "todo").mapInArrow(_fetch(min_len), "ctx long, known boolean, doc_id long, tk int, start long, count int, dist int, seg binary")
-    found = segs.repartition(n, "ctx").sortWithinPartitions("ctx", "seg").mapInArrow(_compare(min_len), "doc_id long, tk int, start long, count int")
+    segs = j.select("doc_id", "text", "todo").mapInArrow(lean(_fetch(min_len)), "ctx long, known boolean, doc_id long, tk int, start long, count int, dist int, seg binary")
+    found = segs.repartition(n, "ctx").sortWithinPartitions("ctx", "seg").mapInArrow(lean(_compare(min_len)), "doc_id long, tk int, start long, count int")
     return sure.unionByName(found)
 
 
@@ -526,7 +526,7 @@ def removed_spans(docs: DataFrame, min_len: int = 400) -> DataFrame:
             kept, n, gone, k = zip(*out, strict=True) if out else ((),) * 4
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(k, pa.int64())], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    return j.select("doc_id", "text", "runs").mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    return j.select("doc_id", "text", "runs").mapInArrow(lean(run), "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
