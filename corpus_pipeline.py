@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from synframe.llm import language_id, line_dedup, mixing, packing, simhash
+from synframe.llm import language_id, line_dedup, mixing, near_text, packing
 from synframe.runtime import Written
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +32,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays."""
-    return simhash.drop_near_duplicates(docs).select(*docs.columns)
+    """One document stays of those linked by fingerprints or by word 5-grams at a Jaccard similarity of 0.8 or more."""
+    return near_text.drop_near_texts(docs).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -135,17 +135,21 @@ def links(distinct: DataFrame, bits: int = 4) -> DataFrame:
     return index.mapInArrow(lean(run), "a long, b long").distinct()
 
 
+def named_fingerprints(fps: DataFrame, kept: Written, bits: int = 4) -> DataFrame:
+    """``(fp, root, label)``: every fingerprint with the smallest doc_id that has it and its component's label."""
+    distinct = kept.cut(fps.groupBy("fp").agg(F.min("doc_id").alias("root")))
+    pairs = links(distinct, bits)
+    label = connected_components(pairs, "a", "b", contract=False).select(F.col("node").alias("fp"), F.col("component").alias("label"))
+    return distinct.join(label, "fp", "left").select("fp", "root", F.coalesce("label", "fp").alias("label"))
+
+
 def near_components(docs: DataFrame, bits: int = 4, shingle: int = 4) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every document; component_id is its smallest reachable doc_id."""
     bound_text_batches(docs.sparkSession)
     spark = docs.sparkSession
     kept = Written(spark, "simhash")
     fps = kept.cut(fingerprints(docs, shingle))
-    distinct = kept.cut(fps.groupBy("fp").agg(F.min("doc_id").alias("root")))
-    pairs = links(distinct, bits)
-    label = connected_components(pairs, "a", "b", contract=False).select(F.col("node").alias("fp"), F.col("component").alias("label"))
-    named = distinct.join(label, "fp", "left").select("fp", "root", F.coalesce("label", "fp").alias("label"))
-    named = kept.cut(named)
+    named = kept.cut(named_fingerprints(fps, kept, bits))
     names = named.groupBy("label").agg(F.min("root").alias("component_id"))
     by_fp = named.join(names, "label").select("fp", "component_id")
     return fps.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -153,7 +157,12 @@ def near_components(docs: DataFrame, bits: int = 4, shingle: int = 4) -> DataFra
 
 def drop_near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 4) -> DataFrame:
     """One document of each component stays (its smallest doc_id); rows without an id and repeated rows of the kept id stay; columns as given."""
-    comp = near_components(docs, bits, shingle).filter("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return keep_first(docs, near_components(docs, bits, shingle))
+
+
+def keep_first(docs: DataFrame, components: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is not its component's."""
+    comp = components.filter("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     key = docs["doc_id"].cast("long")
     return docs.join(comp, key == comp["_gone"], "left_anti")
 
