@@ -2,12 +2,16 @@
 
 1. Every line with a word becomes a 64-bit hash; the lines of a document are an array made in the scan.
 2. *Overlapping documents.* A line found in two or more documents links each later document to the first one
-   that has it. The rarer the lines that two documents share, the fewer documents compete to be that first
-   one; but no line is too frequent to be used: one of a third of all documents costs one row each, so no
-   list of partners is cut and no pairs within a group are made. Links with the same two ends are one.
+   that has it. No line is too frequent to be used: one of a third of all documents costs one row each. Links
+   with the same two ends are one. Step 4 adds what these links leave.
 3. *Alignment.* The two hash arrays of a link are aligned by patience diff: common head and tail, then lines
    that occur once on both sides in their longest increasing order, then the same between them. Maximal runs of
    aligned lines are common blocks; blocks with ``min_words`` words or more are deleted from the later document.
+4. *The rest.* Every block of ``min_words`` words is covered by shortest runs of lines that reach them. Runs that an earlier
+   document holds and that are not deleted yet link their document to the run's first owner; runs that are left after
+   that (their order crosses another common block) to the other earlier owners, in rounds of ever more of them until the
+   run is gone or none is left, documents of equal lines being one. The outcome is that of the alignment with every
+   earlier document.
 
 Documents are ordered by doc_id (null last), then by a checksum of the text. Lines are compared without
 trailing carriage returns; blank lines belong to the block that surrounds them.
@@ -19,9 +23,12 @@ columns are kept; ``deleted_lines`` is added (and replaces a column of that name
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
@@ -29,6 +36,9 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from synframe.runtime import Written, bound_text_batches, lean
 
 MIN_WORDS = 10
+#: Owners of a run that the first round of step 4 tries; each later round tries so many times more.
+SOME = 8
+KEY = "k struct<n:boolean,d:long,t:long>"
 
 
 def _increasing(b: list[int]) -> list[int]:
@@ -115,31 +125,100 @@ def line_table(docs: DataFrame) -> DataFrame:
     )
 
 
+def runs(words: list[int], min_words: int) -> set[tuple[int, int]]:
+    """Shortest runs of lines with ``min_words`` words or more, as (first, last), from every first and to every last line: each line
+    of a block of that many words lies in one that the block holds."""
+    ends = list(accumulate(words, initial=0))
+    out = set()
+    for i in range(len(words)):
+        if (j := bisect_left(ends, ends[i] + min_words)) < len(ends):
+            out.add((i, max(i, j - 1)))
+        if (j := bisect_right(ends, ends[i + 1] - min_words) - 1) >= 0:
+            out.add((min(i, j), i))
+    return out
+
+
+def run_table(table: DataFrame, min_words: int) -> DataFrame:
+    """``(k, same, r, i, j)``: runs of every document; ``r`` is the hash of their lines, ``same`` that of all lines."""
+
+    def run(batches):
+        for b in batches:
+            k, same, r, i, j = [], [], [], [], []
+            for d in range(b.num_rows):
+                h, w = b.column(1)[d].values.to_numpy(), b.column(2)[d].as_py()
+                for x, y in runs(w, min_words):
+                    k.append(d)
+                    r.append(xxhash.xxh64_intdigest(h[x : y + 1].tobytes()))
+                    i.append(x)
+                    j.append(y)
+                same += [xxhash.xxh64_intdigest(h.tobytes())] * (len(k) - len(same))
+            long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            cols = [b.column(0).take(pa.array(k, pa.int32())), long(same), long(r), pa.array(i, pa.int32()), pa.array(j, pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, names=["k", "same", "r", "i", "j"])
+
+    return table.select("k", "hash", "words").mapInArrow(lean(run), f"{KEY}, same long, r long, i int, j int")
+
+
+def aligned(links: DataFrame, arrays: DataFrame, min_words: int) -> DataFrame:
+    """``(k, gone)``: indices of the lines in common blocks of each link (k, first)."""
+    both = links.join(arrays, "k").join(arrays.select(F.col("k").alias("first"), F.col("hash").alias("early")), "first")
+
+    def run(batches):
+        for b in batches:
+            h, w, early = (b.column(i) for i in (1, 2, 3))
+            gone = [common_blocks(early[i].as_py(), h[i].as_py(), w[i].as_py(), min_words) for i in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(gone, pa.list_(pa.int32()))], names=["k", "gone"])
+
+    return both.select("k", "hash", "words", "early").mapInArrow(lean(run), f"{KEY}, gone array<int>").filter(F.size("gone") > 0)
+
+
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``(doc_id, tk, gone)``: numbers of the lines to delete, for documents that have any."""
     spark = docs.sparkSession
     kept = Written(spark, "lines")
-    table = kept.cut(line_table(docs).dropDuplicates(["doc_id", "tk"]))
+    bound_text_batches(spark)
+    table = line_table(docs).dropDuplicates(["doc_id", "tk"])
     key = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("tk").alias("t"))
-    rows = table.select(key.alias("k"), F.explode(F.array_distinct("hash")).alias("h"))
+    table = kept.cut(table.select(key.alias("k"), "at", "hash", "words"))
+    arrays = table.select("k", "hash", "words")
+    rows = table.select("k", F.explode(F.array_distinct("hash")).alias("h"))
     first = rows.groupBy("h").agg(F.min("k").alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first")
     first = kept.cut(first)  # both sides of the join are then exchanges, whose hot keys can be split
-    links = rows.join(first, "h").filter("k <> first").select("k", "first").distinct()
-    arrays = table.select(key.alias("k"), "at", "hash", "words")
-    late = links.join(arrays, "k")
-    both = late.join(arrays.select(F.col("k").alias("first"), F.col("hash").alias("early")), "first")
-
-    def run(batches):
-        for b in batches:
-            at, h, w, early = (b.column(i) for i in (1, 2, 3, 4))
-            gone = []
-            for i in range(b.num_rows):
-                a = at[i].as_py()
-                gone.append([a[j] for j in common_blocks(early[i].as_py(), h[i].as_py(), w[i].as_py(), min_words)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(gone, pa.list_(pa.int32()))], names=["k", "gone"])
-
-    found = both.select("k", "at", "hash", "words", "early").mapInArrow(lean(run), "k struct<n:boolean,d:long,t:long>, gone array<int>")
-    found = found.filter(F.size("gone") > 0).groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    links = kept.cut(rows.join(first, "h").filter("k <> first").select("k", "first").distinct())
+    merge = lambda df: df.groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    gone = kept.cut(merge(aligned(links, arrays, min_words)))
+
+    # runs that an earlier document holds and that are not gone yet: first with their first owner, then with all others
+    every = kept.cut(run_table(table, min_words))
+    owner = every.groupBy("r").agg(F.min("k").alias("first"), F.max("k").alias("last")).filter("first <> last").select("r", "first")
+    shared = kept.cut(every.join(kept.cut(owner), "r").filter("k <> first").select("k", "same", "r", "i", "j", "first"))
+
+    def left(gone):
+        j = shared.join(gone, "k", "left")
+        return j.filter(F.size(F.array_except(F.sequence("i", "j"), F.coalesce("gone", F.array().cast("array<int>")))) > 0).select("k", "r", "first")
+
+    done = kept.cut(left(gone).select("k", "first").distinct().join(links, ["k", "first"], "left_anti"))
+    gone = kept.cut(merge(gone.unionByName(aligned(done, arrays, min_words))))
+    done = links.unionByName(done)
+    rest = kept.cut(left(gone).select("k", "r").distinct())
+    # documents of equal lines align alike: the first of them stands for all
+    owners = shared.select(F.col("k").alias("first"), "same", "r").distinct().join(rest.select("r").distinct(), "r", "left_semi")
+    owners = kept.cut(owners)
+    many = kept.cut(owners.groupBy("r").agg(F.count("*").alias("m")))
+    most = many.agg(F.max("m")).first()[0] or 0
+    some = SOME
+    while most and not rest.isEmpty():
+        # about ``some`` owners of each run, by hash; all of them in the last round
+        part = owners.join(many, "r").filter(F.pmod(F.xxhash64("same", "r"), F.col("m")) < some).select("r", "first", "same")
+        links = rest.join(part, "r").filter("first < k").groupBy("k", "same").agg(F.min("first").alias("first")).select("k", "first").join(done, ["k", "first"], "left_anti")
+        links = kept.cut(links)
+        gone = kept.cut(merge(gone.unionByName(aligned(links, arrays, min_words))))
+        if some >= most:
+            break
+        some, done = some * SOME, done.unionByName(links)
+        rest = kept.cut(left(gone).select("k", "r").distinct())
+    found = gone
+    found = found.join(table.select("k", "at"), "k").select("k", F.transform("gone", lambda x: F.get("at", x)).alias("gone"))
     return found.select(F.when(~F.col("k.n"), F.col("k.d")).alias("doc_id"), F.col("k.t").alias("tk"), "gone")
 
 

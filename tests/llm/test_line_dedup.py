@@ -2,7 +2,7 @@ import hashlib
 import random
 import zlib
 
-from synframe.llm.line_dedup import common_blocks, drop_repeated_lines, op7_line_dedup, patience
+from synframe.llm.line_dedup import common_blocks, drop_repeated_lines, op7_line_dedup, patience, runs
 
 DATA = "/root/testdata/sf0.001"
 
@@ -57,3 +57,44 @@ def test_edges(spark):
     left = {r[0]: r for r in got}
     assert left[42][1] == "" and left[54][2] == 0 and left[7][2] == 1 and left[0][2] == 0
     assert drop_repeated_lines(df.limit(0)).count() == 0
+
+
+def every_pair(rows, min_words=10):
+    """rows: (doc_id, text) without blank lines, ascending; the text left after alignment with all earlier documents."""
+    docs = [t.split("\n") for _, t in rows]
+    out = []
+    for k, (d, _) in enumerate(rows):
+        gone = set()
+        for early in docs[:k]:
+            code = {}
+            a, b = ([code.setdefault(l, len(code)) for l in x] for x in (early, docs[k]))
+            gone |= set(common_blocks(a, b, [len(l.split()) for l in docs[k]], min_words))
+        out.append((d, "\n".join(l for i, l in enumerate(docs[k]) if i not in gone), len(gone)))
+    return out
+
+
+def test_blocks_of_every_earlier_document(spark):
+    rnd = random.Random(8)
+    own = iter(range(10**6))
+    line = lambda n: " ".join(f"w{next(own)}" for _ in range(n))
+    short, p1, p2 = [line(6) for _ in range(4)], [line(6) for _ in range(2)], [line(6) for _ in range(3)]
+    rows = [(i, "\n".join([line(9), short[i - 1], line(9)])) for i in (1, 2, 3, 4)]
+    rows += [(5, "\n".join([line(8), *short])), (6, "\n".join([*short, line(7)]))]  # (a)
+    rows += [(11, "\n".join([*p1, line(5), *p2])), (12, "\n".join(p1)), (13, "\n".join([*p2, line(4), *p1]))]  # (b)
+    pool = [line(rnd.choice([1, 3, 6, 12])) for _ in range(14)]
+    rows += [(100 + i, "\n".join(rnd.choice(pool) for _ in range(rnd.randrange(1, 9)))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted((r.doc_id, r.text, r.deleted_lines) for r in drop_repeated_lines(df).collect())
+    assert got == every_pair(rows)
+    lost = {r[0]: r[2] for r in got}
+    assert lost[6] == 4 and lost[13] == 5
+
+
+def test_runs_cover_every_block():
+    rnd = random.Random(9)
+    for _ in range(300):
+        w = [rnd.choice([1, 2, 6, 12]) for _ in range(rnd.randrange(1, 9))]
+        a = rnd.randrange(len(w))
+        b = rnd.randrange(a, len(w))
+        inside = {x for i, j in runs(w, 10) if a <= i and j <= b for x in range(i, j + 1)}
+        assert inside == (set(range(a, b + 1)) if sum(w[a : b + 1]) >= 10 else set())
