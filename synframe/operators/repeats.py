@@ -33,9 +33,10 @@ def score(a: dict, b: dict, repeats: set[int], same_length: bool) -> int:
     return align(a["left"], b["left"], repeats, same_length) + align(a["right"][::-1], b["right"][::-1], repeats, same_length)
 
 
-def match_profiles(contexts: DataFrame, repeats: DataFrame, tree: Tree | str, target: str, legacy_profiles: bool = False) -> DataFrame:
-    """J28 (1)-(4): ``(block_id, profile, genome, chr, bstart, score)``: reference contexts matched genome by genome into profiles, kept
-    where parsimony wants them in the target, and the target's contexts matched to them. One repeat id is one group."""
+def match_profiles(contexts: DataFrame, repeats: DataFrame, tree: Tree | str, target: str, legacy_profiles: bool = False, drafts: list[str] | tuple = ()) -> DataFrame:
+    """J28 (1)-(3) and the first half of (4): ``(block_id, profile, genome, chr, bstart, score)``: reference contexts matched genome by genome into profiles, kept
+    where parsimony wants them in the target, and the target's contexts matched to them. One repeat id is one group. Not built of (4): contexts of all-repeat contigs taking part
+    #profiles times with a score of 0 or more; each context is matched once, with a score above 0. An absent draft is VOID."""
     tree = parse_newick(tree) if isinstance(tree, str) else tree
     mu, order = rate(tree), [g for g in leaves_depth_first(tree) if g != target]
     # the repeats that occur in a block's own contexts travel with it
@@ -74,7 +75,7 @@ def match_profiles(contexts: DataFrame, repeats: DataFrame, tree: Tree | str, ta
         use = profiles if legacy_profiles else grown
         kept = []
         for p in use:
-            states = {g: any(c["genome"] == g for c in p) for g in order if g in have} | {g: False for g in order if g not in have}
+            states = {g: True if any(c["genome"] == g for c in p) else VOID if g in drafts else False for g in order}
             if parsimony(tree, states | {target: True}, mu) < parsimony(tree, states | {target: False}, mu):
                 kept.append(p)
 
@@ -96,7 +97,7 @@ def match_profiles(contexts: DataFrame, repeats: DataFrame, tree: Tree | str, ta
 
 
 def resolve_repeats(blocks: DataFrame, matched: DataFrame, target: str) -> DataFrame:
-    """J28 (5)-(6): instances of a matched profile get a fresh block id in the target and in the references; ids are dense above the
+    """In place of J28 (5)-(6), which are not built (copies of all-repeat contigs with fresh repeat ids): instances of a matched profile get a fresh block id in the target and in the references; ids are dense above the
     largest one in use. Unmatched instances keep theirs."""
     hit = matched.filter(F.col("genome") == target).select("block_id", "profile").distinct()
     top = blocks.agg(F.max("block_id").alias("top"))

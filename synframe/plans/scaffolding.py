@@ -74,7 +74,7 @@ def scaffold_stage(blocks: DataFrame, target: str, drafts: list[str], tree: Tree
     blocks = kept.cut(blocks)
     if stage.repeats:
         r = fl.repeat_blocks(blocks)
-        blocks = rp.resolve_repeats(blocks, rp.match_profiles(ad.repeat_contexts(blocks, r), r, tree, target), target)
+        blocks = rp.resolve_repeats(blocks, rp.match_profiles(ad.repeat_contexts(blocks, r), r, tree, target, drafts=drafts), target)
     clean = kept.cut(fl.clean_blocks(blocks, target, n_genomes, stage.ref_indels))
     g = kept.cut(ad.breakpoint_graph(clean, target, drafts))
     known = g.filter((F.col("genome") == target)).select("a", "b").distinct()
