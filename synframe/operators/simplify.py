@@ -73,12 +73,12 @@ def remove_bulges(blocks: DataFrame, max_gap: int) -> DataFrame:
     return blocks.join(bulge_blocks(blocks, max_gap), "block_id", "left_anti")
 
 
-def simplify(blocks: DataFrame, max_gap: int, rounds: int = 50) -> DataFrame:
+def simplify(blocks: DataFrame, max_gap: int) -> DataFrame:
     """Compression and bulge removal in turn until nothing changes; ends at once if the first compression finds nothing."""
     kept = Written(blocks.sparkSession, "simplify")
     cur, old = kept.put(blocks.select(*SEQ, "block_id", "sign", "bstart", "bend"))
     n = cur.count()
-    for _ in range(rounds):
+    while True:  # every further round has fewer blocks
         step, path = kept.put(compress_paths(cur, max_gap))
         m = step.count()
         kept.drop(old)
@@ -91,7 +91,6 @@ def simplify(blocks: DataFrame, max_gap: int, rounds: int = 50) -> DataFrame:
         if same:
             step, path = kept.put(compress_paths(cur, max_gap))
             return step
-    return cur
 
 
 def multi_scale(blocks: DataFrame, passes: list[tuple[int, int]], sizes: list[int]) -> dict[int, DataFrame]:
