@@ -6,17 +6,19 @@ Every byte covered by a ``min_len``-byte string that starts at two or more place
    hash inside it. That depends on the window's bytes only, so equal windows have their anchor at the same
    relative place. A document's windows fall into runs with a common anchor (one per ~170 bytes); a run is cut
    in two by the anchor's distance, so that all windows of a part share at least 232 bytes of known context.
-   A part is one row: context hash, two independent hashes of its bytes, place.
-2. *Equal parts* (context and both content hashes, and so 192 hashed bits) repeat as a whole. Each map task
-   settles those that it holds itself and sends one of them on, which is the pre-aggregation before the shuffle
-   by context. Contexts that occur once are settled as well: nothing else can match there.
+   A part is one row: context hash, 128-bit BLAKE2b digest of its bytes, place.
+2. *Equal parts* repeat as a whole. The polynomial context hash only brings them together; that they are equal is
+   verified by the digests of their bytes, which no polynomial hash enters. Each map task settles those that it
+   holds itself and sends one of them on, which is the pre-aggregation before the shuffle by context. Contexts
+   that occur once are settled as well: nothing else can match there.
 3. *The rest*, the edges of passages and of edits, is sorted: suffixes that start at the windows, in their class
    (context, anchor distance), by a bottom-up merge sort whose comparisons find the common extension by binary
    search over prefix polynomial hashes. Neighbours that agree on ``min_len`` bytes are verified byte by byte.
    A context with more than ``CROWD`` open parts (a passage that very many documents quote, each in its own
-   surroundings) is not gathered: its windows are spread by two hashes of their own ``min_len`` bytes.
+   surroundings) is not gathered: its windows are spread by the 128-bit digests of their own ``min_len`` bytes and
+   verified by them, as in step 2.
 
-Prefix hashes are polynomial sums modulo 2**64 (``numpy`` wraps), made position-free by the inverse powers of the
+Texts are cut into overlapping segments of ``SEGMENT`` windows, so memory does not grow with one text's arrays. Prefix hashes are polynomial sums modulo 2**64 (``numpy`` wraps), made position-free by the inverse powers of the
 odd base.
 
 Nulls: a null text is empty (0 bytes, nothing removed); a null ``doc_id`` is kept as null. Repeated rows are
@@ -27,6 +29,7 @@ Extra columns are ignored.
 from __future__ import annotations
 
 import zlib
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +45,8 @@ ROWS_HELD = 300_000
 BYTES_HELD = 1 << 21
 #: A context with more open parts than this is not compared in one task: its windows are grouped by their own hashes.
 CROWD = 1000
+#: Windows of a text whose arrays are made at once.
+SEGMENT = 1 << 22
 
 
 class _Powers:
@@ -98,26 +103,29 @@ def _window_anchor(gram: np.ndarray, w: int) -> np.ndarray:
     return (np.minimum(back[: n - w + 1], ahead[w - 1 : n]) & mask).astype(np.int64)
 
 
+def digests(text: bytes, start: np.ndarray, end: np.ndarray, tag: np.ndarray) -> np.ndarray:
+    """128-bit digests (two columns) of ``text[start:end]``, each with its integer tag."""
+    raw = b"".join([blake2b(text[a:z], digest_size=16, salt=t.to_bytes(8, "little")).digest() for a, z, t in zip(start.tolist(), end.tolist(), tag.tolist(), strict=True)])
+    return np.frombuffer(raw, "<u8").reshape(-1, 2)
+
+
 def parts(text: bytes, min_len: int) -> tuple[np.ndarray, ...]:
-    """Rows of one text: context hash, content hashes, first window, number of windows, anchor distance of the first window."""
-    data = np.frombuffer(text, np.uint8)
-    n = len(data)
-    if n < min_len:
+    """Rows of one text: context hash, content digest (two), first window, number of windows, anchor distance of the first window."""
+    most = len(text) - min_len + 1
+    if most < 1:
         return (np.zeros(0, np.uint64),) * 3 + (np.zeros(0, np.int64),) * 3
+    cut = [_parts(text[a : a + SEGMENT + min_len - 1], min_len, a) for a in range(0, most, SEGMENT)]
+    return tuple(map(np.concatenate, zip(*cut, strict=True)))
+
+
+def _parts(text: bytes, min_len: int, offset: int) -> tuple[np.ndarray, ...]:
+    data = np.frombuffer(text, np.uint8)
     h0, h1 = PrefixHash(data, 0), PrefixHash(data, 1)
-    w, most = min_len - GRAM + 1, n - min_len + 1
-    lo, hi, at = [], [], []
-    step = (1 << POS_BITS) - 2 * min_len
-    for a in range(0, most, step):  # one turn unless the text has more than 16 million bytes
-        b = min(most, a + step)
-        grams = _mix(h0.of(np.arange(a, b + w - 1), GRAM))
-        anchor = _window_anchor(grams, w) + a
-        new = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
-        first = np.concatenate(([0], new))
-        lo.append(first + a)
-        hi.append(np.concatenate((new, [b - a])) - 1 + a)
-        at.append(anchor[first])
-    lo, hi, at = map(np.concatenate, (lo, hi, at))
+    w, most = min_len - GRAM + 1, len(data) - min_len + 1
+    anchor = _window_anchor(_mix(h0.of(np.arange(most + w - 1), GRAM)), w)
+    new = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
+    lo, hi = np.concatenate(([0], new)), np.concatenate((new, [most])) - 1
+    at = anchor[lo]
     turn = (min_len - GRAM) // 2  # windows up to this far before the anchor are named by what follows it, others by what precedes it
     p0, p1 = np.maximum(lo, at - turn), np.minimum(hi, at - turn - 1)
     near, far = p0 <= hi, lo <= p1
@@ -126,10 +134,8 @@ def parts(text: bytes, min_len: int) -> tuple[np.ndarray, ...]:
     anchor = np.concatenate((at[near], at[far]))
     ctx = np.concatenate((_mix(h1.of(at[near], min_len - turn)), _mix(h1.of(at[far] - turn - 1, turn + 1 + GRAM) ^ np.uint64(0x5851F42D4C957F2D))))
     dist = anchor - start
-    tag = dist.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D) + count.astype(np.uint64)
-    s0 = _mix(h0.of(start, count + min_len - 1) ^ tag)
-    s1 = _mix(h1.of(start, count + min_len - 1) + tag)
-    return ctx, s0, s1, start, count, dist
+    s = digests(text, start, start + count + min_len - 1, dist)
+    return ctx, s[:, 0], s[:, 1], start + offset, count, dist
 
 
 def _same(*cols: np.ndarray) -> np.ndarray:
@@ -419,7 +425,7 @@ def _compare(min_len: int):
 def _fetch(min_len: int):
     """Documents with their open parts -> one row per part with its bytes.
 
-    A part of a crowded context gives a row per window instead: ctx and seg are then two hashes of the window, dist is -1. Windows
+    A part of a crowded context gives a row per window instead: ctx and seg are then the window's digest, dist is -1. Windows
     that one task holds twice are settled here (dist -2) and only one of them goes on.
     """
     names = ["ctx", "known", "doc_id", "tk", "start", "count", "dist", "seg"]
@@ -447,13 +453,13 @@ def _fetch(min_len: int):
             out: list[tuple] = []
             held = 0
             for own, text, todo in zip(b.column(0), b.column(1).cast(pa.binary()), b.column(2), strict=True):
-                own, text, hashes = own.as_py(), text.as_py(), None
+                own, text = own.as_py(), text.as_py()
                 for x in todo.as_py():
                     if x["crowded"]:
-                        hashes = hashes or [PrefixHash(np.frombuffer(text, np.uint8), i) for i in (0, 1)]
                         p = np.arange(x["start"], x["start"] + x["count"])
                         m = len(p)
-                        crowd.append((_mix(hashes[0].of(p, min_len)), _mix(hashes[1].of(p, min_len)), np.full(m, x["kind"] == 2), np.full(m, own or 0, np.int64), np.full(m, own is None), np.full(m, x["tk"], np.int32), p))
+                        h = digests(text, p, p + min_len, np.zeros(m, np.int64))
+                        crowd.append((h[:, 0], h[:, 1], np.full(m, x["kind"] == 2), np.full(m, own or 0, np.int64), np.full(m, own is None), np.full(m, x["tk"], np.int32), p))
                         n += m
                         continue
                     out.append((x["ctx"], x["kind"] == 2, own, x["tk"], x["start"], x["count"], x["dist"], text[x["start"] : x["start"] + x["count"] + min_len - 1]))
@@ -532,4 +538,6 @@ def removed_spans(docs: DataFrame, min_len: int = 400) -> DataFrame:
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Production parameters: strings of 400 bytes, all documents."""
     out = removed_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    # the remaining text: a character that a removed string cuts in two becomes U+FFFD here, not in the digest
+    left = F.make_valid_utf8(F.col("kept").cast("string")).alias("text")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), left)

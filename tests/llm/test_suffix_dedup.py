@@ -68,3 +68,40 @@ def test_crowded_contexts(spark, monkeypatch):
     texts = [word(rnd.randrange(150, 500)) + quote + word(rnd.randrange(150, 500)) for _ in range(25)]
     texts += [word(200) + quote + tail + word(100) for _ in range(6)] + [word(90) + quote + tail[:110] for _ in range(4)]
     check(spark, texts + [None, texts[0]])
+
+
+def test_segments_name_windows_alike(monkeypatch):
+    from synframe.llm import suffix_dedup
+
+    rnd = random.Random(9)
+    text = "".join(rnd.choice("abcé ") for _ in range(5000)).encode()
+
+    def windows():
+        ctx, _, _, start, count, dist = suffix_dedup.parts(text, 400)
+        return sorted((s + i, c, d - i) for c, s, n, d in zip(ctx.tolist(), start.tolist(), count.tolist(), dist.tolist()) for i in range(n))
+
+    whole = windows()
+    assert [w[0] for w in whole] == list(range(len(text) - 399))
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 700)
+    assert windows() == whole
+
+
+def test_digests_tell_apart_what_polynomials_do_not():
+    import numpy as np
+
+    from synframe.llm.suffix_dedup import PrefixHash, digests
+
+    a = bytes(97 + i.bit_count() % 2 for i in range(2048))
+    b = bytes(195 - x for x in a)
+    x, y = (PrefixHash(np.frombuffer(t, np.uint8)).of(np.array([0]), 2048)[0] for t in (a, b))
+    assert x == y and a != b
+    one = np.array([0]), np.array([2048]), np.array([3])
+    assert digests(a, *one).tolist() != digests(b, *one).tolist()
+
+
+def test_text_of_the_query_is_what_is_left(spark, tmp_path):
+    rnd = random.Random(10)
+    passage = "é" * 3 + "".join(rnd.choice("abc ") for _ in range(420))
+    spark.createDataFrame([(1, passage + "x" * 50), (2, "ÿ" + passage), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.text for r in op1_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: "x" * 50, 2: "ÿ", 3: ""}
