@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 
-from synframe.llm.topk import exact_topk, integer_vectors, op10_topk, va_topk
+from synframe.llm.topk import block_bounds, exact_topk, inner_products, integer_vectors, op10_topk, quantise, scan
 
 DATA = "/root/testdata/sf0.001"
 
@@ -42,13 +42,47 @@ def test_few_and_no_rows(spark):
     assert exact_topk(v.limit(0), "vec_id % 20 = 0").count() == 0
 
 
-def test_bounds_skip_exact_reads():
+def test_bounds_hold_and_spare_exact_reads():
     rnd = np.random.default_rng(2)
     v = np.floor(64 * rnd.normal(size=(3000, 16))).astype(np.int64)
-    r, c, s = va_topk(np.arange(5), v[:5], np.arange(3000), np.arange(3000), v, 20, width=8)
-    for i in range(5):
-        want = sorted((-int(v[i] @ v[j]), j) for j in range(3000) if j != i)[:20]
-        assert [(-s[x], c[x]) for x in np.flatnonzero(r == i)] == want
+    v[7] *= 1 << 20
+    rows = rnd.permutation(3000)
+    exact = v[:9] @ v.T
+    for bits in (8, 5, 2):
+        cells, low, width = quantise(v, bits)
+        base, down, up = block_bounds(v[:9], cells, low, width)
+        assert (base + down[:, None] <= exact).all() and (exact <= base + up[:, None]).all()
+        i, j, lower, upper = scan(rows[:9], v[:9], rows, rows, cells, low, width, 20)
+        for x in range(9):
+            want = sorted((-exact[x, y], rows[y], y) for y in range(3000) if y != x)[:20]
+            assert {y for _, _, y in want} <= set(j[i == x].tolist())
+    cells, low, width = quantise(np.delete(v, 7, 0), 8)
+    i, j, _, _ = scan(rows[:5], v[:5], np.delete(rows, 7), np.delete(rows, 7), cells, low, width, 20)
+    assert len(i) < 5 * 60
+
+
+def test_every_width_of_cells(spark):
+    rnd = np.random.default_rng(3)
+    rows = [(int(i), [float(x) for x in rnd.normal(size=6)]) for i in range(300)] + [(1000 + i, [0.5, 0.5, 0.0, 0.0, 0.0, 1.0]) for i in range(200)] + [(2000, [0.5, 0.25])]
+    rows += [(2020, [1e7, -1e7, 0.0, 0.0, 3.0, 0.0])]
+    v = integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4))
+    want = brute([(i, x + [0.0] * (6 - len(x))) for i, x in rows], 5)
+    for bits in (8, 4, 1):
+        assert rows_of(exact_topk(v, "vec_id % 20 = 0", k=5, bits=bits, block=90, query_block=8)) == want
+
+
+def test_scores_beyond_a_long():
+    big = np.array([[1 << 62, 3]])
+    assert inner_products(big, big).tolist() == [(1 << 63) - 1] and inner_products(big, -big).tolist() == [-(1 << 63)]
+    assert inner_products(np.zeros((2, 0), np.int64), np.zeros((2, 0), np.int64)).tolist() == [0, 0]
+
+
+def test_long_vectors_and_huge_components(spark):
+    rows = [(i, [float(i % 7 - 3)] * 5000) for i in range(60)] + [(100, [3e30, -3e30]), (120, [1e300])]
+    v = integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = rows_of(exact_topk(v, "vec_id % 20 = 0", k=3))
+    assert len(got) == 5 * 3
+    assert [r for r in got if r[0] == 0] == [(0, 1, 7, 5000 * 192 * 192), (0, 2, 14, 5000 * 192 * 192), (0, 3, 21, 5000 * 192 * 192)]
 
 
 def test_repeated_rows(spark):
