@@ -1,14 +1,18 @@
-"""SimHash near-dedup through an inverted index of positional bytes (operator 8).
+"""SimHash near-dedup through an inverted index of positional bytes with count filtering (operator 8).
 
 A 64-bit fingerprint is eight positional bytes. Two fingerprints that differ in at most ``d`` bits
-differ in at most ``d`` bytes, so they share at least ``8 - d`` positional bytes: that is the guaranteed
-minimum count. A posting list per single byte would be read in full for every pair tally and grow with
-the square of the input, so the index is keyed by sets of ``8 - d`` byte positions: meeting in one such
-list *is* reaching the minimum tally. Members of a list are then verified bit by bit.
+differ in at most ``d`` bytes, so they share at least ``8 - d`` positional bytes: the guaranteed minimum.
+
+1. *Index.* A fingerprint is posted under every set of ``together`` byte positions with their bytes. With ``together=1`` that is a list
+   for each positional byte; such a list holds 1/256 of all fingerprints, so the work grows with the square of the input. The default
+   of three positions makes lists 65,536 times shorter; any pair that reaches the minimum of four still meets.
+2. *Count filter.* In a list the shared positional bytes of a pair are tallied; pairs below the minimum go.
+3. *Verification.* The rest are compared bit by bit.
 
 Equal fingerprints collapse to one row before the index is built, so thousands of copies cost one row.
-A list never emits all its pairs: it emits a spanning forest of its verified links (at most one row per
-member), which leaves the components as they are.
+A list of more than ``SMALL`` members never emits all its pairs: it emits a spanning forest of its verified links (at most one row per
+member), which leaves the components as they are. A list of more than ``HOT`` members is not searched in its task: its members are dealt
+to blocks by a hash, and every pair of blocks is a task's unit of its own.
 
 Nulls: a null text has no words (fingerprint 0); a null ``doc_id`` keeps its row, links like any other but
 never names a component (component_id is null if it links to no row with an id). Repeated rows stay.
@@ -29,6 +33,8 @@ from synframe.operators.components import connected_components
 from synframe.runtime import Written, bound_text_batches, lean, shuffle_partitions
 
 SEED = 42
+#: Members of a list up to which its pairs are listed, and beyond which it is dealt to blocks.
+SMALL, HOT = 8, 8192
 
 
 def fingerprint(text: bytes | None, shingle: int = 4, seed: int = SEED) -> int:
@@ -63,6 +69,19 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, fp long")
 
 
+def tally(x: np.ndarray) -> np.ndarray:
+    """Shared positional bytes of pairs whose fingerprints differ in the bits of ``x``."""
+    low = np.uint64(0x7F7F7F7F7F7F7F7F)
+    return 8 - np.bitwise_count((((x & low) + low) | x) & ~low).astype(np.int64)
+
+
+def _near(x: np.ndarray, bits: int) -> np.ndarray:
+    """Which differences reach the minimum tally and are then verified."""
+    out = tally(x) >= 8 - bits
+    out[out] = np.bitwise_count(x[out]) <= bits
+    return out
+
+
 def _forest(f: np.ndarray, bits: int) -> list[tuple[int, int]]:
     """Spanning forest (index pairs) of the members of one posting list that differ in at most ``bits`` bits."""
     out, left = [], np.arange(len(f))
@@ -70,7 +89,7 @@ def _forest(f: np.ndarray, bits: int) -> list[tuple[int, int]]:
         todo, left = [left[0]], left[1:]
         while todo and len(left):
             i = todo.pop()
-            near = np.bitwise_count(f[left] ^ f[i]) <= bits
+            near = _near(f[left] ^ f[i], bits)
             if near.any():
                 hit = left[near]
                 out += [(int(i), int(j)) for j in hit]
@@ -79,60 +98,122 @@ def _forest(f: np.ndarray, bits: int) -> list[tuple[int, int]]:
     return out
 
 
-def links(distinct: DataFrame, bits: int = 4) -> DataFrame:
-    """``(a, b)`` fingerprints: enough verified links (<= ``bits`` bits apart) to span every component."""
-    if not 0 <= bits <= 6:
-        raise ValueError("bits must be 0 to 6: an index over fewer than two shared bytes has no selective list")
-    masks = [sum(0xFF << (8 * p) for p in c) for c in combinations(range(8), 8 - bits)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.posexplode(F.transform(F.array(*[F.lit(m).cast("long") for m in signed]), lambda m: F.col("fp").bitwiseAND(m)))
-    n = shuffle_partitions(distinct.sparkSession)
-    index = distinct.select("fp", keys.alias("c", "k")).select(F.col("c").cast("byte").alias("c"), "k", "fp").repartition(n, "c", "k").sortWithinPartitions("c", "k")
+def list_links(f: np.ndarray, start: np.ndarray, end: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Verified pairs of the lists ``f[start:end]``: all of small lists, a spanning forest of others."""
+    size = end - start
+    a, b = [f[:0]], [f[:0]]
+    small = start[(size > 1) & (size <= SMALL)]
+    sizes = size[(size > 1) & (size <= SMALL)]
+    for i in range(SMALL - 1):
+        for j in range(i + 1, SMALL):
+            at = small[sizes > j]
+            if len(at):
+                near = _near(f[at + i] ^ f[at + j], bits)
+                a.append(f[at[near] + i])
+                b.append(f[at[near] + j])
+    for s, e in zip(start[size > SMALL], end[size > SMALL], strict=True):
+        if found := _forest(f[s:e], bits):
+            i, j = np.array(found).T
+            a.append(f[s + i])
+            b.append(f[s + j])
+    return np.concatenate(a), np.concatenate(b)
+
+
+LINK = "a long, b long, c byte"
+
+
+def _links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    lo, hi = np.minimum(a, b).view(np.int64), np.maximum(a, b).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), pa.nulls(len(lo), pa.int8())], names=["a", "b", "c"])
+
+
+def _lists(bits: int, hot: int):
+    """Rows ``(c, k, fp)`` sorted by list -> links (a, b); of lists beyond ``hot`` members the members, as (fp, k, c)."""
 
     def run(batches):
-        kept = None
+        c, k, f = np.zeros(0, np.int8), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        away = None  # the open list if it is dealt to blocks
 
         def settle(c, k, f, last):
-            """Whole lists of a sorted block; the last one stays for the next block unless it is the end."""
+            nonlocal away
             new = np.flatnonzero((c[1:] != c[:-1]) | (k[1:] != k[:-1])) + 1
-            start = np.concatenate(([0], new))
-            end = np.concatenate((new, [len(c)]))
-            if not last:
-                cut = start[-1]
-                start, end = start[:-1], end[:-1]
-            else:
-                cut = len(c)
-            size = end - start
-            a, b = [], []
-            two = start[size == 2]
-            near = np.bitwise_count(f[two] ^ f[two + 1]) <= bits
-            a.append(f[two[near]])
-            b.append(f[two[near] + 1])
-            for s, e in zip(start[size > 2], end[size > 2], strict=True):
-                own = f[s:e]
-                if found := _forest(own, bits):
-                    i, j = np.array(found).T
-                    a.append(own[i])
-                    b.append(own[j])
-            return np.concatenate(a), np.concatenate(b), (c[cut:], k[cut:], f[cut:])
-
-        def out(a, b):
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b).view(np.int64)), pa.array(np.maximum(a, b).view(np.int64))], names=["a", "b"])
+            start, end = np.concatenate(([0], new)), np.concatenate((new, [len(c)]))
+            big = end - start > hot
+            if away == (c[0], k[0]):
+                big[0] = True
+            whole = len(start) if last or big[-1] else len(start) - 1  # the last list may go on
+            away = (c[-1], k[-1]) if big[-1] else None
+            for s, e in zip(start[big], end[big], strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(f[s:e].view(np.int64)), pa.array(k[s:e]), pa.array(c[s:e])], names=["a", "b", "c"])
+            here = ~big[:whole]
+            a, b = list_links(f, start[:whole][here], end[:whole][here], bits)
+            if len(a):
+                yield _links(a, b)
+            return start[whole] if whole < len(start) else len(c)
 
         for batch in batches:
-            cols = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)]
-            if kept is not None:
-                cols = [np.concatenate(x) for x in zip(kept, cols, strict=True)]
-            if len(cols[0]):
-                a, b, kept = settle(*cols, False)
-                if len(a):
-                    yield out(a, b)
-        if kept is not None and len(kept[0]):
-            a, b, _ = settle(*kept, True)
+            c = np.concatenate((c, batch.column(0).to_numpy()))
+            k = np.concatenate((k, batch.column(1).to_numpy()))
+            f = np.concatenate((f, batch.column(2).to_numpy().view(np.uint64)))
+            if len(c):
+                cut = yield from settle(c, k, f, False)
+                c, k, f = c[cut:], k[cut:], f[cut:]
+        if len(c):
+            yield from settle(c, k, f, True)
+
+    return run
+
+
+def _cells(bits: int):
+    """Rows ``(c, k, x, y, fp)`` sorted by cell (two blocks of a hot list) -> links."""
+
+    def run(batches):
+        held: list[np.ndarray] = []
+        own = None
+
+        def settle():
+            f = np.unique(np.concatenate(held))
+            a, b = list_links(f, np.array([0]), np.array([len(f)]), bits)
             if len(a):
-                yield out(a, b)
+                yield _links(a, b)
 
-    return index.mapInArrow(lean(run), "a long, b long").distinct()
+        for batch in batches:
+            f = batch.column(4).to_numpy().view(np.uint64)
+            keys = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)], 1)
+            new = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            for s, e in zip([0, *new], [*new, len(f)], strict=True) if len(f) else []:
+                key = tuple(keys[s])
+                if held and key != own:
+                    yield from settle()
+                    held = []
+                own = key
+                held.append(f[s:e])
+        if held:
+            yield from settle()
+
+    return run
+
+
+def links(distinct: DataFrame, bits: int = 4, together: int = 3, hot: int = HOT) -> DataFrame:
+    """``(a, b)`` fingerprints: enough verified links (<= ``bits`` bits apart) to span every component."""
+    if not 0 <= bits <= 7:
+        raise ValueError("bits must be 0 to 7: fingerprints further apart need not share a byte")
+    together = min(together, 8 - bits)
+    masks = [sum(0xFF << (8 * p) for p in c) for c in combinations(range(8), together)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    keys = F.posexplode(F.transform(F.array(*[F.lit(m).cast("long") for m in signed]), lambda m: F.col("fp").bitwiseAND(m)))
+    n, kept = shuffle_partitions(distinct.sparkSession), Written(distinct.sparkSession, "postings")
+    index = distinct.select("fp", keys.alias("c", "k")).select(F.col("c").cast("byte").alias("c"), "k", "fp").repartition(n, "c", "k").sortWithinPartitions("c", "k")
+    found = kept.cut(index.mapInArrow(lean(_lists(bits, hot)), LINK))
+    out = found.filter("c is null").select("a", "b")
+    crowd = found.filter("c is not null").select("c", F.col("b").alias("k"), F.col("a").alias("fp"))
+    if not crowd.isEmpty():
+        size = crowd.groupBy("c", "k").agg(F.ceil(F.count("*") / F.lit(hot)).cast("int").alias("blocks"))
+        dealt = crowd.join(size, ["c", "k"]).withColumn("x", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        dealt = dealt.withColumn("o", other).select("c", "k", F.least("x", "o").alias("x"), F.greatest("x", "o").alias("y"), "fp")
+        out = out.unionByName(dealt.repartition(n, "c", "k", "x", "y").sortWithinPartitions("c", "k", "x", "y").mapInArrow(lean(_cells(bits)), LINK).select("a", "b"))
+    return out.distinct()
 
 
 def named_fingerprints(fps: DataFrame, kept: Written, bits: int = 4) -> DataFrame:

@@ -70,3 +70,55 @@ def test_fingerprint_counts_repeats_and_null_ids(spark):
     got = sorted(((r.doc_id, r.component_id) for r in near_components(df).collect()), key=str)
     assert got == [(3, 3), (None, 3), (None, None)]
     assert near_components(df.limit(0)).count() == 0
+
+
+def test_tally_counts_equal_positional_bytes():
+    import numpy as np
+
+    from synframe.llm.simhash import tally
+
+    rnd = random.Random(12)
+    pairs = [(rnd.randrange(1 << 64), rnd.randrange(1 << 64)) for _ in range(300)]
+    pairs += [(a, a ^ sum(rnd.randrange(256) << 8 * p for p in range(8) if rnd.random() < 0.4)) for a, _ in pairs]
+    want = [sum((a >> 8 * p) & 255 == (b >> 8 * p) & 255 for p in range(8)) for a, b in pairs]
+    assert tally(np.array([a ^ b for a, b in pairs], np.uint64)).tolist() == want
+
+
+def test_links_span_all_components_for_every_index_and_hot_lists(spark):
+    from synframe.llm.simhash import links
+
+    rnd = random.Random(13)
+    fps = {rnd.randrange(1 << 64) for _ in range(60)}
+    for base in list(fps)[:6]:
+        for _ in range(40):
+            x = base
+            for p in rnd.sample(range(64), rnd.randrange(1, 7)):
+                x ^= 1 << p
+            fps.add(x)
+    shared = rnd.randrange(1 << 32)  # one list of many that are no links
+    fps |= {shared | rnd.randrange(1 << 32) << 32 for _ in range(150)}
+    fps = sorted(fps)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(signed(x),) for x in fps], "fp long").repartition(3)
+
+    def groups(edges):
+        g = {x: x for x in fps}
+
+        def find(x):
+            while g[x] != x:
+                x = g[x]
+            return x
+
+        for a, b in edges:
+            g[find(a)] = find(b)
+        roots = {}
+        for x in fps:
+            roots.setdefault(find(x), set()).add(x)
+        return sorted(map(sorted, roots.values()))
+
+    for bits in (0, 3, 4, 5):
+        want = groups([(a, b) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= bits])
+        for together, hot in ((1, 8192), (2, 30), (3, 8192), (3, 20), (4, 8192)):
+            got = [(r.a % (1 << 64), r.b % (1 << 64)) for r in links(df, bits, together, hot).collect()]
+            assert all((a ^ b).bit_count() <= bits for a, b in got)
+            assert groups(got) == want
