@@ -5,7 +5,8 @@
    that has it. No line is too frequent to be used: one of a third of all documents costs one row each. Links
    with the same two ends are one. Step 4 adds what these links leave.
 3. *Alignment.* The two hash arrays of a link are aligned by patience diff: common head and tail, then lines
-   that occur once on both sides in their longest increasing order, then the same between them. Maximal runs of
+   that occur once on both sides in their longest increasing order (of several the one that, read from its end, always takes
+   the latest line of the earlier document), then the same between them. Maximal runs of
    aligned lines are common blocks; blocks with ``min_words`` words or more are deleted from the later document.
 4. *The rest.* Every block of ``min_words`` words is covered by shortest runs of lines that reach them. Runs that an earlier
    document holds and that are not deleted yet link their document to the run's first owner; runs that are left after
