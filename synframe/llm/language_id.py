@@ -1,7 +1,7 @@
 """Language identification with bit-sliced Bloom filters over character n-grams (operator 4).
 
 Training counts the character n-grams of every language over all training texts, keeps for each language
-those that it uses at least ``share`` times as often as the language that uses them most, and sets the
+those that it uses ``least`` times or more and at least ``share`` times as often as the language that uses them most, and sets the
 language's bit in ``HASHES`` slots of one table: the Bloom filters of all languages side by side, so that a
 single look-up returns the mask of all languages that hold an n-gram. The table has a fixed number of slots
 whatever the corpus. A text's hits per language are popcounts of these masks, corrected by each filter's
@@ -10,7 +10,7 @@ false-positive rate; the language with most corrected hits is the prediction.
 Nulls: a null text, or one without a letter, is ``und`` with score 0; rows with a null lang are predicted but
 never learned from; a null ``doc_id`` counts as the empty text in the fold. Long words count
 whole. Repeated rows are judged one by one. With no training row at all every text is ``und``.
-Empty table: no rows. Extra columns are ignored.
+Empty table: no rows. Extra columns are ignored; kept columns named ``lang_pred`` or ``score`` are replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +29,15 @@ from synframe.runtime import bound_text_batches, lean
 NGRAMS = (3, 4)
 SLOTS = 1 << 20
 HASHES = 3
-LETTERS = re.compile(r"[^\W\d_]+")  # words of the training counts
+LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def letter_runs(text: str) -> list[str]:
+    """Words of the training counts: maximal runs of letters, as ``Model.hits`` cuts them."""
+    out = []
+    for w in LETTERS.findall(text):
+        out += [w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split()
+    return out
 
 
 def fold(doc_id: str = "doc_id", folds: int = 4) -> Column:
@@ -150,7 +158,7 @@ def gram_counts(train: DataFrame) -> DataFrame:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 c = words.setdefault(lang, Counter())
                 before = len(c)
-                c.update(LETTERS.findall((text.as_py() or "").lower()))
+                c.update(letter_runs((text.as_py() or "").lower()))
                 size += len(c) - before
                 if size > 300_000:
                     yield from flush()
@@ -202,7 +210,7 @@ def train(docs: DataFrame, share: float = 0.4, least: int = 3) -> Model:
 def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` (default doc_id), lang_pred and score of every text."""
     spark = docs.sparkSession
-    kept = ["doc_id"] if keep is None else keep
+    kept = ["doc_id"] if keep is None else [c for c in keep if c not in ("lang_pred", "score")]
     shared = spark.sparkContext.broadcast(model)  # SLOTS * 8 bytes for each 64 languages, whatever the corpus
     inner = docs.select(F.struct(*kept).alias("row"), F.col("text").cast("string").alias("text"))
 

@@ -2,8 +2,15 @@
 
 Token weights are summed by (source, language, topic) class, raked to the three target marginals, and every
 document is then sampled with the probability that its class's fitted weight gives it. A target names some
-categories and puts all others under ``*``, so the class table is bounded by the targets, whatever the number
-of sources; it is the only thing that reaches the driver, and the only thing broadcast.
+categories and puts all others under ``*``; without a target for sources, the ``NAMED`` sources with most tokens
+are named, each by the square root of its tokens (tempering). So the class table is bounded by the targets,
+whatever the number of sources; it is the only thing that reaches the driver, and the only thing broadcast.
+
+The default topic is a stand-in for a topic model: the signs of three fixed random projections of the counts of
+the text's long words, over the whole text, give one of eight classes; texts with like words share their class.
+
+Targets that no weights of the classes present can meet (a target for a pair of marginals whose documents are
+missing) leave a gap after the last sweep; it is told as a warning, and the weights are those of that sweep.
 
 A class's ratio is its fitted weight over its own. Documents are kept with probability
 ``p = min(1, scale * ratio)``, where ``scale`` makes the expected tokens kept equal ``rate`` of all; where p is
@@ -17,30 +24,45 @@ columns are kept; the columns added are ``topic``, ``tokens``, ``probability`` a
 
 from __future__ import annotations
 
+import warnings
+from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructType
+
+from synframe.runtime import Written, bound_text_batches, lean
 
 TOPICS = 8
+#: Sources that the default target names.
+NAMED = 64
+#: Bytes of a long word.
+LONG = 6
 
 
-def default_topic(text: Column) -> Column:
-    """Stand-in topic model: a hash class of the first word of six letters or more (0 if there is none)."""
-    word = F.regexp_extract(F.lower(text), r"\p{L}{6,}", 0)
-    return F.when(word != "", F.pmod(F.xxhash64(word), F.lit(TOPICS))).otherwise(0).cast("string")
+def tokens_and_topic(text: bytes) -> tuple[int, str]:
+    """Words between ASCII white space, and the default topic."""
+    words = text.lower().split()
+    bins = [0] * TOPICS
+    for w, n in Counter([w for w in words if len(w) >= LONG]).items():
+        bins[xxhash.xxh64_intdigest(w) & 7] += n
+    signs = (sum(n if i >> b & 1 else -n for i, n in enumerate(bins)) > 0 for b in range(3))
+    return len(words), str(sum(s << b for b, s in enumerate(signs)))
 
 
 @dataclass(frozen=True)
 class Targets:
-    source: dict[str, float] = field(default_factory=lambda: {"src0": 0.2, "*": 0.8})
+    """Shares by category; ``source=None`` names the largest sources of the table."""
+
+    source: dict[str, float] | None = None
     lang: dict[str, float] = field(default_factory=lambda: {"en": 0.5, "de": 0.17, "fr": 0.17, "es": 0.14, "*": 0.02})
     topic: dict[str, float] = field(default_factory=lambda: {str(i): 1 / TOPICS for i in range(TOPICS)})
 
-    def marginals(self) -> dict[str, dict[str, float]]:
-        return {"source": self.source, "lang": self.lang, "topic": self.topic}
-
 
 def rake(cells: dict[tuple[str, ...], float], marginals: list[dict[str, float]], tolerance: float = 1e-10, sweeps: int = 500) -> dict[tuple[str, ...], float]:
     """Fitted weights (sum 1) of the cells with tokens."""
@@ -66,6 +88,9 @@ def rake(cells: dict[tuple[str, ...], float], marginals: list[dict[str, float]],
             w = w * f[at]
         if worst < tolerance:
             break
+    else:
+        if sweeps and worst > 1e-6:
+            warnings.warn(f"the targets cannot all be met: a gap of {worst:.2g} is left after {sweeps} sweeps", stacklevel=2)
     return dict(zip(keys, (w / w.sum()).tolist(), strict=True))
 
 
@@ -87,28 +112,62 @@ def _class(col: Column, names) -> Column:
     return F.when(col.isin(*[n for n in names if n != "*"]), col).otherwise("*")
 
 
-def mix(docs: DataFrame, targets: Targets = Targets(), rate: float = 0.8, seed: int = 17, topic=default_topic) -> DataFrame:
-    """The sampled rows of ``docs`` with their topic, tokens, probability and weight."""
-    spark, m = docs.sparkSession, targets.marginals()
+def classified(docs: DataFrame, topic: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``(_row, _s, _l, _t, _n)``: the row, its source, language and topic, and its tokens."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    # tokens: ASCII-space separated words, counted where a word begins
-    t = docs.select(
-        F.struct(*docs.columns).alias("_row"),
-        _class(F.col("source").cast("string"), m["source"]).alias("_s"),
-        _class(F.col("lang").cast("string"), m["lang"]).alias("_l"),
-        _class(topic(text), m["topic"]).alias("_t"),
-        F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("_n"),
-    )
-    sums = t.groupBy("_s", "_l", "_t").agg(F.sum("_n").alias("n")).collect()  # at most (sources + 1) * (langs + 1) * (topics + 1) of the targets
-    cells = {(r["_s"], r["_l"], r["_t"]): float(r["n"]) for r in sums}
-    ratio, scale = probabilities(cells, rake(cells, list(m.values())), rate)
-    table = spark.createDataFrame([(*k, min(1.0, scale * v), scale * v) for k, v in ratio.items()] or [], "_s string, _l string, _t string, _p double, _q double")
-    unit = F.shiftrightunsigned(F.xxhash64(F.col("_row")["doc_id"], F.col("_row")["text"], F.lit(seed)), 11) / F.lit(float(1 << 53))
-    j = t.join(F.broadcast(table), ["_s", "_l", "_t"]).filter(unit < F.col("_p"))
+    own = topic(text).cast("string") if topic else F.lit(None).cast("string")
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), text.alias("text"), own.alias("topic"))
+
+    def run(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, 1024):
+                part = b.slice(k, 1024)
+                n, t = zip(*[tokens_and_topic(x.as_py()) for x in part.column(1).cast(pa.binary())], strict=True)
+                t = part.column(2) if topic else pa.array(t, pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), t, pa.array(n, pa.int64())], names=["_row", "_t", "_n"])
+
+    bound_text_batches(docs.sparkSession)
+    t = d.mapInArrow(lean(run), StructType().add("_row", d.schema["_row"].dataType).add("_t", StringType()).add("_n", LongType()))
+    star = lambda c: F.coalesce(F.col("_row")[c].cast("string"), F.lit("*"))
+    return t.select("_row", star("source").alias("_s"), star("lang").alias("_l"), F.coalesce("_t", F.lit("*")).alias("_t"), "_n")
+
+
+def source_targets(sums: DataFrame) -> dict[str, float]:
+    """The default target of sources from ``(_s, n)`` sums: square roots of tokens, of the largest sources and of all others."""
+    per = sums.filter("_s <> '*'").groupBy("_s").agg(F.sum("n").alias("n")).filter("n > 0")
+    top = {r["_s"]: float(r["n"]) for r in per.orderBy(F.desc("n"), "_s").limit(NAMED).collect()}
+    rest = max(0.0, float(sums.agg(F.sum("n")).first()[0] or 0) - sum(top.values()))
+    total = sum(v**0.5 for v in top.values()) + rest**0.5
+    return {k: v**0.5 / total for k, v in [*top.items(), ("*", rest)] if v} if total else {"*": 1.0}
+
+
+def fit(docs: DataFrame, targets: Targets = Targets(), rate: float = 0.8, topic: Callable[[Column], Column] | None = None) -> tuple[DataFrame, list[tuple]]:
+    """The classified documents, and of every class (source, language, topic, probability, scaled ratio)."""
+    t = classified(docs, topic)
+    sums = Written(docs.sparkSession, "mix").cut(t.groupBy("_s", "_l", "_t").agg(F.sum("_n").alias("n")))  # a row for each source, language and topic
+    m = [source_targets(sums) if targets.source is None else targets.source, targets.lang, targets.topic]
+    by = [_class(F.col(c), names).alias(c) for c, names in zip(("_s", "_l", "_t"), m, strict=True)]
+    rows = sums.select(*by, "n").groupBy("_s", "_l", "_t").agg(F.sum("n").alias("n")).collect()  # at most (sources + 1) * (langs + 1) * (topics + 1) of the targets
+    cells = {(r["_s"], r["_l"], r["_t"]): float(r["n"]) for r in rows}
+    ratio, scale = probabilities(cells, rake(cells, m), rate)
+    return t.select("_row", *by, "_n"), [(*k, min(1.0, scale * v), scale * v) for k, v in ratio.items()]
+
+
+def unit(doc_id: Column, text: Column, seed: int = 17) -> Column:
+    """The draw of a document, in [0, 1)."""
+    return F.shiftrightunsigned(F.xxhash64(doc_id, text, F.lit(seed)), 11) / F.lit(float(1 << 53))
+
+
+def mix(docs: DataFrame, targets: Targets = Targets(), rate: float = 0.8, seed: int = 17, topic: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The sampled rows of ``docs`` with their topic, tokens, probability and weight."""
+    t, classes = fit(docs, targets, rate, topic)
+    table = docs.sparkSession.createDataFrame(classes, "_s string, _l string, _t string, _p double, _q double")
+    row = F.col("_row")
+    j = t.join(F.broadcast(table), ["_s", "_l", "_t"]).filter(unit(row["doc_id"], row["text"], seed) < F.col("_p"))
     new = {"topic", "tokens", "probability", "weight"}
-    return j.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in new], F.col("_t").alias("topic"), F.col("_n").alias("tokens"), F.col("_p").alias("probability"), (F.col("_q") / F.col("_p")).alias("weight"))
+    return j.select(*[row[c].alias(c) for c in docs.columns if c not in new], F.col("_t").alias("topic"), F.col("_n").alias("tokens"), F.col("_p").alias("probability"), (F.col("_q") / F.col("_p")).alias("weight"))
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Production parameters: default targets, 80 % of the tokens, all documents."""
+    """Production parameters: default targets (all large sources, five language classes, eight topics), 80 % of the tokens, all documents."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "source", "lang", "topic", "tokens", "probability", "weight")

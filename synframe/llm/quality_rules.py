@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
 WINDOW = 8
+BULLET, ELLIPSIS = rf"^{SPACE}*(?:[-*]|•)", rf"(?:\.\.\.|…){SPACE}*$"
 
 #: Frequent function words of English, French, German and Spanish.
 STOP_WORDS = (
@@ -38,7 +39,7 @@ class Rule:
 
 #: The threshold table; every row becomes one conjunct of the verdict.
 RULES = (
-    Rule("n_words", low=20, high=1_000_000),
+    Rule("n_words", low=20),
     Rule("word_chars / n_words", low=2.0, high=12.0),
     Rule("n_symbols / n_words", high=0.1),
     Rule("n_dup_lines / greatest(n_lines, 10)", high=0.3),  # one repeated line of a few is no ground
@@ -46,7 +47,7 @@ RULES = (
     Rule("n_bullet_lines / greatest(n_lines, 1)", high=0.9),
     Rule("n_ellipsis_lines / greatest(n_lines, 1)", high=0.3),
     Rule("n_alpha_words / n_words", low=0.7),
-    Rule("n_stop_words", low=2),
+    Rule("n_stop_words / n_words", low=0.02),
 )
 
 
@@ -73,7 +74,6 @@ def statistics(docs: DataFrame) -> DataFrame:
     k = F.size("_hits")
     gaps = F.zip_with(F.slice("_hits", F.lit(2), k - 1), F.slice("_hits", F.lit(1), k - 1), lambda b, a: F.least(b - a, F.lit(WINDOW)))
     covered = F.when(k > 0, F.aggregate(gaps, F.lit(WINDOW), lambda acc, x: acc + x)).otherwise(0)
-    stops = F.array(*[F.lit(w) for w in STOP_WORDS])
     # an expression that is not deterministic keeps filters on the result from being pushed below, where every
     # reference would be expanded into the whole chain above
     fence = F.when(F.monotonically_increasing_id() < 0, F.lit(1)).otherwise(0)
@@ -85,10 +85,10 @@ def statistics(docs: DataFrame) -> DataFrame:
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("_lines").cast("long").alias("n_lines"),
-        _count(F.col("_lines"), lambda l: l.rlike(r"^\s*(?:[-*]|•)")).alias("n_bullet_lines"),
-        _count(F.col("_lines"), lambda l: l.rlike(r"(?:\.\.\.|…)\s*$")).alias("n_ellipsis_lines"),
+        _count(F.col("_lines"), lambda l: l.rlike(BULLET)).alias("n_bullet_lines"),
+        _count(F.col("_lines"), lambda l: l.rlike(ELLIPSIS)).alias("n_ellipsis_lines"),
         F.regexp_count("_text", F.lit(r"[^\x20\x09-\x0D\p{L}]*+\p{L}[^\x20\x09-\x0D]*+")).cast("long").alias("n_alpha_words"),
-        F.size(F.array_intersect(F.col("_words"), stops)).cast("long").alias("n_stop_words"),
+        _count(F.col("_words"), lambda w: F.lower(w).isin(STOP_WORDS)).alias("n_stop_words"),
     )
 
 
@@ -113,3 +113,27 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Production parameters: the threshold table RULES, all documents."""
     out = quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def oracle_sql(rules=RULES) -> str:
+    """The query in DuckDB's SQL."""
+    fails = " or ".join(f"({r.stat}) {op} {x}" for r in rules for op, x in (("<", r.low), (">", r.high)) if x is not None)
+    return f"""
+with d as (select row_number() over () as n, doc_id, coalesce(text, '') as t from documents),
+     w as (select n, doc_id, t, regexp_extract_all(t, '{WORD}+') as ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) as ls from d),
+     u as (select n, unnest(ws) as x, generate_subscripts(ws, 1) as i from w),
+     v as (select n, i, {" || ' ' || ".join(["x", *(f"lead(x, {k}) over o" for k in range(1, WINDOW))])} as g from u window o as (partition by n order by i)),
+     r as (select n, i from (select n, i, count(*) over (partition by n, g) as c from v where g is not null) where c > 1),
+     k as (select n, sum(least({WINDOW}, coalesce(j - i, {WINDOW}))) as c from (select n, i, lead(i) over (partition by n order by i) as j from r) group by n),
+     s as (select doc_id, len(ws) as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) as word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols,
+             len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(c, 0) as n_repeat_words, len(ls) as n_lines,
+             len(list_filter(ls, lambda x: regexp_matches(x, '{BULLET}'))) as n_bullet_lines, len(list_filter(ls, lambda x: regexp_matches(x, '{ELLIPSIS}'))) as n_ellipsis_lines,
+             len(list_filter(ws, lambda x: regexp_matches(x, '\\p{{L}}'))) as n_alpha_words, len(list_filter(ws, lambda x: lower(x) in ({", ".join(f"'{x}'" for x in sorted(set(STOP_WORDS)))}))) as n_stop_words
+           from w left join k on w.n = k.n),
+     b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from s)
+select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines,
+       cast(n_repeat_words as bigint) as n_repeat_words, base_failed, not base_failed and not coalesce({fails}, true) as kept from b
+"""
+
+
+ORACLE_SQL = oracle_sql()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from synframe.llm import url_filter
+from synframe.llm import quality_rules, suffix_dedup, topk, url_filter
 from synframe.llm.language_id import op4_language_id
 from synframe.llm.line_dedup import op7_line_dedup
 from synframe.llm.mixing import op5_mix_sources
@@ -26,4 +26,9 @@ QUERIES = {
     "op10_topk": op10_topk,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_url_filter": url_filter.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_dedup": suffix_dedup.ORACLE_SQL,
+    "op6_url_filter": url_filter.ORACLE_SQL,
+    "op9_quality_rules": quality_rules.ORACLE_SQL,
+    "op10_topk": topk.ORACLE_SQL,
+}

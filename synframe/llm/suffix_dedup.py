@@ -514,7 +514,8 @@ def _spans(runs: list[dict], n: int, min_len: int) -> np.ndarray:
 
 
 def removed_spans(docs: DataFrame, min_len: int = 400) -> DataFrame:
-    """``(doc_id, text, kept, n_bytes, n_removed, n_spans)`` with ``kept`` = the remaining bytes of every document."""
+    """``(doc_id, kept, text, n_bytes, n_removed, n_spans)``: ``kept`` the remaining bytes of every document, ``text`` its remaining
+    characters (those of which no byte is removed)."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     d = d.withColumn("tk", (F.crc32(F.coalesce("text", F.lit("")).cast("binary")) - F.lit(1 << 31)).cast("int"))
     runs = repeated_windows(d, min_len).groupBy("doc_id", "tk").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
@@ -527,17 +528,31 @@ def removed_spans(docs: DataFrame, min_len: int = 400) -> DataFrame:
                 text = text.as_py() or b""
                 spans = _spans(runs.as_py() or [], len(text), min_len)
                 edges = [0, *spans.ravel().tolist(), len(text)]
-                rest = b"".join(text[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True))
-                out.append((rest, len(text), len(text) - len(rest), len(spans)))
-            kept, n, gone, k = zip(*out, strict=True) if out else ((),) * 4
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(k, pa.int64())], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
+                rest = [text[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True)]
+                kept = b"".join(rest)
+                out.append((kept, "".join(x.decode("utf-8", "ignore") for x in rest), len(text), len(text) - len(kept), len(spans)))
+            kept, left, n, gone, k = zip(*out, strict=True) if out else ((),) * 5
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary()), pa.array(left, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(k, pa.int64())], names=["doc_id", "kept", "text", "n_bytes", "n_removed", "n_spans"])
 
-    return j.select("doc_id", "text", "runs").mapInArrow(lean(run), "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    return j.select("doc_id", "text", "runs").mapInArrow(lean(run), "doc_id long, kept binary, text string, n_bytes long, n_removed long, n_spans long")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Production parameters: strings of 400 bytes, all documents."""
     out = removed_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    # the remaining text: a character that a removed string cuts in two becomes U+FFFD here, not in the digest
-    left = F.make_valid_utf8(F.col("kept").cast("string")).alias("text")
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), left)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "text")
+
+
+# Bytes are pairs of hexadecimal digits; a piece between two removed runs loses the bytes of a character cut in two.
+ORACLE_SQL = """
+with d as (select row_number() over () as n, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+     w as (select n, i, md5_number(substr(h, 2 * i + 1, 800)) as k from d, unnest(range(0, length(h) // 2 - 399)) t(i)),
+     r as (select n, i, i - lag(i) over (partition by n order by i) as step from (select n, i, count(*) over (partition by k) as c from w) where c > 1),
+     s as (select n, min(i) as a, max(i) + 400 as z from (select n, i, sum(case when step <= 400 then 0 else 1 end) over (partition by n order by i) as run from r) group by n, run),
+     e as (select n, a, z, coalesce(lag(z) over (partition by n order by a), 0) as b from s union all select n, len, len, z from (select d.n, length(h) // 2 as len, coalesce(max(z), 0) as z from d left join s on d.n = s.n group by d.n, h)),
+     p as (select e.*, substr(h, 2 * b + 1, 2 * (a - b)) as x from e join d on e.n = d.n),
+     o as (select n, sum(z - a) as gone, count(*) - 1 as spans, string_agg(x, '' order by a, z desc) as kept,
+             string_agg(regexp_replace(regexp_replace(x, '^([89AB].)+', ''), '([CD].|E.([89AB].)?|F.([89AB].){0,2})$', ''), '' order by a, z desc) as chars from p group by n)
+select doc_id, cast(length(h) // 2 as bigint) as n_bytes, cast(gone as bigint) as n_removed, cast(spans as bigint) as n_spans, sha256(unhex(kept)) as kept_sha256, decode(unhex(chars)) as text
+from d join o on d.n = o.n
+"""

@@ -215,3 +215,11 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Production parameters: k = 20, cells of a byte; queries are the rows whose vec_id is divisible by 20, candidates all rows."""
     v = integer_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return exact_topk(v, "vec_id % 20 = 0")
+
+
+ORACLE_SQL = """
+with v as (select row_number() over () as n, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings
+           where vec_id is not null and embedding is not null and not coalesce(list_bool_or(list_transform(embedding, lambda x: x is null or not isfinite(x))), false)),
+     s as (select q.n, q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score from v q join v c on q.vec_id % 20 = 0 and q.n <> c.n)
+select query_id, cast(row_number() over o as int) as rank, vec_id, score from s window o as (partition by n order by score desc, vec_id) qualify row_number() over o <= 20
+"""

@@ -2,7 +2,10 @@ from collections import defaultdict
 
 import pytest
 
-from synframe.llm.mixing import Targets, mix, op5_mix_sources, probabilities, rake
+import xxhash
+from pyspark.sql import functions as F
+
+from synframe.llm.mixing import Targets, mix, op5_mix_sources, probabilities, rake, tokens_and_topic, unit
 
 DATA = "/root/testdata/sf0.001"
 
@@ -37,27 +40,44 @@ def test_rake_against_plain_loops():
     assert rake({}, m) == {}
 
 
-def test_query_weights(spark):
-    docs = {r.doc_id: r for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+def plain_topic(text):
+    """Signs of three sums over the long words, each word adding or subtracting by a bit of its hash."""
+    words = [w for w in text.encode().lower().split() if len(w) >= 6]
+    return str(sum((sum(1 if xxhash.xxh64_intdigest(w) >> b & 1 else -1 for w in words) > 0) << b for b in range(3)))
+
+
+def test_query_against_brute_force(spark):
+    df = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = df.withColumn("u", unit(F.col("doc_id"), F.col("text"))).collect()
+    words, topic, by_source = {}, {}, defaultdict(float)
+    for r in rows:
+        words[r.doc_id], topic[r.doc_id] = len(r.text.split()), plain_topic(r.text)
+        by_source[r.source] += words[r.doc_id]
+    assert len(by_source) == 20  # all of them are named
+    target = {s: n**0.5 / sum(x**0.5 for x in by_source.values()) for s, n in by_source.items()}
     t = Targets()
-    all_ = mix(spark.read.parquet(f"{DATA}/documents.parquet"), rate=1.0).collect()
+    cls = {r.doc_id: (r.source, r.lang if r.lang in t.lang else "*", topic[r.doc_id]) for r in rows}
     cells = defaultdict(float)
-    for r in all_:
-        assert r.tokens == len(docs[r.doc_id].text.split())
-    # every document of the whole table, its class by plain Python
-    topic = {r.doc_id: r.topic for r in mix(spark.read.parquet(f"{DATA}/documents.parquet"), Targets({"*": 1}, {"*": 1}), rate=1.0).collect()}
-    for d, r in docs.items():
-        cells[r.source if r.source in t.source else "*", r.lang if r.lang in t.lang else "*", topic.get(d, "?")] += len(r.text.split())
-    if any(k[2] == "?" for k in cells):
-        pytest.skip("a document was not sampled at rate 1")
-    fit = plain_rake(cells, [t.source, t.lang, t.topic])
-    ratio, scale = probabilities(dict(cells), fit, 0.8)
+    for d, c in cls.items():
+        cells[c] += words[d]
+    ratio, scale = probabilities(dict(cells), plain_rake(cells, [target, t.lang, t.topic], 500), 0.8)
+    want = {r.doc_id: (*cls[r.doc_id], words[r.doc_id]) for r in rows if r.u < min(1, scale * ratio[cls[r.doc_id]])}
     got = op5_mix_sources(spark, DATA).collect()
-    assert 0 < len(got) < len(docs)
+    assert {r.doc_id: (r.source, r.lang, r.topic, r.tokens) for r in got} == want and 0 < len(want) < len(rows)
     for r in got:
-        k = (r.source if r.source in t.source else "*", r.lang if r.lang in t.lang else "*", r.topic)
-        assert r.probability == pytest.approx(min(1, scale * ratio[k]), abs=1e-4)
-        assert r.weight * r.probability == pytest.approx(scale * ratio[k], rel=1e-3)
+        q = scale * ratio[cls[r.doc_id]]
+        assert r.probability == pytest.approx(min(1, q), rel=1e-6) and r.weight * r.probability == pytest.approx(q, rel=1e-6)
+
+
+def test_topic_follows_the_words():
+    assert tokens_and_topic(b"") == (0, "0") and tokens_and_topic(" a\x0bb\u00a0c ".encode())[0] == 2
+    a = " ".join(f"painting{i % 40} museum gallery" for i in range(300))
+    assert tokens_and_topic(a.encode())[1] == tokens_and_topic((a + " painting3 stranger").encode())[1] == plain_topic(a)
+
+
+def test_targets_out_of_reach_are_told():
+    with pytest.warns(UserWarning, match="cannot all be met"):
+        rake({("x", "p"): 1.0, ("y", "q"): 1.0}, [{"x": 0.9, "y": 0.1}, {"p": 0.1, "q": 0.9}])
 
 
 def test_sample_share_nulls_and_clashes(spark):

@@ -1,4 +1,7 @@
+import math
+import statistics as stat
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -19,6 +22,109 @@ def auc(score, y):
     return (rank[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (len(y) - y.sum()))
 
 
+class PlainLanguage:
+    """The language model in plain Python: dictionaries, sets of slots and unlimited integers; no code of the operator."""
+
+    def __init__(self, rows, share=0.4, least=3):
+        counts = {}
+        for text, lang in rows:
+            for w in self.words(text or ""):
+                counts.setdefault(lang, Counter()).update(self.grams(w))
+        counts = {lang: c for lang, c in counts.items() if c}
+        self.langs = sorted(counts)
+        total = {lang: sum(c.values()) for lang, c in counts.items()}
+        self.filled = {lang: set() for lang in self.langs}
+        for g in set().union(*counts.values()):
+            use = {lang: counts[lang][g] / total[lang] for lang in self.langs if counts[lang][g] >= least}
+            for lang, u in use.items():
+                if u >= share * max(use.values()):
+                    self.filled[lang].update(self.slots(g))
+        self.rate = {lang: min(0.99, (len(f) / 2**20) ** 3) for lang, f in self.filled.items()}
+
+    @staticmethod
+    def words(text):
+        return "".join(c if c.isalpha() else " " for c in text.lower()).split()
+
+    @staticmethod
+    def grams(word):
+        w = "\0" + word + "\0"
+        return [w[i : i + n] for n in (3, 4) for i in range(len(w) - n + 1)]
+
+    @staticmethod
+    def slots(gram):
+        mask = 2**64 - 1
+        h = len(gram) * 0x632BE59BD9B4E019 & mask
+        for c, p in zip(gram, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)):
+            h = h + ord(c) * p & mask
+        h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 & mask
+        h ^= h >> 32
+        return [(h % 2**32 + i * (h >> 32 | 1)) % 2**20 for i in range(3)]
+
+    def predict(self, text):
+        grams = [g for w in self.words(text or "") for g in self.grams(w)]
+        if not grams or not self.langs:
+            return "und", 0.0
+        hits = {lang: sum(n for g, n in Counter(grams).items() if self.filled[lang].issuperset(self.slots(g))) for lang in self.langs}
+        own = {lang: max(0.0, (h - self.rate[lang] * len(grams)) / (1 - self.rate[lang])) for lang, h in hits.items()}
+        best = max(self.langs, key=own.get)
+        return best, own[best] / sum(own.values()) if sum(own.values()) else 0.0
+
+
+def test_language_against_brute_force(spark):
+    small = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{small}/documents.parquet").collect()
+    model = PlainLanguage([(r.text, r.lang) for r in rows if r.lang and zlib.crc32(str(r.doc_id).encode()) % 4 != 2])
+    want = {r.doc_id: model.predict(r.text) for r in rows}
+    for r in op4_language_id(spark, small).collect():
+        assert r.lang_pred == want[r.doc_id][0] and r.score == pytest.approx(want[r.doc_id][1], abs=1e-9)
+
+
+def plain_statistics(text):
+    b = (text or "").encode()
+    words = b.split()
+    if not words:
+        return [0.0] * 17
+    n, size = len(words), len(b)
+    odds = lambda p: math.log((p + 0.002) / (1.002 - p))
+    share = lambda test: odds(sum(1 for c in b if test(c)) / size)
+    lens, freq = [len(w) for w in words], Counter(words)
+    lines = [x for x in b.split(b"\n") if x.split()]
+    return [
+        math.log(1 + n), math.log(stat.fmean(lens)), math.log(1 + stat.pstdev(lens)), math.log(max(lens)),
+        math.log(len(freq)) / math.log(n + 1), odds(max(freq.values()) / n), odds(len({(words[i], words[i + 1]) for i in range(n - 1)}) / n),
+        share(lambda c: 65 <= c <= 90), share(lambda c: 48 <= c <= 57), share(lambda c: c in b".,;:?"), share(lambda c: c == 33),
+        share(lambda c: c in b"#*$%&|<>@^~=+_{}[]\\/"), share(lambda c: c > 127),
+        math.log(1 + len(lines)), odds(1 - len(set(lines)) / len(lines)), math.log(1 + n / len(lines)),
+        -sum(f / n * math.log(f / n) for f in freq.values()) / math.log(n + 1),
+    ]
+
+
+def test_quality_against_brute_force(spark):
+    """Both classes' densities from all training rows by direct formulas, over the whole table."""
+    small = "/root/testdata/sf0.001"
+    docs = {r.doc_id: np.array(plain_statistics(r.text)) for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    learn = {0: [], 1: []}
+    for r in spark.read.parquet(f"{small}/labels.parquet").collect():
+        if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.doc_id in docs and r.quality in (0, 1):
+            learn[r.quality].append(docs[r.doc_id])
+    n = {k: len(v) for k, v in learn.items()}
+    cov = {k: np.cov(np.array(v).T, bias=True) for k, v in learn.items()}
+    pooled = sum(n[k] * cov[k] for k in (0, 1)) / sum(n.values())
+
+    def density(x, k):
+        c = 0.7 * cov[k] + 0.3 * pooled
+        c = 0.98 * c + 0.02 * np.diag(np.diag(c)) + 1e-3 * np.eye(17)
+        d = x - np.mean(learn[k], axis=0)
+        return -0.5 * d @ np.linalg.solve(c, d) - 0.5 * np.linalg.slogdet(c)[1] + math.log(n[k] / sum(n.values()))
+
+    got = op3_quality_classifier(spark, small).collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    for r in got:
+        odds = density(docs[r.doc_id], 1) - density(docs[r.doc_id], 0)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-max(-500, min(500, odds)))), abs=1e-6)
+        assert r.predicted == (r.score >= 0.5)
+
+
 def test_language_held_out(spark):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     got = op4_language_id(spark, DATA).collect()
@@ -40,6 +146,16 @@ def test_language_edges(spark):
     assert language_id.predict(df.limit(0), m).count() == 0
 
 
+def test_language_kept_columns_may_clash(spark):
+    df = spark.createDataFrame([(1, "der hund " * 9, "de", 7, "q"), (2, "the dog " * 9, "en", 7, "q")], "doc_id long, text string, lang string, score int, lang_pred string")
+    got = sorted(language_id.predict(df, language_id.train(df), df.columns).collect())
+    assert [(r.doc_id, r.lang, r.lang_pred) for r in got] == [(1, "de", "de"), (2, "en", "en")]
+
+
+def test_words_of_training_and_prediction():
+    assert language_id.letter_runs("aⅧb x²y ß1é_z") == ["a", "b", "x", "y", "ß", "é", "z"]
+
+
 def test_bloom_holds_what_was_put_in(spark):
     df = spark.createDataFrame([(1, "abcd efgh " * 3, "x"), (2, "ijkl mnop " * 3, "y")], "doc_id long, text string, lang string")
     m = language_id.train(df)

@@ -68,3 +68,20 @@ def test_edges(spark):
     assert pack(df.limit(0)).count() == 0
     ids = pack(df, with_ids=True).filter("doc_id = 3").collect()
     assert all(len(r.ids) == r.length for r in ids)
+
+
+def test_ids_are_those_of_the_tokenizer_file():
+    """The fast way from the rank file against the tokenizer file itself, over random Unicode."""
+    import hypothesis
+    from hypothesis import strategies as st
+
+    from synframe.llm.packing import encoder
+
+    tok, encode = Tokenizer.from_file(default_tokenizer()), encoder(default_tokenizer())
+
+    @hypothesis.settings(max_examples=1500, deadline=None, database=None, derandomize=True)
+    @hypothesis.given(st.one_of(st.text(max_size=60), st.text(alphabet="aA b'\u2019\n\r\t 1\u0301é\u00a0\u3000漢字😀\u200d<|>endoftext", max_size=60)))
+    def same(text):
+        assert list(encode([text])[0]) == tok.encode(text, add_special_tokens=False).ids
+
+    same()

@@ -1,13 +1,33 @@
 import corpus_pipeline as cp
-from synframe.llm import language_id, simhash
+from pyspark.sql import functions as F
+from synframe.llm import mixing, simhash
 
 from tests.llm.test_line_dedup import brute as plain_lines
+from tests.llm.test_mixing import plain_rake, plain_topic
+from tests.llm.test_models import PlainLanguage
+from tests.llm.test_near_text import brute as plain_components
 from tests.llm.test_packing import verify
-from tests.llm.test_simhash import brute as plain_components
 
 DATA = "/root/testdata/sf0.001"
 
 
+def drawn(docs):
+    """Ids that the mixing stage draws, from plain sums and loops; only the draw itself is the operator's hash."""
+    rows = docs.withColumn("u", mixing.unit(F.col("doc_id"), F.col("text"))).collect()
+    words = {r.doc_id: len(r.text.split()) for r in rows}
+    per = {}
+    for r in rows:
+        per[r.source] = per.get(r.source, 0) + words[r.doc_id]
+    t = mixing.Targets()
+    cls = {r.doc_id: (r.source, r.lang if r.lang in t.lang else "*", plain_topic(r.text)) for r in rows}
+    cells = {}
+    for d, c in cls.items():
+        cells[c] = cells.get(c, 0.0) + words[d]
+    fit = plain_rake(cells, [{s: n**0.5 for s, n in per.items()}, t.lang, t.topic], 500)
+    ratio, scale = mixing.probabilities(cells, fit, 0.8)
+    return {r.doc_id for r in rows if r.u < min(1, scale * ratio[cls[r.doc_id]])}
+
+
 def test_stages_against_brute_force(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     cols = docs.columns
@@ -15,10 +35,10 @@ def test_stages_against_brute_force(spark):
 
     one = cp.identify_language(spark, docs, DATA)
     assert one.columns == cols and one.schema == docs.schema
-    model = language_id.train(docs)
     rows = docs.collect()
-    pred, score = model.predict([r.text for r in rows])
-    want = {r.doc_id for r, p, s in zip(rows, pred, score) if p != "und" and s > 0}
+    model = PlainLanguage([(r.text, r.lang) for r in rows if r.lang])
+    pred = {r.doc_id: model.predict(r.text) for r in rows}
+    want = {d for d, (p, s) in pred.items() if p != "und" and s > 0}
     kept = one.collect()
     assert {r.doc_id for r in kept} == want
 
@@ -31,14 +51,27 @@ def test_stages_against_brute_force(spark):
 
     three = cp.dedup_near(spark, two, DATA)
     assert three.columns == cols
-    assert {r.doc_id for r in three.collect()} == {c for _, _, c in plain_components([(r.doc_id, r.text) for r in got.values()])}
+    assert {r.doc_id for r in three.collect()} == {c for _, c in plain_components([(r.doc_id, r.text) for r in got.values()])}
 
     four = cp.mix_sources(spark, three, DATA)
-    assert four.columns == cols and 0 < four.count() <= three.count()
+    assert four.columns == cols and {r.doc_id for r in four.collect()} == drawn(three)
 
     verify(cp.pack_sequences(spark, four, DATA).collect(), [(r.doc_id, r.text) for r in four.collect()])
 
 
+def test_columns_of_any_name_pass_through(spark):
+    own = ["score", "lang_pred", "deleted_lines", "tokens", "weight", "topic", "probability", "_rest", "_row", "_gone", "k", "fp", "component_id", "a b", "x.y"]
+    rows = [(i, f"the cat number{i} and the dog{i % 3} sat on the mat\n" * 3 + f"line {i} of its own words", "en", "src0", 9, *[f"{c}{i}" for c in own]) for i in range(30)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "n_chars", *own])
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, df, DATA)
+        assert out.columns == df.columns
+        df = spark.createDataFrame(out.collect(), df.schema)
+    kept = df.collect()
+    assert kept and all(r[own[j]] == f"{own[j]}{r.doc_id}" for r in kept for j in range(len(own)))
+    assert cp.pack_sequences(spark, df, DATA).count() == len(kept)
+
+
 def test_edge_documents_pass_all_stages(spark):
     schema = spark.read.parquet(f"{DATA}/documents.parquet").schema
     rows = [(1, None, None, None, None), (2, "", "en", "src0", 0), (3, "the cat " * 30, None, None, 240), (3, "the cat " * 30, None, None, 240), (None, "the dog and the cat " * 9, "en", None, 180), (5, "12 34", "en", "src1", 5)]
