@@ -5,7 +5,7 @@ returns the packed pieces). The driver writes every stage as Parquet and rereads
 writes each stage to the shared folder itself.
 
 SQL can express neither the language model nor the tokeniser, so ``ORACLE_SQL`` is None; the tests hold every
-stage against a brute-force version.
+stage against a brute-force version. Columns of ``documents`` of any name pass through all stages as they are.
 """
 
 from __future__ import annotations
@@ -16,29 +16,44 @@ from pyspark.sql import functions as F
 from synframe.llm import language_id, line_dedup, mixing, near_text, packing
 from synframe.runtime import Written
 
+
+def held(docs: DataFrame, *used: str) -> DataFrame:
+    """The used columns, and all others in a struct ``_rest``: no column of an operator can meet one of the table's own."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in used]
+    return docs.select(*used, F.struct(*(rest or [F.lit(0).alias("_")])).alias("_rest"))
+
+
+def freed(df: DataFrame, docs: DataFrame, *used: str) -> DataFrame:
+    """``held`` undone: the columns of ``docs`` in their order."""
+    return df.select(*[F.col(c) if c in used else F.col("_rest").getField(c).alias(c) for c in docs.columns])
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or without an n-gram of any language, go; a missing lang is filled in."""
     model = language_id.train(docs)
-    known = language_id.predict(docs, model, docs.columns).filter((F.col("lang_pred") != "und") & (F.col("score") > 0))
-    return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    known = language_id.predict(held(docs, "text", "lang"), model, ["text", "lang", "_rest"])
+    known = known.filter((F.col("lang_pred") != "und") & (F.col("score") > 0))
+    return freed(known.withColumn("lang", F.coalesce("lang", "lang_pred")), docs, "text", "lang")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated blocks of lines go from all but the first document; a document left without a word goes too."""
-    cut = line_dedup.drop_repeated_lines(docs)
+    used = ("doc_id", "text", "n_chars")
+    cut = line_dedup.drop_repeated_lines(held(docs, *used))
     left = cut.filter((F.col("deleted_lines") == 0) | F.col("text").rlike(r"\S"))
     n = F.when(F.col("deleted_lines") > 0, F.length("text")).otherwise(F.col("n_chars"))
-    return left.withColumn("n_chars", n.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return freed(left.withColumn("n_chars", n.cast(docs.schema["n_chars"].dataType)), docs, *used)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document stays of those linked by fingerprints or by word 5-grams at a Jaccard similarity of 0.8 or more."""
-    return near_text.drop_near_texts(docs).select(*docs.columns)
+    return near_text.drop_near_texts(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled to the target weights of sources, languages and topics."""
-    return mixing.mix(docs).select(*docs.columns)
+    used = ("doc_id", "text", "source", "lang")
+    return freed(mixing.mix(held(docs, *used)), docs, *used)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
