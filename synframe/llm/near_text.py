@@ -7,7 +7,8 @@ A text is the set of its ``SHINGLE``-word sequences (64-bit hashes). Two sets A
    one of their first ``n // 5 + 1`` members. Order: frequent shingles last, then by hash. The frequent ones are read from a
    sample; a poor sample costs time and no pair.
 2. *Candidates.* Members of one list whose sizes allow it, that are not yet linked, and whose parity bitmaps differ in no more bits
-   than similar sets may differ in members (a bitmap never differs in more bits than its sets do in members).
+   than similar sets may differ in members (a bitmap never differs in more bits than its sets do in members). For pairs of long
+   texts, which may differ in more members than that bitmap has bits, a wide one of at least a bit a member decides once more.
 3. *Check.* The sets of each candidate pair are intersected.
 
 Nothing is sampled, cut or estimated in what is found. Nulls, null ids and repeated rows: as in ``simhash``.
@@ -28,6 +29,8 @@ from synframe.runtime import Written, bound_text_batches, lean, shuffle_partitio
 SHINGLE = 5
 #: Bits of a parity bitmap.
 BITS = 1024
+#: Members from which a set has a wide bitmap as well.
+WIDE = 1024
 #: Texts of the sample, share of it from which a shingle is frequent, and most frequent shingles that are sent to tasks.
 SAMPLE, FREQUENT, MOST = 20_000, 0.001, 50_000
 
@@ -45,13 +48,28 @@ def _parity(h: np.ndarray) -> bytes:
     return np.packbits((np.bincount((h % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
 
 
+def _wide(h: np.ndarray) -> bytes | None:
+    """Parity bitmap of a power of two of bits, one or two a member; None for small sets."""
+    if len(h) < WIDE:
+        return None
+    bits = 1 << (len(h) - 1).bit_length()
+    return np.packbits((np.bincount((h % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def _apart(a: bytes, b: bytes) -> int:
+    """Bits in which two wide bitmaps differ; the longer one is folded."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
 def similar(common: int, a: int, b: int) -> bool:
     """Jaccard similarity of 4/5 or more, of sets of ``a`` and ``b`` members."""
     return 9 * common >= 4 * (a + b)
 
 
 def shingled(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp, sid, n, sig, h)``: fingerprint, set, and the set's id, size and parity bitmap."""
+    """``(doc_id, fp, sid, n, sig, wide, h)``: fingerprint, set, and the set's id, size and parity bitmaps."""
 
     def run(batches):
         for b in batches:
@@ -63,11 +81,11 @@ def shingled(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 sid = np.array([xxhash.xxh64_intdigest(h.tobytes(), simhash.SEED) for h in sets], np.uint64).view(np.int64)
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 h = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
-                cols = [part.column(0), pa.array(fp), pa.array(sid), pa.array(np.diff(ends)), pa.array([_parity(x) for x in sets], pa.binary()), h]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "fp", "sid", "n", "sig", "h"])
+                cols = [part.column(0), pa.array(fp), pa.array(sid), pa.array(np.diff(ends)), pa.array([_parity(x) for x in sets], pa.binary()), pa.array([_wide(x) for x in sets], pa.binary()), h]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "fp", "sid", "n", "sig", "wide", "h"])
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return text.mapInArrow(lean(run), "doc_id long, fp long, sid long, n int, sig binary, h array<long>")
+    return text.mapInArrow(lean(run), "doc_id long, fp long, sid long, n int, sig binary, wide binary, h array<long>")
 
 
 def _frequent(sets: DataFrame) -> np.ndarray:
@@ -169,6 +187,20 @@ def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
 
+def _narrowed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs of set ids without those that wide bitmaps tell apart."""
+    wide = sets.filter("wide is not null").select("sid", "n", "wide").dropDuplicates(["sid"])
+    side = lambda k: wide.select(F.col("sid").alias(k), F.col("n").alias(f"n{k}"), F.col("wide").alias(f"w{k}"))
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "wa", "wb")
+
+    def run(batches):
+        for b in batches:
+            ok = [n is None or 9 * _apart(x.as_py(), y.as_py()) <= n for n, x, y in zip(b.column(2).to_pylist(), b.column(3), b.column(4), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return both.mapInArrow(lean(run), "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, kept: Written) -> DataFrame:
     """The similar ones of the pairs of set ids."""
     need = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
@@ -200,6 +232,7 @@ def text_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     lists = kept.cut(_by_list(_lists(sets, _frequent(sets)), ["sid"], _shared, "k long, sid long, n int"))
     lists = lists.join(one.select("sid", "label", "sig"), "sid").select("k", "sid", "n", "label", "sig")
     pairs = kept.cut(_by_list(lists, ["n", "sid"], _candidates, "a long, b long").distinct())
+    pairs = kept.cut(_narrowed(pairs, sets))
     found = _verified(pairs, sets, kept)
     to = one.select("sid", "label")
     found = found.join(to.select(F.col("sid").alias("a"), F.col("label").alias("u")), "a").join(to.select(F.col("sid").alias("b"), F.col("label").alias("v")), "b").select("u", "v")

@@ -26,7 +26,7 @@ def near_copies():
     rnd = random.Random(11)
     rows, d = [], 0
     hot = " ".join(f"hot{i}" for i in range(9))
-    for size in (12, 60, 300, 1500):
+    for size in (12, 60, 300, 1500, 4000):
         for _ in range(6):
             base = [rnd.choice("abcdefgh") + str(rnd.randrange(300)) for _ in range(size)]
             for edits in (0, size // 100, size // 60, size // 45, size // 40, size // 35, size // 20):
@@ -38,6 +38,19 @@ def near_copies():
     return rows
 
 
+def test_wide_bitmaps_never_differ_more_than_sets():
+    import numpy as np
+
+    from synframe.llm.near_text import WIDE, _apart, _wide
+
+    rnd = np.random.default_rng(4)
+    pool = np.unique(rnd.integers(0, 1 << 63, 9000).astype(np.uint64))
+    for n, m, both in ((1500, 1400, 1300), (2000, 2500, 1800), (4090, 4100, 4000), (3000, 3000, 0), (WIDE, WIDE + 1, WIDE)):
+        one, two = pool[:n], np.concatenate((pool[:both], pool[-(m - both) :]))
+        assert _apart(_wide(one), _wide(two)) <= n + m - 2 * both
+    assert 9 * _apart(_wide(pool[:3000]), _wide(pool[3000:6000])) > 6000 and _wide(pool[: WIDE - 1]) is None
+
+
 def test_components_against_all_pairs(spark):
     rows = near_copies()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
