@@ -25,6 +25,8 @@ def _small_star(e: DataFrame) -> DataFrame:
 
 #: Nodes that one task holds before it sends its forest on.
 HELD = 1_000_000
+#: Edges from which on rounds are needed; fewer fit into one task with room to spare and are finished there.
+FEW = 400_000
 
 
 def _forests(batches):
@@ -65,12 +67,14 @@ def _mark(e: DataFrame):
     return e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.xxhash64("v", "u").bitwiseAND(0xFFFFFFFF))).first()
 
 
-def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60, contract: bool = True) -> DataFrame:
+def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60, contract: bool = True, few: int = FEW) -> DataFrame:
     """``(node, component)`` for every node of ``edges``; component = smallest node reachable.
 
     Nulls in an end drop the edge; self loops give single-node components; an empty table gives none.
-    With ``contract`` each task first contracts its own edges (in Python). State is then at most one row per edge; each round is two aggregations and two equi-joins, and its result is
-    written to the shared folder, so that lineage stays short and lost executors cost one round.
+    With ``contract`` each task first contracts its own edges (in Python). State is then at most one row per edge; each round is two
+    aggregations and two equi-joins, and its result is written to the shared folder, so that lineage stays short and lost executors cost
+    one round. As soon as no more than ``few`` edges are left (at once, for most inputs), a single task finishes them by union and find:
+    the components are the same either way.
     """
     spark = edges.sparkSession
     kept = Written(spark, "cc")
@@ -78,10 +82,14 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     base, base_path = kept.put(base.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     loops = base.filter("u = v").select("u")
     cur, old = base.filter("u <> v"), None
-    if contract:
+    if contract and base.limit(few + 1).count() > few:
         cur, old = kept.put(cur.mapInArrow(lean(_forests), "u long, v long").distinct())
     seen = _mark(cur)
-    for _ in range(max_rounds if seen[0] else 0):
+    for _ in range(max_rounds):
+        if seen[0] <= min(few, HELD // 2):
+            if seen[0]:
+                cur, _ = kept.put(cur.repartition(1).mapInArrow(lean(_forests), "u long, v long"))
+            break
         step = _small_star(_large_star(cur).filter("u <> v").distinct()).filter("u <> v").distinct()
         nxt, path = kept.put(step)
         kept.drop(old)
@@ -91,8 +99,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
             break
         seen = mark
     else:
-        if seen[0]:
-            raise RuntimeError("components did not settle")
+        raise RuntimeError("components did not settle")
     out = cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
     out = out.unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("component")))
     out = out.unionByName(loops.select(F.col("u").alias("node"), F.col("u").alias("component")))
