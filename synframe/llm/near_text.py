@@ -68,57 +68,72 @@ def similar(common: int, a: int, b: int) -> bool:
     return 9 * common >= 4 * (a + b)
 
 
-def shingled(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp, sid, n, sig, wide, h)``: fingerprint, set, and the set's id, size and parity bitmaps."""
+def _texts(docs: DataFrame) -> DataFrame:
+    """``(doc_id, tk, text)``: tk is a hash of the text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tk"), text.alias("text"))
+
+
+def _sid(h: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(h.tobytes(), simhash.SEED)
+
+
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values).view(np.int64)))
+
+
+def _long(x) -> pa.Array:
+    return pa.array(np.array(x, np.uint64).view(np.int64))
+
+
+def _sets(texts: DataFrame, each, schema: str, shingle: int) -> DataFrame:
+    """``each(batch, sets)`` for small batches of rows ``(doc_id, tk, text)``."""
 
     def run(batches):
         for b in batches:
             for k in range(0, b.num_rows, 1024):
                 part = b.slice(k, 1024)
-                text = part.column(1).cast(pa.binary()).to_pylist()
-                sets = [shingles(t, shingle) for t in text]
-                fp = np.array([simhash.fingerprint(t) for t in text], np.uint64).view(np.int64)
-                sid = np.array([xxhash.xxh64_intdigest(h.tobytes(), simhash.SEED) for h in sets], np.uint64).view(np.int64)
-                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                h = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
-                cols = [part.column(0), pa.array(fp), pa.array(sid), pa.array(np.diff(ends)), pa.array([_parity(x) for x in sets], pa.binary()), pa.array([_wide(x) for x in sets], pa.binary()), h]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "fp", "sid", "n", "sig", "wide", "h"])
-
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return text.mapInArrow(lean(run), "doc_id long, fp long, sid long, n int, sig binary, wide binary, h array<long>")
-
-
-def _frequent(sets: DataFrame) -> np.ndarray:
-    """Frequent shingles of a sample, the most frequent last."""
-    share = min(1.0, SAMPLE / max(1, sets.count()))
-    some = sets.select("sid", "h").filter(F.pmod(F.xxhash64("sid"), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.explode("h").alias("k"))
+                yield each(part, [shingles(t, shingle) for t in part.column(2).cast(pa.binary()).to_pylist()])
+
+    return texts.mapInArrow(lean(run), schema)
+
+
+def members(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """``(sid, h)``: the sets of the texts and their ids."""
+    each = lambda b, sets: pa.RecordBatch.from_arrays([_long([_sid(h) for h in sets]), _lists(sets)], names=["sid", "h"])
+    return _sets(texts, each, "sid long, h array<long>", shingle)
+
+
+def _frequent(texts: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
+    """Frequent shingles of a sample of different texts, the most frequent last."""
+    share = min(1.0, SAMPLE / max(1, texts.count()))
+    some = texts.filter(F.pmod(F.col("tk"), F.lit(1_000_000)) < int(share * 1_000_000)).dropDuplicates(["tk"])
     least = max(10, int(SAMPLE * FREQUENT))
-    rows = some.groupBy("k").count().filter(F.col("count") >= least).orderBy(F.desc("count"), "k").limit(MOST).collect()
+    per = members(some, shingle).select(F.explode("h").alias("k")).groupBy("k").count().filter(F.col("count") >= least)
+    rows = per.orderBy(F.desc("count"), "k").limit(MOST).collect()
     return np.array([r.k for r in rows[::-1]], np.int64).view(np.uint64)
 
 
-def _lists(sets: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``(k, sid, n)`` of the prefix lists."""
+def shingled(texts: DataFrame, frequent: np.ndarray, shingle: int = SHINGLE) -> DataFrame:
+    """``(doc_id, tk, fp, sid, n, sig, wide, p)``: fingerprint, the set's id, size and parity bitmaps, and its prefix."""
     by = np.argsort(frequent)
     keys = frequent[by]
 
-    def run(batches):
-        for b in batches:
-            sid, n = b.column(0).to_numpy(), b.column(1).to_numpy()
-            ends, flat = b.column(2).offsets.to_numpy(), b.column(2).values.to_numpy().view(np.uint64)
-            out = []
-            for i in range(len(sid)):
-                h = flat[ends[i] : ends[i + 1]]
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                    hot = keys[at] == h
-                    h = np.concatenate((h[~hot], frequent[np.sort(by[at[hot]])]))
-                out.append(h[: n[i] // 5 + 1])
-            size = [len(x) for x in out]
-            if sum(size):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(sid, size)), pa.array(np.repeat(n, size))], names=["k", "sid", "n"])
-
-    return sets.filter("n > 0").select("sid", "n", "h").mapInArrow(run, "k long, sid long, n int")
+    def prefix(h):
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            hot = keys[at] == h
+            h = np.concatenate((h[~hot], frequent[np.sort(by[at[hot]])]))
+        return h[: len(h) // 5 + 1]
+
+    def each(b, sets):
+        fp = _long([simhash.fingerprint(t) for t in b.column(2).cast(pa.binary()).to_pylist()])
+        cols = [b.column(0), b.column(1), fp, _long([_sid(h) for h in sets]), pa.array(np.array([len(h) for h in sets], np.int32))]
+        cols += [pa.array([_parity(x) for x in sets], pa.binary()), pa.array([_wide(x) for x in sets], pa.binary()), _lists([prefix(h) for h in sets])]
+        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "tk", "fp", "sid", "n", "sig", "wide", "p"])
+
+    return _sets(texts, each, "doc_id long, tk long, fp long, sid long, n int, sig binary, wide binary, p array<long>", shingle)
 
 
 def _by_list(df: DataFrame, order: list[str], each, schema: str) -> DataFrame:
@@ -201,10 +216,12 @@ def _narrowed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(lean(run), "a long, b long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, kept: Written) -> DataFrame:
-    """The similar ones of the pairs of set ids."""
+def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, kept: Written, shingle: int) -> DataFrame:
+    """The similar ones of the pairs of set ids; whole sets are made again, for the texts of pairs only."""
     need = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    need = kept.cut(sets.select("sid", "h").join(need, "sid", "left_semi").dropDuplicates(["sid"]))
+    need = sets.select("sid", "tk").join(need, "sid", "left_semi").groupBy("sid").agg(F.min("tk").alias("tk"))
+    need = texts.join(need.select("tk").distinct(), "tk", "left_semi").dropDuplicates(["tk"]).select("doc_id", "tk", "text")
+    need = kept.cut(members(need, shingle).dropDuplicates(["sid"]))
     both = pairs.join(need.select(F.col("sid").alias("a"), F.col("h").alias("ha")), "a").join(need.select(F.col("sid").alias("b"), F.col("h").alias("hb")), "b").select("a", "b", "ha", "hb")
 
     def run(batches):
@@ -223,17 +240,19 @@ def text_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``(doc_id, component_id)`` for every document: smallest doc_id among texts linked by fingerprints or similar sets."""
     bound_text_batches(docs.sparkSession)
     kept = Written(docs.sparkSession, "near")
-    sets = kept.cut(shingled(docs, shingle))
+    texts = _texts(docs)
+    sets = kept.cut(shingled(texts, _frequent(texts, shingle), shingle))
     named = kept.cut(simhash.named_fingerprints(sets.select("doc_id", "fp"), kept))
     of_set = sets.select("sid", "fp", "sig").join(named.select("fp", "label"), "fp")
     # texts of equal sets may have different fingerprints
     one = kept.cut(of_set.groupBy("sid").agg(F.min("label").alias("label"), F.max("label").alias("other"), F.first("sig").alias("sig")))
     equal = of_set.select("sid", F.col("label").alias("v")).join(one.filter("label <> other").select("sid", F.col("label").alias("u")), "sid").filter("u <> v").select("u", "v")
-    lists = kept.cut(_by_list(_lists(sets, _frequent(sets)), ["sid"], _shared, "k long, sid long, n int"))
+    prefixes = sets.filter("n > 0").select(F.explode("p").alias("k"), "sid", "n")
+    lists = kept.cut(_by_list(prefixes, ["sid"], _shared, "k long, sid long, n int"))
     lists = lists.join(one.select("sid", "label", "sig"), "sid").select("k", "sid", "n", "label", "sig")
     pairs = kept.cut(_by_list(lists, ["n", "sid"], _candidates, "a long, b long").distinct())
     pairs = kept.cut(_narrowed(pairs, sets))
-    found = _verified(pairs, sets, kept)
+    found = _verified(pairs, sets, texts, kept, shingle)
     to = one.select("sid", "label")
     found = found.join(to.select(F.col("sid").alias("a"), F.col("label").alias("u")), "a").join(to.select(F.col("sid").alias("b"), F.col("label").alias("v")), "b").select("u", "v")
     joined = connected_components(found.unionByName(equal), "u", "v", contract=False).select(F.col("node").alias("label"), "component")
