@@ -134,14 +134,16 @@ def edge_distances(graph: DataFrame, rank: DataFrame) -> DataFrame:
 
 
 def repeat_contexts(blocks: DataFrame, repeats: DataFrame, reach: int = 5) -> DataFrame:
-    """up to five signed neighbours on each side of every repeat instance, seen along its own strand."""
+    """up to five signed neighbours on each side of every repeat instance, seen along its own strand; ``pos`` is its place on the
+    sequence, from 0."""
     w = Window.partitionBy(*SEQ).orderBy(*ORDER)
     left = F.collect_list(signed()).over(w.rowsBetween(-reach, -1))
     right = F.collect_list(signed()).over(w.rowsBetween(1, reach))
-    b = blocks.select(*SEQ, "block_id", "sign", "bstart", left.alias("l"), right.alias("r")).join(repeats, "block_id", "left_semi")
+    pos = (F.row_number().over(w) - 1).cast("long")
+    b = blocks.select(*SEQ, "block_id", "sign", "bstart", pos.alias("pos"), left.alias("l"), right.alias("r")).join(repeats, "block_id", "left_semi")
     flip = lambda c: F.reverse(F.transform(c, lambda x: -x))
     plus = F.col("sign") > 0
-    return b.select("genome", "chr", "block_id", "bstart", F.when(plus, F.col("l")).otherwise(flip("r")).alias("left"), F.when(plus, F.col("r")).otherwise(flip("l")).alias("right"))
+    return b.select("genome", "chr", "block_id", "bstart", "pos", "sign", F.when(plus, F.col("l")).otherwise(flip("r")).alias("left"), F.when(plus, F.col("r")).otherwise(flip("l")).alias("right"))
 
 
 def unique_contexts(contexts: DataFrame) -> DataFrame:

@@ -12,8 +12,6 @@ from synframe.operators.phylogeny import parsimony, rate
 from synframe.runtime import Written
 from synframe.sources.recipe import Tree, parse_newick
 
-MAX_PATH = 30
-
 
 def weighted_graph(graph: DataFrame, tree: Tree | str, target: str) -> DataFrame:
     """``(a, b, weight)``: for each node the parsimony cost of giving the target each candidate neighbour, as a share
@@ -82,30 +80,42 @@ def infer_adjacencies(graph: DataFrame, matched: DataFrame, rank: DataFrame) ->
     return one.unionByName(j.select(F.col("b").alias("node"), F.col("a").alias("block"), "distance", "supporting", "infinity"))
 
 
-def alternating_path(edges: dict[int, dict[int, set[str]]], u: int, v: int, target: str, longest: int = MAX_PATH) -> int | None:
+def alternating_path(edges: dict[int, dict[int, set[str]]], u: int, v: int, target: str) -> int | None:
     """Half the nodes of a shortest alternating path u..v of more than two nodes: odd steps on edges of a reference, all of
-    them of one genome; even steps on target-only edges. None if there is none within ``longest`` nodes."""
-    level = [((u,), None)]
-    while level and len(level[0][0]) < longest:
-        nxt = []
-        for path, common in level:
-            odd = len(path) % 2 == 1
-            for n, colours in sorted(edges[path[-1]].items()):
-                if n in path:
-                    continue
-                if odd:
-                    if path == (u,) and n == v:
-                        continue
-                    own = colours - {target} if common is None else common & colours
-                    if not own:
-                        continue
-                    if n == v:
-                        return (len(path) + 1) // 2
-                    nxt.append(((*path, n), frozenset(own)))
-                elif colours == {target} and n != v:
-                    nxt.append(((*path, n), common))
-        level = nxt
-    return None
+    them of one genome; even steps on target-only edges. None if there is none. ``edges`` or an index of them."""
+    index = edges if isinstance(edges, ColourIndex) else ColourIndex(edges, target)
+    found = [n for g in index.genomes if (n := index.steps(g, u, v)) is not None]
+    return min(found) if found else None
+
+
+class ColourIndex:
+    """Neighbours by genome and by target-only edges. Each genome is searched by itself, breadth first over (node, parity): every
+    state is seen once, so a search is linear in the component however long the path."""
+
+    def __init__(self, edges: dict[int, dict[int, set[str]]], target: str):
+        self.by: dict[str, dict[int, list[int]]] = {}
+        self.only: dict[int, list[int]] = {}
+        for a, near in edges.items():
+            for b, colours in sorted(near.items()):
+                for g in colours - {target}:
+                    self.by.setdefault(g, {}).setdefault(a, []).append(b)
+                if colours == {target}:
+                    self.only.setdefault(a, []).append(b)
+        self.genomes = sorted(self.by)
+
+    def steps(self, genome: str, u: int, v: int) -> int | None:
+        level, seen, n = [u], {(u, 0), (u, 1)}, 1
+        while level:
+            odd, nxt = n % 2 == 1, []
+            for x in level:
+                for y in (self.by[genome] if odd else self.only).get(x, ()):
+                    if odd and y == v and n > 1:
+                        return (n + 1) // 2
+                    if y != v and (y, n % 2) not in seen:
+                        seen.add((y, n % 2))
+                        nxt.append(y)
+            level, n = nxt, n + 1
+        return None
 
 
 def chimeric_edges(graph: DataFrame, target: str) -> DataFrame:
@@ -121,7 +131,8 @@ def chimeric_edges(graph: DataFrame, target: str) -> DataFrame:
         for a, b, g in zip(f["a"], f["b"], f["genomes"], strict=True):
             near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = set(g)
         ask = [(a, b) for a, b, q in zip(f["a"], f["b"], f["asked"], strict=True) if q is True or q == True and q is not None]  # noqa: E712
-        return pd.DataFrame([(a, b, alternating_path(near, a, b, target) is not None) for a, b in ask], columns=["a", "b", "good"])
+        index = ColourIndex(near, target)
+        return pd.DataFrame([(a, b, alternating_path(index, a, b, target) is not None) for a, b in ask], columns=["a", "b", "good"])
 
     return todo.groupBy("component").applyInPandas(run, "a long, b long, good boolean")
 

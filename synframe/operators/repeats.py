@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from synframe.operators.matching import best_matching
 from synframe.operators.phylogeny import VOID, leaves_depth_first, parsimony, rate
+from synframe.runtime import Written
 from synframe.sources.recipe import Tree, parse_newick
 
+# Scores of a context alignment.
 GAP = -2
+MATCH, REPEAT_MATCH = 2, 1
+KEY = ("genome", "chr", "bstart", "pos", "sign")
+MATCHED = "block_id long, profile int, genome string, chr string, bstart long, pos long, sign int, kind string, score double"
 
 
 def align(one: list[int], two: list[int], repeats: set[int], same_length: bool) -> int:
@@ -22,90 +27,151 @@ def align(one: list[int], two: list[int], repeats: set[int], same_length: bool)
         new = [0 if not same_length else GAP * i]
         for j in range(1, m + 1):
             a, b = one[i - 1], two[j - 1]
-            unit = 1 if abs(a) in repeats or abs(b) in repeats else 2
+            unit = REPEAT_MATCH if abs(a) in repeats or abs(b) in repeats else MATCH
             new.append(max(row[j - 1] + (unit if a == b else -unit), row[j] + GAP, new[j - 1] + GAP))
         row = new
     return row[m]
 
 
 def score(a: dict, b: dict, repeats: set[int], same_length: bool) -> int:
-    """Sum over both sides; the right context is read from its far end."""
+    """Sum over both sides; the right context is read from its far end. A second context without neighbours scores 0."""
+    if not b["left"] and not b["right"]:
+        return 0
     return align(a["left"], b["left"], repeats, same_length) + align(a["right"][::-1], b["right"][::-1], repeats, same_length)
 
 
-def match_profiles(contexts: DataFrame, repeats: DataFrame, tree: Tree | str, target: str, legacy_profiles: bool = False, drafts: list[str] | tuple = ()) -> DataFrame:
-    """J28 (1)-(3) and the first half of (4): ``(block_id, profile, genome, chr, bstart, score)``: reference contexts matched genome by genome into profiles, kept
-    where parsimony wants them in the target, and the target's contexts matched to them. One repeat id is one group. Not built of (4): contexts of all-repeat contigs taking part
-    #profiles times with a score of 0 or more; each context is matched once, with a score above 0. An absent draft is VOID."""
+def mean_score(profile: list[dict], b: dict, repeats: set[int], same_length: bool) -> float:
+    """I10."""
+    return sum(score(x, b, repeats, same_length) for x in profile) / len(profile)
+
+
+def match_profiles(contexts: DataFrame, repeats: DataFrame, tree: Tree | str, target: str, legacy_profiles: bool = False, drafts: list[str] | tuple = (), repetitive: DataFrame | None = None) -> DataFrame:
+    """J28 (1)-(4). Reference contexts are matched genome by genome into profiles, those kept that parsimony wants in the target (an
+    absent draft is VOID), and the target's contexts matched to them: a context of a contig with a unique block once, with a score
+    above 0; contexts of all-repeat contigs (``repetitive``: chr) without an identical twin as often as there are profiles, with a
+    score of 0 or more. One repeat id is one group. Rows of kind ``reference`` are the members of the kept profiles, those of kind
+    ``unique`` and ``repeat`` the target's contexts matched to them."""
     tree = parse_newick(tree) if isinstance(tree, str) else tree
     mu, order = rate(tree), [g for g in leaves_depth_first(tree) if g != target]
     # the repeats that occur in a block's own contexts travel with it
     near = contexts.withColumn("near", F.array_distinct(F.transform(F.concat("left", "right"), lambda x: F.abs(x))))
     named = near.select("block_id", F.explode("near").alias("r")).distinct().join(repeats.select(F.col("block_id").alias("r")).distinct(), "r").groupBy("block_id").agg(F.collect_list("r").alias("reps"))
-    rows = contexts.join(named, "block_id", "left")
+    rows = contexts.join(named, "block_id", "left").withColumn("free", F.lit(False))
+    if repetitive is not None:
+        mark = repetitive.select("chr", F.lit(target).alias("genome"), F.lit(True).alias("_f")).distinct()
+        rows = rows.join(mark, ["genome", "chr"], "left").withColumn("free", F.coalesce("_f", F.lit(False))).drop("_f")
 
     def pairs(left, right, value):
-        w = {}
-        for i, p in enumerate(left):
-            for j, c in enumerate(right):
-                v = value(p, c)
-                if v is not None:
-                    w[2 * i, 2 * j + 1] = -v
-        return [(a // 2, b // 2) if a % 2 == 0 else (b // 2, a // 2) for a, b in best_matching(w)]
+        w = {(i, len(left) + j): -v for i, p in enumerate(left) for j, c in enumerate(right) if (v := value(p, c)) is not None}
+        return [(a, b - len(left)) for a, b in best_matching(w)]
+
+    def above(x):
+        return x if x > 0 else None
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        reps = set(f["reps"].iloc[0]) if f["reps"].iloc[0] is not None else set()
-        reps.add(int(f["block_id"].iloc[0]))
+        own = int(f["block_id"].iloc[0])
+        reps = {own, *(f["reps"].iloc[0] if f["reps"].iloc[0] is not None else ())}
         by: dict[str, list] = {}
-        for g, c, s, left, right in sorted(f[["genome", "chr", "bstart", "left", "right"]].itertuples(index=False, name=None), key=lambda x: x[:3]):
-            by.setdefault(g, []).append({"genome": g, "chr": c, "bstart": s, "left": list(left), "right": list(right)})
+        for r in sorted(f[[*KEY, "left", "right", "free"]].itertuples(index=False, name=None), key=lambda x: x[:3]):
+            by.setdefault(r[0], []).append(dict(zip(KEY, r, strict=False)) | {"left": list(r[5]), "right": list(r[6]), "free": bool(r[7])})
         have = [g for g in order if g in by]
-        if not have:
-            return pd.DataFrame([], columns=["block_id", "profile", "genome", "chr", "bstart", "score"])
-        profiles = [[c] for c in by[have[0]]]
+        profiles = [[c] for c in by[have[0]]] if have else []
         grown = [list(p) for p in profiles]
         for g in have[1:]:
-
-            def value(p, c):
-                v = sum(score(x, c, reps, True) for x in p) / len(p)
-                return v if v > 0 else None
-
-            for i, j in pairs(profiles if legacy_profiles else grown, by[g], value):
+            for i, j in pairs(profiles if legacy_profiles else grown, by[g], lambda p, c: above(mean_score(p, c, reps, True))):
                 grown[i].append(by[g][j])
-        use = profiles if legacy_profiles else grown
         kept = []
-        for p in use:
+        for p in profiles if legacy_profiles else grown:
             states = {g: True if any(c["genome"] == g for c in p) else VOID if g in drafts else False for g in order}
             if parsimony(tree, states | {target: True}, mu) < parsimony(tree, states | {target: False}, mu):
                 kept.append(p)
-
-        def to_target(p, c):
-            v = sum(score(x, c, reps, False) for x in p) / len(p)
-            return v if v > 0 else None
-
-        out = []
-        found = {i: j for i, j in pairs(kept, by.get(target, []), to_target)}
+        out = [(own, i, *(c[k] for k in KEY), "reference", None) for i, p in enumerate(kept) for c in p]
+        mine = by.get(target, [])
+        unique = [c for c in mine if not c["free"]]
+        sides = [(c["left"], c["right"]) for c in mine if c["free"]]
+        lone = [c for c in mine if c["free"] and sides.count((c["left"], c["right"])) == 1]
+        value = {(i, len(kept) + j): v for i, p in enumerate(kept) for j, c in enumerate(unique) if (v := above(mean_score(p, c, reps, False))) is not None}
+        # there is a copy of each context of an all-repeat contig for every profile, so that each has its own best one
+        best = {}
         for i, p in enumerate(kept):
-            out += [(c["genome"], i, c["chr"], c["bstart"], None) for c in p]
-            if i in found:
-                c = by[target][found[i]]
-                out.append((target, i, c["chr"], c["bstart"], to_target(p, c)))
-        own = int(f["block_id"].iloc[0])
-        return pd.DataFrame([(own, i, g, c, s, v) for g, i, c, s, v in out], columns=["block_id", "profile", "genome", "chr", "bstart", "score"])
+            v, j = max(((mean_score(p, c, reps, False), -j) for j, c in enumerate(lone)), default=(-1, 0))
+            if v >= 0:
+                best[i] = lone[-j]
+                value[i, len(kept) + len(unique) + i] = v
+        for i, j in best_matching({e: -v for e, v in value.items()}):
+            c, kind = (unique[j - len(kept)], "unique") if j < len(kept) + len(unique) else (best[i], "repeat")
+            out.append((own, i, *(c[k] for k in KEY), kind, value[i, j]))
+        return pd.DataFrame(out, columns=["block_id", "profile", *KEY, "kind", "score"])
+
+    return rows.groupBy("block_id").applyInPandas(run, MATCHED)
+
+
+def split_by_instance(matches: list[dict], size: int) -> list[list[dict]]:
+    """J28 (5): matches of one contig of ``size`` blocks as copies of it. By position, a match extends the first copy whose last match
+    agrees with it in chromosome, relative sign and shift of every genome that their profiles share. Copies of more than half of
+    the contig's blocks stay. A match: pos, sign and refs {genome: (chr, pos, sign)}."""
+    if size == 1:
+        return [[m] for m in matches]
+
+    def agree(a, b):
+        both = a["refs"].keys() & b["refs"].keys()
+        for g in both:
+            (c1, p1, s1), (c2, p2, s2) = a["refs"][g], b["refs"][g]
+            if c1 != c2 or a["sign"] * s1 != b["sign"] * s2 or (p2 - p1) * a["sign"] * s1 != b["pos"] - a["pos"]:
+                return False
+        return bool(both)
+
+    groups: list[list[dict]] = []
+    for pos in sorted({m["pos"] for m in matches}):
+        left = [m for m in matches if m["pos"] == pos]
+        for g in groups:
+            nxt = next((m for m in left if agree(g[-1], m)), None)
+            if nxt is not None:
+                left.remove(nxt)
+                g.append(nxt)
+        groups += [[m] for m in left]
+    return [g for g in groups if len(g) > size // 2]
+
+
+def contig_copies(blocks: DataFrame, matched: DataFrame, target: str) -> DataFrame:
+    """J28 (5): ``(chr, copy, pos, block_id, profile)``: the copies of all-repeat contigs and their matched blocks. One contig at a time."""
+    refs = matched.filter("kind = 'reference'").groupBy("block_id", "profile").agg(F.collect_list(F.struct("genome", "chr", "pos", F.col("sign").alias("s"))).alias("refs"))
+    size = blocks.filter(F.col("genome") == target).groupBy("chr").agg(F.count("*").alias("size"))
+    rows = matched.filter("kind = 'repeat'").select("chr", "block_id", "profile", "pos", "sign").join(refs, ["block_id", "profile"]).join(size, "chr")
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for b, p, pos, sign, own in sorted(f[["block_id", "profile", "pos", "sign", "refs"]].itertuples(index=False, name=None), key=lambda x: (x[2], x[0], x[1])):
+            found.append({"block_id": b, "profile": p, "pos": pos, "sign": sign, "refs": {r["genome"]: (r["chr"], r["pos"], r["s"]) for r in own}})
+        name = f["chr"].iloc[0]
+        out = [(name, i, m["pos"], m["block_id"], m["profile"]) for i, g in enumerate(split_by_instance(found, int(f["size"].iloc[0])), 1) for m in g]
+        return pd.DataFrame(out, columns=["chr", "copy", "pos", "block_id", "profile"])
 
-    return rows.groupBy("block_id").applyInPandas(run, "block_id long, profile int, genome string, chr string, bstart long, score double")
+    return rows.groupBy("chr").applyInPandas(run, "chr string, copy int, pos long, block_id long, profile int")
 
 
 def resolve_repeats(blocks: DataFrame, matched: DataFrame, target: str) -> DataFrame:
-    """In place of J28 (5)-(6), which are not built (copies of all-repeat contigs with fresh repeat ids): instances of a matched profile get a fresh block id in the target and in the references; ids are dense above the
-    largest one in use. Unmatched instances keep theirs."""
-    hit = matched.filter(F.col("genome") == target).select("block_id", "profile").distinct()
+    """J28 (6): the blocks with every copied contig replaced by its copies, named ``chr@copy``; ``origin`` is the contig's own name. The
+    matched blocks of a copy get fresh ids above the largest in use, their instances in the references the same ones."""
+    kept = Written(blocks.sparkSession, "repeats")
+    blocks, matched = kept.cut(blocks.select("genome", "chr", "block_id", "sign", "bstart", "bend")), kept.cut(matched)
+    copies = kept.cut(contig_copies(blocks, matched, target))
+    # fresh ids are dense: ranks within buckets of contigs, after the counts of the buckets before
     top = blocks.agg(F.max("block_id").alias("top"))
-    from pyspark.sql import Window
-
-    per = hit.groupBy("block_id").agg(F.count("*").alias("n"))
-    base = per.withColumn("b", F.coalesce(F.sum("n").over(Window.orderBy("block_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("block_id", "b")
-    fresh = hit.withColumn("r", F.row_number().over(Window.partitionBy("block_id").orderBy("profile"))).join(base, "block_id").crossJoin(F.broadcast(top)).select("block_id", "profile", (F.col("top") + F.col("b") + F.col("r")).alias("new_id"))
-    inst = matched.join(fresh, ["block_id", "profile"]).select("genome", "chr", "block_id", "bstart", "new_id").dropDuplicates(["genome", "chr", "block_id", "bstart"])
-    j = blocks.join(inst, ["genome", "chr", "block_id", "bstart"], "left")
-    return j.select("genome", "chr", F.coalesce("new_id", "block_id").alias("block_id"), "sign", "bstart", "bend")
+    c = copies.withColumn("bucket", F.pmod(F.xxhash64("chr"), F.lit(256)))
+    base = c.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("chr", "copy", "pos"))
+    c = c.withColumn("r", rank).join(base.select("bucket", "base"), "bucket").crossJoin(F.broadcast(top))  # one row
+    fresh = kept.cut(c.select("chr", "copy", "pos", "block_id", "profile", (F.col("top") + F.col("base") + F.col("r")).alias("new_id")))
+
+    ref = matched.filter("kind = 'reference'").join(fresh.select("block_id", "profile", "new_id"), ["block_id", "profile"])
+    mine = F.col("genome") == target
+    others = blocks.filter(~mine).join(ref.select("genome", "chr", "bstart", "block_id", "new_id"), ["genome", "chr", "bstart", "block_id"], "left")
+    others = others.select("genome", "chr", F.coalesce("new_id", "block_id").alias("block_id"), "sign", "bstart", "bend", F.col("chr").alias("origin"))
+    w = Window.partitionBy("chr").orderBy("bstart", "block_id")
+    own = blocks.filter(mine).withColumn("pos", (F.row_number().over(w) - 1).cast("long"))
+    names = fresh.select("chr", "copy").distinct()
+    same = own.join(names.select("chr").distinct(), "chr", "left_anti").select("genome", "chr", "block_id", "sign", "bstart", "bend", F.col("chr").alias("origin"))
+    new = own.join(names, "chr").join(fresh.select("chr", "copy", "pos", "new_id"), ["chr", "copy", "pos"], "left")
+    new = new.select("genome", F.concat("chr", F.lit("@"), "copy").alias("chr"), F.coalesce("new_id", "block_id").alias("block_id"), "sign", "bstart", "bend", F.col("chr").alias("origin"))
+    return others.unionByName(same).unionByName(new)

@@ -72,14 +72,23 @@ def scaffold_stage(blocks: DataFrame, target: str, drafts: list[str], tree: Tree
     """Chains of one stage and its breakpoint graph."""
     kept = Written(blocks.sparkSession, "stage")
     blocks = kept.cut(blocks)
+    origin = None
     if stage.repeats:
-        r = fl.repeat_blocks(blocks)
-        blocks = rp.resolve_repeats(blocks, rp.match_profiles(ad.repeat_contexts(blocks, r), r, tree, target, drafts=drafts), target)
-    clean = kept.cut(fl.clean_blocks(blocks, target, n_genomes, stage.ref_indels))
+        blocks = kept.cut(fl.filter_indels(blocks, target, n_genomes, stage.ref_indels))
+        r = kept.cut(fl.repeat_blocks(blocks))
+        pure = fl.sequence_uniqueness(blocks, r).filter((F.col("genome") == target) & F.col("all_repeats"))
+        blocks = kept.cut(rp.resolve_repeats(blocks, rp.match_profiles(ad.repeat_contexts(blocks, r), r, tree, target, drafts=drafts, repetitive=pure), target))
+        clean = kept.cut(fl.without_blocks(blocks.drop("origin"), r))
+        origin = blocks.filter((F.col("genome") == target) & (F.col("chr") != F.col("origin"))).select("chr", "origin").distinct()
+    else:
+        clean = kept.cut(fl.clean_blocks(blocks, target, n_genomes, stage.ref_indels))
     g = kept.cut(ad.breakpoint_graph(clean, target, drafts))
     known = g.filter((F.col("genome") == target)).select("a", "b").distinct()
     adj = inf.infer_adjacencies(g, inf.min_weight_matching(g, tree, target).unionByName(known).distinct(), ph.rank_table(blocks.sparkSession, tree, target))
-    return kept.cut(sc.build_chains(ad.contig_ends(clean, target), adj)), g
+    chains = sc.build_chains(ad.contig_ends(clean, target), adj)
+    if origin is not None:  # copies of a contig go by its own name again
+        chains = chains.join(origin, "chr", "left").withColumn("chr", F.coalesce("origin", "chr")).drop("origin")
+    return kept.cut(chains), g
 
 
 def run_scaffolding(

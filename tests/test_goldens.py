@@ -165,6 +165,51 @@ def test_chimera_and_alternating_path():
     assert inf.alternating_path(g, 1, 2, "t") is None
 
 
+def test_long_alternating_paths_explain_as_well():
+    n = 400  # a ring of 2n nodes: reference edges (2i, 2i + 1), target edges (2i + 1, 2i + 2)
+    g = {}
+    for i in range(n):
+        for a, b, c in ((2 * i, 2 * i + 1, "r"), (2 * i + 1, (2 * i + 2) % (2 * n), "t")):
+            g.setdefault(a, {})[b] = g.setdefault(b, {})[a] = {c}
+    assert inf.alternating_path(g, 0, 2 * n - 1, "t") == n
+    g[100][101] = g[101][100] = {"q"}
+    assert inf.alternating_path(g, 0, 2 * n - 1, "t") is None
+
+
+def test_overlap_joins_stop_at_contigs(spark):
+    ends = spark.createDataFrame([("a", 1, 2), ("b", 3, 4), ("c", 5, 6)], "chr string, left_end long, right_end long")
+    edges = [("+a", "+x"), ("+x", "-b"), ("-b", "+c"), ("+c", "+y"), ("+y", "+z")]
+    e = spark.createDataFrame([(x, y, 9) for x, y in edges], "src string, dst string, size int")
+    assert sorted(map(tuple, ov.overlap_joins(ends, e).collect())) == [(2, 4), (3, 5)]
+    assert ov.overlap_joins(ends, e, 1).collect()[0] == (3, 5)
+
+
+def test_refinement_searches_from_both_ends(spark):
+    import random
+
+    rnd = random.Random(2)
+    for steps in (1, 4, 7):
+        edges = {(f"+n{rnd.randrange(14)}", f"+n{rnd.randrange(14)}") for _ in range(22)}
+        e = spark.createDataFrame([(a, b, 5) for a, b in edges if a != b], "src string, dst string, size int")
+        pairs = [(f"+n{rnd.randrange(14)}", f"+n{rnd.randrange(14)}") for _ in range(8)]
+        links = spark.createDataFrame([("s", i, a, b) for i, (a, b) in enumerate(pairs) if a != b], "scf string, idx long, src string, dst string")
+        got = {}
+        for r in ov.surroundings(links, e, steps).collect():
+            got.setdefault(r.idx, set()).add(r.x)
+
+        def depths(start, way):
+            d, level = {start: 0}, [start]
+            while level:
+                level = [y for x in level for y in {p[way] for p in edges if p[1 - way] == x and p[0] != p[1]} if d.setdefault(y, d[x] + 1) == d[x] + 1]
+            return d
+
+        for i, (a, b) in enumerate(pairs):
+            if a != b:
+                f, w = depths(a, 1), depths(b, 0)
+                need = {x for x in f if x in w and f[x] + w[x] <= steps}
+                assert need <= got.get(i, set()) and bool(need) == (i in got)
+
+
 def test_simplify_joins_collinear_blocks(spark):
     rows = [(g, "c", i + 1, 1, 100 * i, 100 * i + 90) for g in ("x", "y") for i in range(4)]
     got = si.compress_paths(spark.createDataFrame(rows, BLOCKS), 20).collect()

@@ -1,11 +1,77 @@
-from synframe.operators.repeats import match_profiles
+from pyspark.sql import functions as F
+
+from synframe.operators import adjacency as ad
+from synframe.operators import filters as fl
+from synframe.operators.repeats import contig_copies, match_profiles, resolve_repeats, split_by_instance
+from synframe.plans.scaffolding import run_scaffolding
+
+BLOCKS = "genome string, chr string, block_id long, sign int, bstart long, bend long"
+TREE = "((t:1,r1:1):1,r2:1);"
+
+
+def rows_of(genome, chr_, ids):
+    return [(genome, chr_, abs(x), 1 if x > 0 else -1, 100 * i, 100 * i + 80) for i, x in enumerate(ids)]
+
+
+def matched(spark, rows):
+    b = spark.createDataFrame(rows, BLOCKS)
+    r = fl.repeat_blocks(b)
+    pure = fl.sequence_uniqueness(b, r).filter("genome = 't' and all_repeats")
+    return b, match_profiles(ad.repeat_contexts(b, r), r, TREE, "t", repetitive=pure)
 
 
 def test_absent_draft_is_void(spark):
-    rows = [("r1", "c", 5, 10, [1, 2], [3]), ("t", "x", 5, 10, [1, 2], [3])]
-    contexts = spark.createDataFrame(rows, "genome string, chr string, block_id long, bstart long, left array<long>, right array<long>")
+    rows = [("r1", "c", 5, 10, 2, 1, [1, 2], [3]), ("t", "x", 5, 10, 2, 1, [1, 2], [3])]
+    contexts = spark.createDataFrame(rows, "genome string, chr string, block_id long, bstart long, pos long, sign int, left array<long>, right array<long>")
     repeats = spark.createDataFrame([(5,)], "block_id long")
     tree = "(t:1,(r1:2,r2:1):1);"
     assert match_profiles(contexts, repeats, tree, "t").count() == 0
     got = match_profiles(contexts, repeats, tree, "t", drafts=["r2"]).collect()
-    assert sorted((r.genome, r.score) for r in got if r.score is not None) == [("t", 6.0)] and len(got) == 2
+    assert sorted((r.genome, r.kind, r.score) for r in got if r.score is not None) == [("t", "unique", 6.0)] and len(got) == 2
+
+
+def test_all_repeat_contig_is_copied_for_every_profile(spark):
+    ref = [1, 2, 9, 3, 4, 5, 6, -9, 7, 8]
+    rows = [x for g in ("r1", "r2") for x in rows_of(g, "chr", ref)]
+    rows += rows_of("t", "a", [1, 2]) + rows_of("t", "b", [3, 4, 5, 6]) + rows_of("t", "c", [7, 8]) + rows_of("t", "rep", [9])
+    b, m = matched(spark, rows)
+    assert sorted((r.genome, r.profile, r.kind, r.pos) for r in m.collect()) == [("r1", 0, "reference", 2), ("r1", 1, "reference", 7), ("r2", 0, "reference", 2), ("r2", 1, "reference", 7), ("t", 0, "repeat", 0), ("t", 1, "repeat", 0)]
+    out = resolve_repeats(b, m, "t").collect()
+    copies = sorted((r.chr, r.block_id, r.sign, r.origin) for r in out if r.genome == "t" and r.origin == "rep")
+    assert copies == [("rep@1", 10, 1, "rep"), ("rep@2", 11, 1, "rep")]
+    for g in ("r1", "r2"):
+        own = [(r.block_id, r.sign) for r in sorted((r for r in out if r.genome == g), key=lambda r: r.bstart)]
+        assert own == [(1, 1), (2, 1), (10, 1), (3, 1), (4, 1), (5, 1), (6, 1), (11, -1), (7, 1), (8, 1)]
+    # the run places the contig twice
+    seqs = b.groupBy("genome", "chr").agg((F.max("bend") + 20).alias("seq_len"))
+    done = run_scaffolding(spark, {50: b}, seqs, "t", ["r1", "r2"], [], TREE, resolve_repeats=True)["contigs"]
+    got = [(r.chr, r.sign) for r in done.orderBy("scf", "idx").collect()]
+    want = [("a", 1), ("rep", 1), ("b", 1), ("rep", -1), ("c", 1)]
+    assert got in (want, [(c, -s) for c, s in reversed(want)])
+
+
+def test_unique_contexts_are_matched_but_not_copied(spark):
+    ref = [1, 2, 9, 3, 4, 5, 6, 9, 7, 8]
+    rows = [x for g in ("r1", "r2") for x in rows_of(g, "chr", ref)] + rows_of("t", "a", [1, 2, 9, 3]) + rows_of("t", "c", [5, 6, 9, 7])
+    b, m = matched(spark, rows)
+    assert sorted((r.profile, r.chr) for r in m.filter("kind = 'unique'").collect()) == [(0, "a"), (1, "c")]
+    assert contig_copies(b, m, "t").count() == 0
+    assert sorted(map(tuple, resolve_repeats(b, m, "t").drop("origin").collect())) == sorted(rows)
+
+
+def test_twin_contexts_take_no_part(spark):
+    ref = [1, 2, 9, 3, 4, 5, 6, 9, 7, 8]
+    rows = [x for g in ("r1", "r2") for x in rows_of(g, "chr", ref)] + rows_of("t", "x", [9]) + rows_of("t", "y", [9]) + rows_of("t", "a", [1, 2, 3])
+    assert matched(spark, rows)[1].filter("genome = 't'").count() == 0
+
+
+def test_copies_need_agreeing_profiles():
+    def m(pos, refs, sign=1):
+        return {"pos": pos, "sign": sign, "refs": refs}
+
+    a0, a1, a2 = (m(i, {"r": ("c", 10 + i, 1)}) for i in range(3))
+    b0, b1 = (m(i, {"r": ("c", 30 - i, -1)}) for i in range(2))
+    far, other = m(1, {"r": ("c", 99, 1)}), m(1, {"q": ("c", 11, 1)})
+    assert split_by_instance([a0, a1, a2, b0, b1], 3) == [[a0, a1, a2], [b0, b1]]
+    assert split_by_instance([a0, far, other], 2) == []
+    assert split_by_instance([a0, b0], 1) == [[a0], [b0]]
