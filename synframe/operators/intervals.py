@@ -125,14 +125,19 @@ def fix_gaps(contigs: DataFrame) -> DataFrame:
     return c.withColumn("trim_left", F.coalesce(F.lag("_t").over(w), F.lit(0)).cast("long")).select("scf", "idx", "trim_left", "trim_right", "gap")
 
 
-def n50(lengths: DataFrame, salt: int = 64) -> DataFrame:
+def n50(lengths: DataFrame) -> DataFrame:
     """First length, in falling order, at which the running sum exceeds half of the total (integer division).
 
-    Lengths are counted first, so the running sum goes over distinct lengths."""
-    h = lengths.groupBy("size").agg((F.sum("size")).alias("mass"))
-    total = h.agg(F.sum("mass").alias("total"))
-    run = h.withColumn("run", F.sum("mass").over(Window.orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, 0)))
-    return run.crossJoin(F.broadcast(total)).filter(F.col("run") > F.floor(F.col("total") / 2)).agg(F.max("size").alias("n50"), F.max("total").alias("total"))
+    The running sum goes over classes of 65,536 lengths, and then over the distinct lengths of the class that it ends in."""
+    size = F.col("size").cast("long")
+    down = lambda c: Window.orderBy(F.col(c).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    big = lengths.groupBy(F.shiftright(size, 16).alias("b")).agg(F.sum(size).alias("mass"))
+    total = big.agg(F.sum("mass").alias("total"))
+    run = big.withColumn("run", F.sum("mass").over(down("b"))).crossJoin(F.broadcast(total)).filter(F.col("run") > F.floor(F.col("total") / 2))
+    at = run.agg(F.max_by(F.struct("b", (F.col("run") - F.col("mass")).alias("above"), "total"), "b").alias("at")).select("at.*")
+    h = lengths.select(size.alias("size")).join(F.broadcast(at), F.shiftright("size", 16) == F.col("b")).groupBy("size", "above", "total").agg(F.sum("size").alias("mass"))
+    h = h.withColumn("run", F.col("above") + F.sum("mass").over(down("size")))
+    return h.filter(F.col("run") > F.floor(F.col("total") / 2)).agg(F.max("size").alias("n50"), F.max("total").alias("total"))
 
 
 def assembly_statistics(contigs: DataFrame) -> DataFrame:

@@ -71,5 +71,5 @@ def report_graph(base: DataFrame, predicted: DataFrame, truth: DataFrame) -> Dat
 
 def simulate_inversions(order: DataFrame, share: float, seed: int = 1) -> DataFrame:
     """The signs of a random share of contigs turned; the draw depends on the contig's name alone."""
-    u = F.pmod(F.xxhash64("contig", F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
+    u = F.conv(F.substring(F.md5(F.concat("contig", F.lit(f":{seed}"))), 1, 8), 16, 10).cast("long") / float(1 << 32)
     return order.withColumn("sign", F.when(u < share, -F.col("sign")).otherwise(F.col("sign")))

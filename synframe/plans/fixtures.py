@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from synframe.sources.blocks_view import BLOCKS_SQL
+from synframe.sources.blocks_view import BLOCKS_SQL, from_files
 
 B = f"blocks as ({BLOCKS_SQL})"
 SEQS = "seqs as (select genome, chr, max(bend) + 1000 as seq_len from blocks group by genome, chr)"
@@ -49,10 +49,7 @@ PARTS = "fasta as (select cast(p_partkey as string) as name, translate(md5(cast(
 
 
 def frame(spark: SparkSession, sf_dir: str, *ctes: str, select: str) -> DataFrame:
-    for t in ("lineitem", "documents", "part"):
-        if any(t in c for c in (*ctes, select)):
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return spark.sql(f"with {', '.join(ctes)} {select}" if ctes else select)
+    return spark.sql(from_files(f"with {', '.join(ctes)} {select}" if ctes else select, sf_dir))
 
 
 def sql(*ctes: str, select: str, recursive: bool = False) -> str:

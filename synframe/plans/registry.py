@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +24,9 @@ from synframe.plans import scaffolding
 from synframe.plans.fixtures import ALN, B, CONTIGS, EDGES, PARTS, REP, SEQS, TRIM, clean, frame, sql
 from synframe.runtime import Written
 from synframe.sinks import reports as rep
-from synframe.sources.blocks_view import DRAFT, TARGET, TREE, blocks, sequences
+from synframe.sources import text_formats as tf
+from synframe.sources.blocks_view import DRAFT, GENOMES, TARGET, TREE, blocks, sequences
+from synframe.sources.recipe import parse_newick
 from synframe.sources.text_formats import with_complements
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -515,7 +519,28 @@ def _(s, d):
 # ---- inference, chains, merging (component-local algorithms) --------------------------------------------------------
 
 
-@query("weighted_graph")
+VOID = -(10**12)
+CHANGE = "mu as (select 1 / len as mu from (select len, row_number() over (order by len) as k, count(*) over () as n from tree where parent is not null) where k = (n - 1) // 2 + 1), ch as (" + "select " + ", ".join(f"max(case when node = '{n}' then 1 + exp(-mu * greatest(len, 1e-7)) end) as {n}" for n in ("x", "y", "z", "g0", "g1", "g2", "g3", "g4")) + " from tree, mu where parent is not null)"
+
+
+def costs(full: str) -> list[str]:
+    """Parsimony cost ``c`` of each ``(node, x)`` with leaf states s0..s4 in the table ``full``: best states of the inner nodes x, z, y and r."""
+    leaf = lambda i: f"case when s{i} = v.v or s{i} = {VOID} then 0 else ch.g{i} end"
+    change = lambda n: f"case when q.v = p.v or q.v = {VOID} then 0 else ch.{n} end"
+    return [
+        f"v as (select distinct node, x, unnest([s0, s1, s2, s3, s4]) as v from {full})",
+        f"lx as (select v.node, v.x, v.v, {leaf(0)} + {leaf(1)} as kx, {leaf(3)} + {leaf(4)} as kz, {leaf(2)} as k2 from v join {full} f on v.node = f.node and v.x = f.x, ch)",
+        f"ly as (select p.node, p.x, p.v, p.kx, p.k2 + min(q.kz + {change('z')}) as ky from lx p join lx q on p.node = q.node and p.x = q.x, ch group by p.node, p.x, p.v, p.kx, p.k2)",
+        f"lr as (select p.node, p.x, p.v, min(q.kx + {change('x')}) + min(q.ky + {change('y')}) as kr from ly p join ly q on p.node = q.node and p.x = q.x, ch group by p.node, p.x, p.v)",
+        "cost as (select node, x, min(kr) as c from lr group by node, x)",
+    ]
+
+
+STATES = "nb2 as (select a as node, b as nbr, genome from graph union select b, a, genome from graph), st as (select node, " + ", ".join(f"max(nbr) filter (where genome = 'g{i}') as s{i}" for i in range(1, 5)) + " from nb2 group by node)"
+FULL = "leafs as (select distinct nb2.node, nbr as x, nbr as s0, " + ", ".join(f"coalesce(s{i}, {VOID}) as s{i}" for i in range(1, 5)) + " from nb2 join st on nb2.node = st.node)"
+
+
+@query("weighted_graph", sql(B, clean(False), EDGES, TREE_EDGES, CHANGE, STATES, FULL, *costs("leafs"), "w as (select node, x, case when sum(c) over (partition by node) > 0 then c / sum(c) over (partition by node) else 0 end as w from cost)", select="select least(node, x) as a, greatest(node, x) as b, round(sum(w), 9) as weight from w group by 1, 2"))
 def _(s, d):
     return inf.weighted_graph(graph(s, d), TREE, TARGET)
 
@@ -536,12 +561,30 @@ def _(s, d):
     return _adjacencies(s, d)[1].withColumn("supporting", F.array_join(F.transform("supporting", lambda x: F.concat_ws(":", x["genome"], x["chr"])), ","))
 
 
-@query("chimeric_edges")
+def stage_sql(loose: bool, tag: str) -> str:
+    """Graph of one stage, and its suspicious edges with the outcome of the search for an alternating path, under names with a tag."""
+    text = f"""{clean(loose)}, {EDGES},
+    ee as (select a, b, genome from graph union select b, a, genome from graph),
+    oo as (select a, b from ee group by a, b having bool_and(genome = 'g0')),
+    moves as (select a, b, genome as g, 0 as odd from ee where genome <> 'g0' union all select a, b, g, 1 from oo, (values ('g1'), ('g2'), ('g3'), ('g4')) t(g)),
+    sus as (select a as u, b as v from graph group by a, b having bool_or(genome = 'g0') and (not bool_or(genome <> 'g0') or bool_or(infinity))),
+    wk as (select u, v, g, u as node, 0 as odd from sus, (values ('g1'), ('g2'), ('g3'), ('g4')) t(g)
+           union
+           select wk.u, wk.v, wk.g, m.b, 1 - wk.odd from wk join moves m on m.a = wk.node and m.g = wk.g and m.odd = wk.odd
+           where m.b <> wk.u and not (m.b = wk.v and (wk.odd = 1 or wk.node = wk.u))),
+    chim as (select u as a, v as b, (u, v) in (select (u, v) from wk where node = v and odd = 1) as good from sus)"""
+    return re.sub(r"\b(kept|clean|edges0|ends|graph|ee|oo|moves|sus|wk|chim)\b", rf"\1{tag}", text)
+
+
+@query("chimeric_edges", sql(B, stage_sql(False, "_0"), select="select a, b, good from chim_0", recursive=True))
 def _(s, d):
     return inf.chimeric_edges(graph(s, d), TARGET)
 
 
-@query("chimera_breaks")
+BREAKS = ", ".join(f"br_{i} as (select distinct genome, chr, least(gap_start, gap_end) as s, greatest(gap_start, gap_end) as e, good from graph_{i} g join chim_{i} c on g.a = c.a and g.b = c.b where genome = 'g0' and not infinity)" for i in (0, 1))
+
+
+@query("chimera_breaks", sql(B, stage_sql(False, "_0"), stage_sql(True, "_1"), BREAKS, "hit as (select x.genome, x.chr, x.s, x.e, min((y.s, y.e)) as h from br_0 x join br_1 y on x.genome = y.genome and x.chr = y.chr and greatest(x.s, y.s) <= least(x.e, y.e) where not x.good group by all)", select="select distinct 0 as stage, x.genome, x.chr, coalesce(greatest(x.s, h[1]), x.s) as cut from br_0 x left join hit using (genome, chr, s, e) where not good union select 1, genome, chr, s from br_1 where not good", recursive=True))
 def _(s, d):
     return inf.break_cuts(inf.hierarchical_breaks([inf.contig_breaks(graph(s, d, x), TARGET) for x in (False, True)]))
 
@@ -585,24 +628,28 @@ def _(s, d):
 def _(s, d):
     b = blocks(s, d)
     r = fl.repeat_blocks(b)
-    return rp.match_profiles(ad.repeat_contexts(b, r), r, TREE, TARGET)
+    return rp.match_profiles(ad.repeat_contexts(b, r), r, TREE, TARGET, drafts=[DRAFT], repetitive=_pure(b, r))
+
+
+def _pure(b, r):
+    return fl.sequence_uniqueness(b, r).filter("genome = 'g0' and all_repeats")
 
 
 @query("resolve_repeats")
 def _(s, d):
-    b = blocks(s, d)
+    b = Written(s, "blocks").cut(blocks(s, d))
     r = fl.repeat_blocks(b)
-    return rp.resolve_repeats(b, rp.match_profiles(ad.repeat_contexts(b, r), r, TREE, TARGET), TARGET)
+    return rp.resolve_repeats(b, rp.match_profiles(ad.repeat_contexts(b, r), r, TREE, TARGET, drafts=[DRAFT], repetitive=_pure(b, r)), TARGET)
 
 
 @query("refine_insert")
 def _(s, d):
     f = parts(s, d)
-    e = ov.overlaps(with_complements(f), 6, 12).filter("size >= 7")
-    e = Written(s, "links").cut(e)
-    two = e.join(e.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").filter("src <> far").groupBy("src").agg(F.min("far").alias("dst"))
-    l = two.select(F.substring("src", 1, 1).alias("scf"), F.expr("cast(substring(src, 2) as bigint)").alias("idx"), "src", "dst")
-    return ov.refine_paths(l, e, f.select("name", F.length("seq").alias("length")), 6)
+    e = Written(s, "links").cut(ov.overlaps(with_complements(f), 6, 12))
+    # a link for every pair of contigs two overlaps apart
+    two = e.join(e.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").filter("src <> far").select("src", F.col("far").alias("dst")).distinct()
+    l = Written(s, "links").cut(two.select("src", "dst", F.concat_ws(">", "src", "dst").alias("scf"), F.lit(0).cast("long").alias("idx")))
+    return ov.refine_paths(l, e, f.select("name", F.length("seq").alias("length")))
 
 
 @query("verify_order")
@@ -636,11 +683,194 @@ def _(s, d):
     return out["contigs"]
 
 
-@query("simulate_inversions")
+@query("simulate_inversions", sql(B, SEQS, CONTIGS, select="select scf, idx, chr as contig, case when ('0x' || substr(md5(chr || ':1'), 1, 8))::bigint / 4294967296.0 < 0.2 then -sign else sign end as sign from contigs"))
 def _(s, d):
     return ve.simulate_inversions(contigs(s, d).select("scf", "idx", F.col("chr").alias("contig"), "sign"), 0.2)
 
 
+DENSE = "up_ as (select *, case when ref_start > lag(ref_start) over (partition by ref order by ref_start, qry, ref_end) then 1 when row_number() over (partition by ref order by ref_start, qry, ref_end) = 1 then (case when ref = (select min(ref) from aln) then 0 else 1 end) else 0 end as up from aln), dense as (select ref, qry, ref_start, sum(up) over (order by ref, ref_start, qry, ref_end rows unbounded preceding) as position from up_)"
+HITS = "hits as (select d.qry as contig, d.ref as chr, position, m.strand, d.ref_start as start, 102000 as chr_len from dense d join (select qry, ref, ref_start, max(strand) as strand from aln group by qry, ref, ref_start) m on d.qry = m.qry and d.ref = m.ref and d.ref_start = m.ref_start)"
+FOLD = """
+o as (select scf, sign, chr as contig, row_number() over (partition by scf order by idx) as k from contigs where chr in (select contig from hits)),
+pr as (select c.scf, c.k, count(*) = 1 as single, bool_or(b.position > a.position) as later,
+         bool_or(a.chr = b.chr and (a.position < b.position or a.start > 0.8 * a.chr_len and b.start < 0.2 * a.chr_len)) as up,
+         bool_or(a.chr = b.chr and (a.position >= b.position or a.start < 0.2 * a.chr_len and b.start > 0.8 * a.chr_len)) as down,
+         bool_or(p.sign * a.strand = 1 and c.sign * b.strand = 1) as plus, bool_or(p.sign * a.strand = -1 and c.sign * b.strand = -1) as minus,
+         min(abs(a.position - b.position)) > 1 as gap
+       from o c join o p on c.scf = p.scf and p.k = c.k - 1 join hits a on a.contig = p.contig join hits b on b.contig = c.contig group by c.scf, c.k),
+fold as (select scf, k, cast(null as boolean) as inc, 0 as bad, 0 as strand, 0 as gaps from o where k = 1
+         union all
+         select scf, k, case when serr then null else inc end, bad + err::int, strand + serr::int, gaps + gap::int from
+           (select *, not err and not (case when coalesce(inc, false) then plus else minus end) as serr from
+             (select f.scf, pr.k, f.bad, f.strand, f.gaps, pr.gap, pr.plus, pr.minus, f.inc is not null and not (case when f.inc then up else down end) as err,
+                case when f.inc is not null and not (case when f.inc then up else down end) then null when f.inc is null and single then later else f.inc end as inc
+              from fold f join pr on f.scf = pr.scf and pr.k = f.k + 1))),
+checked as (select s.scf, coalesce(k, 0)::bigint as contigs, coalesce(bad, 0)::bigint as misordered, coalesce(strand, 0)::bigint as misstranded, coalesce(gaps, 0)::bigint as gaps
+            from (select distinct scf from contigs) s left join (select * from fold qualify row_number() over (partition by scf order by k desc) = 1) f on s.scf = f.scf)
+"""
+
+
+def _order_check(s, d):
+    a = alignments(s, d)
+    pos = iv.dense_position(a.select("ref", "qry", "ref_start", "ref_end"))
+    st = a.groupBy("qry", "ref", "ref_start").agg(F.max("strand").alias("strand"))
+    h = pos.join(st, ["qry", "ref", "ref_start"]).select(F.col("qry").alias("contig"), F.col("ref").alias("chr"), "position", "strand", F.col("ref_start").alias("start"), F.lit(102000).alias("chr_len"))
+    return ve.verify_order(contigs(s, d).select("scf", "idx", F.col("chr").alias("contig"), "sign"), h)
+
+
+@query("order_check", sql(B, SEQS, CONTIGS, ALN, DENSE, HITS, FOLD, select="select * from checked", recursive=True))
+def _(s, d):
+    return _order_check(s, d)
+
+
+@query("order_totals", sql(B, SEQS, CONTIGS, ALN, DENSE, HITS, FOLD, select="select sum(misordered)::bigint as misordered, sum(misstranded)::bigint as misstranded, sum(gaps)::bigint as gaps, sum(contigs)::bigint as contigs, count(*) as scaffolds from checked", recursive=True))
+def _(s, d):
+    return ve.report_totals(_order_check(s, d))
+
+
+# ---- trees --------------------------------------------------------------------------------------------------------
+
+
+@query("newick_leaves", sql(TREE_EDGES, select="select node as leaf, len::double as length from tree where leaf"))
+def _(s, d):
+    def leaves(t):
+        return [x for c, n in t.children for x in ([(c.name, n)] if not c.children else leaves(c))]
+
+    return s.createDataFrame(leaves(parse_newick(TREE)), "leaf string, length double")
+
+
+@query("tree_rate", sql(TREE_EDGES, CHANGE, select="select round(mu, 9) as mu from mu"))
+def _(s, d):
+    return s.createDataFrame([(round(ph.rate(parse_newick(TREE)), 9),)], "mu double")
+
+
+@query("leaf_orders", sql(TREE_EDGES, "way as (select node, leaf, '' as k from tree where parent is null union all select t.node, t.leaf, k || case when t.leaf then '1' else '0' end || lpad(cast(cast(round((1 - t.len) * 1000000) as int) as varchar), 8, '0') from way join tree t on t.parent = way.node)", select="select node as leaf, (row_number() over (order by k, node) - 1)::int as place from way where leaf", recursive=True))
+def _(s, d):
+    return s.createDataFrame([(n, i) for i, n in enumerate(ph.leaves_depth_first(parse_newick(TREE)))], "leaf string, place int")
+
+
+#: every pattern of presence (1), absence (0) and no data over five genomes
+PATTERNS = "pat as (select a.s * 81 + b.s * 27 + c.s * 9 + d.s * 3 + e.s as node, 0 as x, " + ", ".join(f"case {t}.s when 2 then {VOID} else {t}.s end as s{i}" for i, t in enumerate("abcde")) + " from range(3) a(s), range(3) b(s), range(3) c(s), range(3) d(s), range(3) e(s))"
+
+
+@query("parsimony_patterns", sql(TREE_EDGES, CHANGE, PATTERNS, *costs("pat"), select="select node as pattern, round(c, 9) as cost from cost"))
+def _(s, d):
+    t, states = parse_newick(TREE), (0, 1, ph.VOID)
+    mu, rows = ph.rate(t), []
+    for i, own in enumerate(itertools.product(states, repeat=5)):
+        rows.append((i, round(ph.parsimony(t, dict(zip(GENOMES, own, strict=True)), mu), 9)))
+    return s.createDataFrame(rows, "pattern long, cost double")
+
+
+# ---- readers: text is written from the tables and read back -----------------------------------------------------------
+
+
+def _file(lines: DataFrame, tag: str) -> str:
+    """One text file of rows (part, ord, line) in order, in the shared folder."""
+    path = f"{Written(lines.sparkSession, tag).root}/text"
+    lines.coalesce(1).sortWithinPartitions("part", "ord").select("line").write.text(path)
+    return path
+
+
+def _line(df: DataFrame, part, line, order=0) -> DataFrame:
+    return df.select(F.expr(part).cast("string").alias("part"), F.expr(str(order)).cast("int").alias("ord"), F.expr(line).alias("line"))
+
+
+@query("read_fasta", sql(PARTS, select="select name, seq from fasta"))
+def _(s, d):
+    f = parts(s, d)
+    old = f.filter("cast(name as bigint) % 2 = 0").select("name", F.concat(F.lit("TTTTTTTT"), F.reverse("seq")).alias("seq"))  # the later record wins
+    return tf.read_fasta(s, _file(rep.fasta_lines(old, 9).unionByName(rep.fasta_lines(f, 12).withColumn("ord", F.lit(1))), "fasta"))
+
+
+@query("read_fasta_unchecked", sql(PARTS, select="select name, upper(seq) || 'QZ' as seq from fasta"))
+def _(s, d):
+    f = parts(s, d).select("name", F.concat(F.lower("seq"), F.lit("qz")).alias("seq"))
+    return tf.read_fasta(s, _file(rep.fasta_lines(f, 10), "fasta"), validate=False, upper=True)
+
+
+@query("read_blocks_coords", sql(B, SEQS, select="select genome, chr, seq_len, block_id, sign, bstart, bend from blocks join seqs using (genome, chr)"))
+def _(s, d):
+    b = blocks(s, d)
+    return tf.read_blocks_coords(s, _file(rep.coords_lines(b, sequences(b)), "coords"))
+
+
+MAF = "rows_ as (select b.*, seq_len, bend - bstart as n from blocks b join seqs using (genome, chr)), long_ as (select * from rows_ where n >= 500 and not (block_id % 5 = 0 and genome = 'g2')), two as (select block_id, row_number() over (order by block_id) as id from long_ group by block_id having count(distinct genome || '.' || chr) > 1)"
+
+
+@query("read_maf", sql(B, SEQS, MAF, select="select genome, chr, seq_len, id as block_id, sign, bstart, bend from long_ join two using (block_id)"))
+def _(s, d):
+    b = blocks(s, d)
+    r = b.join(sequences(b), ["genome", "chr"]).withColumn("n", F.col("bend") - F.col("bstart"))
+    text = "concat(repeat('A', cast(n as int)), case when block_id % 5 = 0 and genome = 'g2' then repeat('-', cast(n as int)) else '' end)"  # too many gaps
+    line = f"concat_ws(' ', 's', concat(genome, '.', chr), case when sign > 0 then bstart else seq_len - bend end, n, case when sign > 0 then '+' else '-' end, seq_len, {text})"
+    a = r.groupBy("block_id").agg(F.array_join(F.array_sort(F.collect_list(F.expr(line))), "\n").alias("t"))
+    lines = _line(a, "lpad(block_id, 12, '0')", "concat('a score=1\n', t, case when block_id % 2 = 0 then '\n' else '' end)")  # every other one ends with a blank line
+    return tf.read_maf(s, _file(lines.unionByName(s.createDataFrame([("", 0, "##maf version=1")], lines.schema)), "maf"), 500)
+
+
+@query("read_gff", sql(B, select="select genome, chr, max(bend) over (partition by genome, chr) as seq_len, block_id, sign, bstart, bend from blocks"))
+def _(s, d):
+    line = "concat_ws('\t', concat(genome, '.', chr), 'x', 'block', bstart + 1, bend, '.', case when sign > 0 then '+' else '-' end, '.', concat('name=b;id=', block_id))"
+    return tf.read_gff(s, _file(_line(blocks(s, d), "genome", line), "gff"))
+
+
+@query("read_overlap_dot", sql(PARTS, OVERLAPS, select="select * from o"))
+def _(s, d):
+    return tf.read_overlap_dot(s, _file(rep.dot_lines(ov.overlaps(with_complements(parts(s, d)), 6, 12)), "dot"))
+
+
+@query("read_nucmer", sql(B, ALN, select="select 'chr' || dense_rank() over (order by ref) as ref, qry, 1 as ref_strand, strand, ref_start, ref_end, qry_start, qry_end from aln"))
+def _(s, d):
+    line = "concat(' ', ref_start, ' ', ref_end, ' | ', if(strand > 0, qry_start, qry_end), ' ', if(strand > 0, qry_end, qry_start), ' | ', ref_end - ref_start, ' ', qry_end - qry_start, ' | 99.0 | ', ref, '\t', qry)"
+    return tf.read_nucmer_coords(s, _file(_line(alignments(s, d), "ref", line), "nucmer"))
+
+
+ALN_LEN = "al_ as (select aln.*, q.seq_len as qry_len, r.seq_len as ref_len from aln join seqs q on q.genome = 'g0' and q.chr = qry join seqs r on r.genome = 'g1' and r.chr = ref)"
+
+
+@query("read_paf", sql(B, SEQS, ALN, ALN_LEN, select="select ref, qry, strand, ref_start, ref_end, qry_start, qry_end, qry_len, ref_len from al_"))
+def _(s, d):
+    line = "concat_ws('\t', qry, qry_len, qry_start, qry_end, if(strand > 0, '+', '-'), ref, ref_len, ref_start, ref_end, 1, 1, 60)"
+    return tf.read_paf(s, _file(_line(frame(s, d, B, SEQS, ALN, ALN_LEN, select="select * from al_"), "ref", line), "paf"))
+
+
+@query("read_pairwise_maf", sql(B, SEQS, ALN, ALN_LEN, select="select ref, qry, 1 as ref_strand, strand, ref_start, ref_end, qry_start, qry_end from al_"))
+def _(s, d):
+    ref = "concat_ws(' ', 's', ref, ref_start, ref_end - ref_start, '+', ref_len, 'ACGT')"
+    qry = "concat_ws(' ', 's', qry, if(strand > 0, qry_start, qry_len - 1 - qry_end), qry_end - qry_start, if(strand > 0, '+', '-'), qry_len, 'ACGT')"
+    return tf.read_pairwise_maf(s, _file(_line(frame(s, d, B, SEQS, ALN, ALN_LEN, select="select * from al_"), "ref", f"concat('a\n', {ref}, '\n', {qry}, '\n')"), "pairs"))
+
+
+@query("read_order", sql(B, SEQS, CONTIGS, select="select scf, (row_number() over (partition by scf order by idx) - 1)::int as idx, chr as contig, sign from contigs"))
+def _(s, d):
+    c = contigs(s, d)
+    body = _line(c, "scf", "concat(if(sign > 0, '+', '-'), chr, '[0:', e, ']  7  ', gap)", "idx + 1")
+    return tf.read_order(s, _file(body.unionByName(_line(c.select("scf").distinct(), "scf", "concat('>', scf)")), "order"))
+
+
+@query("read_permutations", sql(B, select="select genome || '.' || chr as name, (row_number() over (partition by genome, chr order by bstart, block_id) - 1)::int as ord, block_id * sign as signed_id from blocks"))
+def _(s, d):
+    return tf.read_permutations(s, _file(rep.permutation_lines(blocks(s, d)), "perm"))
+
+
+@query("gene_order_text", sql(B, select="select genome as part, '>' || genome || e'\\n' || string_agg(t, e'\\n' order by chr) as line from (select genome, chr, string_agg(case when sign > 0 then '+' else '-' end || block_id, ' ' order by bstart, block_id) || ' $' as t from blocks group by genome, chr) group by genome"))
+def _(s, d):
+    return rep.gene_order_lines(blocks(s, d)).select("part", "line")
+
+
+@query("genome_scale", sql(PARTS, select="select case when sum(length(seq)) < 50000 then 'small' else 'large' end as scale from fasta"))
+def _(s, d):
+    return s.createDataFrame([(tf.genome_scale(parts(s, d), 50_000),)], "scale string")
+
+
+@query("overlap_joins", sql(PARTS, OVERLAPS, "used as (select cast(p_partkey as string) as chr, p_partkey + 1 as le, -(p_partkey + 1) as re from part where p_partkey % 3 = 0)", "lv as (select '+' || chr as node, re as e from used union all select '-' || chr, le from used)", "en as (select '+' || chr as node, le as e from used union all select '-' || chr, re from used)", "go as (select src, dst, dst in (select node from en) as stop from o)", "pw as (select lv.node as start, go.dst as node, stop, 1 as n from lv join go on lv.node = go.src union select pw.start, go.dst, go.stop, n + 1 from pw join go on go.src = pw.node where not pw.stop and n < 6)", select="select distinct least(lv.e, en.e) as a, greatest(lv.e, en.e) as b from pw join lv on pw.start = lv.node join en on en.node = pw.node where pw.stop and pw.start <> pw.node", recursive=True))
+def _(s, d):
+    used = s.read.parquet(f"{d}/part.parquet").filter("p_partkey % 3 = 0")
+    ends = used.select(F.col("p_partkey").cast("string").alias("chr"), (F.col("p_partkey") + 1).alias("left_end"), (-F.col("p_partkey") - 1).alias("right_end"))
+    return ov.overlap_joins(ends, ov.overlaps(with_complements(parts(s, d)), 6, 12), 6)
+
+
 # ---- adjacencies and chains over the parts that SQL can express; report texts -----------------------------------------
 
 

@@ -44,9 +44,27 @@ def permutation_lines(blocks: DataFrame) -> DataFrame:
     return g.select(name.alias("part"), F.lit(0).alias("ord"), F.concat(F.lit(">"), name, F.lit("\n"), F.array_join(F.transform("bs", lambda x: x["t"]), " "), F.lit(" $")).alias("line"))
 
 
+def gene_order_lines(blocks: DataFrame) -> DataFrame:
+    """``>genome`` and the permutations of its sequences, a line each, as gene-order tools read them."""
+    p = permutation_lines(blocks)
+    at = F.substring_index("part", ".", 1)
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "line"))), lambda x: F.substring_index(x["line"], "\n", -1)), "\n")
+    return p.groupBy(at.alias("genome")).agg(body.alias("t")).select(F.col("genome").alias("part"), F.lit(0).alias("ord"), F.concat(F.lit(">"), "genome", F.lit("\n"), "t").alias("line"))
+
+
+def graph_dot_lines(graph: DataFrame) -> DataFrame:
+    """A breakpoint graph as an undirected graph with the genome and kind of each edge."""
+    e = graph.select(F.lit("b").alias("part"), F.lit(0).alias("ord"), F.format_string('%d -- %d [genome="%s", infinity="%s"];', "a", "b", "genome", F.initcap(F.col("infinity").cast("string"))).alias("line"))
+    one = graph.sparkSession.createDataFrame([("a", 0, "graph {"), ("c", 0, "}")], "part string, ord int, line string")
+    return e.unionByName(one)
+
+
 def coords_lines(blocks: DataFrame, seqs: DataFrame) -> DataFrame:
     """The block file: table of sequences, then a section for each block; - rows list their end first."""
-    ids = seqs.withColumn("seq_id", F.row_number().over(Window.orderBy("genome", "chr")))
+    # numbers from counts per genome: no window over all sequences
+    before = F.sum("n").over(Window.orderBy("genome").rowsBetween(Window.unboundedPreceding, -1))
+    base = seqs.groupBy("genome").agg(F.count("*").alias("n")).select("genome", F.coalesce(before, F.lit(0)).alias("base"))
+    ids = seqs.withColumn("r", F.row_number().over(Window.partitionBy("genome").orderBy("chr"))).join(base, "genome").withColumn("seq_id", (F.col("r") + F.col("base")).cast("int")).drop("r", "base")
     head = ids.select(F.lit("").alias("part"), F.col("seq_id").alias("ord"), F.concat_ws("\t", F.col("seq_id"), F.col("seq_len"), F.concat_ws(".", "genome", "chr")).alias("line"))
     top = ids.limit(1).select(F.lit("").alias("part"), F.lit(0).alias("ord"), F.lit("Seq_id\tSize\tDescription").alias("line"))
     rows = blocks.join(ids, ["genome", "chr"])

@@ -6,6 +6,8 @@ Schema: genome STRING, chr STRING, block_id BIGINT (>= 1), sign INT, bstart BIGI
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,9 +40,13 @@ GENOMES = ("g0", "g1", "g2", "g3", "g4")
 TREE = "((g0:0.02,g1:0.05):0.03,(g2:0.04,(g3:0.06,g4:0.01):0.02):0.05);"
 
 
+def from_files(text: str, sf_dir: str, tables: tuple[str, ...] = ("lineitem", "documents", "part")) -> str:
+    """The SQL text with its tables read from their files; no view is made in the caller's session."""
+    return re.sub(rf"\b(from|join)\s+({'|'.join(tables)})\b", lambda m: f"{m[1]} parquet.`{sf_dir}/{m[2]}.parquet`", text, flags=re.I)
+
+
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("lineitem")
-    return spark.sql(BLOCKS_SQL)
+    return spark.sql(from_files(BLOCKS_SQL, sf_dir))
 
 
 def sequences(b: DataFrame) -> DataFrame:

@@ -28,16 +28,21 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.regexp_replace("value", r"\r$", "").alias("line"))
 
 
+def _order(number: Column | None = None) -> Column:
+    """Order of records over all files of a path: file, start of the split, place in the split."""
+    return F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), number if number is not None else F.monotonically_increasing_id())
+
+
 def read_fasta(spark: SparkSession, path: str, validate: bool = True, upper: bool = False, gaps: bool = False) -> DataFrame:
-    """``(name, seq)``; name = first token of the header. Of records with one name the last of the table wins by content."""
-    rec = spark.read.text(path, lineSep="\n>").select(F.regexp_replace("value", r"^>|\r", "").alias("r")).filter(F.trim("r") != "")
-    out = rec.select(F.regexp_extract("r", r"^\s*(\S*)", 1).alias("name"), F.regexp_replace(F.regexp_replace("r", r"^[^\n]*", ""), r"\s+", "").alias("seq"))
+    """``(name, seq)``; name = first token of the header. Of records with one name the last one wins."""
+    rec = spark.read.text(path, lineSep="\n>").select(F.regexp_replace("value", r"^>|\r", "").alias("r"), _order().alias("at")).filter(F.trim("r") != "")
+    out = rec.select("at", F.regexp_extract("r", r"^\s*(\S*)", 1).alias("name"), F.regexp_replace(F.regexp_replace("r", r"^[^\n]*", ""), r"\s+", "").alias("seq"))
     if upper:
         out = out.withColumn("seq", F.upper("seq"))
     if validate:
         _refuse(out.filter((F.col("name") == "") | (F.col("seq") == "")).select(F.coalesce("name", F.lit(""))), "empty header or sequence")
         _refuse(out.filter(~is_nucleotide(F.col("seq"), gaps)).select("name"), "not a nucleotide sequence")
-    return out.groupBy("name").agg(F.max("seq").alias("seq"))
+    return out.groupBy("name").agg(F.max_by("seq", "at").alias("seq"))
 
 
 def with_complements(fasta: DataFrame) -> DataFrame:
@@ -66,19 +71,22 @@ def read_blocks_coords(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_maf(spark: SparkSession, path: str, min_len: int) -> DataFrame:
-    """Block rows of an alignment: long rows with few gaps, of alignments that keep two sequences or more; ids are dense."""
-    rec = spark.read.text(path, lineSep="\n\n").withColumn("aln", F.monotonically_increasing_id())
-    s = rec.select("aln", F.posexplode(F.split("value", "\n")).alias("n", "l")).filter(F.col("l").startswith("s ") | F.col("l").startswith("s\t"))
+    """Block rows of an alignment: long rows with few gaps, of alignments that keep two sequences or more; ids are dense, in file
+    order. An alignment starts at each line that starts with ``a``; blank lines mean nothing."""
+    rec = spark.read.text(path, lineSep="\na").select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("o"), F.monotonically_increasing_id().alias("n"))
+    s = rec.select("f", "o", "n", F.explode(F.split("value", "\r?\n")).alias("l")).filter(F.col("l").rlike(r"^s\s"))
     p = F.split(F.trim("l"), r"\s+")
-    r = s.select("aln", "n", F.regexp_replace(p[1], r"^gi\|", "gi|").alias("name"), p[2].cast("long").alias("start"), p[3].cast("long").alias("size"), p[4].alias("strand"), p[5].cast("long").alias("seq_len"), p[6].alias("text"))
+    bare = F.regexp_replace(p[1], r"^[^.]*\.", "")
+    name = F.when(bare.startswith("gi") & ~p[1].endswith("|"), F.concat(p[1], F.lit("|"))).otherwise(p[1])
+    r = s.select("f", "o", "n", name.alias("name"), p[2].cast("long").alias("start"), p[3].cast("long").alias("size"), p[4].alias("strand"), p[5].cast("long").alias("seq_len"), p[6].alias("text"))
     r = r.filter((F.col("size") >= min_len) & (gap_rate(F.col("text")) < MAX_GAP_RATE))
-    ok = r.groupBy("aln").agg(F.countDistinct("name").alias("k")).filter("k > 1")
-    # dense ids from counts per input partition (the upper bits of aln): no window over all alignments
-    ok = ok.withColumn("p", F.shiftright("aln", 33))
-    base = ok.groupBy("p").agg(F.count("*").alias("c")).withColumn("b", F.coalesce(F.sum("c").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ids = ok.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("aln"))).join(base.select("p", "b"), "p").select("aln", (F.col("r") + F.col("b")).cast("long").alias("block_id"))
+    ok = r.groupBy("f", "o", "n").agg(F.countDistinct("name").alias("k")).filter("k > 1")
+    # dense ids from counts per split of the files: no window over all alignments
+    before = F.sum("c").over(Window.orderBy("f", "o").rowsBetween(Window.unboundedPreceding, -1))
+    base = ok.groupBy("f", "o").agg(F.count("*").alias("c")).withColumn("b", F.coalesce(before, F.lit(0)))
+    ids = ok.withColumn("r", F.row_number().over(Window.partitionBy("f", "o").orderBy("n"))).join(base.select("f", "o", "b"), ["f", "o"]).select("f", "o", "n", (F.col("r") + F.col("b")).cast("long").alias("block_id"))
     b = maf_start(F.col("strand"), F.col("start"), F.col("size"), F.col("seq_len"))
-    return r.join(ids, "aln").select(F.substring_index("name", ".", 1).alias("genome"), F.regexp_extract("name", r"^[^.]*\.(.*)$", 1).alias("chr"), "seq_len", "block_id", F.when(F.col("strand") == "-", -1).otherwise(1).alias("sign"), b.alias("bstart"), (b + F.col("size")).alias("bend"))
+    return r.join(ids, ["f", "o", "n"]).select(F.substring_index("name", ".", 1).alias("genome"), F.regexp_extract("name", r"^[^.]*\.(.*)$", 1).alias("chr"), "seq_len", "block_id", F.when(F.col("strand") == "-", -1).otherwise(1).alias("sign"), b.alias("bstart"), (b + F.col("size")).alias("bend"))
 
 
 def read_gff(spark: SparkSession, path: str) -> DataFrame:
@@ -138,15 +146,19 @@ def read_pairwise_maf(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_order(spark: SparkSession, path: str, strip_ranges: bool = True) -> DataFrame:
-    """``(scf, idx, contig, sign)`` from a links report or an ``.ord`` file: ``>scf`` (or a bare title line) and signed names."""
-    one = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("n", "line"))
-    one = one.withColumn("line", F.trim("line"))
+    """``(scf, idx, contig, sign)`` from links reports or ``.ord`` files: ``>scf`` (or a bare title line) and signed names. Files are
+    read line by line: a line's title is the last one before it in its split of the file, else the last one of the splits before."""
+    one = spark.read.text(path).select(F.trim(F.regexp_replace("value", r"\r$", "")).alias("line"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("o"), F.monotonically_increasing_id().alias("n"))
     head = F.when(F.col("line").startswith(">"), F.substring("line", 2, 1 << 20)).when(F.col("line").rlike(r"^[^+\-\s]\S*$") & ~F.col("line").startswith("sequence"), F.col("line"))
-    one = one.withColumn("scf", F.last(head, ignorenulls=True).over(Window.orderBy("n")))
-    rows = one.filter(F.col("line").rlike(r"^[+-][^-+\s]")).withColumn("name", F.split("line", r"\s+")[0])
+    w = Window.partitionBy("f", "o").orderBy("n")
+    one = one.withColumn("own", F.last(head, ignorenulls=True).over(w))
+    ends = one.groupBy("f", "o").agg(F.max_by("own", F.when(F.col("own").isNotNull(), F.col("n"))).alias("last"))
+    ends = ends.withColumn("came", F.last("last", ignorenulls=True).over(Window.partitionBy("f").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)))
+    rows = one.filter(F.col("line").rlike(r"^[+-][^-+\s]")).join(ends.select("f", "o", "came"), ["f", "o"])
+    rows = rows.withColumn("name", F.split("line", r"\s+")[0]).withColumn("scf", F.coalesce("own", "came"))
     c = F.substring("name", 2, 1 << 20)
     c = F.regexp_replace(c, r"\[\d+:\d+\]$", "") if strip_ranges else c
-    return rows.select("scf", (F.row_number().over(Window.partitionBy("scf").orderBy("n")) - 1).alias("idx"), c.alias("contig"), F.when(F.col("name").startswith("-"), -1).otherwise(1).alias("sign"))
+    return rows.select("scf", (F.row_number().over(Window.partitionBy("f", "scf").orderBy("o", "n")) - 1).alias("idx"), c.alias("contig"), F.when(F.col("name").startswith("-"), -1).otherwise(1).alias("sign"))
 
 
 def read_permutations(spark: SparkSession, path: str) -> DataFrame:
