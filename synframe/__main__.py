@@ -27,8 +27,9 @@ def scaffold(spark, a) -> None:
     path = recipe["genomes"][target].get("fasta")
     fasta = tf.read_fasta(spark, path).persist() if path else None
     sizes = recipe.get("blocks") or rc.BLOCK_SIZES[tf.genome_scale(fasta) if fasta is not None else "small"]
-    source = rc.CoordsSource(a.coords) if a.coords else rc.MafSource(f"{a.out}/blocks", a.overwrite)
-    blocks = source.load(spark, recipe, sizes)
+    name = "coords" if a.coords else rc.source_of(recipe)
+    options = {"coords": {"pattern": a.coords}, "maf": {"cache": f"{a.out}/blocks", "overwrite": a.overwrite}}.get(name, {})
+    blocks = rc.run_source(name, spark, recipe, sizes, **options)
     known = [target, *refs]
     blocks = {s: b.filter(F.col("genome").isin(known)) for s, b in blocks.items()}
     seqs = None
@@ -46,7 +47,7 @@ def scaffold(spark, a) -> None:
     for r in filters.genome_coverage(small, seqs).filter("low").collect():
         log.warning("low coverage of %s: %.3f", r["genome"], r["coverage"])
     drafts = [g for g, p in recipe["genomes"].items() if p.get("draft") and g != target]
-    out = run_scaffolding(spark, blocks, seqs, target, refs, drafts, recipe.get("tree"), recipe.get("naming_ref"), a.repeats, a.solid_scaffolds, fasta, a.refine)
+    out = run_scaffolding(spark, blocks, seqs, target, refs, drafts, recipe.get("tree"), recipe.get("naming_ref"), a.repeats, a.solid_scaffolds, fasta, a.refine, debug=f"{a.out}/debug" if a.debug else None)
     write_outputs(out, a.out)
     log.info("%s", out["statistics"].first().asDict())
 
@@ -94,6 +95,7 @@ def main(argv: list[str] | None = None) -> int:
     s.add_argument("--refine", action="store_true", help="refine by the overlap graph of the contigs")
     s.add_argument("--repeats", action="store_true", help="resolve repeats")
     s.add_argument("--solid-scaffolds", action="store_true", help="do not break input sequences")
+    s.add_argument("--debug", action="store_true", help="write the graphs and contigs of every stage, and the tree")
     s.add_argument("--overwrite", action="store_true", help="do not reuse blocks of an earlier run")
     s.set_defaults(run=scaffold)
     s = sub.add_parser("synteny", help="alignment (MAF, GFF) to synteny blocks of several sizes")

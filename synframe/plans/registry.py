@@ -536,8 +536,8 @@ def costs(full: str) -> list[str]:
     ]
 
 
-STATES = "nb2 as (select a as node, b as nbr, genome from graph union select b, a, genome from graph), st as (select node, " + ", ".join(f"max(nbr) filter (where genome = 'g{i}') as s{i}" for i in range(1, 5)) + " from nb2 group by node)"
-FULL = "leafs as (select distinct nb2.node, nbr as x, nbr as s0, " + ", ".join(f"coalesce(s{i}, {VOID}) as s{i}" for i in range(1, 5)) + " from nb2 join st on nb2.node = st.node)"
+STATES = "nb2 as (select a as node, b as nbr, genome from graph union select b, a, genome from graph), own_ as (select node, " + ", ".join(f"max(nbr) filter (where genome = 'g{i}') as s{i}" for i in range(1, 5)) + " from nb2 group by node)"
+FULL = "leafs as (select distinct nb2.node, nbr as x, nbr as s0, " + ", ".join(f"coalesce(s{i}, {VOID}) as s{i}" for i in range(1, 5)) + " from nb2 join own_ on nb2.node = own_.node)"
 
 
 @query("weighted_graph", sql(B, clean(False), EDGES, TREE_EDGES, CHANGE, STATES, FULL, *costs("leafs"), "w as (select node, x, case when sum(c) over (partition by node) > 0 then c / sum(c) over (partition by node) else 0 end as w from cost)", select="select least(node, x) as a, greatest(node, x) as b, round(sum(w), 9) as weight from w group by 1, 2"))
@@ -545,7 +545,43 @@ def _(s, d):
     return inf.weighted_graph(graph(s, d), TREE, TARGET)
 
 
-@query("min_weight_matching")
+ADJACENT = """
+m as (select a, b from matched union select a, b from graph where genome = 'g0'),
+r(genome, k) as (values ('g0', 0), ('g1', 1), ('g4', 2), ('g2', 3), ('g3', 4)),
+dd as (select a, b, arg_min(gap_end - gap_start, k) as d from graph join r using (genome) where not infinity group by a, b),
+su as (select a, b, bool_or(infinity) as inf, string_agg(distinct genome || ':' || chr, ',' order by genome || ':' || chr) as sup from graph group by a, b),
+one as (select m.a, m.b, case when inf then 0 else coalesce(d, 0) end as distance, case when inf then '' else sup end as supporting, inf as infinity from m join su using (a, b) left join dd using (a, b)),
+adj as (select a as node, b as block, distance, supporting, infinity from one union all select b, a, distance, supporting, infinity from one)
+"""
+WALK = """
+ce as (select chr, 'L' as side, first_ as node from ends where genome = 'g0' union all select chr, 'R', -last_ from ends where genome = 'g0'),
+ln as (select x.chr, x.side, y.chr as chr2, y.side as side2, distance as gap, infinity as inf, supporting as sup from ce x join adj on x.node = adj.node join ce y on adj.block = y.node),
+rw as (select chr as start, chr, 1 as sign, 0 as n, cast(0 as bigint) as gap, '' as sup from (select distinct chr from ln) q
+       union all
+       select rw.start, chr2, case when side2 = 'L' then 1 else -1 end, n + 1, ln.gap, ln.sup from rw join ln on ln.chr = rw.chr and ln.side = (case when sign > 0 then 'R' else 'L' end) and not inf where chr2 <> rw.start and n < 500),
+lw as (select chr as start, chr, 1 as sign, 0 as n, cast(0 as bigint) as gap, '' as sup from (select distinct chr from ln) q
+       union all
+       select lw.start, chr2, case when side2 = 'R' then 1 else -1 end, n - 1, ln.gap, ln.sup from lw join ln on ln.chr = lw.chr and ln.side = (case when sign > 0 then 'L' else 'R' end) and not inf where chr2 <> lw.start and n > -500),
+al as (select start, chr, sign, n, gap, sup from rw union all select start, chr, sign, n, gap, sup from lw where n < 0 and not exists (select 1 from rw where rw.start = lw.start and rw.chr = lw.chr)),
+st as (select start from al group by start having min(chr) = start and (count(*) > 1 or exists (select 1 from ln where ln.chr = al.start and chr2 = al.start and side = 'R' and inf)))
+"""
+# a right link is stored on its own row; a left link on the contig that it leads to
+CHAINS = "chains as (select 'scf_' || al.start as scf, row_number() over (partition by al.start order by n) - 1 as idx, chr, sign, cast(case when n < 0 then gap else coalesce(lead(gap) over (partition by al.start order by n), 0) end as bigint) as gap, case when n < 0 then sup else coalesce(lead(sup) over (partition by al.start order by n), '') end as supporting from al join st using (start))"
+PAIRS = "deg as (select n, count(*) as k from (select a as n from trim_ union all select b from trim_) group by n), matched as (select a, b from trim_ join deg x on a = x.n join deg y on b = y.n where x.k = 1 and y.k = 1)"
+#: every matching of every component, edge by edge in rising order; weights are compared in billionths
+MATCHED = """
+te2 as (select a, b from trim_ union select b, a from trim_),
+tw as (select a as node, a as seen from te2 union select tw.node, te2.b from tw join te2 on tw.seen = te2.a),
+te as (select trim_.a, trim_.b, c.comp, cast(round(weight * 1000000000) as bigint) as wt from trim_ join (select node, min(seen) as comp from tw group by node) c on c.node = trim_.a join wg on wg.a = trim_.a and wg.b = trim_.b),
+mm as (select comp, [(a, b)] as es, [a, b] as used, wt, a, b from te
+       union all
+       select mm.comp, list_append(es, (te.a, te.b)), used || [te.a, te.b], mm.wt + te.wt, te.a, te.b from mm join te on te.comp = mm.comp and (te.a, te.b) > (mm.a, mm.b) and not list_contains(used, te.a) and not list_contains(used, te.b)),
+matched as (select e[1] as a, e[2] as b from (select unnest(es) as e from mm qualify row_number() over (partition by comp order by len(es) desc, wt, es) = 1))
+"""
+WEIGHTED = (B, clean(False), EDGES, TRIM, TREE_EDGES, CHANGE, STATES, FULL, *costs("leafs"), "w as (select node, x, case when sum(c) over (partition by node) > 0 then c / sum(c) over (partition by node) else 0 end as w from cost)", "wg as (select least(node, x) as a, greatest(node, x) as b, round(sum(w), 9) as weight from w group by 1, 2)", MATCHED)
+
+
+@query("min_weight_matching", sql(*WEIGHTED, select="select a, b from matched", recursive=True))
 def _(s, d):
     return inf.min_weight_matching(graph(s, d), TREE, TARGET)
 
@@ -556,7 +592,7 @@ def _adjacencies(s, d, loose=False):
     return g, inf.infer_adjacencies(g, inf.min_weight_matching(g, TREE, TARGET).unionByName(target).distinct(), ph.rank_table(s, TREE, TARGET))
 
 
-@query("inferred_adjacencies")
+@query("inferred_adjacencies", sql(*WEIGHTED, ADJACENT, select="select * from adj", recursive=True))
 def _(s, d):
     return _adjacencies(s, d)[1].withColumn("supporting", F.array_join(F.transform("supporting", lambda x: F.concat_ws(":", x["genome"], x["chr"])), ","))
 
@@ -593,7 +629,7 @@ def chains(s, d, loose=False):
     return sc.build_chains(ad.contig_ends(cleaned(s, d, loose), TARGET), _adjacencies(s, d, loose)[1])
 
 
-@query("scaffold_chains")
+@query("scaffold_chains", sql(*WEIGHTED, ADJACENT, WALK, CHAINS, select="select * from chains", recursive=True))
 def _(s, d):
     return chains(s, d)
 
@@ -603,7 +639,11 @@ def placed(s, d, loose=False):
     return chains(s, d, loose).join(q, "chr")
 
 
-@query("scaffold_links")
+LINK_LINES = (POS, "t as (select *, case when sign > 0 then '+' else '-' end || chr as name from pos)", "w_ as (select scf, greatest(8, max(length(name))) as w0, greatest(5, max(length(cast(start as varchar)))) as w1, greatest(6, max(length(cast(length as varchar)))) as w2, greatest(3, max(length(cast(gap as varchar)))) as w3 from t group by scf)")
+LINK_TEXT = "select scf as part, cast(idx + 2 as int) as ord, rpad(name, w0::int, ' ') || '  ' || rpad(cast(start as varchar), w1::int, ' ') || '  ' || rpad(cast(length as varchar), w2::int, ' ') || '  ' || rpad(cast(gap as varchar), w3::int, ' ') || '  ' || {support} as line from t join w_ using (scf) union all select scf, 0, scf || e'\\n' || rpad('sequence', w0::int, ' ') || '  ' || rpad('start', w1::int, ' ') || '  ' || rpad('length', w2::int, ' ') || '  ' || rpad('gap', w3::int, ' ') || '  support' from w_"
+
+
+@query("scaffold_links", sql(*WEIGHTED, SEQS, ADJACENT, WALK, CHAINS, "contigs as (select c.scf, c.idx, c.chr, 0 as s, seq_len as e, c.sign, c.gap, c.supporting from chains c join seqs q on q.genome = 'g0' and q.chr = c.chr)", *LINK_LINES, select=LINK_TEXT.format(support="supporting"), recursive=True))
 def _(s, d):
     return rep.links_lines(placed(s, d))
 
@@ -652,14 +692,6 @@ def _(s, d):
     return ov.refine_paths(l, e, f.select("name", F.length("seq").alias("length")))
 
 
-@query("verify_order")
-def _(s, d):
-    a = iv.dense_position(alignments(s, d).select("ref", "qry", "ref_start", "ref_end"))
-    st = alignments(s, d).groupBy("qry", "ref", "ref_start").agg(F.first("strand").alias("strand"), F.max(F.lit(102000)).alias("chr_len"))
-    h = a.join(st, ["qry", "ref", "ref_start"]).select(F.col("qry").alias("contig"), F.col("ref").alias("chr"), "position", "strand", F.col("ref_start").alias("start"), "chr_len")
-    return ve.verify_order(chains(s, d).select("scf", "idx", F.col("chr").alias("contig"), "sign"), h)
-
-
 TRUE_ADJ = "hits as (select ref as chr, min(ref_start) as start, qry as contig, max(strand) as strand from aln group by ref, qry)"
 
 
@@ -710,12 +742,13 @@ checked as (select s.scf, coalesce(k, 0)::bigint as contigs, coalesce(bad, 0)::b
 """
 
 
-def _order_check(s, d):
+def _order_check(s, d, order=None):
     a = alignments(s, d)
     pos = iv.dense_position(a.select("ref", "qry", "ref_start", "ref_end"))
     st = a.groupBy("qry", "ref", "ref_start").agg(F.max("strand").alias("strand"))
     h = pos.join(st, ["qry", "ref", "ref_start"]).select(F.col("qry").alias("contig"), F.col("ref").alias("chr"), "position", "strand", F.col("ref_start").alias("start"), F.lit(102000).alias("chr_len"))
-    return ve.verify_order(contigs(s, d).select("scf", "idx", F.col("chr").alias("contig"), "sign"), h)
+    order = contigs(s, d) if order is None else order
+    return ve.verify_order(order.select("scf", "idx", F.col("chr").alias("contig"), "sign"), h)
 
 
 @query("order_check", sql(B, SEQS, CONTIGS, ALN, DENSE, HITS, FOLD, select="select * from checked", recursive=True))
@@ -723,6 +756,11 @@ def _(s, d):
     return _order_check(s, d)
 
 
+@query("verify_order", sql(*WEIGHTED, SEQS, ADJACENT, WALK, CHAINS, "contigs as (select * from chains)", ALN, DENSE, HITS, FOLD, select="select * from checked", recursive=True))
+def _(s, d):
+    return _order_check(s, d, chains(s, d))
+
+
 @query("order_totals", sql(B, SEQS, CONTIGS, ALN, DENSE, HITS, FOLD, select="select sum(misordered)::bigint as misordered, sum(misstranded)::bigint as misstranded, sum(gaps)::bigint as gaps, sum(contigs)::bigint as contigs, count(*) as scaffolds from checked", recursive=True))
 def _(s, d):
     return ve.report_totals(_order_check(s, d))
@@ -874,30 +912,7 @@ def _(s, d):
 # ---- adjacencies and chains over the parts that SQL can express; report texts -----------------------------------------
 
 
-PAIRS = """
-deg as (select n, count(*) as k from (select a as n from trim_ union all select b from trim_) group by n),
-m as (select a, b from trim_ join deg x on a = x.n join deg y on b = y.n where x.k = 1 and y.k = 1 union select a, b from graph where genome = 'g0'),
-r(genome, k) as (values ('g0', 0), ('g1', 1), ('g4', 2), ('g2', 3), ('g3', 4)),
-dd as (select a, b, arg_min(gap_end - gap_start, k) as d from graph join r using (genome) where not infinity group by a, b),
-su as (select a, b, bool_or(infinity) as inf, string_agg(distinct genome || ':' || chr, ',' order by genome || ':' || chr) as sup from graph group by a, b),
-one as (select m.a, m.b, case when inf then 0 else coalesce(d, 0) end as distance, case when inf then '' else sup end as supporting, inf as infinity from m join su using (a, b) left join dd using (a, b)),
-adj as (select a as node, b as block, distance, supporting, infinity from one union all select b, a, distance, supporting, infinity from one)
-"""
-WALK = """
-ce as (select chr, 'L' as side, first_ as node from ends where genome = 'g0' union all select chr, 'R', -last_ from ends where genome = 'g0'),
-ln as (select x.chr, x.side, y.chr as chr2, y.side as side2, distance as gap, infinity as inf from ce x join adj on x.node = adj.node join ce y on adj.block = y.node),
-rw as (select chr as start, chr, 1 as sign, 0 as n, cast(0 as bigint) as gap from (select distinct chr from ln) q
-       union all
-       select rw.start, chr2, case when side2 = 'L' then 1 else -1 end, n + 1, ln.gap from rw join ln on ln.chr = rw.chr and ln.side = (case when sign > 0 then 'R' else 'L' end) and not inf where chr2 <> rw.start and n < 500),
-lw as (select chr as start, chr, 1 as sign, 0 as n, cast(0 as bigint) as gap from (select distinct chr from ln) q
-       union all
-       select lw.start, chr2, case when side2 = 'R' then 1 else -1 end, n - 1, ln.gap from lw join ln on ln.chr = lw.chr and ln.side = (case when sign > 0 then 'L' else 'R' end) and not inf where chr2 <> lw.start and n > -500),
-al as (select start, chr, sign, n, gap from rw union all select start, chr, sign, n, gap from lw where n < 0 and not exists (select 1 from rw where rw.start = lw.start and rw.chr = lw.chr)),
-st as (select start from al group by start having min(chr) = start and (count(*) > 1 or exists (select 1 from ln where ln.chr = al.start and chr2 = al.start and side = 'R' and inf)))
-"""
-
-
-@query("pair_inferred_adjacencies", sql(B, clean(False), EDGES, TRIM, PAIRS, select="select * from adj"))
+@query("pair_inferred_adjacencies", sql(B, clean(False), EDGES, TRIM, PAIRS, ADJACENT, select="select * from adj"))
 def _(s, d):
     g = Written(s, "graph").cut(graph(s, d))
     m = ad.pair_adjacencies(ad.trimmed_graph(g, TARGET)).unionByName(g.filter("genome = 'g0'").select("a", "b")).distinct()
@@ -905,8 +920,7 @@ def _(s, d):
     return a.withColumn("supporting", F.array_join(F.transform("supporting", lambda x: F.concat_ws(":", x["genome"], x["chr"])), ","))
 
 
-# a right link is stored on its own row; a left link on the contig that it leads to
-@query("pair_chains", sql(B, clean(False), EDGES, TRIM, PAIRS, WALK, "x as (select al.start, chr, sign, n, row_number() over (partition by al.start order by n) - 1 as idx, case when n < 0 then gap else coalesce(lead(gap) over (partition by al.start order by n), 0) end as gap from al join st using (start))", select="select 'scf_' || start as scf, idx, chr, sign, cast(gap as bigint) as gap from x", recursive=True))
+@query("pair_chains", sql(B, clean(False), EDGES, TRIM, PAIRS, ADJACENT, WALK, CHAINS, select="select scf, idx, chr, sign, gap from chains", recursive=True))
 def _(s, d):
     g = Written(s, "graph").cut(graph(s, d))
     m = ad.pair_adjacencies(ad.trimmed_graph(g, TARGET)).unionByName(g.filter("genome = 'g0'").select("a", "b")).distinct()
@@ -914,7 +928,7 @@ def _(s, d):
     return sc.build_chains(ad.contig_ends(cleaned(s, d), TARGET), a).drop("supporting")
 
 
-@query("links_report", sql(B, SEQS, CONTIGS, POS, "t as (select *, case when sign > 0 then '+' else '-' end || chr as name from pos)", "w as (select scf, greatest(8, max(length(name))) as w0, greatest(5, max(length(cast(start as varchar)))) as w1, greatest(6, max(length(cast(length as varchar)))) as w2, greatest(3, max(length(cast(gap as varchar)))) as w3 from t group by scf)", select="select scf as part, cast(idx + 2 as int) as ord, rpad(name, w0::int, ' ') || '  ' || rpad(cast(start as varchar), w1::int, ' ') || '  ' || rpad(cast(length as varchar), w2::int, ' ') || '  ' || rpad(cast(gap as varchar), w3::int, ' ') || '  ' as line from t join w using (scf) union all select scf, 0, scf || e'\\n' || rpad('sequence', w0::int, ' ') || '  ' || rpad('start', w1::int, ' ') || '  ' || rpad('length', w2::int, ' ') || '  ' || rpad('gap', w3::int, ' ') || '  support' from w"))
+@query("links_report", sql(B, SEQS, CONTIGS, *LINK_LINES, select=LINK_TEXT.format(support="''")))
 def _(s, d):
     return rep.links_lines(contigs(s, d))
 

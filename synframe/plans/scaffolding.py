@@ -105,9 +105,11 @@ def run_scaffolding(
     fasta: DataFrame | None = None,
     refine: bool = False,
     overlap: tuple[int, int] = (33, 200),
+    debug: str | None = None,
 ) -> dict[str, DataFrame]:
     """Scaffolds of the target (survey 3.1): ``contigs`` (scf, idx, chr, s, e, sign, gap), ``names``, ``unplaced``, ``statistics`` and,
-    if sequences are given, ``fasta``. ``seqs``: (genome, chr, seq_len)."""
+    if sequences are given, ``fasta``. ``seqs``: (genome, chr, seq_len). With ``debug`` the breakpoint graph of every stage, its blocks of the
+    target and the tree are written there (B12)."""
     kept = Written(spark, "run")
     n = len(references) + 1
     plan = stage_plan(list(blocks_by_size), resolve_repeats)
@@ -115,6 +117,8 @@ def run_scaffolding(
         small = fl.clean_blocks(blocks_by_size[plan[-1].size], target, n, True)
         tree = ph.infer_tree(ad.genome_distance(small), [target, *references])
     tree = parse_newick(tree) if isinstance(tree, str) else tree
+    if debug:
+        reports.write_lines(spark.createDataFrame([("a", 0, tree.newick()), ("b", 0, target)], "part string, ord int, line string"), f"{debug}/phylogeny.txt")
     own = kept.cut(seqs.filter(F.col("genome") == target).select("chr", "seq_len"))
     cuts = spark.createDataFrame([], "stage int, genome string, chr string, cut long")
     if not solid_scaffolds:
@@ -124,7 +128,11 @@ def run_scaffolding(
     merged = None
     for i, stage in enumerate(plan):
         f = fragments(own, cuts.filter(F.col("stage") == i))
-        chains, _ = scaffold_stage(_on_fragments(blocks_by_size[stage.size], f, target), target, drafts, tree, n, stage)
+        own_blocks = _on_fragments(blocks_by_size[stage.size], f, target)
+        chains, g = scaffold_stage(own_blocks, target, drafts, tree, n, stage)
+        if debug:
+            reports.write_lines(reports.graph_dot_lines(g), f"{debug}/{stage.name}/breakpoint_graph.dot")
+            reports.write_lines(reports.permutation_lines(own_blocks.filter(F.col("genome") == target)), f"{debug}/{stage.name}/contigs.txt")
         now = _unfold(chains, f)
         if merged is None:
             merged = kept.cut(now)

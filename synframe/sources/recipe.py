@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from dataclasses import dataclass, field
+from collections.abc import Callable
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
@@ -154,6 +155,11 @@ def parse_simplify_passes(path: str) -> list[tuple[int, int]]:
         return [(int(a), int(b)) for a, b in (x.split() for x in f if x.strip())]
 
 
+def simplify_passes_text(passes: list[tuple[int, int]], counted: bool = False) -> str:
+    """The parameter file of ``parse_simplify_passes``; ``counted`` starts it with the number of passes, as block finders want it."""
+    return "".join([f"{len(passes)}\n"] * counted + [f"{a} {b}\n" for a, b in passes])
+
+
 class BlockSource(Protocol):
     def load(self, spark: SparkSession, recipe: dict, sizes: list[int]) -> dict[int, DataFrame]: ...
 
@@ -193,16 +199,34 @@ class MafSource:
         return out
 
 
-_SOURCES: dict[str, BlockSource] = {}
+class HalSource:
+    """A HAL file is read by the tools of its own library only; it is refused with what to do instead."""
+
+    def load(self, spark, recipe, sizes):
+        raise RecipeError("HAL files are not read: export the alignment as MAF and name it with .maf")
+
+
+_SOURCES: dict[str, Callable[..., BlockSource]] = {}
 
 
-def register_source(name: str, source: BlockSource) -> None:
+def register_source(name: str, make: Callable[..., BlockSource]) -> None:
+    """K1: ``make(**options)`` gives a source of blocks."""
     if name in _SOURCES:
         raise RecipeError(f"source {name} exists")
-    _SOURCES[name] = source
+    _SOURCES[name] = make
 
 
-def run_source(name: str, spark: SparkSession, recipe: dict, sizes: list[int]) -> dict[int, DataFrame]:
+def run_source(name: str, spark: SparkSession, recipe: dict, sizes: list[int], **options) -> dict[int, DataFrame]:
     if name not in _SOURCES:
         raise RecipeError(f"no source {name}; there are {sorted(_SOURCES)}")
-    return _SOURCES[name].load(spark, recipe, sizes)
+    return _SOURCES[name](**options).load(spark, recipe, sizes)
+
+
+def source_of(recipe: dict) -> str:
+    """The source that a recipe asks for: its MAF alignment, else its HAL alignment."""
+    return "hal" if "hal" in recipe and "maf" not in recipe else "maf"
+
+
+register_source("coords", CoordsSource)
+register_source("maf", MafSource)
+register_source("hal", HalSource)

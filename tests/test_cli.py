@@ -17,7 +17,10 @@ def test_scaffold_overlap_synteny_and_verify(spark, tmp_path):
         out += ["-" * 20, f"Block #{b + 1}", "Seq_id\tStrand\tStart\tEnd\tLength", f"{ids['t', f'c{k}']}\t+\t{s}\t{s + 800}\t800", f"{ids['r', 'chr']}\t+\t{size * k + s}\t{size * k + s + 800}\t800"]
     (tmp_path / "b500.txt").write_text("\n".join(out) + "\n")
     (tmp_path / "x.rcp").write_text(".references = r\n.target = t\n.blocks = 500\n.tree = (t:1,r:1);\nt.fasta = t.fa\n")
-    assert main(["scaffold", str(tmp_path / "x.rcp"), "-o", str(tmp_path / "out"), "--coords", str(tmp_path / "b{size}.txt")]) == 0
+    assert main(["scaffold", str(tmp_path / "x.rcp"), "-o", str(tmp_path / "out"), "--coords", str(tmp_path / "b{size}.txt"), "--debug"]) == 0
+    dot = [r.value for r in spark.read.text(str(tmp_path / "out/debug/500/breakpoint_graph.dot")).collect()]
+    assert dot[0] == "graph {" and dot[-1] == "}" and '-1 -- 2 [genome="r", infinity="False"];' in dot
+    assert spark.read.text(str(tmp_path / "out/debug/phylogeny.txt")).count() == 2
     agp = [r.value.split("\t") for r in spark.read.text(str(tmp_path / "out/scaffolds.agp")).collect()]
     assert [x[5] for x in agp if x[4] == "W"] == [f"c{k}" for k in range(n)]
     assert main(["scaffold", str(tmp_path / "none.rcp")]) == 1
@@ -35,3 +38,44 @@ def test_scaffold_overlap_synteny_and_verify(spark, tmp_path):
     (tmp_path / "a.paf").write_text("".join(f"c{k}\t100\t0\t100\t+\tr\t1000\t{200 * k}\t{200 * k + 100}\t100\t100\t60\n" for k in range(3)))
     (tmp_path / "a.ord").write_text(">s\n+c0\n+c1\n+c2\n")
     assert main(["verify", str(tmp_path / "a.paf"), str(tmp_path / "a.ord")]) == 0
+
+
+def test_sources_are_looked_up_by_name(spark, tmp_path):
+    import pytest
+
+    from synframe.sources import recipe as rc
+
+    assert rc.source_of({"hal": "x"}) == "hal" and rc.source_of({"hal": "x", "maf": "y"}) == "maf"
+    with pytest.raises(rc.RecipeError, match="MAF"):
+        rc.run_source("hal", spark, {"hal": "x"}, [500])
+    with pytest.raises(rc.RecipeError, match="no source"):
+        rc.run_source("none", spark, {}, [500])
+    with pytest.raises(rc.RecipeError, match="exists"):
+        rc.register_source("maf", rc.MafSource)
+    (tmp_path / "p.txt").write_text(rc.simplify_passes_text(rc.SIMPLIFY_PASSES))
+    assert rc.parse_simplify_passes(str(tmp_path / "p.txt")) == list(rc.SIMPLIFY_PASSES)
+    assert rc.simplify_passes_text([(30, 150)], counted=True) == "1\n30 150\n"
+
+
+def test_maf_without_blank_lines_and_repeated_fasta_names(spark, tmp_path):
+    from synframe.sources import text_formats as tf
+
+    (tmp_path / "a.maf").write_text("a\ns g.c 0 20 + 100 " + "A" * 20 + "\ns h.gi|7 5 20 + 50 " + "A" * 20 + "\na score=2\ns g.c 30 20 + 100 " + "A" * 20 + "\ns h.gi|7| 30 20 - 50 " + "A" * 20 + "\n")
+    got = sorted(map(tuple, tf.read_maf(spark, str(tmp_path / "a.maf"), 10).collect()))
+    assert got == [("g", "c", 100, 1, 1, 0, 20), ("g", "c", 100, 2, 1, 30, 50), ("h", "gi|7|", 50, 1, 1, 5, 25), ("h", "gi|7|", 50, 2, -1, 0, 20)]
+    (tmp_path / "a.fa").write_text(">one\nTTTT\n>two\nA\n>one\nACGT\n")
+    assert sorted(map(tuple, tf.read_fasta(spark, str(tmp_path / "a.fa")).collect())) == [("one", "ACGT"), ("two", "A")]
+
+
+def test_orders_of_two_files_and_of_split_files(spark, tmp_path):
+    from synframe.sources import text_formats as tf
+
+    for f in "ab":
+        (tmp_path / f"{f}.ord").write_text("".join(f">{f}{s}\n" + "".join(f"+{f}{s}x{i}\n" for i in range(40)) for s in range(5)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        got = tf.read_order(spark, str(tmp_path) + "/*.ord").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((r.scf, r.idx, r.contig) for r in got) == sorted((f"{f}{s}", i, f"{f}{s}x{i}") for f in "ab" for s in range(5) for i in range(40))
