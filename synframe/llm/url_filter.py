@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from synframe.runtime import Written
+from synframe.sources.blocks_view import from_files
 
 
 def host_of(url: Column) -> Column:
@@ -82,9 +83,8 @@ def entries_sql(engine: str) -> str:
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Production parameters: all pages against the list derived from all hosts."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    pages.createOrReplaceTempView("pages")
-    out = temporal_list_join(spark.sql(CAPTURES), spark.sql(entries_sql("spark")))
+    table = lambda text: spark.sql(from_files(text, sf_dir, ("pages",)))
+    out = temporal_list_join(table(CAPTURES), table(entries_sql("spark")))
     return out.select("page_id", "host", F.date_format("fetched_at", "yyyy-MM-dd").alias("fetched_on"), F.array_join("active", ",").alias("active"), "blocked")
 
 

@@ -25,3 +25,12 @@ def test_intervals_suffixes_nulls_and_ties(spark):
     assert got == {0: (False, ""), 1: (True, "a:bad.com"), 2: (True, "a:bad.com,b:bad.com"), 3: (True, "b:bad.com"), 4: (True, "a:bad.com,b:bad.com"), 5: (False, ""), 6: (False, ""), 7: (False, ""), 8: (False, ""), 9: (False, ""), 10: (False, ""), 11: (True, "a:bad.com")}
     assert temporal_list_join(c.limit(0), e).count() == 0
     assert not temporal_list_join(c, e.limit(0)).filter("blocked").count()
+
+
+def test_very_long_urls_and_no_view_in_the_session(spark):
+    long = "http://" + "a." * 20000 + "bad.com/" + "x" * 100000
+    c = spark.createDataFrame([(long, D(2024, 1, 20), 1), ("http://bad.com/" + "y" * 10**6, D(2024, 1, 20), 2)], "url string, fetched_at date, page_id long")
+    e = spark.createDataFrame([("bad.com", "a", "add", D(2024, 1, 10))], "pattern string, list_name string, action string, at date")
+    assert {r.page_id: r.blocked for r in temporal_list_join(c, e).collect()} == {1: True, 2: True}
+    op6_url_filter(spark, DATA)
+    assert not [t for t in spark.catalog.listTables() if t.name == "pages"]
