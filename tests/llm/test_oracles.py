@@ -11,7 +11,7 @@ DATA = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark"):
         con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     rel = con.sql(ORACLE_SQL[name])
     df = QUERIES[name](spark, DATA)
