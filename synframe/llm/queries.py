@@ -7,6 +7,7 @@ from synframe.llm.language_id import op4_language_id
 from synframe.llm.line_dedup import op7_line_dedup
 from synframe.llm.mixing import op5_mix_sources
 from synframe.llm.packing import op2_pack
+from synframe.llm.periodic import op12_periodic_runs
 from synframe.llm.quality_classifier import op3_quality_classifier
 from synframe.llm.quality_rules import op9_quality_rules
 from synframe.llm.simhash import op8_simhash_neardup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_simhash_neardup": op8_simhash_neardup,
     "op9_quality_rules": op9_quality_rules,
     "op10_topk": op10_topk,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_decontaminate": decontaminate.op13_decontaminate,
 }
 
