@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from synframe.llm import decontaminate, quality_rules, suffix_dedup, topk, url_filter
+from synframe.llm import decontaminate, negatives, quality_rules, suffix_dedup, topk, url_filter
 from synframe.llm.language_id import op4_language_id
 from synframe.llm.line_dedup import op7_line_dedup
 from synframe.llm.mixing import op5_mix_sources
@@ -25,6 +25,7 @@ QUERIES = {
     "op8_simhash_neardup": op8_simhash_neardup,
     "op9_quality_rules": op9_quality_rules,
     "op10_topk": op10_topk,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_decontaminate": decontaminate.op13_decontaminate,
 }
@@ -34,5 +35,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_url_filter": url_filter.ORACLE_SQL,
     "op9_quality_rules": quality_rules.ORACLE_SQL,
     "op10_topk": topk.ORACLE_SQL,
+    "op11_hard_negatives": negatives.ORACLE_SQL,
     "op13_decontaminate": decontaminate.ORACLE_SQL,
 }

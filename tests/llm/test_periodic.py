@@ -113,15 +113,15 @@ def test_one_long_periodic_text():
 
 def test_texts_nulls_and_names(spark):
     loop = "la li lu " * 5
-    rows = [(1, loop + "end", 1), (2, None, 2), (3, "", 3), (4, " \t\n", 4), (None, "é é é é é é  x", 5), (1, loop + "end", 6), (7, "a  b\tc", 7)]
+    rows = [(1, loop + "end", 1), (2, None, 2), (3, "", 3), (4, " \t\n", 4), (None, "é é é é é é \u00a0x", 5), (1, loop + "end", 6), (7, "a  b\tc", 7)]
     df = spark.createDataFrame(rows, "doc_id long, text string, `runs.x``` int")
     got = {r.n_words: (r.runs, r.collapsed) for r in P.periodic_runs(df).collect()}
     assert [tuple(r) for r in got[16][0]] == [(0, 15, 3)] and got[16][1] == "la li lu end"
-    assert [tuple(r) for r in got[7][0]] == [(0, 6, 1)] and got[7][1] == "é  x" and got[0] == ([], "")
+    assert [tuple(r) for r in got[7][0]] == [(0, 6, 1)] and got[7][1] == "é \u00a0x" and got[0] == ([], "")
     out = P.collapse_runs(df)
     assert out.columns == df.columns
     texts = {r[2]: r[1] for r in out.collect()}
-    assert texts == {1: "la li lu end", 2: None, 3: "", 4: " \t\n", 5: "é  x", 6: "la li lu end", 7: "a  b\tc"}
+    assert texts == {1: "la li lu end", 2: None, 3: "", 4: " \t\n", 5: "é \u00a0x", 6: "la li lu end", 7: "a  b\tc"}
     assert P.periodic_runs(df.limit(0)).count() == 0
 
 
