@@ -54,3 +54,68 @@ def frame(spark: SparkSession, sf_dir: str, *ctes: str, select: str) -> DataFram
 
 def sql(*ctes: str, select: str, recursive: bool = False) -> str:
     return f"with {'recursive ' if recursive else ''}{', '.join(ctes)} {select}"
+
+#: Sequences of the five genomes, written from ``documents``: a document's MD5 sums are a stretch of 128 nucleotides; a genome lacks one of
+#: eleven stretches, has one letter exchanged in a third of them and one of thirteen turned round. g0 lies in contigs, the others in chromosomes.
+_SEQUENCES = """
+stretch as (select doc_id, translate(concat(md5(concat(text, 'a')), md5(concat(text, 'b')), md5(concat(text, 'c')), md5(concat(text, 'd'))), '0123456789abcdef', 'ACGTACGTACGTACGT') as s
+            from documents where text is not null),
+own as (select gno, doc_id, case when (doc_id + gno) % 3 = 0 then concat(substr(s, 1, 60), translate(substr(s, 61, 1), 'ACGT', 'CGTA'), substr(s, 62)) else s end as s
+        from stretch cross join (select 0 as gno union all select 1 union all select 2 union all select 3 union all select 4) g where (doc_id * 3 + gno) % 11 <> 0),
+turned as (select gno, doc_id, case when (doc_id * 7 + gno) % 13 = 0 then reverse(translate(s, 'ACGT', 'TGCA')) else s end as s,
+                  case when gno = 0 then concat('c', cast(cast(floor(doc_id / 6) as bigint) as string)) else concat('r', cast(cast(floor(doc_id / 40) as bigint) as string)) end as chr from own),
+sequences as (select concat('g', cast(gno as string)) as genome, chr, {joined} as seq from turned group by gno, chr)
+"""
+SEQUENCES = {
+    "spark": _SEQUENCES.format(joined="array_join(transform(array_sort(collect_list(struct(doc_id, s))), x -> x.s), '')"),
+    "duckdb": _SEQUENCES.format(joined="string_agg(s, '' order by doc_id, s)"),
+}
+#: The de Bruijn graph of the sequences' 15-mers and its contracted paths.
+KMERS = """
+cut as (select genome, chr, p, substr(seq, p + 1, 15) as f from sequences, unnest(range(0, length(seq) - 14)) u(p)),
+strands_ as (select genome, chr, p, f, reverse(translate(f, 'ACGT', 'TGCA')) as r from cut),
+walk as (select genome, chr, p, least(f, r) as node, case when f <= r then 1 else -1 end as sign from strands_),
+steps as (select *, lead(node) over w as n2, lead(sign) over w as s2, lag(node) over w is null as left_end from walk window w as (partition by genome, chr order by p)),
+half as (select node, case when sign > 0 then 'R' else 'L' end as side, n2 || case when s2 > 0 then 'L' else 'R' end as leads from steps
+         union all select n2, case when s2 > 0 then 'L' else 'R' end, node || case when sign > 0 then 'R' else 'L' end from steps where n2 is not null
+         union all select node, case when sign > 0 then 'L' else 'R' end, null from steps where left_end),
+sides as (select node, side, min(leads) as low, max(leads) as high, bool_or(leads is null) as open from half group by node, side)
+"""
+PATHS = """
+simple as (select node, side, low from sides where not open and low = high and left(low, 15) <> node),
+joined as (select a.node, a.side from simple a join simple b on a.low = b.node || b.side and b.low = a.node || a.side),
+often as (select node from walk group by node having count(*) > 1),
+marked as (select w.genome, w.chr, w.p, w.node, w.sign, j.node is not null as on_ from walk w semi join often o on o.node = w.node
+           left join joined j on j.node = w.node and j.side = case when w.sign > 0 then 'R' else 'L' end),
+cuts_ as (select *, case when lag(p) over w = p - 1 and lag(on_) over w then 0 else 1 end as fresh from marked window w as (partition by genome, chr order by p)),
+parts_ as (select *, sum(fresh) over (partition by genome, chr order by p) as no from cuts_),
+found as (select genome, chr, ('0x' || translate(min(node), 'ACGT', '0123'))::bigint + 1 as block_id, cast(arg_min(sign, node) as int) as sign, min(p) as bstart, max(p) + 15 as bend from parts_ group by genome, chr, no)
+"""
+#: The blocks found in the sequences in place of those derived from ``lineitem``.
+FOUND = f"{SEQUENCES['duckdb']}, {KMERS}, {PATHS}, blocks as (select * from found)"
+#: Minimisers (5 of 15-mers) of contigs and of the references' sequences, anchors and segments.
+SKETCH = """
+km as (select genome, chr, p, substr(seq, p + 1, 15) as f, length(seq) - 14 as n from sequences, unnest(range(0, length(seq) - 14)) u(p) where genome in ('g0', 'g1')),
+kc as (select genome, chr, p, n, least(f, reverse(translate(f, 'ACGT', 'TGCA'))) as kmer, case when f <= reverse(translate(f, 'ACGT', 'TGCA')) then 1 else -1 end as sign from km),
+kv as (select *, (('0x' || translate(kmer, 'ACGT', '0123'))::bigint % 2147483647 * 48271 % 2147483647) * 2147483648 + p as v from kc),
+kw as (select genome, chr, p, n, min(v) over (partition by genome, chr order by p rows between current row and 4 following) % 2147483648 as least_ from kv),
+mini as (select distinct kc.genome, kc.chr, kc.p, kc.kmer, kc.sign from kc join (select genome, chr, least_ from kw where p <= greatest(0, n - 5)) l on l.genome = kc.genome and l.chr = kc.chr and l.least_ = kc.p),
+rare_ as (select kmer from mini where genome = 'g1' group by kmer having count(*) <= 256),
+anchor_ as (select q.chr as qry, r.chr as ref, q.sign * r.sign as strand, q.p as q, r.p as r, r.p - q.sign * r.sign * q.p as d
+            from mini q join mini r on q.kmer = r.kmer join rare_ on rare_.kmer = r.kmer where q.genome = 'g0' and r.genome = 'g1'),
+fresh_ as (select *, case when r - lag(r) over w <= 300 then 0 else 1 end as fresh from anchor_ window w as (partition by qry, ref, strand, d order by r)),
+runs_ as (select *, sum(fresh) over (partition by qry, ref, strand, d order by r) as no from fresh_),
+segment_ as (select qry, ref, strand, min(r) as ref_start, max(r) + 15 as ref_end, min(q) as qry_start, max(q) + 15 as qry_end, count(*) as anchors from runs_ group by qry, ref, strand, d, no)
+"""
+CHAINED = """
+along as (select *, row_number() over (order by qry, ref, strand, ref_start, qry_start, ref_end, qry_end) as id, ref_start as rs, ref_end as re,
+                 case when strand > 0 then qry_start else -qry_end end as qs, case when strand > 0 then qry_end else -qry_start end as qe from segment_),
+able as (select a.id as i, b.id as j, greatest(b.rs - a.re, b.qs - a.qe) + abs((b.rs - a.re) - (b.qs - a.qe)) as cost, a.rs, a.qs, a.re, a.qe, b.rs as rs2, b.qs as qs2, b.re as re2, b.qe as qe2
+         from along a join along b using (qry, ref, strand) where a.rs < b.rs and a.re < b.re and a.qs < b.qs and a.qe < b.qe
+         and greatest(b.rs - a.re, b.qs - a.qe) <= 300 and least(b.rs - a.re, b.qs - a.qe) > -15),
+chosen as (select * from able qualify row_number() over (partition by j order by cost, rs, qs, re, qe) = 1),
+agreed as (select i, j from chosen qualify row_number() over (partition by i order by cost, rs2, qs2, re2, qe2) = 1),
+heads as (select id as head, id from along where id not in (select j from agreed) union all select head, j from heads join agreed on agreed.i = heads.id),
+aligned as (select qry, ref, cast(strand as int) as strand, min(ref_start) as ref_start, max(ref_end) as ref_end, min(qry_start) as qry_start, max(qry_end) as qry_end, sum(anchors)::bigint as anchors
+            from along join heads using (id) group by head, qry, ref, strand)
+"""

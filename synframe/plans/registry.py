@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from synframe.functions import sequence as sq
 from synframe.operators import adjacency as ad
+from synframe.operators import aligner as al
+from synframe.operators import blockfinder as bf
 from synframe.operators import filters as fl
 from synframe.operators import inference as inf
 from synframe.operators import intervals as iv
@@ -21,7 +23,7 @@ from synframe.operators import scaffold as sc
 from synframe.operators import simplify as si
 from synframe.operators import verify as ve
 from synframe.plans import scaffolding
-from synframe.plans.fixtures import ALN, B, CONTIGS, EDGES, PARTS, REP, SEQS, TRIM, clean, frame, sql
+from synframe.plans.fixtures import ALN, B, CHAINED, CONTIGS, EDGES, FOUND, KMERS, PARTS, REP, SEQS, SEQUENCES, SKETCH, TRIM, clean, frame, sql
 from synframe.runtime import Written
 from synframe.sinks import reports as rep
 from synframe.sources import text_formats as tf
@@ -966,3 +968,80 @@ def _(s, d):
 
     b = blocks(s, d).filter("genome in ('g0', 'g1')")
     return rename_sequences(b.select("chr", "block_id"), b.select("genome", "chr").distinct())
+
+
+# ---- blocks and alignments from sequences alone -------------------------------------------------------------------
+
+
+def genome_sequences(s, d):
+    return Written(s, "genomes").cut(frame(s, d, SEQUENCES["spark"], select="select genome, chr, seq from sequences"))
+
+
+def found_blocks(s, d):
+    return Written(s, "blocks").cut(bf.unitig_blocks(genome_sequences(s, d)))
+
+
+def found_graph(s, d):
+    return Written(s, "graph").cut(ad.breakpoint_graph(fl.clean_blocks(found_blocks(s, d), TARGET, 5, False), TARGET, [DRAFT]))
+
+
+@query("branching_kmers", sql(SEQUENCES["duckdb"], KMERS, select="select node, side, low, high, open from sides where open or low <> high"))
+def _(s, d):
+    return bf.sides(bf.kmer_walk(genome_sequences(s, d), 15)).filter("open or low <> high")
+
+
+@query("unitig_blocks", sql(FOUND, select="select * from blocks"))
+def _(s, d):
+    return found_blocks(s, d)
+
+
+@query("find_blocks")
+def _(s, d):
+    out = None
+    for size, b in bf.find_blocks(genome_sequences(s, d), [30, 100]).items():
+        b = b.select(F.lit(size).alias("size"), "genome", "chr", "block_id", "sign", "bstart", "bend")
+        out = b if out is None else out.unionByName(b)
+    return out
+
+
+@query("sequence_graph", sql(FOUND, *WEIGHTED[1:-1], select="select * from wg", recursive=True))
+def _(s, d):
+    return inf.weighted_graph(found_graph(s, d), TREE, TARGET)
+
+
+@query("sequence_scaffolds", sql(FOUND, *WEIGHTED[1:], ADJACENT, WALK, CHAINS, select="select * from chains", recursive=True))
+def _(s, d):
+    kept = Written(s, "found")
+    clean_ = kept.cut(fl.clean_blocks(found_blocks(s, d), TARGET, 5, False))
+    g = kept.cut(ad.breakpoint_graph(clean_, TARGET, [DRAFT]))
+    known = g.filter(F.col("genome") == TARGET).select("a", "b").distinct()
+    adj = inf.infer_adjacencies(g, inf.min_weight_matching(g, TREE, TARGET).unionByName(known).distinct(), ph.rank_table(s, TREE, TARGET))
+    return sc.build_chains(ad.contig_ends(clean_, TARGET), adj)
+
+
+def contig_alignments(s, d):
+    g = genome_sequences(s, d)
+    side = lambda genome: g.filter(F.col("genome") == genome).select(F.col("chr").alias("name"), "seq")
+    return Written(s, "aligned").cut(al.align(side("g0"), side("g1")))
+
+
+@query("minimisers", sql(SEQUENCES["duckdb"], SKETCH, select="select chr as name, kmer, p as pos, sign from mini where genome = 'g1'"))
+def _(s, d):
+    return al.minimisers(genome_sequences(s, d).filter("genome = 'g1'").select(F.col("chr").alias("name"), "seq"))
+
+
+@query("seed_segments", sql(SEQUENCES["duckdb"], SKETCH, select="select * from segment_"))
+def _(s, d):
+    g = genome_sequences(s, d)
+    side = lambda genome: g.filter(F.col("genome") == genome).select(F.col("chr").alias("name"), "seq")
+    return al.segments(side("g0"), side("g1"))
+
+
+@query("contig_alignments", sql(SEQUENCES["duckdb"], SKETCH, CHAINED, select="select * from aligned", recursive=True))
+def _(s, d):
+    return contig_alignments(s, d)
+
+
+@query("aligned_islands", sql(SEQUENCES["duckdb"], SKETCH, CHAINED, "aln as (select qry, ref, strand, ref_start, ref_end, qry_start, qry_end from aligned a where qry_end - qry_start > 0.45 * (select max(qry_end - qry_start) from aligned b where a.qry = b.qry))", "m as (select *, case when lag(qry) over w = qry and lag(strand) over w = strand then 0 else 1 end as b from aln window w as (partition by ref order by ref_start, ref_end, qry, qry_start))", "i as (select *, sum(b) over (partition by ref order by ref_start, ref_end, qry, qry_start rows unbounded preceding) as g from m)", select="select qry, ref, min(strand) as strand, min(ref_start) as ref_start, max(ref_end) as ref_end, min(qry_start) as qry_start, max(qry_end) as qry_end from i group by ref, g, qry", recursive=True))
+def _(s, d):
+    return iv.join_collinear(fl.filter_by_coverage(contig_alignments(s, d).drop("anchors"), 0.45))

@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 BLOCKS_SQL = """
 with inst as (
   select l_suppkey % 5 as gno, l_partkey + 1 as block_id, count(*) as n
-  from lineitem where l_quantity <= 25 group by l_suppkey % 5, l_partkey + 1),
+  from lineitem group by l_suppkey % 5, l_partkey + 1 having count(*) >= 3),
 cp as (
   select gno, block_id, block_id as anchor, 0 as copy_no from inst
   union all
-  select gno, block_id, block_id + 37 as anchor, 1 as copy_no from inst where n >= 7),
+  select gno, block_id, block_id + 37 as anchor, 1 as copy_no from inst where n >= 12),
 pos as (
   select gno, block_id, copy_no, anchor,
     case when gno = 0 then concat('c', cast(cast(floor(anchor / 8) as bigint) as string))

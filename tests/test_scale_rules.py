@@ -20,9 +20,9 @@ def test_relational_operators_stay_in_the_jvm(spark, name):
     assert not re.search("Python|Pandas|Arrow|CartesianProduct", p)
 
 
-def test_scan_is_pruned_and_filtered(spark):
+def test_scan_is_pruned(spark):
     p = plan(registry.QUERIES["block_coverage"](spark, DATA))
-    assert re.search(r"ReadSchema: struct<l_partkey:bigint,l_suppkey:bigint,l_quantity:double>", p) and "LessThanOrEqual(l_quantity,25.0)" in p
+    assert "ReadSchema: struct<l_partkey:bigint,l_suppkey:bigint>" in p
 
 
 def test_two_text_columns_only_read_what_they_need(spark):
