@@ -119,3 +119,20 @@ heads as (select id as head, id from along where id not in (select j from agreed
 aligned as (select qry, ref, cast(strand as int) as strand, min(ref_start) as ref_start, max(ref_end) as ref_end, min(qry_start) as qry_start, max(qry_end) as qry_end, sum(anchors)::bigint as anchors
             from along join heads using (id) group by head, qry, ref, strand)
 """
+#: J11 over scaffold sets ``big`` and ``small`` (scf, idx, chr, sign, gap).
+SPLICED = """
+rep_ as (select distinct chr from (select 1 as w, chr from big union all select 2, chr from small) t group by w, chr having count(*) > 1),
+b1 as (select big.*, rep_.chr is null as anchor from big left join rep_ using (chr)),
+b2 as (select *, max(case when anchor then idx end) over (partition by scf order by idx) as at_, max(case when anchor then idx end) over (partition by scf) as end_ from b1),
+s1 as (select small.*, o.chr is not null and rep_.chr is null as u, row_number() over (partition by scf order by idx) as pos from small left join rep_ using (chr) left join (select chr from b1 where anchor) o using (chr)),
+s2 as (select *, sum(u::int) over w as seen, lag(gap) over w as before_, max(case when u then pos end) over w as lo from s1 window w as (partition by scf order by idx)),
+p1 as (select scf, idx, chr, sign, lead(chr) over w as chr2, lead(sign) over w as sign2 from b1 where anchor window w as (partition by scf order by idx)),
+p2 as (select p1.scf, p1.idx as at_, l.scf as from_, least(l.pos, r.pos) as lo, l.sign * p1.sign > 0 as same, case when l.sign * p1.sign > 0 then l.gap else l.before_ end as first_gap
+       from p1 join s2 l on l.chr = p1.chr and l.u join s2 r on r.chr = chr2 and r.u
+       where l.scf = r.scf and l.sign * p1.sign = r.sign * sign2 and (l.pos < r.pos) = (l.sign * p1.sign > 0) and abs(l.seen - r.seen) = 1 and abs(l.pos - r.pos) > 1),
+o1 as (select scf, idx, 0 as k, chr, sign, case when idx = at_ then coalesce(first_gap, gap) else gap end as gap from b2 left join p2 using (scf, at_)
+       where end_ is null or idx = at_ or (first_gap is null and at_ < end_)
+       union all
+       select p2.scf, at_, case when same then pos else 1000000 - pos end, chr, case when same then sign else -sign end, case when same then gap else before_ end from s2 join p2 on s2.scf = from_ and s2.lo = p2.lo where not u),
+spliced as (select scf, row_number() over (partition by scf order by idx, k) - 1 as idx, chr, cast(sign as int) as sign, gap from o1)
+"""

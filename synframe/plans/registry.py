@@ -22,8 +22,9 @@ from synframe.operators import repeats as rp
 from synframe.operators import scaffold as sc
 from synframe.operators import simplify as si
 from synframe.operators import verify as ve
+from synframe.operators.components import connected_components
 from synframe.plans import scaffolding
-from synframe.plans.fixtures import ALN, B, CHAINED, CONTIGS, EDGES, FOUND, KMERS, PARTS, REP, SEQS, SEQUENCES, SKETCH, TRIM, clean, frame, sql
+from synframe.plans.fixtures import ALN, B, CHAINED, CONTIGS, EDGES, FOUND, KMERS, PARTS, REP, SEQS, SEQUENCES, SKETCH, SPLICED, TRIM, clean, frame, sql
 from synframe.runtime import Written
 from synframe.sinks import reports as rep
 from synframe.sources import text_formats as tf
@@ -176,6 +177,12 @@ def _(s, d):
     return ad.graph_components(graph(s, d).select("a", "b"))
 
 
+@query("bp_components_rounds", sql(B, clean(False), EDGES, RECURSIVE_CC.format(e="graph"), select="select node, min(seen) as component from walk group by node", recursive=True))
+def _(s, d):
+    # every round distributed: none is finished in one task
+    return connected_components(graph(s, d), "a", "b", contract=False, few=0)
+
+
 @query("discordant_nodes", sql(B, clean(False), EDGES, "n as (select a as node, b as nbr from graph where genome in ('g0', 'g1') and not infinity union all select b, a from graph where genome in ('g0', 'g1') and not infinity)", select="select node, count(distinct nbr) as neighbours from n group by node having count(distinct nbr) > 1"))
 def _(s, d):
     return ad.discordant_nodes(graph(s, d), "g0", "g1")
@@ -650,7 +657,12 @@ def _(s, d):
     return rep.links_lines(placed(s, d))
 
 
-@query("merge_scaffolds")
+def chains_sql(loose: bool = False) -> str:
+    """The chains of a stage as one statement; it can stand inside another."""
+    return sql(*[clean(True) if loose and x == clean(False) else x for x in WEIGHTED], ADJACENT, WALK, CHAINS, select="select scf, idx, chr, sign, gap from chains", recursive=True)
+
+
+@query("merge_scaffolds", sql(f"big as ({chains_sql()})", f"small as ({chains_sql(True)})", SPLICED, select="select * from spliced"))
 def _(s, d):
     return sc.merge_scaffolds(chains(s, d).drop("supporting"), chains(s, d, True).drop("supporting"))
 
