@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from synframe.runtime import bound_text_batches, lean
+from synframe.llm.columns import named
+from synframe.runtime import Written, bound_text_batches, lean
 
 NGRAMS = (3, 4)
 SLOTS = 1 << 20
@@ -172,35 +173,32 @@ def gram_counts(train: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, share: float = 0.4, least: int = 3) -> Model:
     """Learn from all rows of ``docs`` with a lang; only the fixed-size table and per-language totals reach the driver."""
-    counts = gram_counts(docs.filter(F.col("lang").isNotNull())).persist()
-    try:
-        totals = {r["lang"]: r["t"] for r in counts.groupBy("lang").agg(F.sum("n").alias("t")).collect()}
-        langs = sorted(totals)
-        if not langs:
-            return Model([], np.zeros((SLOTS, 1), np.uint64), np.zeros(0))
-        width = -(-len(langs) // 64)
-        place = F.create_map(*[F.lit(x) for i, lang in enumerate(langs) for x in (lang, i)])
-        total = F.create_map(*[F.lit(x) for lang in langs for x in (lang, float(max(1, totals[lang])))])
-        per = counts.filter(F.col("n") >= least).groupBy("gram").agg(F.collect_list(F.struct(place[F.col("lang")].alias("l"), (F.col("n") / total[F.col("lang")]).alias("r"))).alias("ls"))
-        top = F.array_max(F.transform("ls", lambda x: x["r"]))
-        per = per.withColumn("top", top).withColumn("ls", F.filter("ls", lambda x: x["r"] >= share * F.col("top")))
-
-        def place_bits(batches):
-            for b in batches:
-                at, word, bit = [], [], []
-                for g, ls in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    for s in slots(g):
-                        for l in ls:
-                            at.append(s)
-                            word.append(l // 64)
-                            bit.append(1 << (l % 64))
-                v = np.array(bit, np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(word, pa.int32()), pa.array(v)], names=["slot", "word", "bits"])
-
-        bits = per.select("gram", F.transform("ls", lambda x: x["l"]).alias("ls")).mapInArrow(lean(place_bits), "slot int, word int, bits long")
-        found = bits.groupBy("slot", "word").agg(F.expr("bit_or(bits)").alias("bits")).toPandas()  # at most SLOTS rows for each 64 languages
-    finally:
-        counts.unpersist()
+    counts = Written(docs.sparkSession, "grams").cut(gram_counts(docs.filter(F.col("lang").isNotNull())))
+    totals = {r["lang"]: r["t"] for r in counts.groupBy("lang").agg(F.sum("n").alias("t")).collect()}
+    langs = sorted(totals)
+    if not langs:
+        return Model([], np.zeros((SLOTS, 1), np.uint64), np.zeros(0))
+    width = -(-len(langs) // 64)
+    place = F.create_map(*[F.lit(x) for i, lang in enumerate(langs) for x in (lang, i)])
+    total = F.create_map(*[F.lit(x) for lang in langs for x in (lang, float(max(1, totals[lang])))])
+    per = counts.filter(F.col("n") >= least).groupBy("gram").agg(F.collect_list(F.struct(place[F.col("lang")].alias("l"), (F.col("n") / total[F.col("lang")]).alias("r"))).alias("ls"))
+    top = F.array_max(F.transform("ls", lambda x: x["r"]))
+    per = per.withColumn("top", top).withColumn("ls", F.filter("ls", lambda x: x["r"] >= share * F.col("top")))
+
+    def place_bits(batches):
+        for b in batches:
+            at, word, bit = [], [], []
+            for g, ls in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for s in slots(g):
+                    for l in ls:
+                        at.append(s)
+                        word.append(l // 64)
+                        bit.append(1 << (l % 64))
+            v = np.array(bit, np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(word, pa.int32()), pa.array(v)], names=["slot", "word", "bits"])
+
+    bits = per.select("gram", F.transform("ls", lambda x: x["l"]).alias("ls")).mapInArrow(lean(place_bits), "slot int, word int, bits long")
+    found = bits.groupBy("slot", "word").agg(F.expr("bit_or(bits)").alias("bits")).toPandas()  # at most SLOTS rows for each 64 languages
     table = np.zeros((SLOTS, width), np.uint64)
     table[found["slot"].to_numpy(), found["word"].to_numpy()] = found["bits"].to_numpy().astype(np.int64).view(np.uint64)
     fill = np.array([((table[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(langs))])
@@ -212,7 +210,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
     spark = docs.sparkSession
     kept = ["doc_id"] if keep is None else [c for c in keep if c not in ("lang_pred", "score")]
     shared = spark.sparkContext.broadcast(model)  # SLOTS * 8 bytes for each 64 languages, whatever the corpus
-    inner = docs.select(F.struct(*kept).alias("row"), F.col("text").cast("string").alias("text"))
+    inner = docs.select(F.struct(*map(named, kept)).alias("row"), F.col("text").cast("string").alias("text"))
 
     def run(batches):
         m = shared.value

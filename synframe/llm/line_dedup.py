@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from synframe.llm.columns import named
 from synframe.runtime import Written, bound_text_batches, lean
 
 MIN_WORDS = 10
@@ -227,7 +228,7 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFram
     """``docs`` with the repeated blocks cut out of ``text`` and ``deleted_lines``."""
     gone = repeated_lines(docs, min_words).withColumnsRenamed({"doc_id": "_id", "tk": "_tk", "gone": "_gone"})
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    d = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_d"), F.crc32(text.cast("binary")).alias("_t"))
+    d = docs.select(F.struct(*map(named, docs.columns)).alias("_row"), F.col("doc_id").cast("long").alias("_d"), F.crc32(text.cast("binary")).alias("_t"))
     j = d.join(gone, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_tk")), "left").select("_row", "_gone")
 
     bound_text_batches(docs.sparkSession)

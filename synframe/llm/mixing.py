@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
+from synframe.llm.columns import named
 from synframe.runtime import Written, bound_text_batches, lean
 
 TOPICS = 8
@@ -116,7 +117,7 @@ def classified(docs: DataFrame, topic: Callable[[Column], Column] | None = None)
     """``(_row, _s, _l, _t, _n)``: the row, its source, language and topic, and its tokens."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = topic(text).cast("string") if topic else F.lit(None).cast("string")
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), text.alias("text"), own.alias("topic"))
+    d = docs.select(F.struct(*map(named, docs.columns)).alias("_row"), text.alias("text"), own.alias("topic"))
 
     def run(batches):
         for b in batches:

@@ -261,6 +261,22 @@ def text_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return sets.select("doc_id", "fp").join(final.join(names, "label").select("fp", "component_id"), "fp").select("doc_id", "component_id")
 
 
-def drop_near_texts(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """One document of each component stays, as in ``simhash.drop_near_duplicates``."""
-    return simhash.keep_first(docs, text_components(docs, shingle))
+def earlier_texts(docs: DataFrame, earlier: DataFrame) -> DataFrame:
+    """``(doc_id, text)``: of documents whose lines are some, not all, of those of their row in ``earlier``, that row's text."""
+    row = lambda df: df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
+    now, old = row(docs), row(earlier)
+    mark = now.select("doc_id", F.xxhash64("text").alias("h")).join(old.select("doc_id", F.xxhash64("text").alias("h2")), "doc_id")
+    changed = Written(docs.sparkSession, "changed").cut(mark.filter("h <> h2").select("doc_id").distinct())
+    both = old.join(changed, "doc_id", "left_semi").join(now.join(changed, "doc_id", "left_semi").select("doc_id", F.col("text").alias("now")), "doc_id")
+    lines = lambda c: F.split(c, "\n")
+    return both.filter((F.size(F.array_except(lines("now"), lines("text"))) == 0) & (F.col("now") != F.col("text"))).select("doc_id", "text")
+
+
+def drop_near_texts(docs: DataFrame, shingle: int = SHINGLE, earlier: DataFrame | None = None) -> DataFrame:
+    """One document of each component stays, as in ``simhash.drop_near_duplicates``. With ``earlier``, the documents before their repeated
+    lines were cut, a document that lost lines is compared by both texts: a near copy of which only a remnant is left is still one."""
+    texts = docs
+    if earlier is not None:
+        own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        texts = own.unionByName(Written(docs.sparkSession, "earlier").cut(earlier_texts(docs, earlier)))
+    return simhash.keep_first(docs, text_components(texts, shingle))

@@ -12,7 +12,7 @@ multiplied or grouped and repeated rows stay.
 Nulls: a capture with a null URL, host or time matches nothing; entries with a null pattern or time are ignored.
 Of several entries of a pattern and list at one time a removal wins. An interval holds from its start,
 inclusive, to its end, exclusive. Empty tables: no captures give no rows, no entries block nothing.
-Other columns of the captures are kept; their names may equal those of the list.
+Other columns of the captures are kept, whatever their names; own columns named host, active or blocked are replaced.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from synframe.llm.columns import named
 from synframe.runtime import Written
 from synframe.sources.blocks_view import from_files
 
@@ -41,7 +42,7 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
 def temporal_list_join(captures: DataFrame, entries: DataFrame, url: str = "url", at: str = "fetched_at") -> DataFrame:
     """``captures`` with ``host``, ``active`` (sorted ``list:pattern`` of the entries active at the fetch time) and ``blocked``."""
     spans = validity_intervals(entries)
-    c = captures.select(F.struct(*captures.columns).alias("_row"), F.nullif(host_of(F.col(url)), F.lit("")).alias("_host"), F.col(at).alias("_at"))
+    c = captures.select(F.struct(*map(named, captures.columns)).alias("_row"), F.nullif(host_of(named(url)), F.lit("")).alias("_host"), named(at).alias("_at"))
     hosts = c.select("_host").filter("_host is not null").distinct()
     labels = F.split("_host", r"\.")
     up = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
