@@ -14,20 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from synframe.llm import language_id, line_dedup, mixing, near_text, packing
+from synframe.llm.columns import freed, held
 from synframe.runtime import Written
 
 
-def held(docs: DataFrame, *used: str) -> DataFrame:
-    """The used columns, and all others in a struct ``_rest``: no column of an operator can meet one of the table's own."""
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in used]
-    return docs.select(*used, F.struct(*(rest or [F.lit(0).alias("_")])).alias("_rest"))
-
-
-def freed(df: DataFrame, docs: DataFrame, *used: str) -> DataFrame:
-    """``held`` undone: the columns of ``docs`` in their order."""
-    return df.select(*[F.col(c) if c in used else F.col("_rest").getField(c).alias(c) for c in docs.columns])
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or without an n-gram of any language, go; a missing lang is filled in."""
     model = language_id.train(docs)
@@ -46,8 +36,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document stays of those linked by fingerprints or by word 5-grams at a Jaccard similarity of 0.8 or more."""
-    return near_text.drop_near_texts(docs)
+    """One document stays of those linked by fingerprints or by word 5-grams at a Jaccard similarity of 0.8 or more. A document that lost
+    lines is compared by its text in ``documents`` as well: line dedup leaves a remnant of a near copy, which is like nothing else."""
+    return near_text.drop_near_texts(docs, earlier=spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
