@@ -3,47 +3,28 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from synframe.operators.adjacency import graph_components, suspicious_edges, trimmed_graph
 from synframe.operators.matching import best_matching
-from synframe.operators.phylogeny import parsimony, rate
+from synframe.operators.phylogeny import parsimony_column, rate
 from synframe.runtime import Written
 from synframe.sources.recipe import Tree, parse_newick
 
 
 def weighted_graph(graph: DataFrame, tree: Tree | str, target: str) -> DataFrame:
     """``(a, b, weight)``: for each node the parsimony cost of giving the target each candidate neighbour, as a share
-    of the node's total, summed over both directions. Costs are remembered by the pattern of equal states."""
+    of the node's total, summed over both directions. A genome's state at a node is its neighbour there (the greatest, if there are several);
+    a genome without one is VOID."""
     tree = parse_newick(tree) if isinstance(tree, str) else tree
-    mu = rate(tree)
     both = graph.select(F.col("a").alias("node"), F.col("b").alias("nbr"), "genome").unionByName(graph.select(F.col("b").alias("node"), F.col("a").alias("nbr"), "genome"))
-    per = both.distinct().groupBy("node").agg(F.collect_list(F.struct("genome", "nbr")).alias("states"))
-
-    def run(frames):
-        known: dict[tuple, float] = {}
-        for f in frames:
-            out = []
-            for node, states in zip(f["node"], f["states"], strict=True):
-                own = {}
-                for s in sorted(states, key=lambda s: (s["genome"], s["nbr"])):
-                    own[s["genome"]] = s["nbr"]
-                cand = sorted({s["nbr"] for s in states})
-                cost = {}
-                for x in cand:
-                    code: dict = {}
-                    full = own | {target: x}
-                    pattern = tuple((g, code.setdefault(full[g], len(code))) for g in sorted(full))
-                    if pattern not in known:
-                        known[pattern] = parsimony(tree, dict(pattern), mu)
-                    cost[x] = known[pattern]
-                total = sum(cost.values())
-                out += [(node, x, c / total if total else 0.0) for x, c in cost.items()]
-            yield pd.DataFrame(out, columns=["u", "v", "w"])
-
-    w = per.mapInPandas(run, "u long, v long, w double")
-    return w.groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.round(F.sum("w"), 9).alias("weight"))
+    names = {g: f"_s{i}" for i, g in enumerate(tree.leaves()) if g != target}
+    per = both.groupBy("node").agg(F.collect_set("nbr").alias("x"), *[F.max(F.when(F.col("genome") == g, F.col("nbr"))).alias(c) for g, c in names.items()])
+    cost = parsimony_column(per.withColumn("x", F.explode("x")), tree, names | {target: "x"}, rate(tree), "cost")
+    total = F.sum("cost").over(Window.partitionBy("node"))
+    w = cost.select("node", "x", F.when(total > 0, F.col("cost") / total).otherwise(0.0).alias("w"))
+    return w.groupBy(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).agg(F.round(F.sum("w"), 9).alias("weight"))
 
 
 def min_weight_matching(graph: DataFrame, tree: Tree | str, target: str) -> DataFrame:

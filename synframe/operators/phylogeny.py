@@ -7,6 +7,7 @@ import math
 from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from synframe.sources.recipe import Tree, parse_newick
 
@@ -48,6 +49,36 @@ def parsimony(tree: Tree, states: dict[str, object], mu: float) -> float:
     return min(costs(tree).values())
 
 
+def parsimony_column(df: DataFrame, tree: Tree, states: dict[str, str], mu: float, out: str) -> DataFrame:
+    """J14 as projections: ``df`` with the cost in ``out``. ``states`` names the column of each leaf's state (null: VOID; so are leaves
+    without one). The tree is compiled to columns, one for each inner node and leaf: the cost below the node if it has that leaf's state. All work
+    stays in the JVM; a row needs (inner nodes) * (leaves)^2 terms."""
+    leaves = tree.leaves()
+    none = F.lit(None).cast("long")
+    value = [F.col(states[x]) if x in states else none for x in leaves]
+    change = lambda child, own, length: F.when(child.isNull() | child.eqNullSafe(own), 0.0).otherwise(1 + math.exp(-mu * max(length, MIN_BRANCH)))
+    made: list[str] = []
+
+    def cost(t: Tree, length: float):
+        """The cost of child ``t`` as a function of the parent's state."""
+        if not t.children:
+            own = value[leaves.index(t.name)]
+            return lambda p: change(own, p, length)
+        below = node(t)
+        return lambda p: F.least(*[F.col(c) + change(v, p, length) for c, v in zip(below, value, strict=True)]) if len(below) > 1 else F.col(below[0])
+
+    def node(t: Tree) -> list[str]:
+        nonlocal df
+        parts = [cost(c, length) for c, length in t.children]
+        names = [f"_{out}{len(made) + i}" for i in range(len(leaves))]
+        made.extend(names)
+        df = df.withColumns({c: sum((f(p) for f in parts[1:]), parts[0](p)) for c, p in zip(names, value, strict=True)})
+        return names
+
+    root = [F.col(c) for c in node(tree)] if tree.children else [F.lit(0.0)]
+    return df.withColumn(out, F.least(*root) if len(root) > 1 else root[0]).drop(*made)
+
+
 def leaves_by_distance(tree: Tree, name: str) -> list[str]:
     """Other leaves by path length, ties by name."""
     near: dict[int, list[tuple[int, float]]] = defaultdict(list)

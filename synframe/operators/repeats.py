@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from synframe.operators.components import connected_components
 from synframe.operators.matching import best_matching
 from synframe.operators.phylogeny import VOID, leaves_depth_first, parsimony, rate
 from synframe.runtime import Written
@@ -18,41 +20,134 @@ KEY = ("genome", "chr", "bstart", "pos", "sign")
 MATCHED = "block_id long, profile int, genome string, chr string, bstart long, pos long, sign int, kind string, score double"
 
 
-def align(one: list[int], two: list[int], repeats: set[int], same_length: bool) -> int:
-    """Global alignment score of two contexts: match 2, mismatch -2 (1 and -1 if either is a repeat), gap -2; gaps at the far
-    (first) end are free unless ``same_length``."""
-    n, m = len(one), len(two)
-    row = [0 if not same_length else GAP * j for j in range(m + 1)]
-    for i in range(1, n + 1):
-        new = [0 if not same_length else GAP * i]
-        for j in range(1, m + 1):
-            a, b = one[i - 1], two[j - 1]
-            unit = REPEAT_MATCH if abs(a) in repeats or abs(b) in repeats else MATCH
-            new.append(max(row[j - 1] + (unit if a == b else -unit), row[j] + GAP, new[j - 1] + GAP))
-        row = new
-    return row[m]
+#: Contexts of one side in one matrix of scores.
+SIDE = 1024
 
 
-def score(a: dict, b: dict, repeats: set[int], same_length: bool) -> int:
-    """Sum over both sides; the right context is read from its far end. A second context without neighbours scores 0."""
-    if not b["left"] and not b["right"]:
-        return 0
-    return align(a["left"], b["left"], repeats, same_length) + align(a["right"][::-1], b["right"][::-1], repeats, same_length)
+def padded(lists: list, far_first: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Lists as rows of a matrix, and their lengths; ``far_first``: turned round, so that the far end comes first."""
+    size = np.array([len(x) for x in lists], np.int64)
+    out = np.zeros((len(lists), max(1, size.max(initial=0))), np.int64)
+    for i, x in enumerate(lists):
+        out[i, : len(x)] = x[::-1] if far_first else x
+    return out, size
 
 
-def mean_score(profile: list[dict], b: dict, repeats: set[int], same_length: bool) -> float:
-    """I10."""
-    return sum(score(x, b, repeats, same_length) for x in profile) / len(profile)
+def align(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray, repeats: np.ndarray, same_length: bool) -> np.ndarray:
+    """Global alignment scores of all rows of ``a`` (lengths n) with all rows of ``b``, one matrix a cell of the dynamic program:
+    match 2, mismatch -2 (1 and -1 if either is a repeat), gap -2; gaps at the far (first) end are free unless ``same_length``."""
+    shape = (len(a), len(b))
+    ra, rb = np.isin(np.abs(a), repeats), np.isin(np.abs(b), repeats)
+    edge = GAP if same_length else 0
+    row = [np.full(shape, edge * j) for j in range(b.shape[1] + 1)]
+    out = np.zeros(shape, np.int64)
+    for i in range(a.shape[1] + 1):
+        if i:
+            new = [np.full(shape, edge * i)]
+            for j in range(1, b.shape[1] + 1):
+                unit = np.where(ra[:, i - 1, None] | rb[None, :, j - 1], REPEAT_MATCH, MATCH)
+                step = np.where(a[:, i - 1, None] == b[None, :, j - 1], unit, -unit)
+                new.append(np.maximum(np.maximum(row[j - 1] + step, row[j] + GAP), new[j - 1] + GAP))
+            row = new
+        at = np.flatnonzero(n == i)
+        for j in range(b.shape[1] + 1):
+            own = np.flatnonzero(m == j)
+            out[np.ix_(at, own)] = row[j][np.ix_(at, own)]
+    return out
+
+
+def scores(one: list[dict], two: list[dict], repeats: set[int], same_length: bool) -> np.ndarray:
+    """Of all pairs, the sum over both sides; the right context is read from its far end. A second context without neighbours
+    scores 0."""
+    reps = np.array(sorted(repeats), np.int64)
+    out = np.zeros((len(one), len(two)), np.int64)
+    for p in range(0, len(one), SIDE):
+        for q in range(0, len(two), SIDE):
+            x, y = one[p : p + SIDE], two[q : q + SIDE]
+            own = align(*padded([c["left"] for c in x], False), *padded([c["left"] for c in y], False), reps, same_length)
+            own += align(*padded([c["right"] for c in x], True), *padded([c["right"] for c in y], True), reps, same_length)
+            own[:, [not c["left"] and not c["right"] for c in y]] = 0
+            out[p : p + SIDE, q : q + SIDE] = own
+    return out
+
+
+def mean_scores(profiles: list[list[dict]], two: list[dict], repeats: set[int], same_length: bool) -> np.ndarray:
+    """Of all pairs of a profile and a context, the mean over the profile's members."""
+    of = np.repeat(np.arange(len(profiles)), [len(p) for p in profiles])
+    out = np.zeros((len(profiles), len(two)))
+    np.add.at(out, of, scores([c for p in profiles for c in p], two, repeats, same_length))
+    return out / np.array([len(p) for p in profiles])[:, None] if profiles else out
+
+
+def _hubs(contexts: DataFrame) -> DataFrame:
+    """``(id, hub)``: an inverted index of contexts (id, block_id, left, right, free): contexts can only score above 0 with one another
+    if they share a member of one side, and at least 0 if each side is empty in one of them. A hub stands for such a meeting."""
+    member = lambda c, side: F.transform(c, lambda x: F.xxhash64("block_id", F.lit(side), x))
+    bare = F.when((F.size("left") == 0) | (F.size("right") == 0), F.array(F.xxhash64("block_id", F.lit("bare")))).otherwise(F.array().cast("array<bigint>"))
+    empty = Window.partitionBy("block_id")
+    whole = F.max((F.size("left") + F.size("right") == 0).cast("int")).over(empty) * F.max(F.col("free").cast("int")).over(empty)
+    rows = contexts.withColumn("whole", whole)
+    family = F.when(F.col("whole") > 0, F.array(F.xxhash64("block_id", F.lit("whole")))).otherwise(F.array().cast("array<bigint>"))
+    return rows.select("id", F.explode(F.array_distinct(F.concat(member("left", "l"), member("right", "r"), bare, family))).alias("hub"))
+
+
+def context_scores(contexts: DataFrame, repeats: DataFrame, target: str) -> DataFrame:
+    """``(block_id, genome, chr, bstart, qry, qry_start, score)``: every context of a reference with every context of the target (on
+    ``qry``) of the same repeat that it scores above 0 with, gaps at the far end being free. Pairs meet by the members they share; a batch of
+    pairs is aligned at once."""
+    kept = Written(contexts.sparkSession, "scores")
+    c = kept.cut(contexts.withColumn("id", F.monotonically_increasing_id()))
+    m = lambda df, k: df.select("block_id", F.col("id").alias(k), F.explode(F.array_distinct(F.concat(F.transform("left", lambda x: F.struct(F.lit("l").alias("side"), x.alias("x"))), F.transform("right", lambda x: F.struct(F.lit("r").alias("side"), x.alias("x")))))).alias("m"))
+    mine = F.col("genome") == target
+    pair = m(c.filter(~mine), "x").join(m(c.filter(mine), "y"), ["block_id", "m"]).select("x", "y").distinct()
+    reps = repeats.select(F.col("block_id").alias("r")).distinct().withColumn("is", F.lit(True))
+    flat = c.select("id", F.explode(F.array_distinct(F.transform(F.concat("left", "right"), lambda x: F.abs(x)))).alias("r")).join(reps, "r").groupBy("id").agg(F.collect_set("r").alias("reps"))
+    c = kept.cut(c.join(flat, "id", "left").withColumn("reps", F.array_distinct(F.concat(F.coalesce("reps", F.array().cast("array<bigint>")), F.array("block_id")))))
+    side = lambda k: c.select(F.col("id").alias(k), *[F.col(n).alias(f"{k}_{n}") for n in ("block_id", "genome", "chr", "bstart", "left", "right", "reps")])
+    both = pair.join(side("x"), "x").join(side("y"), "y")
+
+    def run(frames):
+        for f in frames:
+            got = _paired([f[k] for k in ("x_left", "x_right", "x_reps", "y_left", "y_right", "y_reps")])
+            out = f[["x_block_id", "x_genome", "x_chr", "x_bstart", "y_chr", "y_bstart"]].set_axis(["block_id", "genome", "chr", "bstart", "qry", "qry_start"], axis=1)
+            out["score"] = got
+            yield out[out["score"] > 0]
+
+    return both.mapInPandas(run, "block_id long, genome string, chr string, bstart long, qry string, qry_start long, score long")
+
+
+def _paired(cols: list) -> np.ndarray:
+    """Scores of contexts row by row (far ends free): the same dynamic program, over pairs instead of all combinations."""
+    xl, xr, xreps, yl, yr, yreps = ([list(v) for v in c] for c in cols)
+    total = np.zeros(len(xl), np.int64)
+    for one, two, turn in ((xl, yl, False), (xr, yr, True)):
+        (a, n), (b, m) = padded(one, turn), padded(two, turn)
+        flag = lambda v, reps, turn=turn: padded([[abs(x) in r for x in row] for row, r in zip(v, map(set, reps), strict=True)], turn)[0] > 0
+        ra, rb = flag(one, xreps), flag(two, yreps)
+        row, side = [np.zeros(len(a), np.int64) for _ in range(b.shape[1] + 1)], np.zeros(len(a), np.int64)
+        for i in range(a.shape[1] + 1):
+            if i:
+                new = [np.zeros(len(a), np.int64)]
+                for j in range(1, b.shape[1] + 1):
+                    unit = np.where(ra[:, i - 1] | rb[:, j - 1], REPEAT_MATCH, MATCH)
+                    new.append(np.maximum(np.maximum(row[j - 1] + np.where(a[:, i - 1] == b[:, j - 1], unit, -unit), row[j] + GAP), new[j - 1] + GAP))
+                row = new
+            for j in range(b.shape[1] + 1):
+                side = np.where((n == i) & (m == j), row[j], side)
+        total += side
+    return total
 
 
 def match_profiles(contexts: DataFrame, repeats: DataFrame, tree: Tree | str, target: str, legacy_profiles: bool = False, drafts: list[str] | tuple = (), repetitive: DataFrame | None = None) -> DataFrame:
     """J28 (1)-(4). Reference contexts are matched genome by genome into profiles, those kept that parsimony wants in the target (an
     absent draft is VOID), and the target's contexts matched to them: a context of a contig with a unique block once, with a score
     above 0; contexts of all-repeat contigs (``repetitive``: chr) without an identical twin as often as there are profiles, with a
-    score of 0 or more. One repeat id is one group. Rows of kind ``reference`` are the members of the kept profiles, those of kind
-    ``unique`` and ``repeat`` the target's contexts matched to them."""
+    score of 0 or more. Contexts of a repeat that cannot meet by an index of their members never share a task: a group is a component of
+    that index, and scores are made for all pairs of it at once. Rows of kind ``reference`` are the members of the kept profiles, those of kind
+    ``unique`` and ``repeat`` the target's contexts matched to them; profiles of a repeat are numbered by their first contexts."""
     tree = parse_newick(tree) if isinstance(tree, str) else tree
     mu, order = rate(tree), [g for g in leaves_depth_first(tree) if g != target]
+    kept_ = Written(contexts.sparkSession, "profiles")
     # the repeats that occur in a block's own contexts travel with it
     near = contexts.withColumn("near", F.array_distinct(F.transform(F.concat("left", "right"), lambda x: F.abs(x))))
     named = near.select("block_id", F.explode("near").alias("r")).distinct().join(repeats.select(F.col("block_id").alias("r")).distinct(), "r").groupBy("block_id").agg(F.collect_list("r").alias("reps"))
@@ -60,50 +155,63 @@ def match_profiles(contexts: DataFrame, repeats: DataFrame, tree: Tree | str, ta
     if repetitive is not None:
         mark = repetitive.select("chr", F.lit(target).alias("genome"), F.lit(True).alias("_f")).distinct()
         rows = rows.join(mark, ["genome", "chr"], "left").withColumn("free", F.coalesce("_f", F.lit(False))).drop("_f")
+    # the genome that starts a repeat's profiles, and twins, are those of the whole repeat
+    family = Window.partitionBy("block_id")
+    place = F.coalesce(*[F.when(F.col("genome") == g, i) for i, g in enumerate(order)], F.lit(len(order)))
+    rows = rows.withColumn("head", F.min(place).over(family) == place).withColumn("head", F.col("head") & (place < len(order)))
+    rows = rows.withColumn("lone", F.col("free") & (F.count("*").over(Window.partitionBy("block_id", "genome", "free", "left", "right")) == 1))
+    rows = kept_.cut(rows.withColumn("id", F.monotonically_increasing_id()))
+    hubs = _hubs(rows).select("id", F.col("hub").bitwiseOR(1 << 62).alias("hub"))
+    comp = connected_components(hubs, "id", "hub").select(F.col("node").alias("id"), "component")
+    rows = rows.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
     def pairs(left, right, value):
-        w = {(i, len(left) + j): -v for i, p in enumerate(left) for j, c in enumerate(right) if (v := value(p, c)) is not None}
+        w = {(int(i), len(left) + int(j)): -float(value[i, j]) for i, j in zip(*np.nonzero(value > 0), strict=True)}
         return [(a, b - len(left)) for a, b in best_matching(w)]
 
-    def above(x):
-        return x if x > 0 else None
-
     def run(f: pd.DataFrame) -> pd.DataFrame:
         own = int(f["block_id"].iloc[0])
         reps = {own, *(f["reps"].iloc[0] if f["reps"].iloc[0] is not None else ())}
         by: dict[str, list] = {}
-        for r in sorted(f[[*KEY, "left", "right", "free"]].itertuples(index=False, name=None), key=lambda x: x[:3]):
-            by.setdefault(r[0], []).append(dict(zip(KEY, r, strict=False)) | {"left": list(r[5]), "right": list(r[6]), "free": bool(r[7])})
+        names = [*KEY, "left", "right", "free", "head", "lone"]
+        for r in sorted(f[names].itertuples(index=False, name=None), key=lambda x: x[:3]):
+            c = dict(zip(names, r, strict=True))
+            by.setdefault(r[0], []).append(c | {"left": list(c["left"]), "right": list(c["right"])})
         have = [g for g in order if g in by]
-        profiles = [[c] for c in by[have[0]]] if have else []
+        profiles = [[c] for g in have for c in by[g] if c["head"]]
         grown = [list(p) for p in profiles]
-        for g in have[1:]:
-            for i, j in pairs(profiles if legacy_profiles else grown, by[g], lambda p, c: above(mean_score(p, c, reps, True))):
-                grown[i].append(by[g][j])
+        for g in have:
+            if profiles and not by[g][0]["head"]:
+                for i, j in pairs(profiles, by[g], mean_scores(profiles if legacy_profiles else grown, by[g], reps, True)):
+                    grown[i].append(by[g][j])
         kept = []
         for p in profiles if legacy_profiles else grown:
             states = {g: True if any(c["genome"] == g for c in p) else VOID if g in drafts else False for g in order}
             if parsimony(tree, states | {target: True}, mu) < parsimony(tree, states | {target: False}, mu):
                 kept.append(p)
-        out = [(own, i, *(c[k] for k in KEY), "reference", None) for i, p in enumerate(kept) for c in p]
+        out = [(own, i, kept[i][0]["chr"], kept[i][0]["bstart"], *(c[k] for k in KEY), "reference", None) for i, p in enumerate(kept) for c in p]
         mine = by.get(target, [])
-        unique = [c for c in mine if not c["free"]]
-        sides = [(c["left"], c["right"]) for c in mine if c["free"]]
-        lone = [c for c in mine if c["free"] and sides.count((c["left"], c["right"])) == 1]
-        value = {(i, len(kept) + j): v for i, p in enumerate(kept) for j, c in enumerate(unique) if (v := above(mean_score(p, c, reps, False))) is not None}
+        unique, lone = [c for c in mine if not c["free"]], [c for c in mine if c["lone"]]
+        value = {}
+        if kept and unique:
+            v = mean_scores(kept, unique, reps, False)
+            value = {(int(i), len(kept) + int(j)): float(v[i, j]) for i, j in zip(*np.nonzero(v > 0), strict=True)}
         # there is a copy of each context of an all-repeat contig for every profile, so that each has its own best one
         best = {}
-        for i, p in enumerate(kept):
-            v, j = max(((mean_score(p, c, reps, False), -j) for j, c in enumerate(lone)), default=(-1, 0))
-            if v >= 0:
-                best[i] = lone[-j]
-                value[i, len(kept) + len(unique) + i] = v
+        if kept and lone:
+            v = mean_scores(kept, lone, reps, False)
+            for i, j in enumerate(v.argmax(1)):
+                if v[i, j] >= 0:
+                    best[i] = lone[j]
+                    value[i, len(kept) + len(unique) + i] = float(v[i, j])
         for i, j in best_matching({e: -v for e, v in value.items()}):
             c, kind = (unique[j - len(kept)], "unique") if j < len(kept) + len(unique) else (best[i], "repeat")
-            out.append((own, i, *(c[k] for k in KEY), kind, value[i, j]))
-        return pd.DataFrame(out, columns=["block_id", "profile", *KEY, "kind", "score"])
+            out.append((own, i, kept[i][0]["chr"], kept[i][0]["bstart"], *(c[k] for k in KEY), kind, value[i, j]))
+        return pd.DataFrame(out, columns=["block_id", "profile", "p_chr", "p_start", *KEY, "kind", "score"])
 
-    return rows.groupBy("block_id").applyInPandas(run, MATCHED)
+    found = rows.groupBy("block_id", "component").applyInPandas(run, MATCHED.replace("genome string", "p_chr string, p_start long, genome string", 1))
+    number = F.dense_rank().over(Window.partitionBy("block_id").orderBy("p_chr", "p_start")) - 1
+    return found.withColumn("profile", number.cast("int")).drop("p_chr", "p_start")
 
 
 def split_by_instance(matches: list[dict], size: int) -> list[list[dict]]:

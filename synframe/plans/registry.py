@@ -233,6 +233,30 @@ def _(s, d):
     return c.select("genome", "chr", "block_id", "bstart", F.array_join(F.col("left").cast("array<string>"), ",").alias("left_"), F.array_join(F.col("right").cast("array<string>"), ",").alias("right_"))
 
 
+def aligned_sql() -> str:
+    """Scores of context pairs (lists a, b from the far end on, flags ra, rb of repeats), the cells of the dynamic program written out one by one."""
+    step = lambda i, j: f"(case when a[{i}] = b[{j}] then 1 else -1 end * case when ra[{i}] or rb[{j}] then {rp.REPEAT_MATCH} else {rp.MATCH} end)"
+    cell = lambda i, j: "0" if not i or not j else f"d{i}{j}"
+    cells = [f"greatest({cell(i - 1, j - 1)} + {step(i, j)}, {cell(i - 1, j)} + {rp.GAP}, {cell(i, j - 1)} + {rp.GAP}) as d{i}{j}" for i in range(1, 6) for j in range(1, 6)]
+    grid = ", ".join(cell(i, j) for i in range(6) for j in range(6))
+    return f"dp as (select *, {', '.join(cells)}, [{grid}][6 * len(a) + len(b) + 1] as side_score from sides2)"
+
+
+SCORED = (
+    "c3 as (select row_number() over () as id, genome, chr, block_id, bstart, coalesce(lf, []) as lf, coalesce(rt, []) as rt, (select list(block_id) from rep) as reps from ctx2)",
+    "c4 as (select *, list_transform(lf, lambda x: abs(x) = block_id or list_contains(reps, abs(x))) as fl, list_transform(rt, lambda x: abs(x) = block_id or list_contains(reps, abs(x))) as fr from c3)",
+    "pairs_ as (select x.id as x, y.id as y, x.lf, x.rt, x.fl, x.fr, y.lf as lf2, y.rt as rt2, y.fl as fl2, y.fr as fr2 from c4 x join c4 y using (block_id) where x.genome <> 'g0' and y.genome = 'g0' and len(y.lf) + len(y.rt) > 0)",
+    "sides2 as (select x, y, lf as a, lf2 as b, fl as ra, fl2 as rb from pairs_ union all select x, y, list_reverse(rt), list_reverse(rt2), list_reverse(fr), list_reverse(fr2) from pairs_)",
+)
+
+
+@query("context_scores", sql(B, REP, CTX, CTX2, *SCORED, aligned_sql(), "total_ as (select x, y, sum(side_score) as score from dp group by x, y having sum(side_score) > 0)", select="select c.block_id, c.genome, c.chr, c.bstart, q.chr as qry, q.bstart as qry_start, score::bigint as score from total_ join c3 c on c.id = x join c3 q on q.id = y"))
+def _(s, d):
+    b = Written(s, "blocks").cut(blocks(s, d))
+    r = fl.repeat_blocks(b)
+    return rp.context_scores(ad.repeat_contexts(b, r), r, TARGET)
+
+
 @query("context_dups", sql(B, REP, CTX, CTX2, "u as (select *, count(*) over (partition by genome, block_id, coalesce(lf, []), coalesce(rt, [])) as n from ctx2)", select="select genome, chr, block_id, bstart from u where n = 1"))
 def _(s, d):
     b = blocks(s, d)
