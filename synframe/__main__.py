@@ -91,7 +91,7 @@ def main(argv: list[str] | None = None) -> int:
     s = sub.add_parser("scaffold", help="order a target's contigs by related genomes")
     s.add_argument("recipe")
     s.add_argument("-o", "--out", default="synframe-out")
-    s.add_argument("--coords", help="block files with {size} in their path; else the recipe's alignment is used")
+    s.add_argument("--coords", help="block files with {size} in their path; else the recipe's alignment, else the genomes' sequences are used")
     s.add_argument("--refine", action="store_true", help="refine by the overlap graph of the contigs")
     s.add_argument("--repeats", action="store_true", help="resolve repeats")
     s.add_argument("--solid-scaffolds", action="store_true", help="do not break input sequences")

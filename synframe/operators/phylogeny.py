@@ -6,7 +6,7 @@ import heapq
 import math
 from collections import defaultdict
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from synframe.sources.recipe import Tree, parse_newick
@@ -154,3 +154,27 @@ def rank_table(spark: SparkSession, tree: Tree | str, target: str) -> DataFrame:
     """(genome, rank): the target first, others by distance."""
     tree = parse_newick(tree) if isinstance(tree, str) else tree
     return spark.createDataFrame([(n, i) for i, n in enumerate([target, *leaves_by_distance(tree, target)])], "genome string, rank int")
+
+
+def newick_nodes(trees: DataFrame) -> DataFrame:
+    """A5 over a table of trees (tree, text): ``(tree, node, parent, name, length, depth, leaf)`` of all nodes but the roots. ``node`` is a token's
+    place in the text (an inner node's closing bracket), ``parent`` the place of its parent's; a missing length is 1. Tokens of a tree are
+    numbered in windows over it; a node's parent is the next bracket that closes its depth. Nulls and empty texts give no rows."""
+    names = r"""'(?:[^']|'')*'|"[^"]*"|[(),:;]|[^(),:;\s'"]+"""
+    plain = F.regexp_replace("text", r"\[[^\]]*\]", "")
+    t = trees.select("tree", F.posexplode(F.regexp_extract_all(plain, F.lit(f"({names})"), F.lit(1))).alias("at", "t"))
+    row = Window.partitionBy("tree").orderBy("at")
+    mark = ["(", ")", ",", ":", ";"]
+    t = t.withColumns({"depth": F.sum(F.when(F.col("t") == "(", 1).when(F.col("t") == ")", -1).otherwise(0)).over(row), "last": F.lag("t").over(row), **{f"n{i}": F.lead("t", i).over(row) for i in (1, 2, 3)}})
+    close = F.col("t") == ")"
+    leaf = ~F.col("t").isin(*mark) & F.coalesce(F.col("last").isin("(", ","), F.lit(True))
+    own = close & F.coalesce(~F.col("n1").isin(*mark), F.lit(False))  # an inner name or bootstrap value stands before the length
+    length = F.when(own, F.when(F.col("n2") == ":", F.col("n3"))).otherwise(F.when(F.col("n1") == ":", F.col("n2")))
+    quote = F.col("t").rlike("^'")
+    name = F.when(leaf, F.when(quote, F.replace(F.expr("substring(t, 2, length(t) - 2)"), F.lit("''"), F.lit("'"))).when(F.col("t").rlike('^"'), F.expr("substring(t, 2, length(t) - 2)")).otherwise(F.col("t")))
+    n = t.filter(close | leaf).select("tree", F.col("at").alias("node"), name.alias("name"), F.coalesce(length.cast("double"), F.lit(1.0)).alias("length"), F.col("depth").cast("int").alias("depth"), leaf.alias("leaf"))
+    # each bracket is a node of its depth, and closes the depth above
+    level = n.select("*", F.lit(False).alias("closing")).unionByName(n.filter("not leaf").withColumn("depth", F.col("depth") + 1).withColumn("closing", F.lit(True)))
+    behind = Window.partitionBy("tree", "depth").orderBy("node").rowsBetween(1, Window.unboundedFollowing)
+    level = level.withColumn("parent", F.min(F.when(F.col("closing"), F.col("node"))).over(behind))
+    return level.filter("not closing and depth > 0").select("tree", "node", "parent", "name", "length", "depth", "leaf")

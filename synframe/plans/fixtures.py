@@ -136,3 +136,15 @@ o1 as (select scf, idx, 0 as k, chr, sign, case when idx = at_ then coalesce(fir
        select p2.scf, at_, case when same then pos else 1000000 - pos end, chr, case when same then sign else -sign end, case when same then gap else before_ end from s2 join p2 on s2.scf = from_ and s2.lo = p2.lo where not u),
 spliced as (select scf, row_number() over (partition by scf order by idx, k) - 1 as idx, chr, cast(sign as int) as sign, gap from o1)
 """
+
+#: Trees as text, one for each nation: its suppliers joined one after the other.
+_TREES = """
+leaf_ as (select s_nationkey as tree, s_suppkey as k, concat('s', cast(s_suppkey as string)) as name, concat('0.0', cast(s_suppkey % 7 + 1 as string)) as len,
+                 row_number() over (partition by s_nationkey order by s_suppkey) as i, count(*) over (partition by s_nationkey) as n from supplier),
+piece as (select tree, n, k, case when i = 1 then concat(name, ':', len) else concat(',', name, ':', len, ')', case when i < n then ':0.01' else '' end) end as s from leaf_),
+trees as (select tree, concat(repeat('(', cast(max(n) - 1 as int)), {joined}, ';') as text from piece group by tree)
+"""
+TREES = {
+    "spark": _TREES.format(joined="array_join(transform(array_sort(collect_list(struct(k, s))), x -> x.s), '')"),
+    "duckdb": _TREES.format(joined="string_agg(s, '' order by k)"),
+}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import re
 from collections.abc import Callable
 
@@ -24,11 +23,11 @@ from synframe.operators import simplify as si
 from synframe.operators import verify as ve
 from synframe.operators.components import connected_components
 from synframe.plans import scaffolding
-from synframe.plans.fixtures import ALN, B, CHAINED, CONTIGS, EDGES, FOUND, KMERS, PARTS, REP, SEQS, SEQUENCES, SKETCH, SPLICED, TRIM, clean, frame, sql
+from synframe.plans.fixtures import ALN, B, CHAINED, CONTIGS, EDGES, FOUND, KMERS, PARTS, REP, SEQS, SEQUENCES, SKETCH, SPLICED, TREES, TRIM, clean, frame, sql
 from synframe.runtime import Written
 from synframe.sinks import reports as rep
 from synframe.sources import text_formats as tf
-from synframe.sources.blocks_view import DRAFT, GENOMES, TARGET, TREE, blocks, sequences
+from synframe.sources.blocks_view import DRAFT, GENOMES, TARGET, TREE, blocks, from_files, sequences
 from synframe.sources.recipe import parse_newick
 from synframe.sources.text_formats import with_complements
 
@@ -212,9 +211,10 @@ TREE_EDGES = "tree(node, parent, len, leaf) as (values ('r', null, 0.0, false),
 LEAF_RANK = "nb as (select node as p, parent as q, len from tree where parent is not null union all select parent, node, len from tree where parent is not null), dist as (select 'g0' as node, cast(null as varchar) as came, 0.0::double as d union all select nb.q, nb.p, dist.d + nb.len from dist join nb on nb.p = dist.node and (dist.came is null or nb.q <> dist.came))"
 
 
-@query("leaf_distance", sql(TREE_EDGES, LEAF_RANK, select="select dist.node as genome, cast(row_number() over (order by round(d, 12), dist.node) - 1 as int) as rank from dist join tree on tree.node = dist.node where leaf", recursive=True))
+@query("leaf_distance", sql(B, TREE_EDGES, LEAF_RANK, select="select dist.node as genome, cast(row_number() over (order by round(d, 12), dist.node) - 1 as int) as rank, (select count(*) from blocks where genome = dist.node) as blocks from dist join tree on tree.node = dist.node where leaf", recursive=True))
 def _(s, d):
-    return ph.rank_table(s, TREE, TARGET)
+    n = blocks(s, d).groupBy("genome").agg(F.count("*").alias("blocks"))
+    return ph.rank_table(s, TREE, TARGET).join(n, "genome")
 
 
 @query("edge_distance", sql(B, clean(False), EDGES, TREE_EDGES, LEAF_RANK, "r as (select dist.node as genome, row_number() over (order by round(d, 12), dist.node) as k from dist join tree on tree.node = dist.node where leaf)", select="select a, b, arg_min(gap_end - gap_start, k) as distance from graph join r using (genome) where not infinity group by a, b", recursive=True))
@@ -807,35 +807,36 @@ def _(s, d):
 # ---- trees --------------------------------------------------------------------------------------------------------
 
 
-@query("newick_leaves", sql(TREE_EDGES, select="select node as leaf, len::double as length from tree where leaf"))
-def _(s, d):
-    def leaves(t):
-        return [x for c, n in t.children for x in ([(c.name, n)] if not c.children else leaves(c))]
+def tree_nodes(s, d):
+    return ph.newick_nodes(s.sql(from_files(f"with {TREES['spark']} select tree, text from trees", d, ("supplier",))))
+
 
-    return s.createDataFrame(leaves(parse_newick(TREE)), "leaf string, length double")
+@query("newick_leaves", sql(TREES["duckdb"], select="select tree, name as leaf, cast(len as double) as length, cast(case when n = 1 then 0 when i = 1 then n - 1 else n - i + 1 end as int) as depth from leaf_ where n > 1"))
+def _(s, d):
+    return tree_nodes(s, d).filter("leaf").select("tree", F.col("name").alias("leaf"), "length", "depth")
 
 
-@query("tree_rate", sql(TREE_EDGES, CHANGE, select="select round(mu, 9) as mu from mu"))
+@query("tree_rate", sql(TREES["duckdb"], "branch as (select tree, cast(len as double) as len from leaf_ where n > 1 union all select tree, 0.01 from leaf_ where i > 1 and i < n)", select="select tree, count(*) as branches, round(1 / quantile_disc(len, 0.5), 9) as mu from branch group by tree"))
 def _(s, d):
-    return s.createDataFrame([(round(ph.rate(parse_newick(TREE)), 9),)], "mu double")
+    return tree_nodes(s, d).groupBy("tree").agg(F.count("*").alias("branches"), F.round(1 / F.expr("percentile_disc(0.5) within group (order by length)"), 9).alias("mu"))
 
 
-@query("leaf_orders", sql(TREE_EDGES, "way as (select node, leaf, '' as k from tree where parent is null union all select t.node, t.leaf, k || case when t.leaf then '1' else '0' end || lpad(cast(cast(round((1 - t.len) * 1000000) as int) as varchar), 8, '0') from way join tree t on t.parent = way.node)", select="select node as leaf, (row_number() over (order by k, node) - 1)::int as place from way where leaf", recursive=True))
+@query("leaf_orders", sql(B, TREE_EDGES, "way as (select node, leaf, '' as k from tree where parent is null union all select t.node, t.leaf, k || case when t.leaf then '1' else '0' end || lpad(cast(cast(round((1 - t.len) * 1000000) as int) as varchar), 8, '0') from way join tree t on t.parent = way.node)", select="select node as leaf, (row_number() over (order by k, node) - 1)::int as place, (select count(*) from blocks where genome = node) as blocks from way where leaf", recursive=True))
 def _(s, d):
-    return s.createDataFrame([(n, i) for i, n in enumerate(ph.leaves_depth_first(parse_newick(TREE)))], "leaf string, place int")
+    order = s.createDataFrame([(n, i) for i, n in enumerate(ph.leaves_depth_first(parse_newick(TREE)))], "leaf string, place int")
+    return order.join(blocks(s, d).groupBy(F.col("genome").alias("leaf")).agg(F.count("*").alias("blocks")), "leaf")
 
 
-#: every pattern of presence (1), absence (0) and no data over five genomes
-PATTERNS = "pat as (select a.s * 81 + b.s * 27 + c.s * 9 + d.s * 3 + e.s as node, 0 as x, " + ", ".join(f"case {t}.s when 2 then {VOID} else {t}.s end as s{i}" for i, t in enumerate("abcde")) + " from range(3) a(s), range(3) b(s), range(3) c(s), range(3) d(s), range(3) e(s))"
+#: presence (1) or absence (0, in the draft: no data) of every block in the genomes
+PATTERNS = "pat as (select block_id as node, 0 as x, " + ", ".join(f"cast(max(case when genome = 'g{i}' then 1 else {VOID if i == 4 else 0} end) as bigint) as s{i}" for i in range(5)) + " from blocks group by block_id)"
 
 
-@query("parsimony_patterns", sql(TREE_EDGES, CHANGE, PATTERNS, *costs("pat"), select="select node as pattern, round(c, 9) as cost from cost"))
+@query("parsimony_patterns", sql(B, TREE_EDGES, CHANGE, PATTERNS, *costs("pat"), select="select node as block_id, round(c, 9) as cost from cost"))
 def _(s, d):
-    t, states = parse_newick(TREE), (0, 1, ph.VOID)
-    mu, rows = ph.rate(t), []
-    for i, own in enumerate(itertools.product(states, repeat=5)):
-        rows.append((i, round(ph.parsimony(t, dict(zip(GENOMES, own, strict=True)), mu), 9)))
-    return s.createDataFrame(rows, "pattern long, cost double")
+    t = parse_newick(TREE)
+    has = blocks(s, d).groupBy("block_id").agg(*[F.max((F.col("genome") == g).cast("long")).alias(g) for g in GENOMES])
+    has = has.withColumn(DRAFT, F.when(F.col(DRAFT) == 1, F.col(DRAFT)))
+    return ph.parsimony_column(has, t, {g: g for g in GENOMES}, ph.rate(t), "cost").select("block_id", F.round("cost", 9).alias("cost"))
 
 
 # ---- readers: text is written from the tables and read back -----------------------------------------------------------

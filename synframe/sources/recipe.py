@@ -9,8 +9,9 @@ from collections.abc import Callable
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from synframe.sources.text_formats import read_blocks_coords, read_maf
+from synframe.sources.text_formats import read_blocks_coords, read_fasta, read_maf
 
 #: Minimum block sizes of the presets.
 BLOCK_SIZES = {"small": [5000, 500, 100], "large": [10000, 500, 100]}
@@ -174,6 +175,32 @@ class CoordsSource:
         return {s: read_blocks_coords(spark, self.pattern.format(size=s)) for s in sizes}
 
 
+def _with_lengths(blocks: dict[int, DataFrame], seqs: DataFrame) -> dict[int, DataFrame]:
+    """Blocks with the ``seq_len`` of their sequences."""
+    length = seqs.groupBy("genome", "chr").agg(F.max("seq_len").alias("seq_len"))
+    return {size: b.join(length, ["genome", "chr"]) for size, b in blocks.items()}
+
+
+class SequenceSource:
+    """Blocks found in the genomes' sequences alone, each from the file that the recipe's ``fasta`` of the genome names."""
+
+    def __init__(self, k: int = 15):
+        self.k = k
+
+    def load(self, spark, recipe, sizes):
+        from synframe.operators.blockfinder import find_blocks
+        from synframe.runtime import Written
+
+        seqs = None
+        for g, own in recipe["genomes"].items():
+            if not own.get("fasta"):
+                raise RecipeError(f"{g} has no fasta: blocks are found in the sequences of all genomes")
+            s = read_fasta(spark, own["fasta"]).select(F.lit(g).alias("genome"), F.col("name").alias("chr"), "seq")
+            seqs = s if seqs is None else seqs.unionByName(s)
+        seqs = Written(spark, "sequences").cut(seqs)
+        return _with_lengths(find_blocks(seqs, sizes, self.k), seqs.withColumn("seq_len", F.length("seq").cast("long")))
+
+
 class MafSource:
     """Blocks from the recipe's alignment, simplified once per pass; ``cache`` reuses written blocks."""
 
@@ -191,7 +218,8 @@ class MafSource:
             except Exception as e:  # noqa: BLE001  Spark's analysis error has no stable class
                 if "PATH_NOT_FOUND" not in str(e):
                     raise
-        out = multi_scale(read_maf(spark, recipe["maf"], 1), SIMPLIFY_PASSES, sizes)
+        rows = read_maf(spark, recipe["maf"], 1)
+        out = _with_lengths(multi_scale(rows, SIMPLIFY_PASSES, sizes), rows)
         if self.cache:
             for s, df in out.items():
                 df.write.mode("overwrite").parquet(f"{self.cache}/block_size={s}")
@@ -223,10 +251,11 @@ def run_source(name: str, spark: SparkSession, recipe: dict, sizes: list[int], *
 
 
 def source_of(recipe: dict) -> str:
-    """The source that a recipe asks for: its MAF alignment, else its HAL alignment."""
-    return "hal" if "hal" in recipe and "maf" not in recipe else "maf"
+    """The source that a recipe asks for: its MAF alignment, else its HAL alignment, else the genomes' own sequences."""
+    return "maf" if "maf" in recipe else "hal" if "hal" in recipe else "sequences"
 
 
 register_source("coords", CoordsSource)
 register_source("maf", MafSource)
 register_source("hal", HalSource)
+register_source("sequences", SequenceSource)

@@ -45,7 +45,7 @@ def test_sources_are_looked_up_by_name(spark, tmp_path):
 
     from synframe.sources import recipe as rc
 
-    assert rc.source_of({"hal": "x"}) == "hal" and rc.source_of({"hal": "x", "maf": "y"}) == "maf"
+    assert rc.source_of({}) == "sequences" and rc.source_of({"hal": "x"}) == "hal" and rc.source_of({"hal": "x", "maf": "y"}) == "maf"
     with pytest.raises(rc.RecipeError, match="MAF"):
         rc.run_source("hal", spark, {"hal": "x"}, [500])
     with pytest.raises(rc.RecipeError, match="no source"):
@@ -79,3 +79,46 @@ def test_orders_of_two_files_and_of_split_files(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert sorted((r.scf, r.idx, r.contig) for r in got) == sorted((f"{f}{s}", i, f"{f}{s}x{i}") for f in "ab" for s in range(5) for i in range(40))
+
+
+def test_scaffolds_from_sequences_alone(spark, tmp_path):
+    """No alignment and no blocks: contigs of a genome, some turned round, against two relatives with single differences."""
+    rnd = random.Random(5)
+    n, size = 6, 1500
+    genome = "".join(rnd.choice("ACGT") for _ in range(n * size))
+
+    def relative(every):
+        s = list(genome)
+        for i in range(every // 2, len(s), every):
+            s[i] = {"A": "C", "C": "G", "G": "T", "T": "A"}[s[i]]
+        return "".join(s)
+
+    turn = str.maketrans("ACGT", "TGCA")
+    contigs = {f"c{k}": genome[size * k : size * (k + 1)] for k in range(n)}
+    contigs = {k: s[::-1].translate(turn) if k in ("c1", "c4") else s for k, s in contigs.items()}
+    (tmp_path / "t.fa").write_text("".join(f">{k}\n{s}\n" for k, s in contigs.items()))
+    for g, every in (("r1", 211), ("r2", 173)):
+        (tmp_path / f"{g}.fa").write_text(f">chr\n{relative(every)}\n")
+    (tmp_path / "x.rcp").write_text(".references = r1,r2\n.target = t\n.blocks = 100,50\n.tree = ((t:1,r1:1):1,r2:1);\n" + "".join(f"{g}.fasta = {g}.fa\n" for g in ("t", "r1", "r2")))
+    assert main(["scaffold", str(tmp_path / "x.rcp"), "-o", str(tmp_path / "out")]) == 0
+    agp = [r.value.split("\t") for r in spark.read.text(str(tmp_path / "out/scaffolds.agp")).collect()]
+    got = [(x[5], x[8]) for x in agp if x[4] == "W"]
+    want = [(f"c{k}", "-" if k in (1, 4) else "+") for k in range(n)]
+    back = [(c, "+" if s == "-" else "-") for c, s in reversed(want)]
+    assert got in (want, back)
+    (tmp_path / "y.rcp").write_text(".references = r1\n.target = t\n.blocks = 100\n.tree = (t:1,r1:1);\nt.fasta = t.fa\n")
+    assert main(["scaffold", str(tmp_path / "y.rcp"), "-o", str(tmp_path / "no")]) == 1
+
+
+def test_scaffolds_from_an_alignment(spark, tmp_path):
+    seq = "ACGT" * 150
+    rows, at = [], 0
+    for k in range(6):
+        c, i = divmod(k, 2)
+        rows.append(f"a\ns t.c{c} {700 * i} 600 + 1400 {seq}\ns r.chr {at} 600 + 9000 {seq}\n")
+        at += 700
+    (tmp_path / "x.maf").write_text("##maf\n\n" + "\n".join(rows))
+    (tmp_path / "x.rcp").write_text(".references = r\n.target = t\n.blocks = 500\n.maf = x.maf\n.tree = (t:1,r:1);\n")
+    assert main(["scaffold", str(tmp_path / "x.rcp"), "-o", str(tmp_path / "out")]) == 0
+    agp = [r.value.split("\t") for r in spark.read.text(str(tmp_path / "out/scaffolds.agp")).collect()]
+    assert [x[5] for x in agp if x[4] == "W"] == ["c0", "c1", "c2"]

@@ -10,6 +10,7 @@ from synframe.operators import filters as fl
 from synframe.operators import inference as inf
 from synframe.operators import intervals as iv
 from synframe.operators import overlap as ov
+from synframe.operators import phylogeny as ph
 from synframe.operators import repeats as rp
 from synframe.operators import scaffold as sc
 from synframe.operators import simplify as si
@@ -40,6 +41,24 @@ def test_sequence_functions(spark):
     assert one(spark, sq.break_position(F.col("s"), F.lit(4), F.lit(12)), s="ACGTACGTACGT") == 4
 
 
+def test_trees_of_a_table(spark):
+    texts = ["((a:1,'b c':2)0.9:3,(d,5:0.5):1e-1)[note];", "(x,(y:2,(z,w):4)inner,v:7);", "a;", "", None, "('it''s':1,\"q\":2);"]
+    got = ph.newick_nodes(spark.createDataFrame(list(enumerate(texts)), "tree long, text string")).collect()
+    for k, text in enumerate(texts):
+        rows = {r.node: r for r in got if r.tree == k}
+
+        def walk(t):
+            return [(c.name, d, sorted(walk(c), key=str)) for c, d in t.children]
+
+        def below(parent):
+            own = [r for r in rows.values() if r.parent == parent]
+            return [(r["name"], r.length, sorted(below(r.node), key=str)) for r in own]
+
+        roots = {r.parent for r in rows.values()} - rows.keys()
+        want = walk(rc.parse_newick(text)) if text else []
+        assert len(roots) == bool(want) and sorted(below(roots.pop()) if roots else [], key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("lengths, want", [((100, 80, 60, 40, 20), 80), ((50, 50), 50)])
 def test_n50(spark, lengths, want):
     assert iv.n50(spark.createDataFrame([(x,) for x in lengths], "size long")).first()["n50"] == want
