@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from synframe.operators.adjacency import graph_components, suspicious_edges, trimmed_graph
+from synframe.operators.components import connected_components
 from synframe.operators.matching import best_matching
 from synframe.operators.phylogeny import parsimony_column, rate
 from synframe.runtime import Written
@@ -100,10 +101,43 @@ class ColourIndex:
 
 
 def chimeric_edges(graph: DataFrame, target: str) -> DataFrame:
-    """Every suspicious target edge with ``good`` = an alternating path explains it. One component at a time in Python."""
-    graph = Written(graph.sparkSession, "chimera").cut(graph)
+    """Every suspicious target edge (a, b) with ``good`` = an alternating path explains it.
+
+    Where every node has at most one edge of a genome and one target-only edge (always, for blocks that occur once in a genome), the edges of a genome
+    and the target-only ones make paths and rings, and alternate by themselves. So a target-only edge has a path of that genome's if it lies
+    on a ring, and any other edge if its ends are the two ends of one path: connected components answer all of them at once. Only edges
+    whose components hold a node with more edges are searched one graph component at a time.
+    """
+    kept = Written(graph.sparkSession, "chimera")
+    graph = kept.cut(graph)
+    per = graph.groupBy("a", "b").agg(F.min(F.col("genome") == target).alias("only"))
+    asked = kept.cut(suspicious_edges(graph, target).select("a", "b").join(per, ["a", "b"]))
+    genomes = [r[0] for r in graph.select("genome").filter(F.col("genome") != target).distinct().collect()]  # those of the recipe
+    each = F.explode(F.array(*[F.lit(g) for g in genomes]).cast("array<string>")).alias("g")
+    own = graph.filter(F.col("genome") != target).select(F.col("genome").alias("g"), "a", "b", F.lit(False).alias("only")).distinct()
+    edges = kept.cut(own.unionByName(per.filter("only").select(each, "a", "b", "only")))
+    ends = edges.select("g", F.explode(F.array("a", "b")).alias("node"), "only").groupBy("g", "node").agg((F.greatest(F.count_if("only"), F.count_if(~F.col("only"))) > 1).alias("odd"))
+    ends = kept.cut(ends.withColumn("id", F.monotonically_increasing_id()))
+    side = lambda c, i: ends.select("g", F.col("node").alias(c), F.col("id").alias(i))
+    links = kept.cut(edges.join(side("a", "u"), ["g", "a"]).join(side("b", "v"), ["g", "b"]).select("u", "v"))
+    comp = kept.cut(connected_components(links, "u", "v").select(F.col("node").alias("id"), "component"))
+    n = comp.join(ends, "id").groupBy("component").agg(F.count("*").alias("nodes"), F.max("odd").alias("odd"))
+    n = kept.cut(n.join(links.join(comp, F.col("u") == F.col("id")).groupBy("component").agg(F.count("*").alias("edges")), "component"))
+    of = lambda c, i: ends.join(comp, "id").select("g", F.col("node").alias(c), F.col("component").alias(i))
+    j = asked.select("a", "b", "only", each).join(of("a", "component"), ["g", "a"]).join(of("b", "other"), ["g", "b"]).filter("component = other").join(n, "component")
+    good = ~F.col("odd") & (F.col("nodes") > 2) & (~F.col("only") | (F.col("edges") == F.col("nodes")))
+    found = j.groupBy("a", "b").agg(F.max(good).alias("good"), F.max("odd").alias("odd"))
+    out = kept.cut(asked.select("a", "b").join(found, ["a", "b"], "left").select("a", "b", F.coalesce("good", F.lit(False)).alias("good"), F.coalesce(~F.col("good") & F.col("odd"), F.lit(False)).alias("open")))
+    rest = out.filter("open").select("a", "b")
+    if rest.isEmpty():
+        return out.select("a", "b", "good")
+    return out.filter("not open").select("a", "b", "good").unionByName(_searched_edges(graph, rest, target))
+
+
+def _searched_edges(graph: DataFrame, asked: DataFrame, target: str) -> DataFrame:
+    """``chimeric_edges`` by breadth-first search, for any number of edges at a node; one graph component at a time in Python."""
     comp = graph_components(graph.select("a", "b"))
-    s = suspicious_edges(graph, target).select("a", "b", F.lit(True).alias("asked"))
+    s = asked.select("a", "b", F.lit(True).alias("asked"))
     e = graph.groupBy("a", "b").agg(F.collect_set("genome").alias("genomes")).join(s, ["a", "b"], "left").join(comp, F.col("a") == comp["node"]).drop("node")
     todo = e.join(e.filter("asked").select("component").distinct(), "component", "left_semi")
 
