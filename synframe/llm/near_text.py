@@ -31,8 +31,10 @@ SHINGLE = 5
 BITS = 1024
 #: Members from which a set has a wide bitmap as well.
 WIDE = 1024
-#: Texts of the sample, share of it from which a shingle is frequent, and most frequent shingles that are sent to tasks.
-SAMPLE, FREQUENT, MOST = 20_000, 0.001, 50_000
+#: Most ids that are broadcast.
+IDS = 4_000_000
+#: Texts of the sample, how many of them make a shingle frequent, and most frequent shingles that are sent to tasks.
+SAMPLE, OFTEN, MOST = 20_000, 3, 400_000
 
 
 def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -109,10 +111,9 @@ def _frequent(texts: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
     """Frequent shingles of a sample of different texts, the most frequent last."""
     share = min(1.0, SAMPLE / max(1, texts.count()))
     some = texts.filter(F.pmod(F.col("tk"), F.lit(1_000_000)) < int(share * 1_000_000)).dropDuplicates(["tk"])
-    least = max(10, int(SAMPLE * FREQUENT))
-    per = members(some, shingle).select(F.explode("h").alias("k")).groupBy("k").count().filter(F.col("count") >= least)
-    rows = per.orderBy(F.desc("count"), "k").limit(MOST).collect()
-    return np.array([r.k for r in rows[::-1]], np.int64).view(np.uint64)
+    per = members(some, shingle).select(F.explode("h").alias("k")).groupBy("k").count().filter(F.col("count") >= OFTEN)
+    top = per.orderBy(F.desc("count"), "k").limit(MOST).select("k").toArrow()["k"].to_numpy()
+    return top[::-1].astype(np.int64).view(np.uint64)
 
 
 def shingled(texts: DataFrame, frequent: np.ndarray, shingle: int = SHINGLE) -> DataFrame:
@@ -267,6 +268,8 @@ def earlier_texts(docs: DataFrame, earlier: DataFrame) -> DataFrame:
     now, old = row(docs), row(earlier)
     mark = now.select("doc_id", F.xxhash64("text").alias("h")).join(old.select("doc_id", F.xxhash64("text").alias("h2")), "doc_id")
     changed = Written(docs.sparkSession, "changed").cut(mark.filter("h <> h2").select("doc_id").distinct())
+    if changed.limit(IDS + 1).count() <= IDS:  # then no text moves to be told apart; beyond, texts meet their ids in a shuffle
+        changed = F.broadcast(changed)
     both = old.join(changed, "doc_id", "left_semi").join(now.join(changed, "doc_id", "left_semi").select("doc_id", F.col("text").alias("now")), "doc_id")
     lines = lambda c: F.split(c, "\n")
     return both.filter((F.size(F.array_except(lines("now"), lines("text"))) == 0) & (F.col("now") != F.col("text"))).select("doc_id", "text")
