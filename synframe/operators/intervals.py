@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from synframe.runtime import Written, shuffle_partitions
+
 MIN_GAP = 11
 
 
@@ -51,15 +53,25 @@ def join_collinear(aln: DataFrame) -> DataFrame:
     return a.groupBy("ref", "_i").agg(F.first("qry").alias("qry"), F.first("strand").alias("strand"), F.min("ref_start").alias("ref_start"), F.max("ref_end").alias("ref_end"), F.min("qry_start").alias("qry_start"), F.max("qry_end").alias("qry_end")).drop("_i")
 
 
+def counts_before(per: DataFrame, order: list[str], n: str) -> DataFrame:
+    """``per`` with ``before``, the sum of ``n`` over all rows that come before in that order. Rows are dealt to ranges; sums run within a range
+    and over one row for each range, so no window spans the table."""
+    p = Written(per.sparkSession, "ranges").cut(per.repartitionByRange(shuffle_partitions(per.sparkSession), *order).withColumn("_p", F.spark_partition_id()))
+    up = lambda w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = p.groupBy("_p").agg(F.sum(n).alias(n)).select("_p", up(Window.orderBy("_p")).alias("_b"))
+    own = p.withColumn("_w", up(Window.partitionBy("_p").orderBy(*order)))
+    return own.join(F.broadcast(base), "_p").withColumn("before", F.col("_b") + F.col("_w")).drop("_p", "_b", "_w")  # a row for each partition
+
+
 def dense_position(aln: DataFrame) -> DataFrame:
     """Index of every alignment along the reference: it rises when the start does and is not reset between
-    sequences (in name order). Per-sequence counts are summed over the few sequences, so no window spans all rows."""
+    sequences (in name order). Counts of the sequences before are added, so no window spans more than a sequence."""
     w = Window.partitionBy("ref").orderBy("ref_start", "qry", "ref_end")
     up = F.coalesce((F.col("ref_start") > F.lag("ref_start").over(w)).cast("int"), F.lit(0))
     a = aln.withColumn("_up", up).withColumn("_k", F.sum("_up").over(w))
     per = a.groupBy("ref").agg((F.max("_k") + 1).alias("_n"))
-    before = per.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("ref").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return a.join(before, "ref").select("ref", "qry", "ref_start", "ref_end", (F.col("_k") + F.col("_b")).alias("position"))
+    before = counts_before(per, ["ref"], "_n")
+    return a.join(before, "ref").select("ref", "qry", "ref_start", "ref_end", (F.col("_k") + F.col("before")).alias("position"))
 
 
 def alignment_extents(aln: DataFrame) -> DataFrame:
@@ -192,6 +204,5 @@ def renumber(blocks: DataFrame) -> DataFrame:
     first = first.select("block_id", "k", "fs", F.col("k.genome").alias("g"), F.col("k.chr").alias("c"))
     inner = first.withColumn("r", F.row_number().over(Window.partitionBy("g", "c").orderBy("k")))
     per = first.groupBy("g", "c").agg(F.count("*").alias("n"))
-    base = per.withColumn("b", F.coalesce(F.sum("n").over(Window.orderBy("g", "c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("g", "c", "b")
-    ids = inner.join(base, ["g", "c"]).select("block_id", (F.col("r") + F.col("b")).alias("new_id"), "fs")
+    ids = inner.join(counts_before(per, ["g", "c"], "n"), ["g", "c"]).select("block_id", (F.col("r") + F.col("before")).alias("new_id"), "fs")
     return blocks.join(ids, "block_id").select("genome", "chr", F.col("new_id").alias("block_id"), (F.col("sign") * F.col("fs")).alias("sign"), "bstart", "bend")

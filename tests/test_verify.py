@@ -4,6 +4,7 @@ import random
 
 import pytest
 from synframe.operators import verify as ve
+from synframe.operators.intervals import counts_before
 
 
 def agrees(increasing, a, b):
@@ -62,3 +63,13 @@ def test_parts_against_one_fold(spark, span, monkeypatch):
     got = {r.scf: (r.contigs, r.misordered, r.misstranded, r.gaps) for r in ve.verify_order(o, h).collect()}
     assert got == want and sum(x[1] for x in want.values()) and sum(x[2] for x in want.values())
     assert ve.verify_order(o.limit(0), h).count() == 0
+
+
+def test_counts_before_over_ranges(spark):
+    rnd = random.Random(9)
+    rows = [(rnd.choice("abc"), i, rnd.randrange(5)) for i in range(300)]
+    got = {(r.g, r.c): r.before for r in counts_before(spark.createDataFrame(rows, "g string, c long, n long"), ["g", "c"], "n").collect()}
+    total, want = 0, {}
+    for g, c, n in sorted(rows):
+        want[g, c], total = total, total + n
+    assert got == want
