@@ -702,6 +702,35 @@ def _(s, d):
     return s.createDataFrame([(t.newick(), round(ph.rate(t), 9))], "tree string, mu double")
 
 
+def joining_sql() -> str:
+    """Neighbour joining of the five genomes, join by join: distances ``dist`` (g1, g2, distance) to joins (node, parent, length)."""
+    steps = ["d0 as (select g1 as i, g2 as j, distance::double as d from dist union all select g2, g1, distance from dist)", "node0 as (select distinct i as id, chr(39) || i as key from d0)"]
+    for t in range(3):
+        steps += [
+            f"tot{t} as (select i, sum(d) as s, count(*) + 1 as n from d{t} group by i)",
+            f"best{t} as (select a.i, a.j, a.d, p.key, a.d / 2 + (x.s - y.s) / (2 * (x.n - 2)) as half from d{t} a join tot{t} x on x.i = a.i join tot{t} y on y.i = a.j join node{t} p on p.id = a.i join node{t} r on r.id = a.j where p.key < r.key order by round((x.n - 2) * a.d - x.s - y.s, 9), p.key, r.key limit 1)",
+            f"node{t + 1} as (select id, n.key from node{t} n, best{t} b where id <> i and id <> j union all select i || '+' || j, '(' || key from best{t})",
+            f"new{t} as (select b.i || '+' || b.j as i, x.j as j, (x.d + y.d - b.d) / 2 as d from best{t} b join d{t} x on x.i = b.i join d{t} y on y.i = b.j and y.j = x.j)",
+            f"d{t + 1} as (select d.i, d.j, d.d from d{t} d, best{t} b where d.i not in (b.i, b.j) and d.j not in (b.i, b.j) union all select * from new{t} union all select j, i, d from new{t})",
+        ]
+    joined = " union all ".join(f"select i as node, i || '+' || j as parent, greatest(1e-6, half) as length from best{t} union all select j, i || '+' || j, greatest(1e-6, d - half) from best{t}" for t in range(3))
+    return ", ".join([*steps, f"joins_ as ({joined} union all select i, 'root', greatest(1e-6, d / 2) from d3)"])
+
+
+DISTANCES = "dist as (select x.genome as g1, y.genome as g2, least(x.n, y.n) - (select count(*) from e p join e q on p.a = q.a and p.b = q.b where p.genome = x.genome and q.genome = y.genome) as distance from n x join n y on x.genome < y.genome)"
+
+
+@query("neighbor_joins", sql(B, clean(True), EDGES, "e as (select distinct genome, a, b from graph where not infinity)", "n as (select genome, count(*) as n from e group by genome)", DISTANCES, joining_sql(), select="select node, parent, round(length, 9) as length from joins_"))
+def _(s, d):
+    def name(t):
+        return t.name or "+".join(name(c) for c, _ in t.children)
+
+    def rows(t, parent):
+        return [x for c, n in t.children for x in [(name(c), parent, round(n, 9)), *rows(c, name(c))]]
+
+    return s.createDataFrame(rows(ph.infer_tree(ad.genome_distance(cleaned(s, d, True)), list(GENOMES)), "root"), "node string, parent string, length double")
+
+
 @query("repeat_profiles")
 def _(s, d):
     b = blocks(s, d)
