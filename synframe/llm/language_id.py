@@ -5,7 +5,8 @@ those that it uses ``least`` times or more and at least ``share`` times as often
 language's bit in ``HASHES`` slots of one table: the Bloom filters of all languages side by side, so that a
 single look-up returns the mask of all languages that hold an n-gram. The table has a fixed number of slots
 whatever the corpus. A text's hits per language are popcounts of these masks, corrected by each filter's
-false-positive rate; the language with most corrected hits is the prediction.
+false-positive rate; the language with most corrected hits is the prediction (ties: the first by name; a text with letters, but
+without any known n-gram, gets the first by name with score 0).
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0; rows with a null lang are predicted but
 never learned from; a null ``doc_id`` counts as the empty text in the fold. Long words count

@@ -17,6 +17,8 @@
 Documents are ordered by doc_id (null last), then by a checksum of the text. Lines are compared without
 trailing carriage returns; blank lines belong to the block that surrounds them.
 
+Lines and runs are compared by 64-bit hashes, not by their text.
+
 Nulls: a null text has no lines and stays null. Rows that are equal in doc_id and text are one document: they do
 not delete each other. A document all of whose lines go keeps an empty text. Empty table: no rows. Extra
 columns are kept; ``deleted_lines`` is added (and replaces a column of that name).

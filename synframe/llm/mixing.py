@@ -19,7 +19,8 @@ not depend on partitions, and repeated rows share their draw.
 
 Nulls: a null source or lang falls under ``*``; a null text has no tokens (it takes its class's probability).
 Target categories without any tokens are left out and the others rescaled. Empty table: no rows. Extra
-columns are kept; the columns added are ``topic``, ``tokens``, ``probability`` and ``weight``.
+columns are kept, whatever their names; the columns added are ``topic``, ``tokens``, ``probability`` and ``weight``, and own columns of these
+names are replaced.
 """
 
 from __future__ import annotations

@@ -4,7 +4,8 @@ Every statistic is a Catalyst expression over the whole text; no user function r
 runs of characters other than the six ASCII white spaces.
 
 Nulls: a null text has no words (all counts 0, base_failed, not kept). Repeated rows and rows with a null
-``doc_id`` are judged like any other. Empty table: no rows. Other columns are ignored.
+``doc_id`` are judged like any other. Empty table: no rows. Other columns are ignored. A very long text is worked on as a whole: the arrays of its
+words, of their hashes and of its windows stand in one row at a time, about a hundred bytes a word.
 """
 
 from __future__ import annotations
