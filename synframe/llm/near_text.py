@@ -31,6 +31,8 @@ SHINGLE = 5
 BITS = 1024
 #: Members from which a set has a wide bitmap as well.
 WIDE = 1024
+#: Parts of the prefix lists that are searched one after the other.
+PARTS = 4
 #: Most ids that are broadcast.
 IDS = 4_000_000
 #: Texts of the sample, how many of them make a shingle frequent, and most frequent shingles that are sent to tasks.
@@ -237,6 +239,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, kept: Written
     return both.mapInArrow(lean(run), "a long, b long")
 
 
+def _release(df: DataFrame) -> None:
+    """Spark deletes the shuffle files of finished jobs when the driver collects its garbage; their results are written tables by now."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def text_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``(doc_id, component_id)`` for every document: smallest doc_id among texts linked by fingerprints or similar sets."""
     bound_text_batches(docs.sparkSession)
@@ -250,9 +257,15 @@ def text_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     equal = of_set.select("sid", F.col("label").alias("v")).join(one.filter("label <> other").select("sid", F.col("label").alias("u")), "sid").filter("u <> v").select("u", "v")
     prefixes = sets.filter("n > 0").select(F.explode("p").alias("k"), "sid", "n")
     lists = kept.cut(_by_list(prefixes, ["sid"], _shared, "k long, sid long, n int"))
-    lists = lists.join(one.select("sid", "label", "sig"), "sid").select("k", "sid", "n", "label", "sig")
-    pairs = kept.cut(_by_list(lists, ["n", "sid"], _candidates, "a long, b long").distinct())
-    pairs = kept.cut(_narrowed(pairs, sets))
+    # the lists' bitmaps are many times the texts' size on the way: a part of the lists at a time, and shuffles that are done go
+    pairs = None
+    for part in range(PARTS):
+        _release(docs)
+        own = lists.filter(F.pmod(F.xxhash64("k"), F.lit(PARTS)) == part).join(one.select("sid", "label", "sig"), "sid").select("k", "sid", "n", "label", "sig")
+        own = kept.cut(_by_list(own, ["n", "sid"], _candidates, "a long, b long").distinct())
+        pairs = own if pairs is None else pairs.unionByName(own)
+    _release(docs)
+    pairs = kept.cut(_narrowed(pairs.distinct(), sets))
     found = _verified(pairs, sets, texts, kept, shingle)
     to = one.select("sid", "label")
     found = found.join(to.select(F.col("sid").alias("a"), F.col("label").alias("u")), "a").join(to.select(F.col("sid").alias("b"), F.col("label").alias("v")), "b").select("u", "v")
