@@ -256,7 +256,7 @@ def text_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     one = kept.cut(of_set.groupBy("sid").agg(F.min("label").alias("label"), F.max("label").alias("other"), F.first("sig").alias("sig")))
     equal = of_set.select("sid", F.col("label").alias("v")).join(one.filter("label <> other").select("sid", F.col("label").alias("u")), "sid").filter("u <> v").select("u", "v")
     prefixes = sets.filter("n > 0").select(F.explode("p").alias("k"), "sid", "n")
-    lists = kept.cut(_by_list(prefixes, ["sid"], _shared, "k long, sid long, n int"))
+    lists, path = kept.put(_by_list(prefixes, ["sid"], _shared, "k long, sid long, n int"))
     # the lists' bitmaps are many times the texts' size on the way: a part of the lists at a time, and shuffles that are done go
     pairs = None
     for part in range(PARTS):
@@ -264,8 +264,10 @@ def text_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         own = lists.filter(F.pmod(F.xxhash64("k"), F.lit(PARTS)) == part).join(one.select("sid", "label", "sig"), "sid").select("k", "sid", "n", "label", "sig")
         own = kept.cut(_by_list(own, ["n", "sid"], _candidates, "a long, b long").distinct())
         pairs = own if pairs is None else pairs.unionByName(own)
+    kept.drop(path)
     _release(docs)
     pairs = kept.cut(_narrowed(pairs.distinct(), sets))
+    _release(docs)
     found = _verified(pairs, sets, texts, kept, shingle)
     to = one.select("sid", "label")
     found = found.join(to.select(F.col("sid").alias("a"), F.col("label").alias("u")), "a").join(to.select(F.col("sid").alias("b"), F.col("label").alias("v")), "b").select("u", "v")
