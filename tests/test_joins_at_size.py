@@ -2,6 +2,7 @@
 
 import pytest
 
+from synframe.operators.filters import filter_intersecting
 from synframe.plans import registry
 from synframe.sources.blocks_view import _COPIES, _COPIES_SPARK, BLOCKS_SQL, from_files
 
@@ -29,3 +30,11 @@ def test_copies_without_a_union_are_the_same_rows(spark):
     union = spark.sql(BLOCKS_SQL.replace("from lineitem", f"from parquet.`{DATA}/lineitem.parquet`"))
     view = spark.sql(from_files(BLOCKS_SQL, DATA))
     assert view.schema == union.schema and sorted(view.collect()) == sorted(union.collect())
+
+
+def test_intersecting_rows_go_by_row_not_by_id(spark):
+    """An id that stands in two sequences goes where it intersects, and stays elsewhere; equal rows share their fate."""
+    rows = [(1, "x", 0, 10), (2, "x", 5, 20), (1, "y", 0, 10), (2, "y", 30, 40), (3, "y", 50, 60), (3, "y", 50, 60), (1, "z", 0, 10), (2, "z", 2, 4)]
+    got = filter_intersecting(spark.createDataFrame(rows, "id long, seq string, s long, e long"), 7)
+    assert got.columns == ["id", "seq", "s", "e"]
+    assert sorted(map(tuple, got.collect())) == [(1, "y", 0, 10), (1, "z", 0, 10), (2, "y", 30, 40), (3, "y", 50, 60), (3, "y", 50, 60)]
