@@ -12,50 +12,82 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from synframe.operators.kmers import CODED, canonical, code, kmer, pieces
+from synframe.operators.kmers import CODED, PIECE, coded, pieces
 from synframe.operators.lists import rank_lists
-from synframe.runtime import Written
+from synframe.runtime import Written, bound_text_batches, lean
 
 K, W, GAP, MOST = 15, 5, 300, 256
 #: A multiplier that scrambles codes modulo a prime, and the prime.
 MULTIPLIER, PRIME = 48271, 2147483647
 
 
-def minimisers(seqs: DataFrame, k: int = K, w: int = W, piece: int = 1024) -> DataFrame:
-    """``(name, kmer, pos, sign)`` of ``seqs`` (name, seq): the sketch, each place once. K-mers with other letters than A, C, G, T are
-    passed over; windows count them."""
+def _sketch(seqs: DataFrame, k: int = K, w: int = W, piece: int = PIECE) -> DataFrame:
+    """``minimisers`` with k-mers as their codes (a hexadecimal digit a letter)."""
     if not 0 < k <= CODED or k % 2 == 0:
         raise ValueError(f"k must be odd and at most {CODED}")
+    bound_text_batches(seqs.sparkSession)
     p = pieces(seqs.filter("name is not null").select("name", "seq"), 0, k + w - 2, piece)
-    n = F.length("p") - k + 1  # k-mers of the piece and those behind it
-    starts = F.greatest(F.least(F.lit(piece), F.col("size") - F.col("at") - (k + w - 2)), F.when(F.col("at") == 0, F.lit(1)).otherwise(F.lit(0)))
-    far = F.lit((1 << 62) + (1 << 61))
+    p = p.select("name", "at", "size", "p")
+    schema = StructType([p.schema["name"], StructField("code", LongType()), StructField("pos", LongType()), StructField("sign", IntegerType())])
+    return p.mapInArrow(lean(_least(k, w, piece)), schema).distinct()  # a place may be least in windows of two pieces
+
+
+def _least(k: int, w: int, piece: int):
+    """Batches of pieces ``(name, at, size, p)`` -> rows of ``_sketch``, an Arrow batch for about 65,000 of them."""
+    far = np.int64((1 << 62) + (1 << 61))
+
+    def rows(p, at, size):
+        own, plus, ok = coded(p, k)
+        n = max(min(piece, size - at - (k + w - 2)), int(at == 0))  # windows that start here
+        if not len(own) or n <= 0:
+            return own[:0], own[:0], own[:0]
+        v = np.where(ok, (own % PRIME * MULTIPLIER % PRIME) * (1 << 31) + at + np.arange(len(own)), far)
+        v = np.concatenate((v, np.full(max(0, n + w - 1 - len(v)), far)))
+        best = v[:n]
+        for j in range(1, w):
+            best = np.minimum(best, v[j : j + n])
+        best = np.unique(best[best < far])
+        pos = best % (1 << 31)
+        return own[pos - at], pos, np.where(plus[pos - at], 1, -1)
 
-    def value(i):
-        own = code(canonical(kmer(F.col("p"), i, k))[0])
-        return F.coalesce((own % PRIME * MULTIPLIER % PRIME) * (1 << 31) + F.col("at") + i, far)
+    def run(batches):
+        for b in batches:
+            at, size, ps = b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)
+            held, who, n = [], [], 0
+            for i in range(b.num_rows):
+                held.append(rows(ps[i].as_py(), at[i], size[i]))
+                who.append(np.full(len(held[-1][0]), i))
+                n += len(who[-1])
+                if n and (n >= 65_536 or i == b.num_rows - 1):
+                    own, pos, sign = (np.concatenate(x) for x in zip(*held, strict=True))
+                    cols = [b.column(0).take(pa.array(np.concatenate(who))), pa.array(own), pa.array(pos), pa.array(sign.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["name", "code", "pos", "sign"])
+                    held, who, n = [], [], 0
 
-    p = p.filter(n > 0).withColumn("v", F.transform(F.sequence(F.lit(0), n.cast("int") - 1), value)).filter(starts > 0)
-    least = F.transform(F.sequence(F.lit(1), starts.cast("int")), lambda i: F.array_min(F.slice("v", i, F.lit(w))))
-    at = p.select("name", "at", "p", F.explode(F.array_distinct(least)).alias("v")).filter(F.col("v") < far)
-    pos = F.col("v") % (1 << 31)
-    at = at.select("name", pos.alias("pos"), kmer(F.col("p"), (pos - F.col("at")).cast("int"), k).alias("f"))
-    node, sign = canonical(F.col("f"))
-    return at.select("name", node.alias("kmer"), "pos", sign.alias("sign")).distinct()  # a place may be least in windows of two pieces
+    return run
+
+
+def minimisers(seqs: DataFrame, k: int = K, w: int = W, piece: int = PIECE) -> DataFrame:
+    """``(name, kmer, pos, sign)`` of ``seqs`` (name, seq): the sketch, each place once. K-mers with other letters than A, C, G, T are
+    passed over; windows count them."""
+    return _sketch(seqs, k, w, piece).select("name", F.translate(F.lpad(F.hex("code"), k, "0"), "0123", "ACGT").alias("kmer"), "pos", "sign")
 
 
 def segments(queries: DataFrame, refs: DataFrame, k: int = K, w: int = W, gap: int = GAP, most: int = MOST) -> DataFrame:
     """``(qry, ref, strand, ref_start, ref_end, qry_start, qry_end, anchors)`` from sequences (name, seq)."""
     kept = Written(queries.sparkSession, "seeds")
-    r = kept.cut(minimisers(refs, k, w))
-    rare = r.groupBy("kmer").count().filter(F.col("count") <= most).select("kmer")
-    r = kept.cut(r.join(rare, "kmer", "left_semi"))
-    q = kept.cut(minimisers(queries, k, w))
-    q = q.select("kmer", F.col("name").alias("qry"), F.col("pos").alias("q"), F.col("sign").alias("qs"))
-    a = q.join(r.select("kmer", F.col("name").alias("ref"), F.col("pos").alias("r"), F.col("sign").alias("rs")), "kmer")
+    r = kept.cut(_sketch(refs, k, w))
+    rare = r.groupBy("code").count().filter(F.col("count") <= most).select("code")
+    r = kept.cut(r.join(rare, "code", "left_semi"))
+    q = kept.cut(_sketch(queries, k, w))
+    q = q.select("code", F.col("name").alias("qry"), F.col("pos").alias("q"), F.col("sign").alias("qs"))
+    a = q.join(r.select("code", F.col("name").alias("ref"), F.col("pos").alias("r"), F.col("sign").alias("rs")), "code")
     a = a.select("qry", "ref", (F.col("qs") * F.col("rs")).alias("strand"), "q", "r").withColumn("d", F.col("r") - F.col("strand") * F.col("q"))
     by = Window.partitionBy("qry", "ref", "strand", "d").orderBy("r")
     a = a.withColumn("new", F.coalesce((F.col("r") - F.lag("r").over(by) > gap).cast("int"), F.lit(1))).withColumn("no", F.sum("new").over(by))

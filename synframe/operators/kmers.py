@@ -57,6 +57,15 @@ def packed(p: bytes, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.minimum(f, r), f <= r, bad[k : k + n] == bad[:n]
 
 
+def coded(p: bytes, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``packed``, for k up to ``CODED`` and codes of four bits a letter (``code``)."""
+    two, own, ok = packed(p, k)
+    four = np.zeros(len(two), np.int64)
+    for j in range(k):
+        four |= ((two >> (2 * j)) & 3) << (4 * j)
+    return four, own, ok
+
+
 _DIGIT = np.full(256, 4, np.uint8)
 _DIGIT[np.frombuffer(b"ACGT", np.uint8)] = np.arange(4, dtype=np.uint8)
 

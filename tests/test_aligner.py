@@ -130,3 +130,14 @@ def test_lists_are_ranked(spark):
     rnd.shuffle(rows)
     got = {r.id: (r.head, r["rank"]) for r in rank_lists(spark.createDataFrame(rows, "id long, prev long")).collect()}
     assert got == want
+
+
+def test_sketch_holds_codes_and_reads_only_the_genomes_that_are_aligned(spark):
+    """Seeds meet by codes in longs, cut batch by batch; genomes that no side of an alignment reads are not spelled out."""
+    from synframe.plans import registry
+
+    seqs = frame(spark, {"a": "ACGTTGCATGCCATNACGGTACCATGAACGT" * 3})
+    assert dict(al._sketch(seqs, 5, 3).dtypes)["code"] == "bigint"
+    got = registry.genome_sequences(spark, "/root/testdata/sf0.001", ("g0", "g1"))
+    every = registry.genome_sequences(spark, "/root/testdata/sf0.001")
+    assert sorted(got.collect()) == sorted(every.filter("genome in ('g0', 'g1')").collect()) and every.count() > got.count()
