@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from synframe.operators.components import connected_components
 from synframe.operators.matching import best_matching
 from synframe.operators.phylogeny import VOID, leaves_depth_first, parsimony, rate
-from synframe.runtime import Written
+from synframe.runtime import Written, shuffle_partitions
 from synframe.sources.recipe import Tree, parse_newick
 
 # Scores of a context alignment.
@@ -20,6 +23,8 @@ KEY = ("genome", "chr", "bstart", "pos", "sign")
 MATCHED = "block_id long, profile int, genome string, chr string, bstart long, pos long, sign int, kind string, score double"
 
 
+FOUND = pa.schema([("block_id", pa.int64()), ("profile", pa.int32()), ("p_chr", pa.string()), ("p_start", pa.int64()), ("genome", pa.string()), ("chr", pa.string()), ("bstart", pa.int64()), ("pos", pa.int64()), ("sign", pa.int32()), ("kind", pa.string()), ("score", pa.float64())])
+
 #: Contexts of one side in one matrix of scores.
 SIDE = 1024
 
@@ -116,28 +121,71 @@ def context_scores(contexts: DataFrame, repeats: DataFrame, target: str) -> Data
     return both.mapInPandas(run, "block_id long, genome string, chr string, bstart long, qry string, qry_start long, score long")
 
 
+def align_rows(a: np.ndarray, n: np.ndarray, ra: np.ndarray, b: np.ndarray, m: np.ndarray, rb: np.ndarray, edge: np.ndarray | int = 0) -> np.ndarray:
+    """The dynamic program of ``align`` row by row, over pairs instead of all combinations: row i of ``a`` (repeats: ``ra``) with row i of
+    ``b``; ``edge``: the score of a gap at the far end."""
+    row, side = [np.zeros(len(a), np.int64) + edge * j for j in range(b.shape[1] + 1)], np.zeros(len(a), np.int64)
+    for i in range(a.shape[1] + 1):
+        if i:
+            new = [np.zeros(len(a), np.int64) + edge * i]
+            for j in range(1, b.shape[1] + 1):
+                unit = np.where(ra[:, i - 1] | rb[:, j - 1], REPEAT_MATCH, MATCH)
+                new.append(np.maximum(np.maximum(row[j - 1] + np.where(a[:, i - 1] == b[:, j - 1], unit, -unit), row[j] + GAP), new[j - 1] + GAP))
+            row = new
+        for j in range(b.shape[1] + 1):
+            side = np.where((n == i) & (m == j), row[j], side)
+    return side
+
+
+def _flags(lists: list, repeats: list, turn: bool) -> np.ndarray:
+    """Which members are repeats, padded as the lists are; ``repeats``: a set for each list."""
+    return padded([[abs(x) in r for x in row] for row, r in zip(lists, repeats, strict=True)], turn)[0] > 0
+
+
 def _paired(cols: list) -> np.ndarray:
-    """Scores of contexts row by row (far ends free): the same dynamic program, over pairs instead of all combinations."""
+    """Scores of contexts row by row, far ends free."""
     xl, xr, xreps, yl, yr, yreps = ([list(v) for v in c] for c in cols)
+    xreps, yreps = list(map(set, xreps)), list(map(set, yreps))
     total = np.zeros(len(xl), np.int64)
     for one, two, turn in ((xl, yl, False), (xr, yr, True)):
         (a, n), (b, m) = padded(one, turn), padded(two, turn)
-        flag = lambda v, reps, turn=turn: padded([[abs(x) in r for x in row] for row, r in zip(v, map(set, reps), strict=True)], turn)[0] > 0
-        ra, rb = flag(one, xreps), flag(two, yreps)
-        row, side = [np.zeros(len(a), np.int64) for _ in range(b.shape[1] + 1)], np.zeros(len(a), np.int64)
-        for i in range(a.shape[1] + 1):
-            if i:
-                new = [np.zeros(len(a), np.int64)]
-                for j in range(1, b.shape[1] + 1):
-                    unit = np.where(ra[:, i - 1] | rb[:, j - 1], REPEAT_MATCH, MATCH)
-                    new.append(np.maximum(np.maximum(row[j - 1] + np.where(a[:, i - 1] == b[:, j - 1], unit, -unit), row[j] + GAP), new[j - 1] + GAP))
-                row = new
-            for j in range(b.shape[1] + 1):
-                side = np.where((n == i) & (m == j), row[j], side)
-        total += side
+        total += align_rows(a, n, _flags(one, xreps, turn), b, m, _flags(two, yreps, turn))
     return total
 
 
+#: Contexts of a group up to which its scores are made together with those of other groups, and rows of such a batch of groups.
+SMALL, TOGETHER = 64, 4096
+
+
+def _score_tables(groups: list[tuple[list[dict], set[int]]], place: dict[str, int], target: str) -> list[np.ndarray]:
+    """A matrix for each group (contexts, repeats): the scores of its contexts with those of later genomes, both sides whole, and with the
+    target's, far ends free. All pairs of all groups are aligned at once."""
+    tables, flat, reps, x, y, edge, at = [np.zeros((len(cs), len(cs)), np.int64) for cs, _ in groups], [], [], [], [], [], []
+    for k, (cs, r) in enumerate(groups):
+        if any(c["head"] for c in cs):  # else there is no profile to match
+            where = [place.get(c["genome"]) for c in cs]
+            for i, p in enumerate(where):
+                for j, q in enumerate(where):
+                    mine = cs[j]["genome"] == target
+                    if p is not None and (mine or q is not None and p < q) and (cs[j]["left"] or cs[j]["right"]):
+                        x.append(len(flat) + i)
+                        y.append(len(flat) + j)
+                        edge.append(0 if mine else GAP)
+                        at.append((k, i, j))
+        flat += cs
+        reps += [r] * len(cs)
+    if at:
+        x, y, edge = np.array(x), np.array(y), np.array(edge, np.int64)
+        total = np.zeros(len(x), np.int64)
+        for side, turn in (("left", False), ("right", True)):
+            lists = [c[side] for c in flat]
+            (v, n), f = padded(lists, turn), _flags(lists, reps, turn)
+            total += align_rows(v[x], n[x], f[x], v[y], n[y], f[y], edge)
+        for (k, i, j), s in zip(at, total.tolist(), strict=True):
+            tables[k][i, j] = s
+    return tables
+
+
 def match_profiles(contexts: DataFrame, repeats: DataFrame, tree: Tree | str, target: str, legacy_profiles: bool = False, drafts: list[str] | tuple = (), repetitive: DataFrame | None = None) -> DataFrame:
     """J28 (1)-(4). Reference contexts are matched genome by genome into profiles, those kept that parsimony wants in the target (an
     absent draft is VOID), and the target's contexts matched to them: a context of a contig with a unique block once, with a score
@@ -169,20 +217,24 @@ def match_profiles(contexts: DataFrame, repeats: DataFrame, tree: Tree | str, ta
         w = {(int(i), len(left) + int(j)): -float(value[i, j]) for i, j in zip(*np.nonzero(value > 0), strict=True)}
         return [(a, b - len(left)) for a, b in best_matching(w)]
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        own = int(f["block_id"].iloc[0])
-        reps = {own, *(f["reps"].iloc[0] if f["reps"].iloc[0] is not None else ())}
+    def matched(own: int, reps: set[int], contexts: list[dict], table: np.ndarray | None) -> list[tuple]:
+        """The rows of one group; ``table``: its scores, or None if they are made here."""
         by: dict[str, list] = {}
-        names = [*KEY, "left", "right", "free", "head", "lone"]
-        for r in sorted(f[names].itertuples(index=False, name=None), key=lambda x: x[:3]):
-            c = dict(zip(names, r, strict=True))
-            by.setdefault(r[0], []).append(c | {"left": list(c["left"]), "right": list(c["right"])})
+        for i, c in enumerate(contexts):
+            by.setdefault(c["genome"], []).append(c | {"at": i})
+
+        def means(profiles, two, same_length):
+            if table is None:
+                return mean_scores(profiles, two, reps, same_length)
+            to = [c["at"] for c in two]
+            return np.array([table[[c["at"] for c in p]][:, to].sum(0) / len(p) for p in profiles])
+
         have = [g for g in order if g in by]
         profiles = [[c] for g in have for c in by[g] if c["head"]]
         grown = [list(p) for p in profiles]
         for g in have:
             if profiles and not by[g][0]["head"]:
-                for i, j in pairs(profiles, by[g], mean_scores(profiles if legacy_profiles else grown, by[g], reps, True)):
+                for i, j in pairs(profiles, by[g], means(profiles if legacy_profiles else grown, by[g], True)):
                     grown[i].append(by[g][j])
         kept = []
         for p in profiles if legacy_profiles else grown:
@@ -194,12 +246,12 @@ def match_profiles(contexts: DataFrame, repeats: DataFrame, tree: Tree | str, ta
         unique, lone = [c for c in mine if not c["free"]], [c for c in mine if c["lone"]]
         value = {}
         if kept and unique:
-            v = mean_scores(kept, unique, reps, False)
+            v = means(kept, unique, False)
             value = {(int(i), len(kept) + int(j)): float(v[i, j]) for i, j in zip(*np.nonzero(v > 0), strict=True)}
         # there is a copy of each context of an all-repeat contig for every profile, so that each has its own best one
         best = {}
         if kept and lone:
-            v = mean_scores(kept, lone, reps, False)
+            v = means(kept, lone, False)
             for i, j in enumerate(v.argmax(1)):
                 if v[i, j] >= 0:
                     best[i] = lone[j]
@@ -207,9 +259,34 @@ def match_profiles(contexts: DataFrame, repeats: DataFrame, tree: Tree | str, ta
         for i, j in best_matching({e: -v for e, v in value.items()}):
             c, kind = (unique[j - len(kept)], "unique") if j < len(kept) + len(unique) else (best[i], "repeat")
             out.append((own, i, kept[i][0]["chr"], kept[i][0]["bstart"], *(c[k] for k in KEY), kind, value[i, j]))
-        return pd.DataFrame(out, columns=["block_id", "profile", "p_chr", "p_start", *KEY, "kind", "score"])
-
-    found = rows.groupBy("block_id", "component").applyInPandas(run, MATCHED.replace("genome string", "p_chr string, p_start long, genome string", 1))
+        return out
+
+    def settled(rows: list[dict]):
+        """Rows of whole groups -> their matches."""
+        groups = []
+        for (own, _), g in groupby(rows, key=lambda r: (r["block_id"], r["component"])):
+            g = sorted(g, key=lambda r: (r["genome"], r["chr"], r["bstart"]))
+            groups.append((own, {own, *(g[0]["reps"] or ())}, g))
+        small = [len(g) <= SMALL for _, _, g in groups]
+        tables = iter(_score_tables([(g, r) for (_, r, g), s in zip(groups, small, strict=True) if s], {g: i for i, g in enumerate(order)}, target))
+        out = [row for (own, r, g), s in zip(groups, small, strict=True) for row in matched(own, r, g, next(tables) if s else None)]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), FOUND, strict=True)], schema=FOUND)
+
+    def run(batches):
+        held: list[dict] = []
+        for b in batches:
+            for r in b.to_pylist():
+                if len(held) >= TOGETHER and (held[-1]["block_id"], held[-1]["component"]) != (r["block_id"], r["component"]):
+                    yield from settled(held)
+                    held = []
+                held.append(r)
+        yield from settled(held)
+
+    names = ["block_id", "component", "reps", *KEY, "left", "right", "free", "head", "lone"]
+    # by number: groups are small beside the work they make, and Spark would put them into few tasks
+    dealt = rows.select(*names).repartition(shuffle_partitions(rows.sparkSession), "block_id", "component").sortWithinPartitions("block_id", "component")
+    found = dealt.mapInArrow(run, MATCHED.replace("genome string", "p_chr string, p_start long, genome string", 1))
     number = F.dense_rank().over(Window.partitionBy("block_id").orderBy("p_chr", "p_start")) - 1
     return found.withColumn("profile", number.cast("int")).drop("p_chr", "p_start")
 

@@ -207,3 +207,22 @@ def test_a_large_family_falls_apart(spark):
     for r in got:
         pair.setdefault(r.profile, set()).add(r["chr"][1:])
     assert len(pair) == 600 and all(len(x) == 1 for x in pair.values()) and len(got) == 1200
+
+
+def test_groups_are_scored_together_as_they_are_alone():
+    """Scores of many small groups come from one dynamic program; they are those of every group by itself."""
+    import random
+
+    from synframe.operators import repeats as rp
+
+    rng, place = random.Random(5), {"g1": 0, "g2": 1, "g3": 2}
+    side = lambda: [rng.choice([-3, -2, -1, 1, 2, 3, 4]) for _ in range(rng.randrange(6))]
+    groups = []
+    for _ in range(40):
+        contexts = [{"genome": rng.choice(["g0", "g1", "g2", "g3"]), "left": side(), "right": side(), "head": True} for _ in range(rng.randrange(1, 8))]
+        groups.append((contexts, set(rng.sample([1, 2, 3, 4], 2))))
+    for (contexts, reps), table in zip(groups, rp._score_tables(groups, place, "g0"), strict=True):
+        for i, x in enumerate(contexts):
+            for j, y in enumerate(contexts):
+                if x["genome"] != "g0" and (y["genome"] == "g0" or place[x["genome"]] < place[y["genome"]]):
+                    assert table[i, j] == rp.scores([x], [y], reps, y["genome"] != "g0")[0, 0]
