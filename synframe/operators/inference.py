@@ -108,8 +108,12 @@ def chimeric_edges(graph: DataFrame, target: str) -> DataFrame:
     on a ring, and any other edge if its ends are the two ends of one path: connected components answer all of them at once. Only edges
     whose components hold a node with more edges are searched one graph component at a time.
     """
+    return _explained(Written(graph.sparkSession, "chimera").cut(graph), target)
+
+
+def _explained(graph: DataFrame, target: str) -> DataFrame:
+    """``chimeric_edges`` of a written graph."""
     kept = Written(graph.sparkSession, "chimera")
-    graph = kept.cut(graph)
     per = graph.groupBy("a", "b").agg(F.min(F.col("genome") == target).alias("only"))
     asked = kept.cut(suspicious_edges(graph, target).select("a", "b").join(per, ["a", "b"]))
     genomes = [r[0] for r in graph.select("genome").filter(F.col("genome") != target).distinct().collect()]  # those of the recipe
@@ -154,8 +158,9 @@ def _searched_edges(graph: DataFrame, asked: DataFrame, target: str) -> DataFram
 
 def contig_breaks(graph: DataFrame, target: str) -> DataFrame:
     """(genome, chr, s, e, good): gaps of the suspicious edges on the target's sequences."""
+    graph = Written(graph.sparkSession, "chimera").cut(graph)
     t = graph.filter((F.col("genome") == target) & ~F.col("infinity"))
-    return t.join(chimeric_edges(graph, target), ["a", "b"]).select("genome", "chr", F.least("gap_start", "gap_end").alias("s"), F.greatest("gap_start", "gap_end").alias("e"), "good")
+    return t.join(_explained(graph, target), ["a", "b"]).select("genome", "chr", F.least("gap_start", "gap_end").alias("s"), F.greatest("gap_start", "gap_end").alias("e"), "good")
 
 
 def hierarchical_breaks(stages: list[DataFrame]) -> DataFrame:

@@ -51,3 +51,11 @@ def test_no_references_and_no_edges(spark):
     one = spark.createDataFrame([("t", "c", 1, 2, 1, 2, 0, 1, False)], GRAPH)
     assert [tuple(r) for r in inf.chimeric_edges(one, "t").collect()] == [(1, 2, False)]
     assert inf.chimeric_edges(one.limit(0), "t").count() == 0
+
+
+def test_breaks_derive_their_graph_once(spark):
+    """The breaks' plan reads the written graph, not the blocks that it is derived from a second time."""
+    from synframe.plans import registry
+
+    breaks = inf.contig_breaks(registry.graph(spark, "/root/testdata/sf0.001"), "g0")
+    assert "lineitem" not in breaks._jdf.queryExecution().optimizedPlan().toString() and not any("lineitem" in f for f in breaks.inputFiles())
