@@ -19,3 +19,31 @@ def test_longer_paths_against_brute_force(spark, k):
     got = bf.unitig_blocks(frame(spark, seqs), k, 64).select("genome", "chr", "bstart", "bend", "sign").collect()
     assert sorted(map(tuple, got)) == sorted((g, c, s, e, x) for g, c, _, x, s, e in brute(seqs, k)) and got
     assert bf.spelled(bf.sides(walk), k).filter(F.length("node") != k).isEmpty()
+
+
+def test_letters_of_packed_and_spelled_kmers(spark):
+    """A node's sides as twelve bits: the letters that follow, ends, and steps to the node itself; the same for packed k-mers and longer ones."""
+    rnd = random.Random(3)
+    s = "".join(rnd.choice("ACGT") for _ in range(70))
+    seqs = {("g", "a"): s + "N" + turned(s[:50]) + "A" * 40, ("g", "b"): s[10:60] + s[5:55]}
+    for k in (31, 33):
+        named = frame(spark, seqs).withColumn("sid", F.when(F.col("chr") == "a", 1).otherwise(2).cast("long"))
+        got = {(r.sid, r.pos): (r.sign, r.bits) for r in bf.kmer_steps(named, k, 16, ["sid", "pos", "sign", "bits"]).collect()}
+        want = {}
+        for (_, c), t in seqs.items():
+            at = {i: t[i : i + k] for i in range(len(t) - k + 1) if set(t[i : i + k]) <= set("ACGT")}
+            for i, x in at.items():
+                own = x <= turned(x)
+                side = lambda j, l: 16 if j not in at else (1 << "ACGT".index(l if own else turned(l))) + 32 * (min(at[j], turned(at[j])) == min(x, turned(x)))
+                a, b = side(i + 1, t[i + k : i + k + 1]), side(i - 1, t[i - 1])
+                want[1 if c == "a" else 2, i] = (1, a | b << 6) if own else (-1, b | a << 6)
+        assert got == want and {b & 32 for _, b in got.values()} == {0, 32}
+
+
+def test_no_table_of_all_kmers_is_written(spark, monkeypatch):
+    written = []
+    old = bf.Written.put
+    monkeypatch.setattr(bf.Written, "put", lambda self, df: written.append(df.columns) or old(self, df))
+    s = "ACGTTGCATTGACCAGT"
+    assert bf.unitig_blocks(frame(spark, {("a", "1"): s, ("b", "1"): s}), 5).count()
+    assert written and not any("pos" in c for c in written)
