@@ -38,3 +38,13 @@ def test_intersecting_rows_go_by_row_not_by_id(spark):
     got = filter_intersecting(spark.createDataFrame(rows, "id long, seq string, s long, e long"), 7)
     assert got.columns == ["id", "seq", "s", "e"]
     assert sorted(map(tuple, got.collect())) == [(1, "y", 0, 10), (1, "z", 0, 10), (2, "y", 30, 40), (3, "y", 50, 60), (3, "y", 50, 60)]
+
+
+def test_graph_and_contig_ends_read_written_blocks(spark, monkeypatch):
+    """Clean blocks are derived once: what the graph and the contigs' ends are made of is a table, not a plan of joins."""
+    plans = []
+    for name in ("breakpoint_graph", "contig_ends"):
+        old = getattr(registry.ad, name)
+        monkeypatch.setattr(registry.ad, name, lambda b, *a, old=old: plans.append(b._jdf.queryExecution().optimizedPlan().toString()) or old(b, *a))
+    assert registry.chains(spark, "/root/testdata/sf0.001").count() and len(plans) == 2
+    assert not any("Join" in p or "Aggregate" in p for p in plans)
