@@ -47,3 +47,38 @@ def test_no_table_of_all_kmers_is_written(spark, monkeypatch):
     s = "ACGTTGCATTGACCAGT"
     assert bf.unitig_blocks(frame(spark, {("a", "1"): s, ("b", "1"): s}), 5).count()
     assert written and not any("pos" in c for c in written)
+
+
+@pytest.mark.parametrize("k", [5, 31, 33])
+def test_branching_sides_are_those_of_the_walk(spark, k):
+    rnd = random.Random(k)
+    s = "".join(rnd.choice("ACGT") for _ in range(150))
+    seqs = {("g", "a"): s + "N" + turned(s[:90]) + "A" * 40, ("g", "b"): s[10:60] + s[5:75], ("h", "c"): "ACACACACAC" * 5}
+    got = bf.branching(frame(spark, seqs), k, 16)
+    want = bf.spelled(bf.sides(bf.kmer_walk(frame(spark, seqs), k, 16)).filter("open or low <> high"), k)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and not got.isEmpty()
+
+
+def test_rows_of_kmers_that_move_are_narrow(spark, monkeypatch):
+    """What is shuffled by node is a node and a place or its letters, and by piece a place; no sequence, sign or node goes with it."""
+    seen = []
+    old = bf.Written.put
+    monkeypatch.setattr(bf.Written, "put", lambda self, df: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or old(self, df))
+    s = "ACGTTGCATTGACCAGT"
+    bf.unitig_blocks(frame(spark, {("a", "1"): s, ("b", "1"): s}), 5)
+    plan = next(p for p in seen if "MapInArrow" in p and "Union" in p)
+    top = plan[: plan.index("Union")]
+    assert "RepartitionByExpression" in top and "node" not in top[top.index("RepartitionByExpression") :]
+
+
+@pytest.mark.parametrize("k", [5, 33])
+def test_places_are_looked_up_in_rounds(spark, monkeypatch, k):
+    monkeypatch.setattr(bf, "ROUND", 1)
+    rnd = random.Random(k)
+    parts = ["".join(rnd.choice("ACGT") for _ in range(90)) for _ in range(4)]
+    seqs = {(f"g{n % 3}", f"c{n}"): "".join(x if rnd.random() < 0.6 else turned(x) for x in rnd.sample(parts, 3)) for n in range(6)}
+    written, old = [], bf.Written.put
+    monkeypatch.setattr(bf.Written, "put", lambda self, df: written.append(df.columns) or old(self, df))
+    got = bf.unitig_blocks(frame(spark, seqs), k, 64).select("genome", "chr", "bstart", "bend", "sign").collect()
+    assert sorted(map(tuple, got)) == sorted((g, c, s, e, x) for g, c, _, x, s, e in brute(seqs, k)) and got
+    assert sum("edge" in c for c in written) == bf.PARTS
